@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, toxicity
+from . import licenses, mixing, packing, pii, simhash, toxicity
 from .scale import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,8 +45,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_simhash_near_dedup, op7_pii, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op5_simhash_near_dedup, op7_pii, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.licenses_sql()}
