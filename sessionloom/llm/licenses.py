@@ -136,7 +136,7 @@ def licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Da
 def licenses_sql(templates: tuple[Template, ...] = TEMPLATES, k: int = K, slack: int = SLACK, cover: float = COVER) -> str:
     """DuckDB SQL for licenses() over the table documents, whose ids must not repeat."""
     values = ",\n  ".join(f"({n}, '{label}', {str(exact).lower()}, {grams}, {place}, '{gram}')" for n, label, exact, grams, place, gram in template_grams(templates, k))
-    tail = " || ' ' || ".join(f"w[i + {j}]" for j in range(1, k + 1))
+    tail = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
     return rf"""
 WITH places(template, label, exact, grams, place, gram) AS (VALUES
   {values}),
