@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pii, ppm, simhash, toxicity
+from . import langid, licenses, mixing, packing, pii, ppm, simhash, toxicity
 from .scale import table
 
 
@@ -39,6 +39,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.schedule(docs, mixing.tempered_weights(docs))
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_scoring, op5_simhash_near_dedup, op7_pii, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_scoring, op5_simhash_near_dedup, op7_pii, op8_language_id, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
