@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, pii, ppm, simhash, toxicity
+from . import adsampling, impacts, langid, licenses, mixing, packing, pii, ppm, simhash, toxicity
 from .scale import table
 
 
@@ -24,11 +24,19 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.language_model(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adsampling.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.top_products(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s.strict))
 
@@ -53,8 +61,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_scoring, op5_simhash_near_dedup, op7_pii, op8_language_id, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_scoring, op4_nearest_vectors, op5_simhash_near_dedup, op6_top_products, op7_pii, op8_language_id, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.licenses_sql()}
+    return {"op1_license_scan": licenses.licenses_sql(), "op6_top_products": impacts.top_products_sql()}
