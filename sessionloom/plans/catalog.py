@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _SQL
+
+
+#: Modules of this package that register queries.
+MODULES = ("scalars", "windows")
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f".{name}", __package__)
