@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 #: Modules of this package that register queries.
-MODULES = ("scalars", "windows")
+MODULES = ("scalars", "windows", "trees")
 
 
 def load() -> None:
