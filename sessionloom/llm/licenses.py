@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import written
+
 #: Words of a k-gram: as many as the shortest phrase has.
 K = 2
 #: Diagonals this far apart are neighbours: words added or left out within a template.
@@ -22,6 +24,8 @@ SLACK = 3
 COVER = 0.6
 #: A word: letters and digits of ASCII, and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Stands for a document among its k-grams; no word has its first character.
+DOCUMENT = "\x01document"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Base phrases and their labels.
@@ -79,38 +83,50 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int = K, slack: int = SLACK, cover: float = COVER) -> DataFrame:
-    """Per span: doc_id, text_key, label, exact, start and end (words from 0, end exclusive), coverage (0 to 1).
+def voted(docs: DataFrame, templates: tuple[Template, ...], k: int) -> DataFrame:
+    """Votes by document and diagonal, written: doc_id, text_key, n_words, template, label, exact, grams, diagonal, votes (places), copies.
 
-    A phrase (exact) gives a span wherever its words stand one after another. A notice gives one for each diagonal that,
-    merged with its neighbours, has votes from at least `cover` of the notice's places and more than any neighbour (the
-    first of equal ones). Null and empty texts give none.
+    Each document also has a row of its own (template -1), so its words are parted once: copies says how many rows of the
+    table it stands for.
     """
-    spark = docs.sparkSession
-    rows = template_grams(templates, k)
-    places = spark.createDataFrame(rows, "template int, label string, exact boolean, grams int, place int, gram_of string")
-    places = F.broadcast(places.withColumn("h", F.xxhash64("gram_of")))  # as many rows as the templates have words
+    rows = [*template_grams(templates, k), (-1, "", False, 0, -1, DOCUMENT)]
+    places = docs.sparkSession.createDataFrame(rows, "template int, label string, exact boolean, grams int, place int, gram_of string")
+    places = F.broadcast(places.withColumn("h", F.xxhash64(F.lower("gram_of"))))  # as many rows as the templates have words
     w = F.col("w")
-    gram = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.element_at(w, i + 1 + j) for j in range(1, k)]))
-    worded = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), word_array(F.col("text")).alias("w")).where(F.size("w") >= k)
-    grams = worded.select("doc_id", "text_key", F.posexplode(gram).alias("pos", "gram"))
-    hits = grams.join(places, F.xxhash64(F.lower("gram")) == F.col("h")).where(F.translate("gram", UPPER, LOWER) == F.col("gram_of"))
-    diagonals = hits.groupBy("doc_id", "text_key", "template", "label", "exact", "grams", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("votes"))  # as many as the template has places
+    gram = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))
+    worded = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), word_array(F.col("text")).alias("w"))
+    grams = worded.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(DOCUMENT)), gram)).alias("pos", "gram"))
+    hits = grams.join(places, F.xxhash64(F.lower("gram")) == F.col("h")).where(F.translate("gram", UPPER, LOWER) == F.translate("gram_of", UPPER, LOWER))
+    by = hits.groupBy("doc_id", "text_key", "n_words", "template", "label", "exact", "grams", (F.col("pos") - 1 - F.col("place")).alias("diagonal"))
+    return written(by.agg(F.collect_set("place").alias("votes"), F.count("*").alias("copies")))  # votes: no more than the template has places
+
+
+def merged_spans(diagonals: DataFrame, k: int = K, slack: int = SLACK, cover: float = COVER) -> DataFrame:
     whole = diagonals.where("exact and size(votes) = grams").select("doc_id", "text_key", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + (k - 1)).alias("end"), F.lit(1.0).alias("coverage"))
-    line = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    near = line.rangeBetween(-slack, slack)
-    merged = diagonals.where("not exact").withColumn("coverage", F.size(F.array_distinct(F.flatten(F.collect_list("votes").over(near)))) / F.col("grams"))
+    near = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = diagonals.where("not exact and template >= 0").withColumn("coverage", F.size(F.array_distinct(F.flatten(F.collect_list("votes").over(near)))) / F.col("grams"))
     own = F.struct(F.size("votes").alias("n"), (-F.col("diagonal")).alias("d"))
     peaks = merged.withColumn("own", own).withColumn("best", F.max("own").over(near)).where((F.col("coverage") >= cover) & (F.col("own") == F.col("best")))
     spans = peaks.select("doc_id", "text_key", "label", "exact", (F.col("diagonal") + F.array_min("votes")).alias("start"), (F.col("diagonal") + F.array_max("votes") + k).alias("end"), "coverage")
     return whole.unionByName(spans)
 
 
+def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int = K, slack: int = SLACK, cover: float = COVER) -> DataFrame:
+    """Per span: doc_id, text_key, label, exact, start and end (words from 0, end exclusive), coverage (0 to 1).
+
+    A phrase (exact) gives a span wherever its words stand one after another. A notice gives one for each diagonal that,
+    merged with its neighbours, has votes from at least `cover` of the notice's places and more than any neighbour (the
+    first of equal ones). Null and empty texts give none; repeated rows give their spans once.
+    """
+    return merged_spans(voted(docs, templates, k), k, slack, cover)
+
+
 def licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best coverage, 0
     without a span). Repeated rows give a row each, with the same values; a null id is an id like any other; null and
     empty texts have no words and no labels; other columns are ignored; an empty table gives an empty result."""
-    spans = license_spans(docs, templates)
+    diagonals = voted(docs, templates, K)
+    spans = merged_spans(diagonals)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("key")).agg(
         F.count_if("exact").alias("n_base"),
@@ -120,7 +136,8 @@ def licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Da
         joined("label").alias("labels"),
         F.max("coverage").alias("score"),
     )
-    all_ = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    own = diagonals.where("template = -1")
+    all_ = own.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
     return all_.join(found, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
         "doc_id",
         "n_words",
