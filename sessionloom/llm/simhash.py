@@ -238,9 +238,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     return prints.join(named, prints.fingerprint == named.of).select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int = 5, max_bits: int = 3) -> DataFrame:
-    """The documents less all but one of each group of near duplicates: the smallest id stays, once. Columns are kept.
-    Documents with a null id can't be told apart by it and all stay."""
-    found = near_duplicates(docs, shingle_words, max_bits)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept.kept_id, "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+def similarity(a: bytes | None, b: bytes | None, words: int = 5) -> float:
+    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
+    x, y = set(shingle_hashes(a, words)), set(shingle_hashes(b, words))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_representatives(docs: DataFrame, shingle_words: int = 3, max_bits: int = 8, alike: float = 0.5) -> DataFrame:
+    """The documents less all but one of each group of near duplicates: the smallest id stays. Columns are kept.
+
+    Two copies of one text at a similarity of 0.8 each may be 0.6 to each other, so groups are formed over wider links
+    than the operator's own, and a document goes only if its five-word shingles are also `alike` to those of the one that
+    stays for it: a chance meeting of fingerprints drops nothing. Documents with the fingerprint of the one that stays
+    go without that comparison. Rows that repeat an id go but for one; rows with a null id all stay.
+    """
+    found = near_duplicates(docs.where("doc_id is not null"), shingle_words, max_bits)
+    stays = found.select(F.col("doc_id").alias("stays"), F.col("fingerprint").alias("stays_fingerprint")).distinct()
+    members = written(found.where("doc_id <> component_id").distinct().join(stays, F.col("component_id") == F.col("stays")).select("doc_id", "stays", (F.col("fingerprint") == F.col("stays_fingerprint")).alias("same")))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    unlike = members.where("not same").select("doc_id", "stays")
+    kept_texts = texts.join(unlike.select("stays").distinct(), F.col("doc_id") == F.col("stays"), "left_semi").select(F.col("doc_id").alias("stays"), F.col("text").alias("stays_text"))
+    pairs = texts.join(unlike, "doc_id").join(kept_texts, "stays").select("doc_id", "text", "stays_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(a, b) >= alike for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], names=["gone"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    gone = members.where("same").select(F.col("doc_id").alias("gone")).unionByName(pairs.mapInArrow(run, f"gone {kind}"))
+    rest = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return rest.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
