@@ -244,7 +244,7 @@ def similarity(a: bytes | None, b: bytes | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int = 3, max_bits: int = 8, alike: float = 0.5) -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle_words: int = 3, max_bits: int = 8, alike: float = 0.7) -> DataFrame:
     """The documents less all but one of each group of near duplicates: the smallest id stays. Columns are kept.
 
     Two copies of one text at a similarity of 0.8 each may be 0.6 to each other, so groups are formed over wider links
