@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 #: Modules of this package that register queries.
-MODULES = ("scalars", "windows", "trees")
+MODULES = ("scalars", "windows", "trees", "finding")
 
 
 def load() -> None:
