@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Fixed value: tags that mark a message as put there by a harness.
 INJECTED = r"^\s*<(environment_context|user_instructions|system-reminder|turn_aborted|permissions|collaboration_mode)"
 
@@ -13,3 +15,205 @@ def level_one_sources(df: DataFrame, injected: str = INJECTED) -> DataFrame:
     """What a first-level summary reads: messages of users and assistants, calls and results, less injected messages."""
     message = (F.col("type") == "message") & F.col("role").isin("user", "assistant") & ~F.col("text").rlike(injected)
     return df.where(message | F.col("type").isin("tool_call", "tool_result"))
+
+
+def child_records(nodes: DataFrame) -> DataFrame:
+    """Adds record, the JSON a summary reads: source text at level 1, the child's summary and figures above."""
+    low = F.to_json(F.struct(F.coalesce(F.nullif("role", F.lit("")), F.col("type")).alias("role"), F.col("tool_name"), F.col("call_id"), F.col("text")))
+    high = F.to_json(F.struct(F.col("summary"), F.col("tokens"), F.col("start_at").alias("start"), F.col("end_at").alias("end"), (F.col("end_at") - F.col("start_at")).alias("duration")))
+    return nodes.withColumn("record", F.when(F.col("level") == 1, low).otherwise(high))
+
+
+def level_one_spans(sources: DataFrame, closed: DataFrame, tail: DataFrame, budget: int) -> DataFrame:
+    """First-level groups: closed spans packed whole; of the tail all groups but the last, which may still grow unless it is full.
+
+    sources/closed/tail are event rows (session_id, ordinal, cost); closed has span. Adds slot (from 0 in a session) and handle.
+    """
+    from .spans import pack_greedy
+
+    done = pack_greedy(closed.select("session_id", "span", "ordinal", "cost"), ["session_id", "span"], "ordinal", F.col("cost"), budget)
+    open_ = pack_greedy(tail.select("session_id", F.lit(1 << 30).cast("long").alias("span"), "ordinal", "cost"), ["session_id", "span"], "ordinal", F.col("cost"), budget)
+    by = Window.partitionBy("session_id")
+    group = Window.partitionBy("session_id", "group")
+    ready = open_.withColumn("last_group", F.max("group").over(by)).withColumn("total", F.sum("cost").over(group)).where((F.col("group") < F.col("last_group")) | (F.col("total") >= budget))
+    rows = done.unionByName(ready.select(*done.columns))
+    slots = rows.withColumn("slot", F.dense_rank().over(by.orderBy("span", "group")) - 1)
+    return slots.withColumn("handle", F.concat(F.lit("summary/level-1/span-"), F.lpad(F.col("slot").cast("string"), 4, "0"))).drop("span", "group")
+
+
+def rollup_levels(spans: DataFrame, budget: int, most: int = 32) -> DataFrame:
+    """Parents of spans (session_id, handle, seq, tokens) until each session has one top span or packing no longer shrinks
+    it: (session_id, level, handle, seq, tokens, parent_handle). A session drops out as it converges; one round per level."""
+    from .spans import pack_greedy
+
+    current = spans.select("session_id", F.lit(1).alias("level"), "handle", F.col("seq").cast("long").alias("seq"), F.col("tokens").cast("long").alias("tokens"))
+    done = None
+    for level in range(1, most + 1):
+        packed = pack_greedy(current.drop("group"), ["session_id"], "seq", F.col("tokens"), budget).drop("cost")
+        by = Window.partitionBy("session_id")
+        counted = packed.withColumn("n", F.count("*").over(by)).withColumn("groups", F.max("group").over(by) + 1)
+        grows = (F.col("n") > 1) & (F.col("groups") < F.col("n"))
+        parent = F.when(grows, F.concat(F.lit(f"summary/level-{level + 1}/span-"), F.lpad(F.col("group").cast("string"), 4, "0")))
+        rows = counted.select("session_id", "level", "handle", "seq", "tokens", parent.alias("parent_handle"))
+        done = rows if done is None else done.unionByName(rows)
+        above = rows.where("parent_handle is not null").groupBy("session_id", F.col("parent_handle").alias("handle")).agg(F.min("seq").alias("seq"), F.ceil(F.sum("tokens") / 4).cast("long").alias("tokens"))
+        current = above.select("session_id", F.lit(level + 1).alias("level"), "handle", "seq", "tokens")
+        if current.isEmpty():
+            break
+    return done
+
+
+def root_candidates(targets: DataFrame) -> DataFrame:
+    """Sessions whose top spans (session_id, status) are all completed."""
+    return targets.groupBy("session_id").agg(F.every(F.col("status") == "completed").alias("ready"), F.count("*").alias("spans")).where("ready").drop("ready")
+
+
+def summary_inputs(children: DataFrame, key: list[str]) -> DataFrame:
+    """The records of each parent's children as ordered lines of JSON, with their number and hash."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "record"))), lambda x: x.record), "\n")
+    return children.groupBy(*key).agg(lines.alias("input"), F.count("*").alias("n_children")).withColumn("source_hash", F.sha2("input", 256))
+
+
+def target_ids(inputs: DataFrame, strategy: str, options: str = "") -> DataFrame:
+    """Adds target_id, a hash of strategy, handle, source hash, plan, base and options: equal work has equal ids."""
+    plan = F.col("plan") if "plan" in inputs.columns else F.lit("create")
+    base = F.col("base_target_id") if "base_target_id" in inputs.columns else F.lit(None).cast("string")
+    material = F.to_json(F.struct(F.lit(strategy).alias("strategy"), "handle", "source_hash", plan.alias("plan"), base.alias("base"), F.lit(options).alias("options")))
+    return inputs.withColumn("target_id", F.sha2(material, 256))
+
+
+def parse_summaries(df: DataFrame, column: str = "output") -> DataFrame:
+    """Adds summary and error: a JSON object must have a text `summary` that is no JSON object itself; plain text is a
+    summary; anything else is an error."""
+    text = T.compact_text(F.col(column))
+    json = F.try_parse_json(F.when(text.startswith("{") | text.startswith("["), text))
+    inner = F.try_variant_get(json, "$.summary", "string")
+    looks = F.col(column).rlike(r"^\s*[\[{]")
+    good = inner.isNotNull() & (F.trim(inner) != "") & ~inner.rlike(r"^\s*[\[{]")
+    summary = F.when(~looks & (text != ""), text).when(looks & good, T.compact_text(inner))
+    error = F.when(text == "", "empty").when(looks & json.isNull(), "malformed").when(looks & ~F.coalesce(good, F.lit(False)), "no_summary")
+    return df.withColumn("summary", summary).withColumn("error", error)
+
+
+def split_reusable(jobs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds work: reused where a completed target has the job's id, else pending."""
+    done = targets.where("status = 'completed'").select("target_id").distinct().withColumn("is_done", F.lit(True))
+    return jobs.join(done, "target_id", "left").withColumn("work", F.when(F.col("is_done"), "reused").otherwise("pending")).drop("is_done")
+
+
+def commit_targets(targets: DataFrame, results: DataFrame) -> DataFrame:
+    """Results merged into the targets by id (target_id, status, updated_at, ...): completed and error rows replace, reused
+    ones leave what is stored; the latest write wins, completed over error at the same time."""
+    old = targets.withColumn("is_new", F.lit(0))
+    new = results.where("status in ('completed', 'error')").withColumn("is_new", F.lit(1))
+    best = Window.partitionBy("target_id").orderBy(F.col("is_new").desc(), F.col("updated_at").desc(), (F.col("status") == "completed").desc())
+    return old.unionByName(new, allowMissingColumns=True).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "is_new")
+
+
+def target_scope(targets: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Targets that the manifest's current lists (summary_target_ids) name, and orphans that none does."""
+    current = manifest.select(F.explode("summary_target_ids").alias("target_id")).distinct()
+    return targets.join(current, "target_id", "left_semi"), targets.join(current, "target_id", "left_anti")
+
+
+def apply_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Batch results joined to jobs by custom id: parsed output of those that succeeded, else the error text."""
+    met = jobs.join(results.select(F.col("custom_id").alias("target_id"), "result_type", "output", F.col("message")), "target_id", "left")
+    parsed = parse_summaries(met.withColumn("output", F.when(F.col("result_type") == "succeeded", F.col("output"))))
+    failed = F.when(F.col("result_type").isNull(), "missing").when(F.col("result_type") != "succeeded", F.coalesce("message", "result_type"))
+    return parsed.withColumn("error", F.coalesce(failed, "error")).withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("error"))
+
+
+#: Ranks of job states when lists of jobs are merged.
+JOB_RANK = {"succeeded": 5, "completed": 4, "reused": 3, "submitted": 2, "pending": 1}
+
+
+def merge_jobs(*dfs: DataFrame) -> DataFrame:
+    """One row for each target: the one of the highest rank, the first of equal ones (by list, then seq)."""
+    rank = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in JOB_RANK.items()], F.lit(0))
+    all_ = None
+    for i, df in enumerate(dfs):
+        own = df.withColumn("list_no", F.lit(i))
+        all_ = own if all_ is None else all_.unionByName(own)
+    best = Window.partitionBy("target_id").orderBy(rank.desc(), "list_no", "seq")
+    return all_.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "list_no")
+
+
+def revision_plan(current: DataFrame, previous: DataFrame, key: str = "handle") -> DataFrame:
+    """What is to be done for each parent, from ordered hashes of its children now and before: append, replace_suffix (with
+    the index of the first change), or create where it shrank, has no lineage or did not change."""
+    now = current.select(key, F.size("hashes").alias("n_now"), F.posexplode("hashes").alias("i", "h"))
+    then = previous.select(key, F.size("hashes").alias("n_then"), F.posexplode("hashes").alias("i", "g"))
+    met = now.select(key, "i", "h").join(then.select(key, "i", "g"), [key, "i"], "full_outer")
+    first = met.groupBy(key).agg(F.min(F.when(~F.col("h").eqNullSafe(F.col("g")), F.col("i"))).alias("first_change"))
+    sizes = current.select(key, F.size("hashes").alias("n_now")).join(previous.select(key, F.size("hashes").alias("n_then")), key, "left")
+    plan = F.when(F.col("n_then").isNull() | (F.col("n_now") < F.col("n_then")) | F.col("first_change").isNull() | (F.col("first_change") == 0), "create").when(F.col("first_change") == F.col("n_then"), "append").otherwise("replace_suffix")
+    return sizes.join(first, key, "left").withColumn("plan", plan).select(key, "plan", F.when(F.col("plan") != "create", F.col("first_change")).alias("from_index"))
+
+
+def maintenance_base(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each node (lineage, source_hash) the latest completed target of its lineage with another source hash."""
+    done = targets.where("status = 'completed'").select("lineage", F.col("source_hash").alias("base_hash"), F.col("target_id").alias("base_target_id"), "completed_at")
+    met = nodes.join(done, "lineage", "left").where(F.col("base_hash").isNull() | (F.col("base_hash") != F.col("source_hash")))
+    best = Window.partitionBy("lineage", "source_hash").orderBy(F.col("completed_at").desc_nulls_last(), F.col("base_target_id").desc())
+    return met.withColumn("nth", F.row_number().over(best)).where("nth = 1 and base_target_id is not null").drop("nth")
+
+
+def apply_summaries(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds the stored summary of the newest completed target with the node's lineage and source hash."""
+    best = Window.partitionBy("lineage", "source_hash").orderBy(F.col("completed_at").desc(), "target_id")
+    done = targets.where("status = 'completed'").withColumn("nth", F.row_number().over(best)).where("nth = 1").select("lineage", "source_hash", "summary", "target_id")
+    return nodes.join(done, ["lineage", "source_hash"], "left")
+
+
+def summarize_extractive(inputs: DataFrame, words: int = 12, topics: int = 5) -> DataFrame:
+    """The default summariser: the first words of each line, and the most frequent long words as topics. Any function of
+    pandas frames with the same columns can take its place; a row that fails gets an error and the others go on."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["input"]:
+                try:
+                    lines = str(text).split("\n")
+                    counts: dict[str, int] = {}
+                    for w in str(text).lower().split():
+                        if len(w) > 6 and w.isalpha():
+                            counts[w] = counts.get(w, 0) + 1
+                    best = sorted(counts, key=lambda w: (-counts[w], w))[:topics]
+                    out.append((" / ".join(" ".join(x.split()[:words]) for x in lines), best, None))
+                except Exception as e:  # a row's own failure stays with it
+                    out.append((None, [], str(e)))
+            yield pdf.assign(summary=[o[0] for o in out], topics=[o[1] for o in out], error=[o[2] for o in out])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in inputs.dtypes)
+    return inputs.mapInPandas(run, f"{fields}, summary string, topics array<string>, error string")
+
+
+def summarize_cycle(inputs: DataFrame, targets: DataFrame, strategy: str, summariser=summarize_extractive) -> tuple[DataFrame, DataFrame]:
+    """One round: ids for the inputs (session_id, handle, input, source_hash), reuse of what is done, summaries of the rest,
+    commit. Returns the new targets and the inputs with their summaries."""
+    jobs = split_reusable(target_ids(inputs, strategy), targets)
+    made = summariser(jobs.where("work = 'pending'"))
+    status = F.when(F.col("error").isNull(), "completed").otherwise("error")
+    results = made.select("target_id", status.alias("status"), "summary", F.lit(0).cast("long").alias("updated_at"))
+    after = commit_targets(targets, results)
+    return after, jobs.join(after.where("status = 'completed'").select("target_id", "summary"), "target_id", "left")
+
+
+def publish_decision(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
+    """publish, stale_source (the candidate is older than what is published, or its source changed since) or
+    summary_not_ready (unfinished summaries would replace a published tree)."""
+    old = manifest.select("session_id", *[F.col(c).alias(f"old_{c}") for c in ("mtime", "size", "event_count")])
+    met = candidates.join(old, "session_id", "left")
+    stale = (F.col("source_changed")) | (F.col("mtime") < F.col("old_mtime")) | (F.col("size") < F.col("old_size")) | (F.col("event_count") < F.col("old_event_count"))
+    return met.withColumn("decision", F.when(F.coalesce(stale, F.col("source_changed")), "stale_source").when(F.col("old_mtime").isNotNull() & ~F.col("summaries_done"), "summary_not_ready").otherwise("publish")).drop("old_mtime", "old_size", "old_event_count")
+
+
+def reusable_sessions(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files whose path, fingerprint and options equal the published ones (nulls equal nulls), with nothing pending unless it failed."""
+    same = files.path.eqNullSafe(manifest.path) & files.fingerprint.eqNullSafe(manifest.fingerprint) & files.options.eqNullSafe(manifest.options)
+    return files.join(manifest.where("pending = 0 or failed > 0"), same, "left_semi")
