@@ -1,10 +1,10 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
-Vectors of integers are documents, their components terms. For each component and sign of a query's weight, a block's
-vectors stand in order of descending impact (how far the component lies above the block's least, or below its
-greatest), cut into segments of equal quantised impact. A query takes segments in descending weight times impact and adds up
-scores. It stops only on proof: when all but a few vectors, with the most that the segments left could add, stay under
-the k-th best sum so far. Those few are scored anew, exactly.
+Vectors of integers are documents, their components terms. For each component and sign of a query's weight a vector has
+an impact: how far its component lies above the block's least, or below its greatest. Impacts are quantised to a few
+levels, and a segment holds a level's postings of all terms. A block of queries takes the segments in descending level and adds up
+weight times impact. A query stops only on proof: once all but a few vectors, each with the most that its postings in
+the segments left can still add, stay under the k-th best sum so far. Those few are scored anew, exactly.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .scale import written
 from .vectors import dealt, matrix, ranked, valid, width
 
-#: Quantised impacts of a component; steps between proofs; rows of a block of candidates or queries.
-LEVELS, STEPS, BLOCK = 16, 8, 8_192
+#: Levels of quantised impact; rows of a block of candidates or queries; queries that share a pass.
+LEVELS, BLOCK, TOGETHER = 4, 8_192, 256
 #: Integers are held within this: the products of two stay exact.
 LARGEST = 1 << 24
 
@@ -27,54 +27,38 @@ class Block:
     """The impact-ordered index of a block of integer vectors (rows)."""
 
     def __init__(self, x: np.ndarray):
-        self.x, (self.n, self.dim) = x, x.shape
+        self.x, self.n = x, len(x)
         self.least, self.most = x.min(0), x.max(0)
-        self.step = (self.most - self.least) // LEVELS + 1
-        self.rows, self.impact, self.cuts = [], [], []
-        for impact in (x - self.least, self.most - x):  # for weights above and below zero
-            order = np.argsort(-impact, axis=0, kind="stable").T
-            sorted_ = np.take_along_axis(impact.T, order, 1)
-            level = sorted_ // self.step[:, None]
-            # vectors of component j with a level above LEVELS - 1 - s: segment s ends there
-            cuts = np.stack([(level >= LEVELS - s).sum(1) for s in range(LEVELS + 1)], 1)
-            self.rows.append(order)
-            self.impact.append(sorted_)
-            self.cuts.append(cuts)
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best of a query, its own (a mask) left out: all that aren't proven worse."""
-        side, weight = (q < 0).astype(int), np.abs(q)
-        used = np.flatnonzero(weight)
-        sums = np.zeros(self.n)
-        bound = weight[:, None] * self.step[:, None] * np.arange(LEVELS, 0, -1)[None]  # over a segment's impacts
-        bound = np.minimum(bound, (weight * (self.most - self.least))[:, None])
-        order = np.argsort(-bound[used].ravel(), kind="stable")
-        sizes = np.stack([np.diff(self.cuts[side[j]][j]) for j in used]) if len(used) else np.zeros((0, LEVELS), int)
-        done = np.cumsum(sizes.ravel()[order])
-        at = np.zeros(self.dim, int)  # segments taken of each component
-        free = np.flatnonzero(~own)
-        if len(free) <= k or not len(used):
-            return free
-        for s in range(1, STEPS + 1):
-            reach = int(np.searchsorted(done, done[-1] * s / STEPS, "left")) + 1
-            # segments of a component come in its own order: bounds fall along it
-            upto = np.zeros(self.dim, int)
-            upto[used] = np.bincount(order[:reach] // LEVELS, minlength=len(used))
-            rows, adds = [], []
-            for j in np.flatnonzero(upto > at):
-                cut = self.cuts[side[j]][j]
-                a, b = cut[at[j]], cut[upto[j]]
-                rows.append(self.rows[side[j]][j, a:b])
-                adds.append(self.impact[side[j]][j, a:b] * weight[j])
-            if rows:
-                sums += np.bincount(np.concatenate(rows), np.concatenate(adds), self.n)
-            at = np.maximum(at, upto)
-            more = np.where(at < LEVELS, np.take_along_axis(bound, np.minimum(at, LEVELS - 1)[:, None], 1)[:, 0], 0).sum()
-            kth = np.partition(sums[free], len(free) - k)[len(free) - k]
-            possible = free[sums[free] + more >= kth]
-            if len(possible) <= max(4 * k, self.n // 32):
+        self.impact = np.concatenate([x - self.least, self.most - x], 1).astype(np.float64)  # for weights above and below zero
+        step = np.tile((self.most - self.least) // LEVELS + 1, 2)
+        self.level = (self.impact // step).astype(np.int8)
+        self.above = np.arange(LEVELS)[:, None] * step[None]  # impacts below a level are under its first
+
+    def segment(self, level: int) -> np.ndarray:
+        return np.where(self.level == level, self.impact, 0.0)
+
+    def search(self, q: np.ndarray, own: list[np.ndarray], k: int) -> list[np.ndarray]:
+        """For each query the rows that may be among its k best, its own left out: all that aren't proven worse."""
+        weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], 1).astype(np.float64).T
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
+        sums, live = np.zeros((len(q), self.n)), np.arange(len(q))
+        for i, rows in enumerate(own):
+            sums[i, rows] = -np.inf
+        for level in range(LEVELS - 1, -1, -1):
+            sums += (self.segment(level) @ weight).T
+            best = min(k, self.n) - 1
+            kth = -np.partition(-sums, best, axis=1)[:, best]
+            most = sums
+            if level:  # postings of lower levels have impacts under this level's first
+                most = sums + ((self.level < level) @ (weight * np.maximum(self.above[level] - 1, 0)[:, None])).T
+            possible = (most >= kth[:, None]) & (most > -np.inf)
+            done = (possible.sum(1) <= max(4 * k, self.n // 64)) | (level == 0)
+            for i in np.flatnonzero(done):
+                out[live[i]] = np.flatnonzero(possible[i])
+            sums, live, weight = sums[~done], live[~done], weight[:, ~done]
+            if not len(live):
                 break
-        return possible
+        return out
 
 
 def top_products(embeddings: DataFrame, is_query, k: int = 5, factor: int = 256) -> DataFrame:
@@ -96,13 +80,17 @@ def top_products(embeddings: DataFrame, is_query, k: int = 5, factor: int = 256)
         out: list[list[np.ndarray]] = [[], [], []]
         if left.num_rows and right.num_rows:
             ids, x, q = left["vec_id"].to_numpy(), matrix(left["v"], dim).astype(np.int64), matrix(right["v"], dim).astype(np.int64)
-            block = Block(x)
-            for q_id, v in zip(right["vec_id"].to_numpy(), q, strict=True):
-                rows = block.search(v, ids == q_id, k)
-                score = x[rows] @ v
-                best = np.lexsort((ids[rows], -score))[:k]
-                for part, got in zip(out, (np.full(len(best), q_id), ids[rows[best]], score[best]), strict=True):
-                    part.append(got)
+            block, q_ids = Block(x), right["vec_id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            for at in range(0, len(q), TOGETHER):
+                some, some_ids = q[at : at + TOGETHER], q_ids[at : at + TOGETHER]
+                first, last = np.searchsorted(ids, some_ids, "left", sorter=order), np.searchsorted(ids, some_ids, "right", sorter=order)
+                own = [order[i:j] for i, j in zip(first, last, strict=True)]
+                for q_id, v, rows in zip(some_ids, some, block.search(some, own, k), strict=True):
+                    score = x[rows] @ v
+                    best = np.lexsort((ids[rows], -score))[:k]
+                    for part, got in zip(out, (np.full(len(best), q_id), ids[rows[best]], score[best]), strict=True):
+                        part.append(got)
         return pa.table({name: pa.array(np.concatenate(part) if part else np.empty(0), pa.int64()) for name, part in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     keys = ("cb", "qb")
