@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 #: Modules of this package that register queries.
-MODULES = ("scalars", "windows", "trees", "finding", "upkeep", "fleet", "logged")
+MODULES = ("scalars", "windows", "trees", "finding", "upkeep", "fleet", "logged", "streams")
 
 
 def load() -> None:

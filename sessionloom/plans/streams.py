@@ -15,6 +15,13 @@ from .trees import DOCS, docs
 from .windows import _FIELDS, _LINKED, EVENTS, events, linked
 
 
+def landed(df):
+    """The rows as a stream over files that were just written to the shared folder."""
+    at = K.shared_folder(df.sparkSession)
+    df.write.parquet(at)
+    return R.as_stream(df.sparkSession, at, 1000)
+
+
 def usage_rows(e):
     return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "error", U.usage(**{f: F.expr(x) for f, x in _FIELDS.items()})).alias("total_usage"), U.usage(input=F.col("event_id") % 5).alias("last_usage"))
 
@@ -27,14 +34,12 @@ def _win_01_sql() -> str:
 
 @query("str_05_usage_delta", _win_01_sql())
 def str_05(spark, sf):
-    return R.run_to_table(R.stream_usage_delta(usage_rows(R.as_stream(spark, f"{sf}/events.parquet")))).drop("key")
+    return R.run_to_table(R.stream_usage_delta(usage_rows(landed(table(spark, sf, "events"))))).drop("key")
 
 
 @query("str_06_reply_anchors", f"WITH {_LINKED} SELECT session_id, ordinal, in_reply_to FROM k")
 def str_06(spark, sf):
-    at = K.shared_folder(spark)
-    linked(spark, sf).select("session_id", "ordinal", "type", "role", "message_id", "turn_id").write.parquet(at)
-    return R.run_to_table(R.stream_links(R.as_stream(spark, at, 1000)))
+    return R.run_to_table(R.stream_links(landed(linked(spark, sf).select("session_id", "ordinal", "type", "role", "message_id", "turn_id"))))
 
 
 @query("str_02_coalesce_changes", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
@@ -46,20 +51,18 @@ def str_02(spark, sf):
 
 @query("str_03_stream_markers", "SELECT b.text AS marker, source AS path, doc_id AS line_no FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON contains(d.text, b.text)")
 def str_03(spark, sf):
-    lines = R.as_stream(spark, f"{sf}/documents.parquet").select(F.col("source").alias("path"), F.col("doc_id").alias("line_no"), F.col("text").alias("raw"))
+    lines = landed(table(spark, sf, "documents")).select(F.col("source").alias("path"), F.col("doc_id").alias("line_no"), F.col("text").alias("raw"))
     return R.run_to_table(R.stream_markers(lines, table(spark, sf, "benchmark").select(F.col("text").alias("marker")).distinct()))
 
 
 @query("str_04_await_markers", "SELECT event_type || (user_id % 50) AS marker, CASE WHEN count(DISTINCT user_id) = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM events GROUP BY 1")
 def str_04(spark, sf):
-    at = K.shared_folder(spark)
-    table(spark, sf, "events").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("marker"), F.concat(F.lit("/logs/"), "user_id").alias("path")).write.parquet(at)
-    return R.run_to_table(R.await_markers(R.as_stream(spark, at, 1000))).select("marker", "status")
+    return R.run_to_table(R.await_markers(landed(table(spark, sf, "events").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("marker"), F.concat(F.lit("/logs/"), "user_id").alias("path"))), None)).select("marker", "status")
 
 
 @query("str_07_stream_dedupe", "SELECT source, lang, sha256(text) AS text_hash FROM documents GROUP BY ALL")
 def str_07(spark, sf):
-    d = R.as_stream(spark, f"{sf}/documents.parquet").select(F.col("source").alias("session_id"), F.col("lang").alias("role"), "text", F.timestamp_seconds(F.lit(0)).alias("ts"))
+    d = landed(table(spark, sf, "documents")).select(F.col("source").alias("session_id"), F.col("lang").alias("role"), "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
     return R.run_to_table(R.stream_dedupe(d)).select(F.col("session_id").alias("source"), F.col("role").alias("lang"), F.sha2("text", 256).alias("text_hash"))
 
 
@@ -69,15 +72,13 @@ def str_07(spark, sf):
       FROM f JOIN c ON c.session_id = f.session_id AND c.ordinal = f.ordinal + 1), l AS (SELECT session_id, arg_max(slot, ordinal) AS last FROM f GROUP BY 1)
     SELECT session_id, slot, ordinal FROM f JOIN l USING (session_id) WHERE NOT boundary AND slot < last""")
 def str_08(spark, sf):
-    at = K.shared_folder(spark)
-    events(spark, sf).select("session_id", "ordinal", T.estimate_tokens(F.col("text")).alias("cost"), (F.col("line_no") % 3 == 2).alias("is_boundary")).write.parquet(at)
-    return R.run_to_table(R.stream_level_one(R.as_stream(spark, at, 1000), 80))
+    return R.run_to_table(R.stream_level_one(landed(events(spark, sf).select("session_id", "ordinal", T.estimate_tokens(F.col("text")).alias("cost"), (F.col("line_no") % 3 == 2).alias("is_boundary"))), 80))
 
 
 @query("str_01_stream_index", f"SELECT conv_id::VARCHAR AS session_id, turn::VARCHAR AS handle, {preview_sql('text', 60)} AS head FROM conversations")
 def str_01(spark, sf):
     root = K.shared_folder(spark)
-    lines = R.as_stream(spark, f"{sf}/conversations.parquet", 4).select(F.col("conv_id").cast("string").alias("session_id"), "turn", "text")
+    lines = landed(table(spark, sf, "conversations")).select(F.col("conv_id").cast("string").alias("session_id"), "turn", "text")
     R.stream_index(lines, root, lambda log: log.select("session_id", F.col("turn").cast("string").alias("handle"), T.preview(F.col("text"), 60).alias("head")))
     return R.latest_docs(spark, root).select("session_id", "handle", "head")
 

@@ -111,9 +111,10 @@ def stream_level_one(stream: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, slot long, ordinal long", "slot long, held array<long>, total long", "append", GroupStateTimeout.NoTimeout)
 
 
-def await_markers(hits: DataFrame, timeout_ms: int = 30 * 60 * 1000) -> DataFrame:
+def await_markers(hits: DataFrame, timeout_ms: int | None = 30 * 60 * 1000) -> DataFrame:
     """State changes of each marker from its hits (marker, path): found, or ambiguous once a second path has it; timeout if the
-    time passes after the first row without a path. A row without a path starts the wait."""
+    time passes after the first row without a path. A row without a path starts the wait. None waits without end, for streams that themselves
+    end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -125,11 +126,11 @@ def await_markers(hits: DataFrame, timeout_ms: int = 30 * 60 * 1000) -> DataFram
             status = "found" if path in ("", p) else "ambiguous"
             path = path or p
         state.update((path, status))
-        if status == "waiting":
+        if status == "waiting" and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"marker": [key[0]], "status": [status], "path": [path or None]})
 
-    return hits.groupBy("marker").applyInPandasWithState(step, "marker string, status string, path string", "path string, status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("marker").applyInPandasWithState(step, "marker string, status string, path string", "path string, status string", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def publish_batch(spark: SparkSession, root: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
