@@ -105,9 +105,10 @@ def merged_spans(diagonals: DataFrame, k: int = K, slack: int = SLACK, cover: fl
     whole = diagonals.where("exact and size(votes) = grams").select("doc_id", "text_key", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + (k - 1)).alias("end"), F.lit(1.0).alias("coverage"))
     near = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal").rangeBetween(-slack, slack)
     merged = diagonals.where("not exact and template >= 0").withColumn("coverage", F.size(F.array_distinct(F.flatten(F.collect_list("votes").over(near)))) / F.col("grams"))
+    merged = merged.withColumn("start", F.min(F.col("diagonal") + F.array_min("votes")).over(near)).withColumn("end", F.max(F.col("diagonal") + F.array_max("votes") + k).over(near))
     own = F.struct(F.size("votes").alias("n"), (-F.col("diagonal")).alias("d"))
     peaks = merged.withColumn("own", own).withColumn("best", F.max("own").over(near)).where((F.col("coverage") >= cover) & (F.col("own") == F.col("best")))
-    spans = peaks.select("doc_id", "text_key", "label", "exact", (F.col("diagonal") + F.array_min("votes")).alias("start"), (F.col("diagonal") + F.array_max("votes") + k).alias("end"), "coverage")
+    spans = peaks.select("doc_id", "text_key", "label", "exact", "start", "end", "coverage")
     return whole.unionByName(spans)
 
 

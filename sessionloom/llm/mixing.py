@@ -126,5 +126,7 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_docs: int = BLOCK
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float], block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """The documents in the order of the mix, so that a reader of the written files meets the sources in their weights."""
-    return mix(docs, weights, block_docs, period).orderBy("slot", "nth").select(*docs.columns)
+    """The documents in the order of the mix, so that a reader of the written files meets the sources in their weights.
+    All columns stay, whatever their names."""
+    whole = docs.select("doc_id", "source", F.struct("*").alias("whole_row"))
+    return mix(whole, weights, block_docs, period).orderBy("slot", "nth").select("whole_row.*")
