@@ -6,14 +6,19 @@ them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import usage as U
 
-SESSION = Window.partitionBy("session_id")
-IN_ORDER = SESSION.orderBy("ordinal")
+
+def by_session() -> WindowSpec:
+    return Window.partitionBy("session_id")
+
+
+def in_order() -> WindowSpec:
+    return by_session().orderBy("ordinal")
 
 
 def from_table(df: DataFrame, session: str, order: str, role: str, text: str) -> DataFrame:
@@ -80,11 +85,11 @@ def annotate_links(df: DataFrame) -> DataFrame:
     """
     context = (F.col("type") == "context") & F.col("turn_id").isNotNull() & (F.col("turn_id") != "")
     user = (F.col("type") == "message") & (F.col("role") == "user")
-    turn = F.sum(F.when(context, 1).otherwise(0)).over(IN_ORDER)
+    turn = F.sum(F.when(context, 1).otherwise(0)).over(in_order())
     nth = F.sum(F.when(user, 1).otherwise(0)).over(Window.partitionBy("session_id", "turn_no").orderBy("ordinal"))
     rows = df.withColumn("turn_no", turn).withColumn("user_no", nth)
     anchor = user & ((F.col("turn_no") == 0) | (F.col("user_no") == 1))
-    rows = rows.withColumn("is_anchor", anchor).withColumn("anchor", F.last(F.when(anchor, F.col("message_id")), ignorenulls=True).over(IN_ORDER))
+    rows = rows.withColumn("is_anchor", anchor).withColumn("anchor", F.last(F.when(anchor, F.col("message_id")), ignorenulls=True).over(in_order()))
     replies = F.col("type").isin("message", "reasoning", "tool_call", "tool_result", "usage", "agent_event") & (F.coalesce(F.col("role"), F.lit("")) != "user")
     given = F.col("in_reply_to") if "in_reply_to" in df.columns else F.lit(None).cast("string")
     return rows.withColumns({
@@ -119,9 +124,9 @@ def pair_adjacent(df: DataFrame, call: Column, result: Column) -> DataFrame:
     """
     kind = F.when(call, "call").when(result, "result")
     rows = df.withColumn("end_kind", kind)
-    previous = F.lag("end_kind").over(IN_ORDER)
+    previous = F.lag("end_kind").over(in_order())
     opens = F.col("end_kind").isNotNull() & (previous.isNull() | (previous == F.col("end_kind")))
-    rows = rows.withColumn("island", F.sum(F.when(opens | F.col("end_kind").isNull(), 1).otherwise(0)).over(IN_ORDER))
+    rows = rows.withColumn("island", F.sum(F.when(opens | F.col("end_kind").isNull(), 1).otherwise(0)).over(in_order()))
     inner = Window.partitionBy("session_id", "island").orderBy("ordinal")
     rows = rows.withColumn("place", F.row_number().over(inner)).withColumn("island_size", F.count("end_kind").over(Window.partitionBy("session_id", "island")))
     mate = F.when(F.col("place") % 2 == 1, F.lead("ordinal").over(inner)).otherwise(F.lag("ordinal").over(inner))

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-SESSION = Window.partitionBy("session_id")
-IN_ORDER = SESSION.orderBy("ordinal")
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
-FOLLOWING = IN_ORDER.rowsBetween(1, Window.unboundedFollowing)
+
+def by_session() -> WindowSpec:
+    return Window.partitionBy("session_id")
+
+
+def in_order() -> WindowSpec:
+    return by_session().orderBy("ordinal")
 
 
 def compaction_spans(df: DataFrame, boundary: Column, visible: Column | None = None) -> DataFrame:
     """The visible events that a later boundary closes, with span (from 0, dense over spans that have events). Boundaries
     themselves and events after the last one belong to none."""
     marked = df.withColumn("is_boundary", F.coalesce(boundary, F.lit(False)))
-    rows = marked.withColumn("closed", F.coalesce(F.sum(F.col("is_boundary").cast("int")).over(BEFORE), F.lit(0))).withColumn("open_until", F.max(F.col("is_boundary")).over(FOLLOWING))
+    rows = marked.withColumn("closed", F.coalesce(F.sum(F.col("is_boundary").cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("open_until", F.max(F.col("is_boundary")).over(in_order().rowsBetween(1, Window.unboundedFollowing)))
     kept = rows.where(F.col("open_until") & ~F.col("is_boundary") & (visible if visible is not None else F.lit(True)))
-    return kept.withColumn("span", F.dense_rank().over(SESSION.orderBy("closed")) - 1).drop("is_boundary", "closed", "open_until")
+    return kept.withColumn("span", F.dense_rank().over(by_session().orderBy("closed")) - 1).drop("is_boundary", "closed", "open_until")
 
 
 def live_tail(df: DataFrame, boundary: Column, source: Column) -> DataFrame:
     """The events fit for a summary after the last boundary of their session."""
-    last = F.max(F.when(boundary, F.col("ordinal"))).over(SESSION)
+    last = F.max(F.when(boundary, F.col("ordinal"))).over(by_session())
     return df.withColumn("last_boundary", F.coalesce(last, F.lit(-1))).where((F.col("ordinal") > F.col("last_boundary")) & source).drop("last_boundary")
 
 

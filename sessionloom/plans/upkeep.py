@@ -9,7 +9,7 @@ from ..operators import spans as P
 from ..operators import summaries as S
 from .catalog import query, table
 from .scalars import tokens_sql
-from .windows import _SPANS, BOUNDARY, EVENTS, events, spans
+from .windows import _SPANS, EVENTS, boundary, events, spans
 
 
 @query("prj_20_child_records", "SELECT conv_id, turn, text IS NOT NULL AS has_text, role FROM conversations")
@@ -25,7 +25,7 @@ def costs(df):
 
 def level_one(spark, sf, budget=60):
     closed = costs(spans(spark, sf))
-    tail = costs(P.live_tail(events(spark, sf), BOUNDARY, F.col("role").isin("user", "assistant")))
+    tail = costs(P.live_tail(events(spark, sf), boundary(), F.col("role").isin("user", "assistant")))
     return S.level_one_spans(events(spark, sf), closed, tail, budget)
 
 

@@ -15,7 +15,11 @@ from .scalars import compact_sql, tokens_sql
 EVENTS = """ev AS (SELECT *, 'msg_' || substr(sha256(event_id), 1, 20) AS message_id, (turn % 3 = 2) AS boundary FROM (
   SELECT conv_id::VARCHAR AS session_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS ordinal,
     role, text, 'table:' || conv_id || ':' || turn || ':message:' || role AS event_id FROM conversations))"""
-BOUNDARY = F.col("line_no") % 3 == 2
+
+
+def boundary():
+    return F.col("line_no") % 3 == 2
+
 
 
 def events(spark, sf):
@@ -70,7 +74,7 @@ _SPANS = f"""{EVENTS}, sp AS (SELECT *, coalesce(sum(boundary::INT) OVER (PARTIT
 
 
 def spans(spark, sf):
-    return S.compaction_spans(events(spark, sf), BOUNDARY, F.col("role") != "system")
+    return S.compaction_spans(events(spark, sf), boundary(), F.col("role") != "system")
 
 
 @query("win_02_compaction_spans", f"WITH {_SPANS} SELECT session_id, ordinal, span FROM spans")
@@ -80,7 +84,7 @@ def win_02(spark, sf):
 
 @query("win_03_live_tail", f"WITH {EVENTS}, b AS (SELECT *, coalesce(max(CASE WHEN boundary THEN ordinal END) OVER (PARTITION BY session_id), -1) AS last FROM ev) SELECT session_id, ordinal, text FROM b WHERE ordinal > last AND role IN ('user', 'assistant')")
 def win_03(spark, sf):
-    return S.live_tail(events(spark, sf), BOUNDARY, F.col("role").isin("user", "assistant")).select("session_id", "ordinal", "text")
+    return S.live_tail(events(spark, sf), boundary(), F.col("role").isin("user", "assistant")).select("session_id", "ordinal", "text")
 
 
 @query(
