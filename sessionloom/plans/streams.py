@@ -132,3 +132,33 @@ def snk_07(spark, sf):
     bumped = rows.where("cast(session_id as long) % 4 = 1").select("session_id")
     generations = K.bump_generations(rows.select("session_id").distinct().withColumn("generation", F.lit(0).cast("long")), bumped)
     return K.reset_sessions(rows, gone).groupBy("session_id").agg(F.count("*").alias("left_rows")).join(generations, "session_id")
+
+
+@query("src_02_session_files", "SELECT count(DISTINCT conv_id % 5) AS folders, sum(strlen(text) + 1)::BIGINT AS bytes FROM (SELECT conv_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM conversations)")
+def src_02(spark, sf):
+    from ..sources import logs as L
+
+    at = K.shared_folder(spark)
+    lines = table(spark, sf, "conversations").select((F.col("conv_id") % 5).alias("folder"), F.translate("text", "\n\r", "  ").alias("value"))
+    lines.write.partitionBy("folder").text(at)
+    files = L.list_session_files(spark, at, pattern="*.txt")
+    return files.agg(F.count_distinct(F.regexp_extract("path", "folder=([0-9]+)", 1)).alias("folders"), F.sum("size").alias("bytes"))
+
+
+@query("src_09_read_docs", f"WITH {DOCS} SELECT session_id, count(*) AS docs, sum(full_tokens)::BIGINT AS tokens FROM dc WHERE session_id::INT % 2 = 0 GROUP BY 1")
+def src_09(spark, sf):
+    at = K.shared_folder(spark)
+    d = docs(spark, sf)
+    K.write_docs(d, at)
+    even = d.where("cast(session_id as int) % 2 = 0").groupBy("session_id").agg(F.count("*").alias("docs"))
+    return K.read_docs(spark, at, even).groupBy("session_id").agg(F.count("*").alias("docs"), F.sum("full_tokens").alias("tokens"))
+
+
+@query("str_10_publish_batches", f"SELECT conv_id::VARCHAR AS session_id, turn::VARCHAR AS handle, {preview_sql('text', 60)} AS head FROM conversations")
+def str_10(spark, sf):
+    root = K.shared_folder(spark)
+    publish = R.publish_batch(spark, root, lambda log: log.select("session_id", F.col("turn").cast("string").alias("handle"), T.preview(F.col("text"), 60).alias("head")))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "text")
+    for batch, part in enumerate(("turn < 2", "turn >= 2", "turn >= 2")):  # the last one again, under the same id
+        publish(rows.where(part), min(batch, 1))
+    return R.latest_docs(spark, root).select("session_id", "handle", "head")

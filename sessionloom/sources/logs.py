@@ -46,9 +46,9 @@ def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
     return parsed(met.where(F.trim("raw") != ""))
 
 
-def list_session_files(spark: SparkSession, path: str, latest: int | None = None) -> DataFrame:
+def list_session_files(spark: SparkSession, path: str, latest: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """(path, mtime, size), newest first, then largest, then by path; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     ordered = files.orderBy(F.col("mtime").desc(), F.col("size").desc(), "path")
     return ordered if latest is None else ordered.limit(latest)
 
