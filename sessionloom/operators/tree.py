@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import usage as U
+from ..sources.sinks import written
 
 #: Characters of a chunk of raw text, of the search text of a message, of an excerpt; topics of a node.
 CHUNK, SEARCH_TEXT, EXCERPT, TOPICS = 6000, 4000, 700, 8
@@ -98,19 +99,20 @@ def visible(nodes: DataFrame) -> DataFrame:
 
 def rollup_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
     """Adds to each node, bottom up over visible children: full_tokens, next_tokens (what the children's heads take), rendered_tokens, usage,
-    start_at, end_at, all_links. The session's own usage stands for its children's. One join per level."""
+    start_at, end_at, all_links. The session's own usage stands for its children's. One join per level; each level is written,
+    as the next one and the result both read it."""
     rendered = T.estimate_tokens(F.coalesce(F.nullif("head", F.lit("")), F.nullif("raw", F.lit("")), F.col("title")))
     done = None
-    base = nodes.withColumn("rendered_tokens", rendered)
+    base = written(nodes.withColumn("rendered_tokens", rendered))
     for level in range(depth, -1, -1):
         own = base.where(F.col("depth") == level)
         no = F.lit(0).cast("long")
         leaf = {"n_children": no, "full_tokens": T.estimate_tokens(F.col("raw")), "next_tokens": T.estimate_tokens(F.col("raw")), "start_at": F.col("at"), "end_at": F.col("at"), "all_links": F.col("links")}
         own_usage = F.coalesce("own_usage", U.usage())
         if done is None:
-            done = own.withColumns(leaf | {"usage": own_usage})
+            done = below = written(own.withColumns(leaf | {"usage": own_usage}))
             continue
-        sums = done.where((F.col("depth") == level + 1) & ~hidden()).groupBy(F.col("session_id").alias("of_session"), F.col("parent_handle").alias("of_parent")).agg(
+        sums = below.where(~hidden()).groupBy(F.col("session_id").alias("of_session"), F.col("parent_handle").alias("of_parent")).agg(
             F.count("*").alias("c_n"), F.sum("full_tokens").alias("c_full"), F.sum("rendered_tokens").alias("c_next"), F.min_by("start_at", F.when(F.col("start_at").isNotNull(), F.col("pos"))).alias("c_start"), F.max_by("end_at", F.when(F.col("end_at").isNotNull(), F.col("pos"))).alias("c_end"),
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "all_links"))), lambda x: x.all_links)).alias("c_links"), F.struct(*[F.sum(f"usage.{f}").alias(f) for f in U.FIELDS]).alias("c_usage"),
         )
@@ -127,7 +129,8 @@ def rollup_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
             "all_links": F.array_distinct(F.concat("links", F.coalesce("c_links", F.array().cast("array<string>")))),
             "usage": F.when(kept_own, own_usage).otherwise(total),
         })
-        done = rows.select(*done.columns).unionByName(done)
+        below = written(rows.select(*done.columns))
+        done = below.unionByName(done)
     return done
 
 
