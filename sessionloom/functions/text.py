@@ -157,12 +157,12 @@ def session_link(handle_: Column, index_id: Column | None = None, session_id: Co
         named = F.when(text_of(session_id) != "", F.concat(F.lit("sessionId="), form(session_id), F.lit("&"))).otherwise(named)
     if index_id is not None:
         named = F.when(text_of(index_id) != "", F.concat(F.lit("indexId="), form(index_id), F.lit("&"))).otherwise(named)
-    return F.concat(F.lit("tool:conversation_history://open?"), named, F.lit("handle="), form(handle_))
+    return F.concat(F.lit("tool:sessions://open?"), named, F.lit("handle="), form(handle_))
 
 
 def parse_link(c: Column) -> Column:
     """struct(index_id, session_id, handle) of a link or a bare handle; null for anything else."""
-    query = F.regexp_extract(c, r"^tool:(?:conversation_history|ConversationHistory)://open\?(.+)$", 1)
+    query = F.regexp_extract(c, r"^tool:[A-Za-z_]+://open\?(.+)$", 1)
     value = lambda *names: F.coalesce(*[F.try_url_decode(F.nullif(F.regexp_extract(query, rf"(?:^|&){n}=([^&]*)", 1), F.lit(""))) for n in names])
     none = F.lit(None).cast("string")
     pick = lambda index, session, h: F.struct(index.alias("index_id"), session.alias("session_id"), h.alias("handle"))

@@ -204,7 +204,7 @@ def prj_15(spark, sf):
 
 @query(
     "prj_16_links",
-    """SELECT page_id, 'tool:conversation_history://open?sessionId=s%2F' || page_id || '&handle=session%2Fs%2F' || page_id AS link, 's/' || page_id AS session_id, 'session/s/' || page_id AS handle, 'session/' || page_id AS bare FROM pages""",
+    """SELECT page_id, 'tool:sessions://open?sessionId=s%2F' || page_id || '&handle=session%2Fs%2F' || page_id AS link, 's/' || page_id AS session_id, 'session/s/' || page_id AS handle, 'session/' || page_id AS bare FROM pages""",
 )
 def prj_16(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("s/"), "page_id").alias("s"))
