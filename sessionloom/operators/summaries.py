@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.sinks import written
 
 # Fixed value: tags that mark a message as put there by a harness.
 INJECTED = r"^\s*<(environment_context|user_instructions|system-reminder|turn_aborted|permissions|collaboration_mode)"
@@ -54,7 +55,7 @@ def rollup_levels(spans: DataFrame, budget: int, most: int = 32) -> DataFrame:
         counted = packed.withColumn("n", F.count("*").over(by)).withColumn("groups", F.max("group").over(by) + 1)
         grows = (F.col("n") > 1) & (F.col("groups") < F.col("n"))
         parent = F.when(grows, F.concat(F.lit(f"summary/level-{level + 1}/span-"), F.lpad(F.col("group").cast("string"), 4, "0")))
-        rows = counted.select("session_id", "level", "handle", "seq", "tokens", parent.alias("parent_handle"))
+        rows = written(counted.select("session_id", "level", "handle", "seq", "tokens", parent.alias("parent_handle")))
         done = rows if done is None else done.unionByName(rows)
         above = rows.where("parent_handle is not null").groupBy("session_id", F.col("parent_handle").alias("handle")).agg(F.min("seq").alias("seq"), F.ceil(F.sum("tokens") / 4).cast("long").alias("tokens"))
         current = above.select("session_id", F.lit(level + 1).alias("level"), "handle", "seq", "tokens")

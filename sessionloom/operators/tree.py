@@ -151,7 +151,7 @@ def with_depth(edges: DataFrame, node: str, parent: str, most: int = 64) -> Data
     levels, current = roots, roots
     for depth in range(1, most):
         above = current.select(F.col(node).alias("above"))
-        current = edges.join(above, F.col(parent) == F.col("above")).drop("above").withColumn("depth", F.lit(depth))
+        current = written(edges.join(above, F.col(parent) == F.col("above")).drop("above").withColumn("depth", F.lit(depth)))
         if current.isEmpty():
             break
         levels = levels.unionByName(current)
