@@ -244,28 +244,122 @@ def similarity(a: bytes | None, b: bytes | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int = 3, max_bits: int = 8, alike: float = 0.7) -> DataFrame:
-    """The documents less all but one of each group of near duplicates: the smallest id stays. Columns are kept.
-
-    Two copies of one text at a similarity of 0.8 each may be 0.6 to each other, so groups are formed over wider links
-    than the operator's own, and a document goes only if its five-word shingles are also `alike` to those of the one that
-    stays for it: a chance meeting of fingerprints drops nothing. Documents with the fingerprint of the one that stays
-    go without that comparison. Rows that repeat an id go but for one; rows with a null id all stay.
-    """
-    found = near_duplicates(docs.where("doc_id is not null"), shingle_words, max_bits)
-    stays = found.select(F.col("doc_id").alias("stays"), F.col("fingerprint").alias("stays_fingerprint")).distinct()
-    members = written(found.where("doc_id <> component_id").distinct().join(stays, F.col("component_id") == F.col("stays")).select("doc_id", "stays", (F.col("fingerprint") == F.col("stays_fingerprint")).alias("same")))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    unlike = members.where("not same").select("doc_id", "stays")
-    kept_texts = texts.join(unlike.select("stays").distinct(), F.col("doc_id") == F.col("stays"), "left_semi").select(F.col("doc_id").alias("stays"), F.col("text").alias("stays_text"))
-    pairs = texts.join(unlike, "doc_id").join(kept_texts, "stays").select("doc_id", "text", "stays_text")
+def sketches(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataFrame:
+    """Per document: id, whole (a 128-bit hash of its words), bands (a long for each band of minima over its shingles'
+    hashes; none for a wordless text)."""
+    text_batches(docs.sparkSession)
+    rng = np.random.default_rng(SEED)
+    turn, factor = (rng.integers(0, 1 << 63, bands * band_rows, dtype=np.uint64) for _ in range(2))
+    factor = factor * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similarity(a, b) >= alike for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], names=["gone"])
+            texts = batch.column(1).to_pylist()
+            whole = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            hashes = [shingle_hashes(t, words) for t in texts]
+            sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+            flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
+            full = sizes > 0
+            first = (np.cumsum(sizes) - sizes)[full]
+            keys = np.empty((len(first), bands), np.uint64)
+            for b in range(bands if len(first) else 0):
+                key = np.full(len(first), b, np.uint64)
+                for k in range(b * band_rows, (b + 1) * band_rows):
+                    least = np.minimum.reduceat((flat ^ turn[k]) * factor[k], first)
+                    key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                keys[:, b] = key
+            ends = np.append(0, np.cumsum(full * bands)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))], names=["id", "whole", "bands"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, whole binary, bands array<long>")
+
+
+def bucket_forest(sets: list[np.ndarray], labels: np.ndarray, alike: float) -> list[tuple[int, int]]:
+    """Verified links that, with the labels' components, span all links among the sets of a bucket. Pairs of one component
+    need no comparison, so each set outside the largest component is held against the sets of other components."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    shingles, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    _, label, many = np.unique(labels, return_inverse=True, return_counts=True)
+    out = []
+    for q in np.flatnonzero(label != np.argmax(many)):
+        own = np.zeros(len(shingles), np.int64)
+        own[flat[first[q] : first[q] + sizes[q]]] = 1
+        both = np.add.reduceat(own[flat], first)
+        near = both >= alike * (sizes + sizes[q] - both)
+        for x in np.flatnonzero(near):
+            if label[x] != label[q]:
+                out.append((int(q), int(x)))
+                label[label == label[x]] = label[q]
+    return out
+
+
+def copy_links(docs: DataFrame, rows: DataFrame, words: int, alike: float) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs of documents that share a bucket (rows key, id) and have
+    shingles at least `alike`; every link is verified on the texts.
 
+    Each bucket first takes the document that meets the most others as its centre, and all are held against it. Only buckets
+    that these links leave in several components go on, with their documents' shingles, and are searched whole.
+    """
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(rows.join(shared, "key"))
+    met = held.groupBy("id").agg(F.sum("n").alias("met"))
+    centres = held.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"), "id")).alias("centre"))
+    pairs = held.join(centres, "key").where("id <> centre").select("id", "centre").distinct()
     kind = dict(docs.dtypes)["doc_id"]
-    gone = members.where("same").select(F.col("doc_id").alias("gone")).unionByName(pairs.mapInArrow(run, f"gone {kind}"))
-    rest = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    centre_texts = texts.join(pairs.select(F.col("centre").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("centre"), F.col("text").alias("centre_text"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = pa.array([similarity(a, b, words) >= alike for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["u", "v"])
+
+    stars = written(texts.join(pairs, "id").join(centre_texts, "centre").select("id", "centre", "text", "centre_text").mapInArrow(verify, f"u {kind}, v {kind}"))
+    reached = components(stars).withColumnsRenamed({"node": "of", "root": "label"})
+    labelled = held.join(reached, F.col("id") == F.col("of"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    left = written(labelled.join(mixed, "key", "left_semi"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(group: list[tuple]) -> pa.RecordBatch:
+            ids = [g[1] for g in group]
+            labels = np.unique(np.array([str(g[2]) for g in group]), return_inverse=True)[1]
+            sets = [np.unique(np.array(shingle_hashes(g[3], words), np.uint64)) for g in group]
+            links = bucket_forest(sets, labels, alike)
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], id_type), pa.array([ids[b] for _, b in links], id_type)], names=["u", "v"])
+
+        group: list[tuple] = []
+        for batch in batches:
+            id_type = batch.schema.field(1).type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][0] != row[0]:
+                    yield found(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield found(group)
+
+    whole = left.join(texts.join(left.select("id").distinct(), "id", "left_semi"), "id").select("key", "id", "label", "text")
+    return stars.unionByName(whole.repartition("key").sortWithinPartitions("key").mapInArrow(search, f"u {kind}, v {kind}"))
+
+
+def keep_representatives(docs: DataFrame, shingle_words: int = 5, alike: float = 0.8, bands: int = 32, band_rows: int = 6) -> DataFrame:
+    """The documents less all but one of each group of near duplicates: the smallest id stays. Columns are kept.
+
+    Two documents are copies if their texts have the same words or their shingles' Jaccard similarity is at least
+    `alike`; groups are the components of these links, so two copies of one text go together though they may be less
+    alike to each other. Candidates share a band of `band_rows` minima over the shingles' hashes: a pair at similarity s is
+    missed with a chance of (1 - s ** band_rows) ** bands, 0.00006 at 0.8; every link but that of equal words is verified
+    on the texts. Rows that repeat an id go but for one; rows with a null id all stay.
+    """
+    named = docs.where("doc_id is not null")
+    prints = written(sketches(named, shingle_words, bands, band_rows))
+    firsts = written(prints.groupBy("whole").agg(F.min_by(F.struct("id", "bands"), "id").alias("first")).select("whole", "first.*"))
+    same = prints.select("id", "whole").join(firsts.select("whole", F.col("id").alias("least")), "whole").where("id <> least").select("id")
+    rows = firsts.select("id", F.explode("bands").alias("key")).distinct()
+    copies = components(copy_links(named, rows, shingle_words, alike)).where("node <> root").select(F.col("node").alias("id"))
+    gone = same.unionByName(copies).withColumnRenamed("id", "gone")
+    rest = named.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     return rest.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

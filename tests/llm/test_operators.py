@@ -260,6 +260,42 @@ def test_keep_representatives(spark, docs, none):
     assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 6, 7, 8, 11, 12, 13, 14, 15, 16] and ids.count(None) == 1
 
 
+def spliced(text, start, width, tag):
+    """The words with a stretch of others in their place."""
+    return [*text[:start], *(f"{tag}{i}" for i in range(width)), *text[start + width :]]
+
+
+def test_copies_at_the_contract_are_found(spark):
+    rows = []
+    for k in range(60):  # 296 shingles each, 32 of them changed: 264 / 328 = 0.805
+        first = [f"w{k}x{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(spliced(first, 100, 28, f"n{k}x")))]
+    chain = [f"c{i}" for i in range(300)]  # 1001 is a copy of 1000 and of 1002, which are not copies of each other
+    rows += [(1000, " ".join(spliced(chain, 50, 20, "p"))), (1001, " ".join(chain)), (1002, " ".join(spliced(chain, 200, 20, "q")))]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 120, 2), 1000]
+
+
+def test_bucket_forest_is_exact():
+    rng = np.random.default_rng(5)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(100) < 0.12, rng.integers(1000, 9999, 100).astype(np.uint64), base)) for _ in range(60)]
+    links = [(a, b) for a in range(60) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+
+    def joined(pairs, label):
+        label = list(label)
+        for a, b in pairs:
+            label = [label[b] if x == label[a] else x for x in label]
+        return [[x == y for y in label] for x in label]
+
+    known = list(range(60))
+    for a, b in links[::7]:
+        known = [known[b] if x == known[a] else x for x in known]
+    found = simhash.bucket_forest(sets, np.array(known), 0.8)
+    assert {tuple(sorted(x, reverse=True)) for x in found} <= set(links)
+    assert joined(found, known) == joined(links, range(60))
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
