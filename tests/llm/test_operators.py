@@ -276,6 +276,18 @@ def test_copies_at_the_contract_are_found(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 120, 2), 1000]
 
 
+def test_distinct_texts_with_equal_fingerprints_stay(spark):
+    line = " ".join(f"l{i}" for i in range(7))
+    repeated = [" ".join([line] * 200 + [f"{tag}{i}" for i in range(100)]) for tag in "ab"]
+    first = [f"w{i}" for i in range(300)]
+    rows = [(0, repeated[0]), (1, repeated[1]), (2, " ".join(first)), (3, " ".join(spliced(first, 100, 44, "n"))), (4, repeated[1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = by_id(simhash.fingerprints(docs))
+    assert prints[0].fingerprint == prints[1].fingerprint
+    assert simhash.similarity(*(rows[k][1].encode() for k in (0, 1))) < 0.1 and 0.7 < simhash.similarity(*(rows[k][1].encode() for k in (2, 3))) < 0.8
+    assert sorted(r.doc_id for r in simhash.keep_representatives(docs).collect()) == [0, 1, 2, 3]
+
+
 def test_bucket_forest_is_exact():
     rng = np.random.default_rng(5)
     base = np.arange(100, dtype=np.uint64)
