@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scale import number_within, text_batches, written
 
 #: Tokens of a sequence, and the token that ends a document.
 CAPACITY, END = 1024, 2
+#: Documents in order are numbered in stretches of 2 ** STRETCH_BITS places.
+STRETCH_BITS = 12
 
 
 class Rooms:
@@ -114,8 +116,8 @@ def encoder(tokenizer: str):
     return lambda text: own(text) if any(s in text for s in special) else np.asarray(fast.encode_ordinary(text), "<u4")
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32. A document's ids end with `end`; longer ones than the capacity
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, order: Column | None = None) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, and turn, the document's value of `order`, if there is one. A document's ids end with `end`; longer ones than the capacity
     are cut into pieces of it, of which the first may be shorter. A null text is empty: its ids are `end` alone."""
     text_batches(docs.sparkSession)
 
@@ -131,26 +133,33 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     b = len(ids) - (n - 1 - i) * capacity
                     row.append(k), piece.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b].tobytes()))
                     a = b
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            at = pa.array(row, pa.int32())
+            turn = [c.take(at) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *turn], names=["doc_id", "piece", "start", "length", "ids_crc32", "turn"][: 5 + len(turn)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    turn = [] if order is None else [order.cast("long").alias("turn")]
+    return docs.select("doc_id", "text", *turn).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", turn long" * len(turn))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, order: Column | None = None) -> DataFrame:
     """Per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Offsets fill each sequence from 0 without gaps. Null and empty texts are pieces of one token; repeated rows are
     packed each; a null doc_id is kept; other columns are ignored. An empty table gives an empty result.
+
+    With an `order` (a long of each document), pieces of one length take their places in that order, and sequences are numbered
+    by the earliest document in them.
     """
-    rows = written(pieces(docs, tokenizer, capacity, end))
+    rows = written(pieces(docs, tokenizer, capacity, end, order))
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length up to the capacity
     steps = plan(counts, capacity)
     lengths = np.array([s[0] for s in steps], np.int64)
     firsts = np.array([s[1] for s in steps], np.int64)
-    order = np.lexsort((firsts, lengths))
-    key = (lengths[order] << 44) | firsts[order]
-    held = docs.sparkSession.sparkContext.broadcast((key, *(np.array([s[k] for s in steps], np.int64)[order] for k in (2, 3, 4))))
-    ranked = number_within(rows, ["length"], ["doc_id", "piece", "start"], "nth")
+    sorted_ = np.lexsort((firsts, lengths))
+    key = (lengths[sorted_] << 44) | firsts[sorted_]
+    held = docs.sparkSession.sparkContext.broadcast((key, *(np.array([s[k] for s in steps], np.int64)[sorted_] for k in (2, 3, 4))))
+    stretch = None if order is None else F.shiftright("turn", STRETCH_BITS)
+    ranked = number_within(rows, ["length"], [*rows.columns[5:], "doc_id", "piece", "start"], "nth", bucket=stretch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, per, sequence, offset = held.value
@@ -158,6 +167,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
             length, nth = np.asarray(batch.column("length")), np.asarray(batch.column("nth"))
             at = np.searchsorted(key, (length << 44) | nth, "right") - 1
             k = nth - (key[at] & ((1 << 44) - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[at] + k // per[at]), pa.array(offset[at] + k % per[at] * length)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(run, rows.schema.add("sequence_id", "long").add("offset", "long"))
+            kept = batch.drop_columns("nth")
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence[at] + k // per[at]), pa.array(offset[at] + k % per[at] * length)], names=[*kept.schema.names, "sequence_id", "offset"])
+
+    placed = ranked.mapInArrow(run, rows.schema.add("sequence_id", "long").add("offset", "long"))
+    if order is None:
+        return placed
+    placed = written(placed)
+    earliest = placed.groupBy("sequence_id").agg(F.min("turn").alias("turn")).withColumn("all", F.lit(0))
+    numbers = number_within(earliest, ["all"], ["turn", "sequence_id"], "number", bucket=F.shiftright("turn", STRETCH_BITS)).select(F.col("sequence_id").alias("of"), "number")
+    return placed.join(numbers, F.col("sequence_id") == F.col("of")).select(*rows.columns[:5], F.col("number").alias("sequence_id"), "offset")

@@ -34,20 +34,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_order(df: DataFrame) -> Column:
+    """A long that rises with the rows' order: of a table read from files, by the number of the part file and the row's place
+    in it (files are read in any order), otherwise by partition."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return F.monotonically_increasing_id()
+    part = F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) as long)")
+    return F.shiftleft(F.coalesce(part, F.lit(0)).cast("long"), 40).bitwiseOR(F.col("_metadata.row_index"))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def number_within(df: DataFrame, key: list[str], order: list[str], name: str, buckets: int = 1024) -> DataFrame:
+def number_within(df: DataFrame, key: list[str], order: list[str], name: str, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
     """Adds the 0-based place of each row among the rows of its key.
 
-    The order is by bucket (a hash of the order columns), then by those columns. Rows of a key are numbered bucket by
+    The order is by bucket (a hash of the order columns, or a given one that rises with them), then by those columns. Rows of a key are numbered bucket by
     bucket and shifted by the sizes of the buckets before, so no task ever holds the rows of a large key.
     Nulls are a key of their own; rows equal in all order columns take any order among themselves.
     """
     at = f"{name}_bucket"
-    rows = df.withColumn(at, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    rows = df.withColumn(at, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     sizes = rows.groupBy(*key, at).agg(F.count("*").alias(f"{name}_size"))
     before = Window.partitionBy(*key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(*[F.col(k).alias(f"{name}_{k}") for k in key], F.col(at).alias(f"{at}_of"), F.coalesce(F.sum(f"{name}_size").over(before), F.lit(0)).alias(f"{name}_shift"))

@@ -29,6 +29,22 @@ def test_stages(spark):
     assert set(packed.doc_id) == set(kept["mixing"]) and packed.groupby("sequence_id").length.sum().max() <= 1024
 
 
+def test_the_mix_decides_the_sequences(spark, monkeypatch):
+    docs = scale.table(spark, SF, "documents")
+    found = {}
+    for heavy in ("src0", "src1"):
+        monkeypatch.setattr(corpus_pipeline.mixing, "tempered_weights", lambda _, heavy=heavy: {heavy: 0.99, "*": 0.01})
+        mixed = scale.written(corpus_pipeline.mix_sources(spark, docs, SF))
+        order = [r.doc_id for r in mixed.select("doc_id", scale.row_order(mixed).alias("at")).orderBy("at").collect()]
+        assert order == [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+        packed = corpus_pipeline.pack_sequences(spark, mixed, SF).toPandas()
+        place = {d: k for k, d in enumerate(order)}
+        earliest = packed.assign(at=packed.doc_id.map(place)).groupby("sequence_id")["at"].min()
+        assert list(earliest.index) == list(range(len(earliest))) and earliest.is_monotonic_increasing
+        found[heavy] = sorted(map(tuple, packed.to_numpy().tolist()))
+    assert found["src0"] != found["src1"] and [x[:5] for x in found["src0"]] == [x[:5] for x in found["src1"]]
+
+
 def test_empty_input(spark):
     docs = scale.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
