@@ -6,11 +6,16 @@ earlier start, then handle. All query tokens are optional; no stemming, no typo
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Parts that the rows of a request are ranked in before its page is taken from their first rows.
+SALTS = 64
 #: Fields that a filter may name.
 FILTER_FIELDS = ("index_id", "session_id", "agent", "parent_handle", "message_id", "in_reply_to", "tool_call_id", "role")
 
@@ -50,9 +55,13 @@ def page(ranked: DataFrame, by: list[Column], start: int, limit: int, within: li
         rows = ranked.orderBy(*by).offset(start).limit(limit)
         numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(*by)) - 1 + start)  # a page's rows only
         return numbered.withColumn("total", F.lit(total).cast("long")).withColumn("next_start", F.lit(start + limit if start + limit < total else None).cast("long"))
-    w = Window.partitionBy(*within)
-    rows = ranked.withColumn("place", F.row_number().over(w.orderBy(*by)) - 1).withColumn("total", F.count("*").over(w))
-    kept = rows.where(F.col("place").between(start, start + limit - 1))
+    salt = F.pmod(F.xxhash64(*[c for c, kind in ranked.dtypes if kind in ("string", "bigint", "int")]), F.lit(SALTS))
+    first = Window.partitionBy(*within, "salt").orderBy(*by)  # no task ranks all rows of a large key
+    few = ranked.withColumn("salt", salt).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= start + limit).drop("nth", "salt")
+    rows = few.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*by)) - 1).where(F.col("place").between(start, start + limit - 1))
+    totals = ranked.groupBy(*[F.col(k).alias(f"of_{k}") for k in within]).agg(F.count("*").alias("total"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in within])
+    kept = rows.join(totals, same).drop(*[f"of_{k}" for k in within])
     return kept.withColumn("next_start", F.when(F.col("total") > start + limit, F.lit(start + limit).cast("long")))
 
 
@@ -65,9 +74,14 @@ def search(docs: DataFrame, requests: DataFrame, start: int = 0, limit: int = 10
     hits = index.join(words, "token").groupBy("request_id", "session_id", "handle").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
     shown = docs.where(F.col("retrieval_visible") & (F.col("search_text") != ""))
     found = shown.join(hits, ["session_id", "handle"])
+    by = [F.col("matched").desc(), F.col("tf").desc(), F.col("start_at"), F.col("session_id"), F.col("handle")]
+    pages = page(found, by, start, limit, ["request_id"])
     everything = asked.where(F.size("words") == 0).select("request_id")
-    all_ = shown.join(F.broadcast(everything.limit(1000)), F.lit(True)).withColumn("matched", F.lit(1).cast("long")).withColumn("tf", F.lit(1).cast("long")).select(*found.columns) if not everything.isEmpty() else None
-    return page(found if all_ is None else found.unionByName(all_), [F.col("matched").desc(), F.col("tf").desc(), F.col("start_at"), F.col("session_id"), F.col("handle")], start, limit, ["request_id"])
+    if everything.isEmpty():
+        return pages
+    one = F.lit(1).cast("long")
+    shared = page(shown.withColumns({"matched": one, "tf": one}), by, start, limit)  # the same for all these requests
+    return pages.unionByName(everything.crossJoin(F.broadcast(shared)).select(*pages.columns))
 
 
 def canonical_refs(hits: DataFrame, keys: list[str]) -> DataFrame:

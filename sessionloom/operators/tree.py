@@ -5,6 +5,8 @@ nodes(session_id, handle, parent_handle, depth, pos, kind, role, type, title, he
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,12 +146,14 @@ def rollup_topics(nodes: DataFrame) -> DataFrame:
     return ranked.groupBy("session_id", "parent_handle").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "topic"))), lambda x: x.topic).alias("topics"))
 
 
-def with_depth(edges: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
+def with_depth(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """Adds depth (0 at nodes without a parent) and max_depth of the whole forest to any adjacency list; one join per level.
-    Nodes in a cycle or without a path from a root are left out."""
+    Nodes without a path from a root are left out, those of a cycle among them; a cycle below a root is an error."""
     roots = edges.where(F.col(parent).isNull()).withColumn("depth", F.lit(0))
-    levels, current = roots, roots
-    for depth in range(1, most):
+    levels, current, rows = roots, roots, edges.count()
+    for depth in count(1):
+        if depth > rows:
+            raise ValueError("nodes below a root form a cycle")
         above = current.select(F.col(node).alias("above"))
         current = written(edges.join(above, F.col(parent) == F.col("above")).drop("above").withColumn("depth", F.lit(depth)))
         if current.isEmpty():
