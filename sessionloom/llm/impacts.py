@@ -2,9 +2,13 @@
 
 Vectors of integers are documents, their components terms. For each component and sign of a query's weight a vector has
 an impact: how far its component lies above the block's least, or below its greatest. Impacts are quantised to a few
-levels, and a segment holds a level's postings of all terms. A block of queries takes the segments in descending level and adds up
+levels, and a segment holds a level's postings of all terms. Every vector has a posting for every term, so a segment is
+kept as a matrix that is zero outside its level. A block of queries takes the segments in descending level and adds up
 weight times impact. A query stops only on proof: once all but a few vectors, each with the most that its postings in
-the segments left can still add, stay under the k-th best sum so far. Those few are scored anew, exactly.
+the segments left can still add, stay under the k-th best score known so far. Those few are scored anew, exactly.
+
+Each query first meets one block of candidates; with the k-th best score of that block it goes to the others, so there
+most queries stop before the last segments, or at once where a block's greatest impacts can't reach the bound.
 """
 
 from __future__ import annotations
@@ -15,98 +19,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scale import written
-from .vectors import dealt, matrix, ranked, valid, width
+from .vectors import block, copies, kth_scores, matrix, ranked, valid, width
 
 #: Levels of quantised impact; rows of a block of candidates or queries; queries that share a pass.
 LEVELS, BLOCK, TOGETHER = 4, 8_192, 256
-#: Integers are held within this: the products of two stay exact.
-LARGEST = 1 << 24
+#: Doubles hold integers up to this exactly, longs up to the other.
+EXACT, LONG = 2.0**53, 2.0**63
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of x with q, whole numbers held as doubles; an OverflowError beyond a long."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    bound = float((np.abs(x) @ np.abs(q)).max())
+    if bound < EXACT:
+        return (x @ q).astype(np.int64)
+    if max(np.abs(x).max(), np.abs(q).max()) < LONG and 2 * bound < LONG:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    weights = [int(w) for w in q]
+    out = [sum(int(v) * w for v, w in zip(row, weights, strict=True)) for row in x.tolist()]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in out):
+        raise OverflowError("an inner product exceeds a long")
+    return np.array(out, np.int64)
 
 
 class Block:
-    """The impact-ordered index of a block of integer vectors (rows)."""
+    """The impact-ordered index of a block of vectors (rows) of whole numbers, held as doubles."""
 
     def __init__(self, x: np.ndarray):
         self.x, self.n = x, len(x)
         self.least, self.most = x.min(0), x.max(0)
-        self.impact = np.concatenate([x - self.least, self.most - x], 1).astype(np.float64)  # for weights above and below zero
-        step = np.tile((self.most - self.least) // LEVELS + 1, 2)
-        self.level = (self.impact // step).astype(np.int8)
+        self.impact = np.concatenate([x - self.least, self.most - x], 1)  # for weights above and below zero
+        step = np.tile(np.floor((self.most - self.least) / LEVELS) + 1, 2)
+        self.level = np.minimum(self.impact // step, LEVELS - 1).astype(np.int8)
         self.above = np.arange(LEVELS)[:, None] * step[None]  # impacts below a level are under its first
+        self.finished = np.zeros(LEVELS + 1, np.int64)  # queries that stopped after so many segments
 
     def segment(self, level: int) -> np.ndarray:
         return np.where(self.level == level, self.impact, 0.0)
 
-    def search(self, q: np.ndarray, own: list[np.ndarray], k: int) -> list[np.ndarray]:
-        """For each query the rows that may be among its k best, its own left out: all that aren't proven worse."""
-        weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], 1).astype(np.float64).T
+    def search(self, q: np.ndarray, own: list[np.ndarray], k: int, bound: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows that may be among its k best, its own left out: all that aren't proven worse.
+
+        bound: a score that k other vectors of the query are known to reach.
+        """
+        positive, negative = np.maximum(q, 0), np.maximum(-q, 0)
+        weight = np.concatenate([positive, negative], 1).T
+        base = positive @ self.least - negative @ self.most  # a score is this and the sum of weight times impact
+        # what rounding may add to a sum: none while all of its terms and sums are exact
+        whole = np.abs(q) @ np.maximum(np.abs(self.least), np.abs(self.most))
+        doubt = np.where(6 * whole < EXACT, 0.0, 6 * whole * 4 * (q.shape[1] + LEVELS) * 2.0**-53)
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        sums, live = np.zeros((len(q), self.n)), np.arange(len(q))
+        sums, live = np.tile(base[:, None], (1, self.n)), np.arange(len(q))
         for i, rows in enumerate(own):
             sums[i, rows] = -np.inf
+        reach = base + np.concatenate([self.most - self.least] * 2) @ weight + doubt
+        live = live[reach >= bound]  # the others stop before the first segment
+        self.finished[0] += len(q) - len(live)
+        sums, weight, bound, doubt = sums[live], weight[:, live], bound[live], doubt[live]
         for level in range(LEVELS - 1, -1, -1):
+            if not len(live):
+                break
             sums += (self.segment(level) @ weight).T
             best = min(k, self.n) - 1
-            kth = -np.partition(-sums, best, axis=1)[:, best]
+            kth = -np.partition(-sums, best, axis=1)[:, best] - doubt if self.n > best else np.full(len(live), -np.inf)
+            kth = np.maximum(np.where(self.n < k, -np.inf, kth), bound)
             most = sums
             if level:  # postings of lower levels have impacts under this level's first
                 most = sums + ((self.level < level) @ (weight * np.maximum(self.above[level] - 1, 0)[:, None])).T
-            possible = (most >= kth[:, None]) & (most > -np.inf)
+            possible = (most + doubt[:, None] >= kth[:, None]) & (most > -np.inf)
             done = (possible.sum(1) <= max(4 * k, self.n // 64)) | (level == 0)
             for i in np.flatnonzero(done):
                 out[live[i]] = np.flatnonzero(possible[i])
-            sums, live, weight = sums[~done], live[~done], weight[:, ~done]
-            if not len(live):
-                break
+            self.finished[LEVELS - level] += int(done.sum())
+            sums, live, weight, bound, doubt = sums[~done], live[~done], weight[:, ~done], bound[~done], doubt[~done]
         return out
 
 
 def top_products(embeddings: DataFrame, is_query, k: int = 5, factor: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long) for each query (a condition on vec_id) among all rows but its own.
 
-    Components become floor(factor * x), held within +-LARGEST. Rows that are null or not finite take no part; of repeated
-    ids one vector stands for all; shorter vectors count as followed by zeros; vectors without components take no part; other
-    columns are ignored; an empty table gives an empty result.
+    Components become floor(factor * x), exactly. Rows that are null or not finite or have a null id take no part; each
+    row of a repeated id is a candidate (and a query) of its own; shorter vectors count as followed by zeros; vectors
+    without components take no part; other columns are ignored; an empty table gives an empty result. A score that
+    exceeds a long raises an OverflowError.
     """
     spark = embeddings.sparkSession
-    rows = written(valid(embeddings, nonzero=False).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("v", lambda x: F.floor(F.least(F.greatest(x * factor, F.lit(-float(LARGEST))), F.lit(float(LARGEST))))).cast("array<double>").alias("v")))
+    # beyond 2 ** 53 a double is whole as it is
+    rows = valid(embeddings, nonzero=False, component=lambda x: F.when(F.abs(x) < EXACT / factor, F.floor(x * factor).cast("double")).otherwise(x * factor))
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, asking = width(rows), rows.where(is_query(F.col("vec_id")))
-    c_blocks, q_blocks = F.lit(-(-total // BLOCK)), F.lit(max(1, -(-asking.count() // BLOCK)))
+    c_blocks, q_blocks = -(-total // BLOCK), max(1, -(-asking.count() // BLOCK))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            ids, x, q = left["vec_id"].to_numpy(), matrix(left["v"], dim).astype(np.int64), matrix(right["v"], dim).astype(np.int64)
-            block, q_ids = Block(x), right["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
+            ids, rows, x, q = left["vec_id"].to_numpy(), left["row_no"].to_numpy(), matrix(left["v"], dim), matrix(right["v"], dim)
+            held, q_ids, q_rows = Block(x), right["vec_id"].to_numpy(), right["row_no"].to_numpy()
+            kth = right["kth"].to_numpy().astype(np.float64)
+            bound = np.where(np.isnan(kth), -np.inf, np.where(np.abs(kth) < EXACT, kth, kth - np.abs(kth) * 2.0**-52))
+            order = np.argsort(rows)
             for at in range(0, len(q), TOGETHER):
-                some, some_ids = q[at : at + TOGETHER], q_ids[at : at + TOGETHER]
-                first, last = np.searchsorted(ids, some_ids, "left", sorter=order), np.searchsorted(ids, some_ids, "right", sorter=order)
+                some = slice(at, at + TOGETHER)
+                first, last = (np.searchsorted(rows, q_rows[some], side, sorter=order) for side in ("left", "right"))
                 own = [order[i:j] for i, j in zip(first, last, strict=True)]
-                for q_id, v, rows in zip(some_ids, some, block.search(some, own, k), strict=True):
-                    score = x[rows] @ v
-                    best = np.lexsort((ids[rows], -score))[:k]
-                    for part, got in zip(out, (np.full(len(best), q_id), ids[rows[best]], score[best]), strict=True):
+                for q_row, q_id, v, near in zip(q_rows[some], q_ids[some], q[some], held.search(q[some], own, k, bound[some]), strict=True):
+                    score = products(x[near], v)
+                    best = np.lexsort((ids[near], -score))[:k]
+                    for part, got in zip(out, (np.full(len(best), q_row), np.full(len(best), q_id), ids[near[best]], score[best]), strict=True):
                         part.append(got)
-        return pa.table({name: pa.array(np.concatenate(part) if part else np.empty(0), pa.int64()) for name, part in zip(("query_id", "vec_id", "score"), out, strict=True)})
+        names = ("query_row", "query_id", "vec_id", "score")
+        return pa.table({name: pa.array(np.concatenate(part) if part else np.empty(0), pa.int64()) for name, part in zip(names, out, strict=True)})
+
+    candidates = rows.select("row_no", "vec_id", "v", block(c_blocks).alias("cb"), F.explode(copies(q_blocks)).alias("qb"))
+
+    def found(queries: DataFrame) -> DataFrame:
+        renamed = queries.select(*[F.col(c).alias(c) for c in queries.columns], block(q_blocks).alias("qb"))  # both sides come from one table
+        sides = candidates.groupBy("cb", "qb").cogroup(renamed.groupBy("cb", "qb"))
+        return sides.applyInArrow(search, "query_row long, query_id long, vec_id long, score long")
 
-    keys = ("cb", "qb")
-    candidates, queries = dealt(rows, "cb", c_blocks, "qb", q_blocks), dealt(asking, "qb", q_blocks, "cb", c_blocks).select(*rows.columns, "cb", "qb")
-    found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    return ranked(found, k)
+    near = written(found(asking.withColumns({"kth": F.lit(None).cast("double"), "cb": block(c_blocks)})))
+    if c_blocks > 1:
+        bounds = kth_scores(near, k)
+        others = asking.join(bounds, F.col("row_no") == F.col("bound_of"), "left").drop("bound_of").withColumn("kth", F.col("kth").cast("double"))
+        near = near.unionByName(found(others.withColumn("own", block(c_blocks)).select("row_no", "vec_id", "v", "kth", "own", F.explode(copies(c_blocks)).alias("cb")).where("cb <> own").drop("own")))
+    return ranked(near, k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_products_sql(modulus: int = 50, k: int = 5, factor: int = 256) -> str:
     """DuckDB SQL for top_products() with queries whose id the modulus divides, over vectors of one length."""
     return f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {modulus} = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.row_no <> c.row_no WHERE q.vec_id % {modulus} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

@@ -7,16 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import written
 
-def valid(embeddings: DataFrame, nonzero: bool) -> DataFrame:
-    """(vec_id, v) with v as doubles: rows whose id is not null and whose vector has components, all of them finite (and
-    one that is not zero). Of repeated ids, the least vector stands for all."""
+
+def valid(embeddings: DataFrame, nonzero: bool, component=lambda x: x) -> DataFrame:
+    """(row_no, vec_id, v), written: v as doubles, each passed through `component`; rows whose id is not null and whose
+    vector has components, all of them finite (and one that is not zero). row_no tells rows of one id apart."""
     v = F.col("embedding").cast("array<double>")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = embeddings.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~odd)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~odd)
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return written(rows.select(F.monotonically_increasing_id().alias("row_no"), "vec_id", F.transform("v", component).alias("v")))
 
 
 def width(rows: DataFrame) -> int:
@@ -38,12 +40,22 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def dealt(rows: DataFrame, own: str, own_blocks: Column, other: str, other_blocks: Column) -> DataFrame:
-    """Adds the number of the row's own block (by a hash of its id) and a copy for each of the other side's blocks."""
-    return rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), own_blocks).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (other_blocks - 1).cast("int"))))
+def block(number: Column | int) -> Column:
+    """The block that a row belongs to, of so many, by a hash of its row_no."""
+    return F.pmod(F.xxhash64("row_no"), F.lit(number) if isinstance(number, int) else number).cast("int")
+
+
+def copies(number: Column | int) -> Column:
+    """The numbers of so many blocks, for a copy of the row in each."""
+    return F.sequence(F.lit(0), (F.lit(number) if isinstance(number, int) else number).cast("int") - 1)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query: largest score first, ties to the smaller id."""
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """The k best of each query row (query_row, query_id, vec_id, score): largest score first, ties to the smaller id."""
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def kth_scores(found: DataFrame, k: int) -> DataFrame:
+    """(bound_of, kth): the k-th best score of each query row that has found so many."""
+    return ranked(found, k).where(F.col("rank") == k).select(F.col("query_row").alias("bound_of"), F.col("score").alias("kth"))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -176,32 +177,111 @@ def test_nearest_vectors(spark):
     assert hit / total >= 0.9
 
 
+def one_list(x, k):
+    """An index of one list over unit vectors, and its k nearest of each of the first 50 by brute force."""
+    d = x.shape[1]
+    rotation = np.linalg.qr(np.random.default_rng(1).normal(size=(d + 1, d + 1)))[0]
+    score = x[:50] @ x.T
+    score[np.arange(50), np.arange(50)] = -np.inf
+    return adsampling.Index(d, 1.0, rotation, np.zeros((1, d + 1)), 1), np.argsort(-score, axis=1, kind="stable")[:, :k], score
+
+
+def test_tests_abandon_candidates_early():
+    x = np.random.default_rng(0).normal(size=(6_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, want, score = one_list(x, 20)
+    kth = np.sort(score[:, :1_500], axis=1)[:, -20]  # what a scan of the first 1,500 finds
+    left = pa.table({"row_no": np.arange(6_000), "v": list(x), "list": np.zeros(6_000, np.int32)})
+    right = lambda kth: pa.table({"row_no": np.arange(50), "v": list(x[:50]), "kth": kth, "lists": [[0]] * 50})
+    for carried, least in ((kth, 0.4), (np.full(50, np.nan), 0.3)):
+        best, _, _ = adsampling.search_cell(index, left, right(carried), 20)
+        assert best.met == 50 * 5_999 and best.abandoned > least * best.met
+        assert np.mean([len(set(a) & set(b)) for a, b in zip(best.place, want)]) >= 0.9 * 20
+
+
+def test_no_early_leave_without_tests(monkeypatch):
+    monkeypatch.setattr(adsampling, "EPSILON", 1e9)
+    x = np.random.default_rng(0).normal(size=(700, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, want, _ = one_list(x, 5)
+    left = pa.table({"row_no": np.arange(700), "v": list(x), "list": np.zeros(700, np.int32)})
+    best, _, _ = adsampling.search_cell(index, left, pa.table({"row_no": np.arange(50), "v": list(x[:50]), "kth": np.full(50, np.nan), "lists": [[0]] * 50}), 5)
+    assert best.abandoned == 0 and (best.place == want).all()
+
+
+def test_cells_take_small_lists_together_and_cut_large_ones():
+    index = adsampling.Index(1, 1.0, np.eye(2), np.zeros((5, 2)), 1)
+    assert index.lay(np.array([3, 4, 25, 5, 6]), 10) == 6
+    assert list(index.cell) == [0, 0, 1, 4, 5] and list(index.cells) == [1, 1, 3, 1, 1]
+
+
 VECTORS = [(0, [1.0, 2.0, 3.0]), (20, [0.5, 0.25, 0.0]), (1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 1.0, 1.0]), (7, []), (8, [1.0]), (1, [1.0, 2.0, 3.0]), (50, [-1.0, 2.0, 0.1]), (100, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
 
 
 def test_vector_edges(spark):
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in VECTORS], "vec_id long, embedding array<double>, label int, rank int")
     near = adsampling.nearest(df, lambda c: c % 20 == 0, 20).orderBy("query_id", "rank").collect()
-    assert [r.vec_id for r in near if r.query_id == 0] == [1, 50, 8, 20] and {r.query_id for r in near} == {0, 20}
+    assert [r.vec_id for r in near if r.query_id == 0] == [1, 1, 50, 8, 20] and {r.query_id for r in near} == {0, 20}
     top = impacts.top_products(df, lambda c: c % 50 == 0, 5).orderBy("query_id", "rank").collect()
     want = {}
-    kept = {i: [math.floor(256 * x) for x in v] + [0] * (3 - len(v)) for i, v in VECTORS if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    kept = [(i, [math.floor(256 * x) for x in v] + [0] * (3 - len(v))) for i, v in VECTORS if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     for q in (0, 50, 100):
-        s = sorted(((-sum(a * b for a, b in zip(kept[q], v)), i) for i, v in kept.items() if i != q))[:5]
+        s = sorted((-sum(a * b for a, b in zip(dict(kept)[q], v)), i) for i, v in kept if i != q)[:5]
         want[q] = [(i, -n) for n, i in s]
     assert {q: [(r.vec_id, r.score) for r in top if r.query_id == q] for q in (0, 50, 100)} == want
     assert adsampling.nearest(df.limit(0), lambda c: c % 20 == 0).count() == impacts.top_products(df.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
-def test_impact_blocks_are_exact():
+@pytest.mark.parametrize("size", [150, 3_000_000_000])
+@pytest.mark.parametrize("carried", [False, True])
+def test_impact_blocks_are_exact(size, carried):
     rng = np.random.default_rng(1)
     for n, d in ((1, 2), (5, 3), (200, 8), (3000, 16)):
-        x = rng.integers(-150, 150, (n, d))
+        x = rng.integers(-size, size, (n, d)).astype(float) // 4
         q = x[rng.integers(0, n, 20)] * rng.choice([1, -1], (20, 1))
         q[0] = 0
-        for i, rows in enumerate(impacts.Block(x).search(q, [np.array([i % n]) for i in range(20)], 5)):
-            s = np.delete(x @ q[i], i % n)
-            assert (np.sort(x[rows] @ q[i])[::-1][:5] == np.sort(s)[::-1][:5]).all()
+        scores = [np.delete(impacts.products(x, q[i]), i % n) for i in range(20)]
+        bound = np.array([np.sort(s)[::-1][2] if carried and len(s) > 2 else -np.inf for s in scores], float)
+        if size > 1e6:
+            bound -= np.abs(bound) * 2.0**-52
+        for i, rows in enumerate(impacts.Block(x).search(q, [np.array([i % n]) for i in range(20)], 5, bound)):
+            many = 3 if carried else 5  # with a bound, at least the scores that reach it
+            assert (np.sort(impacts.products(x[rows], q[i]))[::-1][:many] == np.sort(scores[i])[::-1][:many]).all()
+
+
+def test_repeated_ids_and_large_components(spark):
+    rows = [(1, [0.5, 0.5]), (1, [5.0, 5.0]), (20, [1.0, 1.0]), (50, [70000.0, 1.0]), (7, [100000.0, 1.0]), (100, [-1e-9, 3e9]), (9, [2.0, 1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = adsampling.nearest(df.where("vec_id in (1, 20)"), lambda c: c == 20, 20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in near] == [(1, 10.0), (1, 1.0)]
+    top = impacts.top_products(df, lambda c: c == 50, 5).orderBy("rank").collect()
+    assert (top[0].vec_id, top[0].score) == (7, 458752000065536)
+    exact = lambda a, b: sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b))
+    assert sorted((-r.score, r.vec_id) for r in top) == sorted((-exact(rows[3][1], v), i) for i, v in rows if i != 50)[:5]
+    with pytest.raises(Exception, match="exceeds a long"):
+        impacts.top_products(df.withColumn("embedding", F.transform("embedding", lambda x: x * 1e9)), lambda c: c == 50, 5).collect()
+
+
+def test_bounds_carry_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(impacts, "BLOCK", 64)
+    monkeypatch.setattr(adsampling, "BLOCK", 64)
+    e = scale.table(spark, SF, "embeddings")
+    rows = e.toPandas()
+    x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
+    got = impacts.top_products(e, lambda c: c % 50 == 0, 5).toPandas()
+    whole = np.floor(256 * x).astype(int)
+    for q in ids[ids % 50 == 0]:
+        s = whole @ whole[ids == q][0]
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own.vec_id) == list(ids[best]) and list(own.score) == list(s[best])
+    near = adsampling.nearest(e, lambda c: c % 20 == 0, 20).toPandas()
+    hit = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        best = [ids[i] for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hit += len(set(best) & set(near[near.query_id == q].vec_id))
+    assert hit >= 0.9 * 20 * (ids % 20 == 0).sum()
 
 
 def fingerprint(text, words=3):
