@@ -134,7 +134,9 @@ def ppm_brute(train, text):
     return total
 
 
-def test_ppm(spark, docs, none):
+@pytest.mark.parametrize("nodes", [1 << 21, 64])
+def test_ppm(spark, docs, none, nodes, monkeypatch):
+    monkeypatch.setattr(ppm, "NODES", nodes)  # with few, nearly all n-grams and words are joined
     small = docs.where("length(coalesce(text, '')) < 3000")
     got = ppm.language_model(small).collect()
     rows = small.select("doc_id", "text").collect()
@@ -153,12 +155,23 @@ def test_ppm(spark, docs, none):
     assert ppm.language_model(docs).count() == docs.count()
 
 
-def test_ppm_chances_sum_to_one(spark, docs, monkeypatch):
-    monkeypatch.setattr(ppm, "NODES", 64)  # cuts the trie, so that escapes take the rest
-    model, _ = ppm.train(docs.where("length(coalesce(text, '')) < 3000"))
-    for context in (0, 98 | 99 << 9, 110 | 106 << 9 | 100 << 18 | 111 << 27):
+def test_ppm_chances_sum_to_one():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 103, 3000).astype(np.uint8)
+    keys = np.concatenate([k for _, k in ppm.symbol_keys(text, np.array([0, 1000, 1000, 3000]))])
+    trie = ppm.build([ppm.summed(ppm.low(keys, k), np.ones(len(keys))) for k in range(ppm.ORDER + 1)])
+    for context in (0, 98 | 99 << 9, 98 | 99 << 9 | 100 << 18 | 101 << 27, 200 | 98 << 9 | 1 << 18):
         keys = (np.uint64(context) << np.uint64(9)) | np.arange(1, ppm.SYMBOLS + 1, dtype=np.uint64)
-        assert np.exp(model.log_chance(keys)).sum() == pytest.approx(1)
+        assert np.exp(trie.log_chance(keys)).sum() == pytest.approx(1)
+
+
+def test_symbol_keys_in_slices(monkeypatch):
+    text, offsets = np.frombuffer(b"abcdefgh\x00\xffzz", np.uint8), np.array([0, 0, 5, 5, 12])
+    whole = [np.concatenate(x) for x in zip(*ppm.symbol_keys(text, offsets))]
+    monkeypatch.setattr(ppm, "SLICE", 3)
+    assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*ppm.symbol_keys(text, offsets))))
+    assert list(whole[0]) == [0, *[1] * 6, 2, *[3] * 8]
+    assert int(whole[1][0]) == ppm.END and int(whole[1][2]) == 99 | 98 << 9
 
 
 def test_nearest_vectors(spark):
