@@ -93,9 +93,14 @@ def voted(docs: DataFrame, templates: tuple[Template, ...], k: int) -> DataFrame
     places = docs.sparkSession.createDataFrame(rows, "template int, label string, exact boolean, grams int, place int, gram_of string")
     places = F.broadcast(places.withColumn("h", F.xxhash64(F.lower("gram_of"))))  # as many rows as the templates have words
     w = F.col("w")
-    gram = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))
+    many = F.greatest(F.size(w) - (k - 1), F.lit(0))
+    gram = F.slice(w, 1, many)
+    for j in range(1, k):
+        gram = F.zip_with(gram, F.slice(w, j + 1, many), lambda x, y: F.concat_ws(" ", x, y))
     worded = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), word_array(F.col("text")).alias("w"))
-    grams = worded.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(DOCUMENT)), gram)).alias("pos", "gram"))
+    # nothing that is read from the words may stand beside the explode: each of its rows would carry all words of the text
+    listed = worded.select("doc_id", "text_key", F.size("w").alias("n_words"), F.concat(F.array(F.lit(DOCUMENT)), gram).alias("grams"))
+    grams = listed.select("doc_id", "text_key", "n_words", F.posexplode("grams").alias("pos", "gram"))
     hits = grams.join(places, F.xxhash64(F.lower("gram")) == F.col("h")).where(F.translate("gram", UPPER, LOWER) == F.translate("gram_of", UPPER, LOWER))
     by = hits.groupBy("doc_id", "text_key", "n_words", "template", "label", "exact", "grams", (F.col("pos") - 1 - F.col("place")).alias("diagonal"))
     return written(by.agg(F.collect_set("place").alias("votes"), F.count("*").alias("copies")))  # votes: no more than the template has places
