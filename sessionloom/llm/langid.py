@@ -23,6 +23,8 @@ from .scale import remainder, text_batches
 ORDER, DISCOUNT = 4, 0.75
 #: Documents that teach a language's model, and that scale its chances, at most (as a hash picks them).
 MAX_DOCS, MAX_CALIBRATION = 1_500, 300
+#: Languages that are learned, the most frequent ones, and distinct n-grams that teach, the most frequent ones, at most.
+MAX_LANGUAGES, MAX_GRAMS = 100, 4_000_000
 #: Part of the right answers on kept-out documents that rejection may cost.
 LOSS = 0.01
 
@@ -220,16 +222,16 @@ def calibrate(model: Model, entropy: np.ndarray, sizes: np.ndarray, truth: np.nd
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Models of the languages in column lang (nulls teach nothing), from a bounded sample of each; None without any."""
+    """Models of the languages in column lang (nulls teach nothing), from a bounded sample of each; None without any. Rows
+    equal in id, text and language teach once."""
     text_batches(docs.sparkSession)
     taught = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return None
     shares = docs.sparkSession.createDataFrame([(k, i, MAX_DOCS / sizes[k], MAX_CALIBRATION / sizes[k]) for i, k in enumerate(languages)], "of string, place int, share double, kept double")
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    dealt = taught.join(F.broadcast(shares), F.col("lang") == F.col("of")).withColumn("lot", lot)
+    dealt = taught.join(F.broadcast(shares), F.col("lang") == F.col("of")).withColumn("hash", F.xxhash64("doc_id", "text")).withColumn("lot", F.pmod("hash", F.lit(1 << 30)) / float(1 << 30))
     kept = F.least(F.col("kept"), F.lit(0.25))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +243,9 @@ def train(docs: DataFrame) -> Model | None:
             first = np.flatnonzero((np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(of, prepend=-1) != 0))
             yield pa.RecordBatch.from_arrays([pa.array(of[first], pa.int32()), pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))))], names=["place", "key", "n"])
 
-    sample = dealt.where((F.col("lot") >= kept) & (F.col("lot") < kept + F.col("share"))).select("place", "text")
-    got = sample.mapInArrow(run, "place int, key long, n long").groupBy("place", "key").agg(F.sum("n").alias("n")).toArrow()
+    some = lambda test: dealt.where(test).select("place", "hash", "text").dropDuplicates(["place", "hash"]).select("place", "text")
+    grams = some((F.col("lot") >= kept) & (F.col("lot") < kept + F.col("share"))).mapInArrow(run, "place int, key long, n long").groupBy("place", "key").agg(F.sum("n").alias("n"))
+    got = grams.orderBy(F.desc("n"), "key", "place").limit(MAX_GRAMS).toArrow()
     of, keys, n = (got[c].to_numpy() for c in ("place", "key", "n"))
     if not len(keys):
         return None
@@ -256,7 +259,7 @@ def train(docs: DataFrame) -> Model | None:
             cuts = pa.array(np.arange(len(many) + 1, dtype=np.int32) * entropy.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), pa.ListArray.from_arrays(cuts, pa.array(entropy.ravel()))], names=["place", "n", "entropy"])
 
-    tried = dealt.where(F.col("lot") < kept).select("place", "text").mapInArrow(entropies, "place int, n long, entropy array<double>").toArrow()
+    tried = some(F.col("lot") < kept).mapInArrow(entropies, "place int, n long, entropy array<double>").toArrow()
     rows = tried["entropy"].to_pylist()
     truth = tried["place"].to_numpy()
     known = np.isin(truth, present)

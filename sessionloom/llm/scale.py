@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to Python: whole texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch that goes to Python: whole texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_batches(spark: SparkSession) -> None:
     """Keeps the batches of texts that go to Python small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder named by spark.checkpoint.dir: lineage ends there, and a lost executor
-    costs no more than reading again."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one on a single machine, an error elsewhere."""
+    context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(named)
         folder = context._jsc.sc().getCheckpointDir()
-    path = f"{folder.get()}/table-{uuid.uuid4().hex}"
+    return folder.get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and a lost executor costs no more than reading again. The
+    table is deleted when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_order(df: DataFrame) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import remainder, text_batches
+from .scale import remainder, text_batches, written
 from .words import NOT_WORD, binary, chunks, word_hashes, words
 
 #: Bits of a word's place among the weights.
@@ -27,6 +27,8 @@ MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 4_000, 10_000, 4_000
 BEGINNINGS = (4, 6)
 #: A word counts only if so many of the sampled texts have it.
 LEAST_TEXTS = 4
+#: Features of a sampled text that the fit reads, at most: those with the lowest places, which are hashes. Scoring reads all.
+MAX_FEATURES = 2_048
 
 
 @dataclass
@@ -76,6 +78,16 @@ class Rows:
         return self.places[at], self.values[at], many
 
 
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """How the loss to be lowered changes with the margins of positive and unlabelled rows: the risk's slopes, or, where the
+    corrected risk of negatives has gone below zero, those of its return along it."""
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if negative >= 0:
+        return prior * (sp - 1) / len(sp) - prior * sp / len(sp), su / len(su)
+    return prior * sp / len(sp), -su / len(su)
+
+
 def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 2000, rate: float = 0.1, shrink: float = 6e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias under the non-negative risk with logistic loss, by AdaGrad over small batches; each step also
     shrinks the weights towards zero, so that words which tell nothing keep no weight."""
@@ -92,13 +104,7 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 2000,
         u = unlabelled.take(rng.integers(0, len(unlabelled.many), min(256, len(unlabelled.many))))
         p, u = (to[p[0]], p[1], p[2]), (to[u[0]], u[1], u[2])
         zp, zu = row_sums(w[p[0]] * p[1], p[2]) + b, row_sums(w[u[0]] * u[1], u[2]) + b
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (sp - 1) / len(sp), np.zeros(len(su))  # slopes of pi * R_P(+)
-        if negative >= 0:
-            gp, gu = gp - prior * sp / len(sp), su / len(su)
-        else:  # the corrected risk has gone below zero: step back along it
-            gp, gu = prior * sp / len(sp), -su / len(su)
+        gp, gu = slopes(zp, zu, prior)
         grad = np.bincount(p[0], np.repeat(gp, p[2]) * p[1], len(w)) + np.bincount(u[0], np.repeat(gu, u[2]) * u[1], len(w))
         grad = np.append(grad, gp.sum() + gu.sum())
         square += grad**2
@@ -138,7 +144,8 @@ def calibrate(margin: np.ndarray, toxic: np.ndarray, threshold: float = 0.7) ->
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the labelled rows among `labels` (doc_id, toxic) and a bounded sample of `docs`; None without a
-    confirmed toxic text. A document labelled more than once is toxic if any of its labels says so."""
+    confirmed toxic text. A document labelled more than once is toxic if any of its labels says so; rows equal in id and text
+    teach once. The sample is written, and the fit is one task over it."""
     text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
@@ -146,38 +153,54 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not counts[1] or not total:
         return None
     prior = (counts[1] + 0.5) / (counts[0] + 1)
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     keeps = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    first = lambda df, n: df.orderBy(lot, "doc_id").limit(n)
+    first = lambda df, n: df.orderBy(by_id, "doc_id").limit(n)
     chosen = first(known.where((F.col("toxic") == 1) & ~keeps), MAX_POSITIVE).unionByName(first(known.where(keeps), MAX_CALIBRATION)).select(F.col("doc_id").alias("of"), F.when(keeps, F.when(F.col("toxic") == 1, 1).otherwise(0)).otherwise(2).alias("kind"))
-    share = int(min(1.0, MAX_UNLABELLED / total) * (1 << 30))
-    rows = docs.join(F.broadcast(chosen), docs.doc_id == F.col("of"), "left").where(F.col("kind").isNotNull() | (lot < share)).select(F.coalesce("kind", F.lit(3)).alias("kind"), F.col("text").cast("binary"))
+    lot = F.xxhash64("doc_id", "text")
+    share = int(min(1.0, 1.2 * MAX_UNLABELLED / total) * (1 << 30))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"), "left").where(F.col("kind").isNotNull() | (F.pmod(lot, F.lit(1 << 30)) < share))
+    rows = found.select(F.coalesce("kind", F.lit(3)).alias("kind"), lot.alias("lot"), F.col("text").cast("binary").alias("text")).dropDuplicates(["kind", "lot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, offsets = binary(batch.column(1))
+            text, offsets = binary(batch.column(2))
             for a, b in chunks(offsets):
                 places, values, many = features(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                cuts = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(cuts, pa.array(places)), pa.ListArray.from_arrays(cuts, pa.array(values))], names=["kind", "places", "values"])
-
-    got = rows.mapInArrow(run, "kind int, places array<int>, values array<float>").toArrow()
-    kinds = got["kind"].to_numpy()
-    places, values = ([np.asarray(x.values, kind) for x in got[c]] for c, kind in (("places", np.int32), ("values", np.float32)))
-    pick = lambda test: Rows([x for x, k in zip(places, kinds) if test(k)], [x for x, k in zip(values, kinds) if test(k)])
-    positive, unlabelled, kept = pick(lambda k: k == 2), pick(lambda k: k in (2, 3)), pick(lambda k: k < 2)
-    if not len(positive.many):
-        return None
-    weights, bias = fit_nnpu(positive, unlabelled, prior)
-    margin = row_sums(weights[kept.places] * kept.values, kept.many) + bias
-    slope, shift = calibrate(margin, kinds[kinds < 2] == 1)
-    return Model(weights, bias, slope, shift)
+                nth = np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many)  # the places of a row rise
+                places, values = places[nth < MAX_FEATURES], values[nth < MAX_FEATURES]
+                cuts = pa.array(np.append(0, np.cumsum(np.minimum(many, MAX_FEATURES))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(cuts, pa.array(places)), pa.ListArray.from_arrays(cuts, pa.array(values))], names=["kind", "lot", "places", "values"])
+
+    sample = written(rows.mapInArrow(run, "kind int, lot long, places array<int>, values array<float>"))
+    some = lambda test, n: sample.where(test).orderBy("lot").limit(n)
+    bounded = some("kind = 2", MAX_POSITIVE).unionByName(some("kind = 3", MAX_UNLABELLED)).unionByName(some("kind < 2", MAX_CALIBRATION)).drop("lot")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {"kinds": [], "places": [], "values": []}
+        for batch in batches:
+            held["kinds"] += batch.column(0).to_pylist()
+            held["places"] += [np.asarray(x.values, np.int32) for x in batch.column(1)]
+            held["values"] += [np.asarray(x.values, np.float32) for x in batch.column(2)]
+        kinds = np.array(held["kinds"], int)
+        pick = lambda which: Rows([x for x, k in zip(held["places"], kinds) if k in which], [x for x, k in zip(held["values"], kinds) if k in which])
+        positive, unlabelled, kept = pick({2}), pick({2, 3}), pick({0, 1})
+        if not len(positive.many):
+            return
+        weights, bias = fit_nnpu(positive, unlabelled, prior)
+        slope, shift = calibrate(row_sums(weights[kept.places] * kept.values, kept.many) + bias, kinds[kinds < 2] == 1)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (bias, slope, shift))], names=["weights", "bias", "slope", "shift"])
+
+    got = bounded.repartition(1).mapInArrow(fit, "weights binary, bias double, slope double, shift double").collect()  # a row at most
+    return Model(np.frombuffer(got[0].weights, np.float32), got[0].bias, got[0].slope, got[0].shift) if got else None
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
     """The documents' columns but text, with toxicity (0 to 1, higher: likelier toxic) and is_toxic (at the threshold).
-    Null and empty texts have the score of a text without words; without a model every score is 0."""
+    Null and empty texts have the score of a text without words; without a model every score is 0. Columns named toxicity or
+    is_toxic are replaced."""
     text_batches(docs.sparkSession)
+    docs = docs.drop("toxicity", "is_toxic")
     if model is None:
         return docs.drop("text").withColumns({"toxicity": F.lit(0.0), "is_toxic": F.lit(False)})
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -198,12 +221,15 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score is below the threshold, all columns as they were."""
+    """The documents whose score is below the threshold, all columns as they were, whatever their names.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored, and stay or go, each; without a
+    confirmed toxic text all stay; an empty table gives an empty result.
+    """
     model = train(docs, labels)
     if model is None:
         return docs
-    marked = score(docs.withColumn("text_kept", F.col("text")), model, threshold)
-    return marked.where(~F.col("is_toxic")).withColumnRenamed("text_kept", "text").select(*docs.columns)
+    return score(docs.select(F.struct("*").alias("whole_row"), "text"), model, threshold).where(~F.col("is_toxic")).select("whole_row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes taken at once; a longer text is taken alone.
 CHUNK = 4_000_000
+#: Bytes whose words are hashed at once.
+SLICE = 1_000_000
 
 _P, _STEP = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -72,13 +74,21 @@ def words(text: np.ndarray, offsets: np.ndarray, parting: np.ndarray) -> tuple[n
 def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word with A-Z lower-cased: equal words have equal hashes anywhere; two different ones share
     one with a chance near 2**-64."""
-    up, down = powers(len(text) + 1)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((LOWER[text].astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(_STEP)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # words within a slice of the text, or a longer one
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        first, last = starts[i], ends[i:j].max()
+        part, begin, end = text[first:last], starts[i:j] - first, ends[i:j] - first
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((LOWER[part].astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * down[begin]
+        h += (end - begin).astype(np.uint64) * np.uint64(_STEP)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        out[i:j] = h ^ (h >> np.uint64(32))
+        i = j
+    return out

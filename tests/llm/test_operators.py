@@ -107,6 +107,61 @@ def test_nnpu_corrects_the_risk():
     assert min(w[1], w[2]) + w[5] + b > 0 > max(w[3], w[4]) + w[5] + b
 
 
+def test_nnpu_slopes_are_those_of_the_risk():
+    rng = np.random.default_rng(1)
+    loss = lambda z: np.array([math.log1p(math.exp(x)) for x in z])
+    seen = set()
+    for prior in (0.1, 0.5, 0.9):
+        for shift in (-3.0, 0.0, 3.0):
+            zp, zu = rng.normal(-shift, 1, 7), rng.normal(shift, 1, 11)
+
+            def risks(zp, zu, prior=prior):
+                return prior * loss(-zp).mean(), loss(zu).mean() - prior * loss(zp).mean()
+
+            above, below = risks(zp, zu)
+            seen.add(below >= 0)
+            lowered = (lambda zp, zu: sum(risks(zp, zu))) if below >= 0 else (lambda zp, zu: -risks(zp, zu)[1])
+            gp, gu = toxicity.slopes(zp, zu, prior)
+            for own, z, put in ((gp, zp, lambda z: (z, zu)), (gu, zu, lambda z: (zp, z))):
+                for i in range(len(z)):
+                    step = np.zeros(len(z))
+                    step[i] = 1e-5
+                    assert own[i] == pytest.approx((lowered(*put(z + step)) - lowered(*put(z - step))) / 2e-5, abs=1e-6)
+    assert seen == {True, False}
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Null and repeated ids and equal rows neither fill nor exceed the samples; a very long text is read whole."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rng = random.Random(9)
+    rows = [(None, "same words in every row", "en")] * 3_000 + [(None, " ".join(rng.choices(words, k=8)), "en") for _ in range(7_000)] + [(k, "awful words " + rng.choice(words), "fr") for k in range(300)] + [(5, f"awful words {k}", "fr") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    labels = spark.createDataFrame([(k, 1 if k < 200 else 0) for k in range(300)], "doc_id long, toxic int")
+    for name, n in (("MAX_POSITIVE", 50), ("MAX_UNLABELLED", 100), ("MAX_CALIBRATION", 40)):
+        monkeypatch.setattr(toxicity, name, n)
+    seen = []
+    monkeypatch.setattr(toxicity, "written", lambda df: seen.append(scale.written(df)) or seen[-1])
+    assert toxicity.train(docs, labels) is not None
+    kinds = {r.kind: r["count"] for r in seen[0].groupBy("kind").count().collect()}
+    assert kinds[3] < 2 * 100 and seen[0].where("kind = 3").select("lot").distinct().count() == kinds[3]
+    monkeypatch.setattr(langid, "MAX_DOCS", 100)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    assert langid.train(docs).languages == ["en"]
+    long = spark.createDataFrame([(1, "word " * 300_000 + "awful", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(long, model).count() == 2 and langid.language_id(long).count() == 2
+    got = {r.doc_id: r for r in ppm.language_model(long).collect()}
+    assert got[1].n_tokens == 300_002 and got[2].n_tokens == 1
+    assert len(by_id(simhash.near_duplicates(long))) == 2 and by_id(licenses.licenses(long))[1].n_words == 300_001 and packing.pack(long, TOKENIZER).count() > 250
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    scale.text_batches(spark)
+    df = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 64 and max(r.n for r in sizes) <= 10
+
+
 def ppm_brute(train, text):
     counts = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
     codes = lambda t: [0] * ppm.ORDER + [b + 1 for b in (t or "").encode()] + [ppm.END]
@@ -474,6 +529,33 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.log_chance(all_)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_kneser_ney_by_brute_force():
+    rng = np.random.default_rng(4)
+    texts = {"x": ["".join(rng.choice(list("abc "), 25)) for _ in range(12)], "y": ["".join(rng.choice(list("bcde "), 25)) for _ in range(12)]}
+    grams = {k: collections.Counter(langid.gram_keys([langid.letters(t) for t in v])[0].tolist()) for k, v in texts.items()}
+    rows = [(j, key, n) for j, k in enumerate("xy") for key, n in grams[k].items()]
+    model = langid.kneser_ney(["x", "y"], *(np.array(c) for c in (list(zip(*rows))[0],)), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows]))
+
+    def chance(counts, gram):
+        """counts[n]: of n characters; the shorter ones count the different characters before them."""
+        p = 1 / (len(counts[1]) + 1)
+        for n in range(1, 5):
+            own, context = gram[4 - n :], gram[4 - n : 3]
+            after = {g: c for g, c in counts[n].items() if g[:-1] == context}
+            if after:
+                whole = sum(after.values())
+                p = max(after.get(own, 0) - langid.DISCOUNT, 0) / whole + langid.DISCOUNT * len(after) / whole * p
+        return p
+
+    for j, k in enumerate("xy"):
+        counts = {4: {tuple(key >> (16 * i) & 0xFFFF for i in (3, 2, 1, 0)): n for key, n in grams[k].items()}}
+        for n in (3, 2, 1):
+            counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+        tried = [*counts[4]][:40] + [tuple(map(ord, rng.choice(list("abcdz "), 4))) for _ in range(60)]
+        keys = np.array([sum(c << (16 * (3 - i)) for i, c in enumerate(g)) for g in tried], np.uint64)
+        assert np.exp(model.log_chance(keys)[:, j]) == pytest.approx([chance(counts, g) for g in tried], rel=1e-4)
+
+
 def test_pfair_deviates_by_less_than_a_block():
     rng = random.Random(2)
     for _ in range(100):
