@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .scale import number_within, text_batches, written
 CAPACITY, END = 1024, 2
 #: Documents in order are numbered in stretches of 2 ** STRETCH_BITS places.
 STRETCH_BITS = 12
+#: One of so many texts is tokenised by both libraries.
+HELD_AGAINST = 100
 
 
 class Rooms:
@@ -97,7 +100,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def encoder(tokenizer: str):
     """text -> ids as little-endian 32-bit words, by the tokenizers library or, where its ranks lie beside the file, by
-    tiktoken, which gives the same ids faster; texts that spell a special token always go to the former."""
+    tiktoken, which gives the same ids faster; texts that spell a special token always go to the former, and so does each
+    HELD_AGAINST-th text as well: other ids there are an error."""
     from pathlib import Path
 
     from tokenizers import Tokenizer
@@ -113,7 +117,17 @@ def encoder(tokenizer: str):
 
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.read_bytes().splitlines())}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda text: own(text) if any(s in text for s in special) else np.asarray(fast.encode_ordinary(text), "<u4")
+    calls = count()
+
+    def encode(text: str) -> np.ndarray:
+        if any(s in text for s in special):
+            return own(text)
+        ids = np.asarray(fast.encode_ordinary(text), "<u4")
+        if next(calls) % HELD_AGAINST == 0 and not np.array_equal(ids, own(text)):
+            raise ValueError(f"the ranks beside {tokenizer} give other ids than the tokenizer itself")
+        return ids
+
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, order: Column | None = None) -> DataFrame:
