@@ -117,8 +117,9 @@ def votes(kind: str, m: Column, before: Column, strict: bool) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with a column of candidate spans: kind (place in KINDS), start, end, strict (a base span), votes,
-    wide (0 to 3, the length's class). Wide candidates that touch a strict span are left out."""
+    """The documents with a column pii of candidate spans: kind (place in KINDS), start, end, strict (a base span), votes,
+    wide (0 to 3, the length's class). Wide candidates that touch a strict span are left out. Columns named pii, pii_strict or
+    pii_wide are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digit = text.rlike("[0-9]")
     none = F.expr(f"cast(array() as {_SPAN})")
@@ -226,8 +227,13 @@ def digest(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span of personal data replaced by its kind in brackets, and n_chars set to the new length
-    where that column is there. Overlapping spans become one replacement, of the first one's kind. Null texts stay."""
-    found = written(candidates(docs))
+    where that column is there. Overlapping spans become one replacement, of the first one's kind.
+
+    Null and empty texts stay; repeated rows stay, each redacted; all columns stay, whatever their names; an empty table gives
+    an empty result.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    found = written(candidates(docs.select("text", F.struct(*others).alias("whole_row"))))
     in_order = F.array_sort(F.transform(accepted(train(found)), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
@@ -235,8 +241,11 @@ def redact(docs: DataFrame) -> DataFrame:
         F.greatest(acc.at, s.end).alias("at"),
         F.when(s.start >= acc.at, F.concat(acc.out, text.substr(acc.at + 1, s.start - acc.at), F.element_at(names, s.kind + 1))).otherwise(acc.out).alias("out"),
     )
-    clean = F.aggregate("pii_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), walk, lambda acc: F.concat(acc.out, text.substr(acc.at + 1, F.length(text))))
-    done = found.withColumn("pii_spans", in_order).withColumn("text", F.when(F.size("pii_spans") > 0, clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), walk, lambda acc: F.concat(acc.out, text.substr(acc.at + 1, F.length(text))))
+    some = F.size("spans") > 0
+    done = found.select("text", "whole_row", in_order.alias("spans")).withColumn("text", F.when(some, clean).otherwise(text))
+    kinds = dict(docs.dtypes)
+    own = {c: F.col("whole_row")[c] for c in others} | {"text": text}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(some, F.length("text").cast(kinds["n_chars"])).otherwise(own["n_chars"])
+    return done.select(*[own[c].alias(c) for c in docs.columns])

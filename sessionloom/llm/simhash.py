@@ -244,9 +244,21 @@ def similarity(a: bytes | None, b: bytes | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def sketches(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataFrame:
-    """Per document: id, whole (a 128-bit hash of its words), bands (a long for each band of minima over its shingles'
-    hashes; none for a wordless text)."""
+#: Texts of a block when a bucket of candidates is searched, and pairs that share a copy of their centre's text.
+BLOCK_TEXTS, CENTRE_PAIRS = 256, 1_000
+
+
+def row_keys(docs: DataFrame) -> tuple[DataFrame, list]:
+    """The documents as a table of files, and two longs that name a row of it in every scan."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(place["file_path"]).alias("file_key"), place["row_index"].alias("row_index")]
+
+
+def sketches(docs: DataFrame, keys: list, words: int, bands: int, band_rows: int) -> DataFrame:
+    """Per document: file_key, row_index, id, whole (a 128-bit hash of its words), fingerprint (SimHash of its shingles), bands
+    (a long for each band of minima over its shingles' hashes; none for a wordless text)."""
     text_batches(docs.sparkSession)
     rng = np.random.default_rng(SEED)
     turn, factor = (rng.integers(0, 1 << 63, bands * band_rows, dtype=np.uint64) for _ in range(2))
@@ -254,7 +266,7 @@ def sketches(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(3).to_pylist()
             whole = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
             hashes = [shingle_hashes(t, words) for t in texts]
             sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
@@ -270,20 +282,22 @@ def sketches(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataFra
                     key ^= key >> np.uint64(29)
                 keys[:, b] = key
             ends = np.append(0, np.cumsum(full * bands)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))], names=["id", "whole", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(whole, pa.binary()), pa.array(majority(flat, sizes).view(np.int64)), lists], names=["file_key", "row_index", "id", "whole", "fingerprint", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, whole binary, bands array<long>")
+    rows = docs.select(*keys, F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"file_key long, row_index long, id {dict(docs.dtypes)['doc_id']}, whole binary, fingerprint long, bands array<long>")
 
 
-def bucket_forest(sets: list[np.ndarray], labels: np.ndarray, alike: float) -> list[tuple[int, int]]:
-    """Verified links that, with the labels' components, span all links among the sets of a bucket. Pairs of one component
-    need no comparison, so each set outside the largest component is held against the sets of other components."""
+def block_links(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, alike: float) -> list[tuple[int, int]]:
+    """Verified links that, with the labels' components, span all links of the sets at the places `asking` with others. Pairs of
+    one component need no comparison."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     shingles, flat = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(sizes) - sizes
-    _, label, many = np.unique(labels, return_inverse=True, return_counts=True)
+    label = np.unique(labels, return_inverse=True)[1]
     out = []
-    for q in np.flatnonzero(label != np.argmax(many)):
+    for q in asking:
         own = np.zeros(len(shingles), np.int64)
         own[flat[first[q] : first[q] + sizes[q]]] = 1
         both = np.add.reduceat(own[flat], first)
@@ -295,71 +309,105 @@ def bucket_forest(sets: list[np.ndarray], labels: np.ndarray, alike: float) -> l
     return out
 
 
-def copy_links(docs: DataFrame, rows: DataFrame, words: int, alike: float) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs of documents that share a bucket (rows key, id) and have
-    shingles at least `alike`; every link is verified on the texts.
-
-    Each bucket first takes the document that meets the most others as its centre, and all are held against it. Only buckets
-    that these links leave in several components go on, with their documents' shingles, and are searched whole.
-    """
+def centre_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets (key, node) with several nodes: their rows, written, and the pairs (node, other) of each with its bucket's
+    centre, which is the node that meets the most others."""
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = written(rows.join(shared, "key"))
-    met = held.groupBy("id").agg(F.sum("n").alias("met"))
-    centres = held.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"), "id")).alias("centre"))
-    pairs = held.join(centres, "key").where("id <> centre").select("id", "centre").distinct()
-    kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    centre_texts = texts.join(pairs.select(F.col("centre").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("centre"), F.col("text").alias("centre_text"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = held.groupBy("node").agg(F.sum("n").alias("met"))
+    centres = held.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", F.xxhash64("node"), "node")).alias("other"))
+    return held, held.join(centres, "key").where("node <> other").select("node", "other")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, words: int, alike: float) -> DataFrame:
+    """The pairs (u, v) whose texts' shingles are at least `alike`. A text that many pairs share is copied for each so many of
+    them, so no task holds them all."""
+    pairs = written(pairs.distinct())
+    many = pairs.groupBy(F.col("other").alias("of")).agg(F.ceil(F.count("*") / CENTRE_PAIRS).cast("int").alias("shares"))
+    salted = pairs.join(many, F.col("other") == F.col("of")).select("node", "other", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
+    others = texts.join(many, F.col("node") == F.col("of")).select(F.col("of").alias("other"), F.col("text").alias("other_text"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = pa.array([similarity(a, b, words) >= alike for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["u", "v"])
 
-    stars = written(texts.join(pairs, "id").join(centre_texts, "centre").select("id", "centre", "text", "centre_text").mapInArrow(verify, f"u {kind}, v {kind}"))
-    reached = components(stars).withColumnsRenamed({"node": "of", "root": "label"})
-    labelled = held.join(reached, F.col("id") == F.col("of"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    left = written(labelled.join(mixed, "key", "left_semi"))
+    return texts.join(salted, "node").join(others, ["other", "share"]).select("node", "other", "text", "other_text").mapInArrow(run, "u long, v long")
+
+
+def bucket_links(texts: DataFrame, held: DataFrame, known: DataFrame, words: int, alike: float) -> DataFrame:
+    """Further links (u, v) so that, with the links in `known`, the components are those of all pairs of nodes that share a
+    bucket (held: key, node) and are at least `alike`; every link is verified on the texts.
+
+    Only buckets that the known links leave in several components are searched: each node outside the bucket's largest
+    component is held against the nodes of other components, in blocks of about BLOCK_TEXTS on both sides, so no task holds a
+    large bucket, and a block gives no more links than it has texts.
+    """
+    reached = components(known).select(F.col("node").alias("of"), F.col("root").alias("label"))
+    labelled = held.join(reached, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK_TEXTS).cast("int")
+    left = written(labelled.join(mixed, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("asks"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("largest")).alias("ask_blocks")))
+    copy = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asking = left.where("asks").select("key", "node", "label", "asks", own("ask_blocks").alias("asked"), copy("all_blocks").alias("met"))
+    asked = left.select("key", "node", "label", F.lit(False).alias("asks"), own("all_blocks").alias("met"), copy("ask_blocks").alias("asked")).select(asking.columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(group: list[tuple]) -> pa.RecordBatch:
-            ids = [g[1] for g in group]
-            labels = np.unique(np.array([str(g[2]) for g in group]), return_inverse=True)[1]
-            sets = [np.unique(np.array(shingle_hashes(g[3], words), np.uint64)) for g in group]
-            links = bucket_forest(sets, labels, alike)
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], id_type), pa.array([ids[b] for _, b in links], id_type)], names=["u", "v"])
+            nodes = [g[3] for g in group]
+            sets = [np.unique(np.array(shingle_hashes(g[6], words), np.uint64)) for g in group]
+            links = block_links(sets, np.array([g[4] for g in group]), np.flatnonzero([g[5] for g in group]), alike)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in links], pa.int64()), pa.array([nodes[b] for _, b in links], pa.int64())], names=["u", "v"])
 
         group: list[tuple] = []
         for batch in batches:
-            id_type = batch.schema.field(1).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][0] != row[0]:
+                if group and group[0][:3] != row[:3]:
                     yield found(group)
                     group = []
                 group.append(row)
         if group:
             yield found(group)
 
-    whole = left.join(texts.join(left.select("id").distinct(), "id", "left_semi"), "id").select("key", "id", "label", "text")
-    return stars.unionByName(whole.repartition("key").sortWithinPartitions("key").mapInArrow(search, f"u {kind}, v {kind}"))
+    met = asking.unionByName(asked).select("key", "asked", "met", "node", "label", "asks").join(texts, "node")
+    block = ["key", "asked", "met"]
+    return met.select(*block, "node", "label", "asks", "text").repartition(*block).sortWithinPartitions(*block).mapInArrow(search, "u long, v long")
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int = 5, alike: float = 0.8, bands: int = 32, band_rows: int = 6) -> DataFrame:
-    """The documents less all but one of each group of near duplicates: the smallest id stays. Columns are kept.
+def keep_representatives(docs: DataFrame, shingle_words: int = 5, alike: float = 0.8, max_bits: int = 3, bands: int = 32, band_rows: int = 6) -> DataFrame:
+    """The documents less all but one of each group of near duplicates: a row with the smallest id stays. Columns are kept.
 
     Two documents are copies if their texts have the same words or their shingles' Jaccard similarity is at least
     `alike`; groups are the components of these links, so two copies of one text go together though they may be less
-    alike to each other. Candidates share a band of `band_rows` minima over the shingles' hashes: a pair at similarity s is
-    missed with a chance of (1 - s ** band_rows) ** bands, 0.00006 at 0.8; every link but that of equal words is verified
-    on the texts. Rows that repeat an id go but for one; rows with a null id all stay.
+    alike to each other. Texts with the same words are folded first. Candidates are texts whose fingerprints the Gray-order
+    index links (`max_bits` bits), and, as fingerprints of 64 bits miss many pairs at 0.8 at any radius that can be searched,
+    texts that share a band of `band_rows` minima over the shingles' hashes: a pair at similarity s is missed by these with a chance of
+    (1 - s ** band_rows) ** bands, 0.00006 at 0.8. Every link but that of equal words is verified on the texts.
+
+    Null and wordless texts are copies of each other. Rows that share an id are told apart: different texts stay. Rows with null
+    ids take part and stay only if their group has no other. An empty table gives an empty result.
     """
-    named = docs.where("doc_id is not null")
-    prints = written(sketches(named, shingle_words, bands, band_rows))
-    firsts = written(prints.groupBy("whole").agg(F.min_by(F.struct("id", "bands"), "id").alias("first")).select("whole", "first.*"))
-    same = prints.select("id", "whole").join(firsts.select("whole", F.col("id").alias("least")), "whole").where("id <> least").select("id")
-    rows = firsts.select("id", F.explode("bands").alias("key")).distinct()
-    copies = components(copy_links(named, rows, shingle_words, alike)).where("node <> root").select(F.col("node").alias("id"))
-    gone = same.unionByName(copies).withColumnRenamed("id", "gone")
-    rest = named.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return rest.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    docs, keys = row_keys(docs)
+    prints = written(sketches(docs, keys, shingle_words, bands, band_rows))
+    row = F.struct("file_key", "row_index")
+    firsts = written(prints.groupBy("whole").agg(F.min_by(F.struct("file_key", "row_index", "fingerprint", "bands"), row).alias("first")).select("whole", "first.*", F.monotonically_increasing_id().alias("node")))
+    prints_of = firsts.groupBy("fingerprint").agg(F.min("node").alias("least"))
+    named = written(prints_of.withColumnRenamed("fingerprint", "f"))
+    gray = links(prints_of.select("fingerprint"), max_bits)
+    linked = gray.join(named, F.col("u") == F.col("f")).select(F.col("least").alias("node"), "v").join(named, F.col("v") == F.col("f")).select("node", F.col("least").alias("other"))
+    equal = firsts.join(named, F.col("fingerprint") == F.col("f")).where("node <> least").select("node", F.col("least").alias("other"))
+    held, starred = centre_pairs(firsts.select("node", F.explode("bands").alias("key")).distinct())
+    pairs = written(linked.unionByName(equal).unionByName(starred))
+    involved = firsts.join(pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct(), "node").select("node", F.col("file_key").alias("f"), F.col("row_index").alias("r"))
+    rows = docs.select(*keys, F.col("text").cast("binary").alias("text"))
+    texts = written(rows.join(involved, (F.col("file_key") == F.col("f")) & (F.col("row_index") == F.col("r"))).select("node", "text"))
+    stars = written(verified(texts, pairs, shingle_words, alike))
+    more = bucket_links(texts, held, stars, shingle_words, alike)
+    reached = components(stars.unionByName(more)).select(F.col("node").alias("of"), "root")
+    groups = firsts.join(reached, F.col("node") == F.col("of"), "left").select(F.col("whole").alias("of_whole"), F.coalesce("root", "node").alias("group"))
+    stay = prints.join(groups, F.col("whole") == F.col("of_whole")).groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "file_key", "row_index")).alias("best"))
+    chosen = written(stay.select(F.col("best.file_key").alias("stay_file"), F.col("best.row_index").alias("stay_row")))
+    kept = docs.select(F.struct("*").alias("whole_row"), *keys).join(chosen, (F.col("file_key") == F.col("stay_file")) & (F.col("row_index") == F.col("stay_row")), "left_semi")
+    return kept.select("whole_row.*")

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -408,6 +409,44 @@ def test_keep_representatives(spark, docs, none):
     assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 6, 7, 8, 11, 12, 13, 14, 15, 16] and ids.count(None) == 1
 
 
+def brute_groups(rows):
+    """One row (id, text) of each group of near duplicates, by all pairs: the smallest id, nulls last."""
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (t := len(sets[a] | sets[b])) == 0 or len(sets[a] & sets[b]) >= 0.8 * t:
+                label = [label[b] if x == label[a] else x for x in label]
+    return sorted(min(((i is None, i) for (i, _), x in zip(rows, label) if x == y), key=str) for y in set(label))
+
+
+def near_rows():
+    """Rows of shared and null ids, equal rows, a chain, a cluster around no centre and unlike texts in one bucket."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(1, "one text"), (2, "same id, first text"), (2, "same id, other text entirely"), (2, "same id, first text"), (None, "one text"), (None, "no id at all here"), (None, "no id at all here"), (3, None), (4, " "), (4, "")]
+    for k in range(70):
+        t = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            t[at] = f"x{k}y{at}"
+        rows.append((100 + k, " ".join(t)))
+    return rows
+
+
+def test_near_dedup_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 8)
+    monkeypatch.setattr(simhash, "CENTRE_PAIRS", 10)
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("gone", "id", "node", "whole", "key", "bands", "file_key", "row_index", "whole_row", "stay_row", "label", "fingerprint"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns and {r.gone for r in kept.collect()} == {"kept"}
+    assert sorted(((r.doc_id is None, r.doc_id) for r in kept.collect()), key=str) == sorted(brute_groups(rows), key=str)
+    texts = [r.text for r in kept.where("doc_id = 2").collect()]
+    assert sorted(texts) == ["same id, first text", "same id, other text entirely"]
+
+
 def spliced(text, start, width, tag):
     """The words with a stretch of others in their place."""
     return [*text[:start], *(f"{tag}{i}" for i in range(width)), *text[start + width :]]
@@ -436,7 +475,7 @@ def test_distinct_texts_with_equal_fingerprints_stay(spark):
     assert sorted(r.doc_id for r in simhash.keep_representatives(docs).collect()) == [0, 1, 2, 3]
 
 
-def test_bucket_forest_is_exact():
+def test_block_links_are_exact():
     rng = np.random.default_rng(5)
     base = np.arange(100, dtype=np.uint64)
     sets = [np.unique(np.where(rng.random(100) < 0.12, rng.integers(1000, 9999, 100).astype(np.uint64), base)) for _ in range(60)]
@@ -451,7 +490,8 @@ def test_bucket_forest_is_exact():
     known = list(range(60))
     for a, b in links[::7]:
         known = [known[b] if x == known[a] else x for x in known]
-    found = simhash.bucket_forest(sets, np.array(known), 0.8)
+    main = max(set(known), key=known.count)
+    found = simhash.block_links(sets, np.array(known), np.flatnonzero(np.array(known) != main), 0.8)
     assert {tuple(sorted(x, reverse=True)) for x in found} <= set(links)
     assert joined(found, known) == joined(links, range(60))
 
@@ -502,6 +542,17 @@ def test_redact(docs):
     assert clean[0].text is None and clean[5].text == by_id(docs)[5].text
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Each name that a stage uses within."""
+    docs = scale.table(spark, SF, "documents")
+    labels = scale.table(spark, SF, "labels")
+    for c in ("toxicity", "is_toxic", "text_kept", "kind", "lot", "of", "whole_row", "pii", "pii_spans", "pii_strict", "pii_wide", "spans", "votes", "strict"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    for got in (toxicity.remove_toxic(docs, labels), pii.redact(docs)):
+        assert got.columns == docs.columns
+        assert [tuple(r) for r in got.select(docs.columns[5:]).distinct().collect()] == [("kept",) * 14]
+
+
 def test_em_trusts_the_reliable():
     good, bad = (0, (1, 1, 1, 1)), (0, (0, -1, -1, -1))
     chance = pii.estimate({good: 50, bad: 50, (0, (0, 1, 0, 1)): 5})
@@ -557,27 +608,64 @@ def test_kneser_ney_by_brute_force():
 
 
 def test_pfair_deviates_by_less_than_a_block():
+    """Measured against the targets themselves, over several periods."""
     rng = random.Random(2)
-    for _ in range(100):
-        period = rng.choice([16, 64, 1024])
-        parts = mixing.whole_parts({str(i): rng.random() + 0.01 for i in range(rng.randint(1, 12))}, period)
+    cases = [{"a": 0.9, "b": 0.1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"hot": 1 / 3} | {f"s{i}": 2 / 57 for i in range(19)}, {"a": 3, "b": 1}]
+    cases += [{str(i): Fraction(rng.randint(1, 50)) for i in range(rng.randint(1, 12))} for _ in range(60)]
+    for weights in cases:
+        parts, period = mixing.exact_parts(weights)
+        whole = sum(Fraction(w).limit_denominator(10**6) for w in weights.values())
+        target = {k: Fraction(w).limit_denominator(10**6) / whole for k, w in weights.items()}
         served = dict.fromkeys(parts, 0)
-        for t, k in enumerate(mixing.lay_out(parts, period), 1):
-            served[k] += 1
-            assert all(abs(served[x] - parts[x] * t / period) < 1 for x in parts)
+        plan = mixing.lay_out(parts, period)
+        for t in range(1, min(4 * period, 5_000) + 1):
+            served[plan[(t - 1) % period]] += 1
+            assert all(abs(served[k] - target[k] * t) < 1 for k in parts)
+
+
+def test_parts_of_weights_without_a_short_period():
+    weights = {f"s{i}": (i + 1) ** 0.5 for i in range(40)}
+    parts, period = mixing.exact_parts(weights)
+    assert period == mixing.MOST_SLOTS == sum(parts.values())
+    assert all(abs(parts[k] - period * w / sum(weights.values())) < 1 for k, w in weights.items())
+    tiny = mixing.whole_parts({"a": Fraction(97, 100), **{f"t{i}": Fraction(1, 1000) for i in range(30)}}, 64)
+    assert sum(tiny.values()) == 64 and tiny["a"] == 34 and set(tiny.values()) == {34, 1}
+    with pytest.raises(ValueError):
+        mixing.exact_parts({"a": 0.0})
 
 
 def test_mixing(spark, docs, none):
     weights = {"src0": 3.0, "src1": 1.0}
-    got = mixing.schedule(docs, weights, block_docs=2, period=8).orderBy("position").collect()
-    assert [r.position for r in got] == list(range(docs.count())) and [r.slot for r in got] == sorted(r.slot for r in got)
-    parts = mixing.whole_parts(weights | {mixing.REST: 4 / 8}, 8)
-    slots = collections.defaultdict(list)
-    for t in range(0, 800):
-        slots[mixing.lay_out(parts, 8)[t % 8]].append(t)
+    rows = docs.select("doc_id", "source").collect()
+    got = mixing.schedule(docs, weights, block_docs=2).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(rows))) and [r.slot for r in got] == sorted(r.slot for r in got)
+    own = lambda s: s if s in weights else mixing.REST
+    assert all(r.mix_source == own(r.source) for r in got) and sorted(map(str, [(r.doc_id, r.source) for r in got])) == sorted(map(str, [tuple(r) for r in rows]))
+    # earliest deadline first among released blocks, slot by slot, over the targets 3/5, 1/5 and 1/5 of what has no weight
+    target = {"src0": Fraction(3, 5), "src1": Fraction(1, 5), mixing.REST: Fraction(1, 5)}
+    done, slots = dict.fromkeys(target, 0), collections.defaultdict(list)
+    for t in range(200):
+        ready = [k for k in target if math.floor(done[k] / target[k]) <= t]
+        ends = {k: math.ceil((done[k] + 1) / target[k]) for k in ready}
+        k = min(ready, key=lambda k: (ends[k], (done[k] + 1) / target[k] == ends[k], -target[k], k))
+        slots[k].append(t)
+        done[k] += 1
     assert all(slots[r.mix_source][r.block] == r.slot for r in got)
+    assert collections.Counter((r.mix_source, r.block) for r in got).most_common(1)[0][1] == 2
     assert mixing.schedule(none, weights).count() == 0 and mixing.tempered_weights(none) == {}
     assert sorted(map(str, mixing.in_mix_order(docs, weights).collect())) == all_rows(docs)
+    clash = docs.select("doc_id", "source", *[F.lit(1).alias(c) for c in ("mix_source", "block", "slot", "nth", "whole_row", "own_row", "number", "parts", "name", "turn", "at", "plan_source")])
+    assert sorted(map(str, mixing.in_mix_order(clash, weights).collect())) == all_rows(clash)
+
+
+def test_tempered_weights(spark):
+    docs = spark.createDataFrame([("a",)] * 900 + [("b",)] * 99 + [(None,)], "source string")
+    got = mixing.tempered_weights(docs)
+    assert sum(got.values()) == 1 and set(got) == {"a", "b", ""}
+    root = {"a": 900**0.5, "b": 99**0.5, "": 1.0}
+    assert all(abs(got[k] - root[k] / sum(root.values())) < 1 / mixing.SLOTS for k in got)
+    few = mixing.tempered_weights(docs, most=1)
+    assert set(few) == {"a", mixing.REST} and few["a"] == 3 * few[mixing.REST]
 
 
 def brute_packing(counts, capacity):
