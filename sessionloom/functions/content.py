@@ -80,10 +80,13 @@ def payload_digest(v: Column, keys: list[str]) -> Column:
     return F.map_from_entries(pairs)
 
 
-def event_text(text: Column, parts: Column) -> Column:
-    """The texts of an event's content blocks (see normalize_content), joined by newlines, else its plain text."""
+def event_text(text: Column, parts: Column, *others: Column, before: tuple[Column, ...] = ()) -> Column:
+    """What is searched of an event, joined by newlines, empty pieces left out: what stands `before` (title, role), the texts of its
+    content blocks (see normalize_content), else its plain text, and the others in order (reasoning summaries, the call's name and arguments, its output,
+    usage as JSON)."""
     joined = F.array_join(F.transform(parts, lambda b: F.coalesce(b.text, b.json)), "\n")
-    return F.coalesce(F.nullif(joined, F.lit("")), text)
+    pieces = [*before, F.coalesce(F.nullif(joined, F.lit("")), text), *others]
+    return F.array_join(F.filter(F.array(*[T.text_of(p) for p in pieces]), lambda p: p != ""), "\n")
 
 
 def canonical_tool_result(output: Column) -> Column:

@@ -94,13 +94,16 @@ def ceil_cents(c: Column) -> Column:
 
 
 def is_rate_limited(c: Column) -> Column:
+    """Whether an error message is about a rate limit. The phrases are fixed values."""
     return text_of(c).rlike(r"(?i)\b429\b|rate[_ -]?limit|too many requests|tokens per minute|requests per minute|retry after")
 
 
 def retry_after_ms(c: Column) -> Column:
-    """The wait that an error message asks for; null if it asks for none."""
-    number = lambda pattern: F.regexp_extract(text_of(c), rf"(?i)(?:retry after|try again in)\s+([0-9.]+)\s*{pattern}", 1).try_cast("double")
-    return F.coalesce(F.ceil(number("(?:minutes|minute|mins|min|m)") * 60000), F.ceil(number(r"(?:seconds|second|secs|sec|s)?\b") * 1000)).cast("long")
+    """The wait that an error message asks for: a number after one of two fixed phrases, in minutes if the word behind it begins
+    with an m (but ms), else in seconds; null if it asks for none."""
+    asked = F.regexp_extract(text_of(c), r"(?i)(?:retry after|try again in)\s+([0-9.]+)\s*(\pL*)", F.lit(1)).try_cast("double")
+    unit = F.lower(F.regexp_extract(text_of(c), r"(?i)(?:retry after|try again in)\s+[0-9.]+\s*(\pL*)", 1))
+    return F.ceil(asked * F.when(unit.startswith("m") & (unit != "ms"), 60_000).otherwise(1_000)).cast("long")
 
 
 def model_family(c: Column) -> Column:
@@ -200,13 +203,18 @@ def unique(arr: Column) -> Column:
     return F.array_distinct(F.filter(arr, lambda x: x.isNotNull() & (x != "")))
 
 
-def normalize_topics(arr: Column, most: int | None = 8, chars: int = 220) -> Column:
-    """Previews of the texts, blanks and repeats (in any case) left out, the first few."""
-    cut = F.filter(F.transform(arr, lambda t: preview(t, chars)), lambda t: t != "")
-    low = F.transform(cut, lambda t: F.lower(t))
-    first = F.filter(F.arrays_zip(cut.alias("t"), F.transform(low, lambda t, i: F.array_position(low, t) == i + 1).alias("first")), lambda x: x["first"])
-    kept = F.transform(first, lambda x: x["t"])
-    return F.coalesce(F.slice(kept, 1, most) if most else kept, F.array().cast("array<string>"))
+def normalize_topics(arr: Column, most: int = 8, chars: int = 220) -> Column:
+    """Previews of the texts, blanks and repeats (in any case) left out, the first few. A fold that holds no more than those."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, t: Column) -> Column:
+        topic = preview(t, chars)
+        new = (topic != "") & ~F.coalesce(F.array_contains(acc.low, F.lower(topic)), F.lit(False))
+        more = F.struct(F.concat(acc.low, F.array(F.lower(topic))).alias("low"), F.concat(acc.kept, F.array(topic)).alias("kept"))
+        return F.when(F.size(acc.kept) >= most, acc).when(new, more).otherwise(acc)
+
+    folded = F.aggregate(F.coalesce(arr, none), F.struct(none.alias("low"), none.alias("kept")), step)
+    return folded.kept
 
 
 def cap_links(arr: Column, most: int = 5) -> Column:
@@ -216,7 +224,7 @@ def cap_links(arr: Column, most: int = 5) -> Column:
 def topic_match(arr: Column, needle: str) -> Column:
     """Whether any topic contains the needle, in any case; an empty needle matches."""
     low = " ".join(needle.lower().split())
-    return F.lit(True) if not low else F.exists(normalize_topics(arr, None), lambda t: F.lower(t).contains(low))
+    return F.lit(True) if not low else F.coalesce(F.exists(arr, lambda t: F.lower(preview(t, 220)).contains(low)), F.lit(False))
 
 
 def term_match(c: Column, *terms: str, regex: bool = False) -> Column:

@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def find_markers(lines: DataFrame, markers: DataFrame) -> DataFrame:
-    """Which paths contain each literal: the last line with it and the byte offset of its last place there.
+def marker_hits(lines: DataFrame, markers: DataFrame) -> DataFrame:
+    """The lines (with all their columns and marker) that contain a marker.
 
-    Markers (marker) are a short list that somebody asks for; they are broadcast and each line is tested against all.
+    A line that has a marker has the marker's inner words whole, so lines and markers meet on the longest of these, and only lines
+    that have it are read for the marker. Markers without an inner word are tested on each line.
     """
-    hits = lines.join(F.broadcast(markers.select("marker").distinct()), F.contains(F.col("raw"), F.col("marker")))
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
+    inner = F.filter(F.slice(words("marker"), 2, F.greatest(F.size(words("marker")) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
+    asked = markers.select("marker").distinct().withColumn("marker_word", longest)
+    spoken = lines.select("path", "line_no", F.explode(F.array_distinct(words("raw"))).alias("marker_word"))
+    near = spoken.join(asked.where("marker_word is not null"), "marker_word").select("path", "line_no", "marker")
+    has = F.contains(F.col("raw"), F.col("marker"))
+    return lines.join(near, ["path", "line_no"]).where(has).unionByName(lines.join(asked.where("marker_word is null").select("marker"), has))
+
+
+def find_markers(lines: DataFrame, markers: DataFrame) -> DataFrame:
+    """Which paths contain each literal: the last line with it and the byte offset of its last place there."""
+    hits = marker_hits(lines, markers)
     times = "size(split(raw, concat('\\\\Q', marker, '\\\\E'), -1)) - 1"
     last = F.expr(f"octet_length(substring_index(raw, marker, {times}))")
     return hits.groupBy("marker", "path").agg(F.max(F.struct("line_no", last.alias("byte_offset"))).alias("hit"), F.count("*").alias("lines")).select("marker", "path", "hit.line_no", "hit.byte_offset", "lines")
@@ -38,7 +51,19 @@ def latest_match(lines: DataFrame, pattern: str) -> DataFrame:
     rows = lines.withColumn("match", F.try_element_at(F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)), F.lit(-1))).where("match is not null")
     own = Window.partitionBy("path").orderBy(F.col("line_no").desc())
     last = rows.withColumn("nth", F.row_number().over(own)).where("nth = 1").drop("nth", "raw")
-    return last.withColumn("place", F.row_number().over(Window.orderBy(F.col("mtime").desc(), F.col("line_no").desc(), F.col("size").desc(), "path")))
+    return numbered(last, [F.col("mtime").desc(), F.col("line_no").desc(), F.col("size").desc(), F.col("path")], "place")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the place from 1 in an order of all rows: rows are dealt by range, numbered within their part, and shifted by the
+    sizes of the parts before."""
+    from ..sources.sinks import written
+
+    dealt = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
+    shift = sizes.select(F.col("part").alias("of_part"), F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("nth", own).join(shift, F.col("part") == F.col("of_part")).withColumn(name, (F.col("nth") + F.col("shift")).cast("int")).drop("part", "of_part", "nth", "shift")
 
 
 def session_inventory(files: DataFrame, names: DataFrame) -> DataFrame:
@@ -63,10 +88,18 @@ def gate_status(stamps: DataFrame, current: DataFrame, allowed: tuple[str, ...]
 
 def affected_docs(changes: DataFrame, sections: DataFrame) -> DataFrame:
     """Documents that a change touches (changes: path; sections: doc_path, section_id, scopes): by a matching scope, or
-    by an edit of the document itself; kind is source or doc, matched scopes are collected. Sections are one repository's
-    documentation and are broadcast."""
+    by an edit of the document itself; kind is source or doc, matched scopes are collected.
+
+    A plain scope is a path or a folder and meets the changed paths on their own prefixes; only scopes with wildcards are tried on every path."""
     scopes = sections.select("doc_path", "section_id", F.explode("scopes").alias("scope")).withColumn("re", T.scope_regex(F.col("scope")))
-    by_scope = changes.select("path").distinct().join(F.broadcast(scopes), F.rlike(F.col("path"), F.col("re"))).select("path", "doc_path", "section_id", F.lit("source").alias("kind"), "scope")
+    globs = F.col("scope").rlike(r"[*?\[\]{}]")
+    paths = changes.select("path").distinct()
+    parts = F.split("path", "/")
+    prefixes = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("prefix"))
+    plain = prefixes.join(scopes.where(~globs), F.col("prefix") == F.rtrim(F.col("scope"), F.lit("/"))).where(F.rlike(F.col("path"), F.col("re")))
+    wild = paths.join(scopes.where(globs), F.rlike(F.col("path"), F.col("re")))
+    matched = ("path", "doc_path", "section_id", F.lit("source").alias("kind"), "scope")
+    by_scope = plain.select(*matched).unionByName(wild.select(*matched))
     direct = changes.select("path").distinct().join(sections, F.col("path") == F.col("doc_path")).select("path", "doc_path", "section_id", F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("scope"))
     return by_scope.unionByName(direct).groupBy("path", "doc_path", "section_id", "kind").agg(F.array_sort(F.collect_set("scope")).alias("scopes"))
 
@@ -100,7 +133,7 @@ def score_retrieval(trace: DataFrame) -> DataFrame:
 def evidence_coverage(events: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Per required prefix: the number of sessions with a call whose name starts with it; 0 means missing."""
     calls = events.where("type = 'tool_call'").select("session_id", "call_name").distinct()
-    met = calls.join(F.broadcast(prefixes), F.startswith(F.col("call_name"), F.col("prefix")))
+    met = calls.join(prefixes, F.startswith(F.col("call_name"), F.col("prefix")))
     found = met.groupBy("prefix").agg(F.count_distinct("session_id").alias("sessions"))
     return prefixes.join(found, "prefix", "left").fillna({"sessions": 0}).withColumn("missing", F.col("sessions") == 0)
 

@@ -119,10 +119,15 @@ def parent_of(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
 def browse(docs: DataFrame, requests: DataFrame, start: int = 0, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
     """Pages per request (request_id, session_id, handle, zoom, topic): zoom `in` or `children` lists children, `out` the parent,
-    `siblings` the parent's children. Source messages have no children. With a topic, children are ranked by its tokens,
+    `siblings` the parent's children. Source messages have no children. Where a root without text has a single child and that is a
+    generated summary, the child stands in for it, and its children are listed. With a topic, children are ranked by its tokens,
     and those without any are left out."""
     message = docs.where("kind = 'message' and type = 'message' and role in ('user', 'assistant')").select("session_id", "handle")
     inward = requests.where("zoom in ('in', 'children')").join(message, ["session_id", "handle"], "left_anti")
+    only = docs.where("parent_handle is not null").groupBy("session_id", F.col("parent_handle").alias("handle")).agg(F.count("*").alias("n"), F.first("handle").alias("stand_in"), F.first("kind").alias("child_kind"))
+    empty = docs.where("depth = 0 and coalesce(search_text, '') = ''").select("session_id", "handle")
+    only = only.where("n = 1 and child_kind like 'summary%'").join(empty, ["session_id", "handle"]).select("session_id", "handle", "stand_in")
+    inward = inward.join(only, ["session_id", "handle"], "left").withColumn("handle", F.coalesce("stand_in", "handle"))
     siblings = requests.where("zoom = 'siblings'").join(docs.select("session_id", "handle", "parent_handle"), ["session_id", "handle"]).select("request_id", "session_id", F.col("parent_handle").alias("handle"))
     listed = children_of(docs, inward.select("request_id", "session_id", "handle").unionByName(siblings)).unionByName(parent_of(docs, requests.where("zoom = 'out'")), allowMissingColumns=True)
     index = index if index is not None else build_search_index(docs)
@@ -135,20 +140,47 @@ def browse(docs: DataFrame, requests: DataFrame, start: int = 0, limit: int = 20
 
 def open_nodes(docs: DataFrame, requests: DataFrame) -> DataFrame:
     """Renders requested nodes (request_id, session_id, handle, budget): verbatim if the budget takes it, else an excerpt of
-    max(160, 4 * budget) characters for text, else the heads of children. Hidden and unknown handles give status not_found."""
+    max(160, 4 * budget) characters for text, else the node's head and those of its children, in order while their lines fit the budget (one at
+    least), with the number of those left out. Adds children, the handles shown. Hidden and unknown handles give status not_found."""
     own = docs.where(~F.col("kind").startswith("reasoning"))
     met = requests.join(own, ["session_id", "handle"], "left")
     text = F.coalesce(F.nullif("full_text", F.lit("")), F.lit(""))
     fits, has = F.col("full_tokens") <= F.col("budget"), text != ""
     room = F.greatest(F.lit(160), F.col("budget") * 4).cast("int")
+    top = F.coalesce("head", "title")
+
+    listed = met.where(F.col("kind").isNotNull() & ~has).select("request_id", "session_id", F.col("handle").alias("parent_handle"), "budget", T.estimate_tokens(top).alias("top_cost"))
+    line = F.concat(F.lit("- "), F.col("title"), F.lit(": "), top, F.lit(" ("), F.col("full_tokens").cast("string"), F.lit(" full tokens) ["), F.col("handle"), F.lit("]"))
+    kids = own.select("session_id", "parent_handle", "pos", F.col("handle").alias("child"), line.alias("line")).join(listed, ["session_id", "parent_handle"])
+    by = Window.partitionBy("request_id").orderBy("pos", "child")
+    spent = F.col("top_cost") + F.sum(T.estimate_tokens(F.col("line"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    shown = kids.withColumn("shown", (F.row_number().over(by) == 1) | (spent <= F.col("budget")))
+    row = F.when(F.col("shown"), F.struct("pos", "child", "line"))
+    heads = shown.groupBy(F.col("request_id").alias("of_request")).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count_if(~F.col("shown")).alias("more"))
+    met = met.join(heads, F.col("request_id").eqNullSafe(F.col("of_request")), "left")
+    lines = F.concat_ws("\n", top, F.transform("rows", lambda r: r.line), F.when(F.col("more") > 0, F.concat(F.lit("... "), F.col("more").cast("string"), F.lit(" more children omitted."))))
+
     level = F.when(F.col("kind").isNull(), None).when(fits & has, "verbatim").when(has, "excerpt").otherwise("heads")
-    content = F.when(fits & has, text).when(has, F.substr(text, F.lit(1), room)).otherwise(F.coalesce("head", "title"))
+    content = F.when(fits & has, text).when(has, F.substr(text, F.lit(1), room)).otherwise(lines)
     return met.select(
         "request_id", "session_id", "handle", F.when(F.col("kind").isNull(), "not_found").otherwise("ok").alias("status"), level.alias("mip_level"), F.when(F.col("kind").isNotNull(), content).alias("content"),
         (F.coalesce(fits & has, F.lit(False))).alias("is_verbatim"), F.when(F.col("kind").isNull() | (fits & has), 0).when(has, F.greatest(F.lit(0), F.col("full_tokens") - T.estimate_tokens(content))).otherwise(F.col("full_tokens")).cast("long").alias("omitted_tokens"),
+        F.coalesce(F.transform("rows", lambda r: r.child), F.array().cast("array<string>")).alias("children"),
     )
 
 
+def find_refs(docs: DataFrame, nodes: DataFrame, requests: DataFrame, start: int = 0, limit: int = 10, mip: int | None = None, topic: str = "", index: DataFrame | None = None, **fields) -> DataFrame:
+    """Search as one call: the filter and the topic narrow the documents, each request's page of them is hydrated from the
+    source, and of hits that stand for the same line or message one is left. Place, total and next_start are those of the
+    page, before repeats go."""
+    kept = apply_search_filter(docs, mip, **fields)
+    if topic:
+        kept = kept.where(T.topic_match(F.col("topics"), topic))
+    pages = search(kept, requests, start, limit, index)
+    refs = hydrate(pages.withColumn("line", F.col("line") if "line" in pages.columns else F.lit(None).cast("long")), docs, nodes)
+    return canonical_refs(refs.withColumn("openable", F.col("content").isNotNull()), ["request_id", "session_id"])
+
+
 def hydrate(refs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds to search refs (session_id, handle, kind, line) what stored documents hold (they win), then content from the
     source: by handle, else from the same line, of the same kind first, then the smallest handle."""

@@ -63,23 +63,25 @@ def job_accounting(jobs: DataFrame, keys: list[str], output_estimate: int = 320)
     return a.withColumn("basis", basis).withColumn("output", F.when(F.col("basis") == "actual", F.col("actual_output")).otherwise(F.col("jobs") * output_estimate)).drop("actual_output")
 
 
-def list_models(pricing: DataFrame, needle: str = "", provider: str | None = None, limit: int = 20) -> DataFrame:
+def list_models(pricing: DataFrame, needle: str = "", provider: str | None = None, limit: int | None = 20) -> DataFrame:
+    """Models by provider and id whose fields contain the needle, in any case; the first `limit`, or all."""
     rows = pricing if provider is None else pricing.where(F.lower("provider_id") == provider.lower())
     fields = [c for c in ("provider_id", "model_id", "id", "name", "family", "status") if c in pricing.columns]
-    return rows.where(F.lower(F.concat_ws("\n", *fields)).contains(needle.lower())).orderBy("provider_id", "model_id").limit(limit)
+    found = rows.where(F.lower(F.concat_ws("\n", *fields)).contains(needle.lower())).orderBy("provider_id", "model_id")
+    return found if limit is None else found.limit(limit)
 
 
 def resolve_pricing(asked: DataFrame, pricing: DataFrame) -> DataFrame:
     """Adds to rows with `model` (and maybe `provider`): status (ok, unknown, ambiguous), provider_id, model_id, cost.
 
     `provider/model` and `provider:model` are parted where the first part is a known provider. Names match the model id, the id, or
-    either qualified form, in any case. The catalogue has a bounded number of models and is broadcast.
+    either qualified form, in any case.
     """
     low = lambda c: F.lower(F.trim(T.text_of(c)))
     names = F.array_distinct(F.array(low(F.col("model_id")), low(F.col("id")), low(F.concat_ws("/", "provider_id", "model_id")), low(F.concat_ws(":", "provider_id", "model_id"))))
     keys = pricing.select("provider_id", "model_id", "cost", F.explode(names).alias("model_key"))
     rows = asked.withColumn("ask_id", F.monotonically_increasing_id()) if "ask_id" not in asked.columns else asked
-    met = rows.withColumn("wanted", low(F.col("model"))).join(F.broadcast(keys), (F.col("wanted") == F.col("model_key")) & ((low(F.col("provider")) == "") | (low(F.col("provider")) == low(F.col("provider_id")))), "left")
+    met = rows.withColumn("wanted", low(F.col("model"))).join(keys, (F.col("wanted") == F.col("model_key")) & ((low(F.col("provider")) == "") | (low(F.col("provider")) == low(F.col("provider_id")))), "left")
     found = met.groupBy(*rows.columns).agg(F.count("model_id").alias("n"), F.min(F.struct("provider_id", "model_id", "cost")).alias("hit"))
     status = F.when(F.col("n") == 0, "unknown").when(F.col("n") > 1, "ambiguous").otherwise("ok")
     one = lambda c: F.when(F.col("n") == 1, F.col(f"hit.{c}")).alias(c)

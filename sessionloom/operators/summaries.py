@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.sinks import written
 
-# Fixed value: tags that mark a message as put there by a harness.
-INJECTED = r"^\s*<(environment_context|user_instructions|system-reminder|turn_aborted|permissions|collaboration_mode)"
+# Tags that mark a user's message as put there by a harness.
+TAGS = ("recommended_plugins", "environment_context", "permissions instructions", "collaboration_mode", "multi_agent_mode", "skills_instructions", "apps_instructions", "plugins_instructions")
+INJECTED = rf"(?i)<(?:{'|'.join(TAGS)})(?:\s[^>]*)?>"
 
 
 def level_one_sources(df: DataFrame, injected: str = INJECTED) -> DataFrame:
-    """What a first-level summary reads: messages of users and assistants, calls and results, less injected messages."""
-    message = (F.col("type") == "message") & F.col("role").isin("user", "assistant") & ~F.col("text").rlike(injected)
+    """What a first-level summary reads: messages of users and assistants, calls and results, less users' messages that a
+    harness injected (where a column payload_kind is there, only those whose payload is a message)."""
+    marked = (F.col("role") == "user") & F.coalesce(F.col("text").rlike(injected), F.lit(False))
+    if "payload_kind" in df.columns:
+        marked &= F.col("payload_kind").eqNullSafe("message")
+    message = (F.col("type") == "message") & F.col("role").isin("user", "assistant") & ~marked
     return df.where(message | F.col("type").isin("tool_call", "tool_result"))
 
 
@@ -28,12 +33,22 @@ def child_records(nodes: DataFrame) -> DataFrame:
 def level_one_spans(sources: DataFrame, closed: DataFrame, tail: DataFrame, budget: int) -> DataFrame:
     """First-level groups: closed spans packed whole; of the tail all groups but the last, which may still grow unless it is full.
 
-    sources/closed/tail are event rows (session_id, ordinal, cost); closed has span. Adds slot (from 0 in a session) and handle.
+    sources/closed/tail are event rows (session_id, ordinal, cost); closed has span; only rows that are among the sources are packed
+    (see level_one_sources). Where closed and tail have type and tool_call_id, a call and its result stay together. Adds slot (from
+    0 in a session) and handle.
     """
-    from .spans import pack_greedy
+    from .spans import pack_greedy, pack_pairs
+
+    paired = {"type", "tool_call_id"} <= set(closed.columns) & set(tail.columns)
+    columns = ["session_id", "span", "ordinal", "cost", *(["type", "tool_call_id"] if paired else [])]
+    read = sources.select("session_id", "ordinal").distinct()
 
-    done = pack_greedy(closed.select("session_id", "span", "ordinal", "cost"), ["session_id", "span"], "ordinal", F.col("cost"), budget)
-    open_ = pack_greedy(tail.select("session_id", F.lit(1 << 30).cast("long").alias("span"), "ordinal", "cost"), ["session_id", "span"], "ordinal", F.col("cost"), budget)
+    def packed(df: DataFrame) -> DataFrame:
+        rows, key = df.select(*columns).join(read, ["session_id", "ordinal"], "left_semi"), ["session_id", "span"]
+        groups = pack_pairs(rows, key, budget) if paired else pack_greedy(rows, key, "ordinal", F.col("cost"), budget)
+        return groups.select("session_id", "span", "ordinal", "cost", "group")
+
+    done, open_ = packed(closed), packed(tail.withColumn("span", F.lit(1 << 30).cast("long")))
     by = Window.partitionBy("session_id")
     group = Window.partitionBy("session_id", "group")
     ready = open_.withColumn("last_group", F.max("group").over(by)).withColumn("total", F.sum("cost").over(group)).where((F.col("group") < F.col("last_group")) | (F.col("total") >= budget))
@@ -69,10 +84,25 @@ def root_candidates(targets: DataFrame) -> DataFrame:
     return targets.groupBy("session_id").agg(F.every(F.col("status") == "completed").alias("ready"), F.count("*").alias("spans")).where("ready").drop("ready")
 
 
-def summary_inputs(children: DataFrame, key: list[str]) -> DataFrame:
-    """The records of each parent's children as ordered lines of JSON, with their number and hash."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "record"))), lambda x: x.record), "\n")
-    return children.groupBy(*key).agg(lines.alias("input"), F.count("*").alias("n_children")).withColumn("source_hash", F.sha2("input", 256))
+def summary_inputs(children: DataFrame, key: list[str], revisions: DataFrame | None = None) -> DataFrame:
+    """The records of each parent's children as ordered lines of JSON, with their number and hash.
+
+    With revisions (the key, plan and from_index of revision_plan(), previous, the summary to revise, and n_before), a parent whose plan is
+    to append or to replace a suffix reads the previous summary, what has changed, and only the records from the first change on; the
+    hash is over all records either way.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("pos", "record")))
+    whole = children.groupBy(*key).agg(rows.alias("rows"), F.count("*").alias("n_children"))
+    lines = lambda r: F.array_join(F.transform(r, lambda x: x.record), "\n")
+    hashed = whole.withColumn("source_hash", F.sha2(lines(F.col("rows")), 256))
+    if revisions is None:
+        return hashed.select(*key, lines(F.col("rows")).alias("input"), "n_children", "source_hash")
+    met = hashed.join(revisions.select(*key, "plan", "from_index", "previous", "n_before"), key, "left")
+    update = F.col("plan").isin("append", "replace_suffix") & F.col("previous").isNotNull()
+    change = F.to_json(F.struct(F.col("plan").alias("kind"), F.col("from_index").alias("unchanged"), F.col("n_before").alias("before"), F.col("n_children").alias("now")))
+    suffix = lines(F.slice("rows", F.col("from_index") + 1, F.greatest(F.col("n_children").cast("int") - F.col("from_index"), F.lit(0))))
+    text = F.when(update, F.concat_ws("\n", "previous", change, suffix)).otherwise(lines(F.col("rows")))
+    return met.select(*key, text.alias("input"), "n_children", "source_hash", F.when(update, F.col("plan")).otherwise("create").alias("plan"))
 
 
 def target_ids(inputs: DataFrame, strategy: str, options: str = "") -> DataFrame:
@@ -194,17 +224,49 @@ def summarize_extractive(inputs: DataFrame, words: int = 12, topics: int = 5) ->
     return inputs.mapInPandas(run, f"{fields}, summary string, topics array<string>, error string")
 
 
-def summarize_cycle(inputs: DataFrame, targets: DataFrame, strategy: str, summariser=summarize_extractive) -> tuple[DataFrame, DataFrame]:
+def summarize_cycle(inputs: DataFrame, targets: DataFrame, strategy: str, summariser=summarize_extractive, budget: float | None = None, at: int = 0) -> tuple[DataFrame, DataFrame]:
     """One round: ids for the inputs (session_id, handle, input, source_hash), reuse of what is done, summaries of the rest,
-    commit. Returns the new targets and the inputs with their summaries."""
+    commit at time `at`. Returns the new targets and the inputs with their summaries.
+
+    With a budget (USD over all sessions), inputs have usd and seq, and only jobs that fit what is left of it are done, in order; the
+    others stay pending for a later round. The summariser runs once.
+    """
+    from ..sources.sinks import written
+    from .spans import select_within_budget
+
     jobs = split_reusable(target_ids(inputs, strategy), targets)
-    made = summariser(jobs.where("work = 'pending'"))
+    pending = jobs.where("work = 'pending'")
+    if budget is not None:
+        pending = select_within_budget(pending.withColumn("run", F.lit(0)), ["run"], budget).where("selected").select(*jobs.columns)
+    made = summariser(pending)
     status = F.when(F.col("error").isNull(), "completed").otherwise("error")
-    results = made.select("target_id", status.alias("status"), "summary", F.lit(0).cast("long").alias("updated_at"))
+    results = written(made.select("target_id", status.alias("status"), "summary", F.lit(at).cast("long").alias("updated_at")))
     after = commit_targets(targets, results)
     return after, jobs.join(after.where("status = 'completed'").select("target_id", "summary"), "target_id", "left")
 
 
+def summarize_to_roots(spans: DataFrame, records: DataFrame, strategy: str, budget: int, summariser=summarize_extractive, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Rounds from first-level spans (session_id, handle, seq, tokens) with their records (session_id, handle, pos, record) up
+    to the top span of each session: every level reads the summaries of the one below. Returns all targets and, for each span of any level, session_id, level, handle, summary.
+    """
+    from ..sources.sinks import written
+
+    tree = written(rollup_levels(spans, budget, most))
+    targets = spans.sparkSession.createDataFrame([], "target_id string, status string, summary string, updated_at long")
+    made = None
+    children = records
+    for level in range(1, most + 1):
+        own = tree.where(F.col("level") == level)
+        if own.isEmpty():
+            break
+        targets, got = summarize_cycle(summary_inputs(children, ["session_id", "handle"]), targets, strategy, summariser, at=level)
+        targets, got = written(targets), written(got.select("session_id", F.lit(level).alias("level"), "handle", "summary"))
+        made = got if made is None else made.unionByName(got)
+        up = own.where("parent_handle is not null").join(got.select("session_id", "handle", "summary"), ["session_id", "handle"])
+        children = up.select("session_id", F.col("parent_handle").alias("handle"), F.col("seq").alias("pos"), F.coalesce("summary", F.lit("")).alias("record"))
+    return targets, made
+
+
 def publish_decision(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
     """publish, stale_source (the candidate is older than what is published, or its source changed since) or
     summary_not_ready (unfinished summaries would replace a published tree)."""

@@ -59,10 +59,10 @@ def flt_01(spark, sf):
     return S.apply_search_filter(docs(spark, sf), mip=1, role=["user", "system"], parent_handle=["session/1", "session/2", "session/3"]).select("session_id", "handle")
 
 
-@query("jn_05_parent_children", f"WITH {NODES} SELECT p.session_id, p.handle AS parent, c.handle AS child FROM nt p JOIN nt c ON c.session_id = p.session_id AND c.parent_handle = p.handle WHERE p.depth = 1 AND p.pos = 0")
+@query("jn_05_parent_children", f"WITH {NODES}, nm AS MATERIALIZED (SELECT session_id, handle, parent_handle FROM nt) SELECT p.session_id, p.handle AS parent, c.handle AS child FROM nm p JOIN nm c ON c.parent_handle = p.handle AND c.session_id = p.session_id")
 def jn_05(spark, sf):
     n = nodes(spark, sf)
-    asked = n.where("depth = 1 and pos = 0").select(F.col("handle").alias("request_id"), "session_id", "handle")
+    asked = n.select(F.col("handle").alias("request_id"), "session_id", "handle")
     kids = S.children_of(n, asked).select("session_id", F.col("handle").alias("child"))
     up = S.parent_of(n, kids.select(F.col("child").alias("request_id"), "session_id", F.col("child").alias("handle")))
     return up.select("session_id", F.col("handle").alias("parent"), F.col("request_id").alias("child"))
@@ -86,9 +86,13 @@ def hi_15(spark, sf):
 
 @query(
     "hi_16_open",
-    f"""WITH {DOCS}, q AS (SELECT session_id, handle, kind, depth, full_tokens, title, CASE WHEN depth = 0 THEN '' ELSE full_text END AS t, CASE pos % 3 WHEN 0 THEN 1000 WHEN 1 THEN 60 ELSE 10 END AS budget, role FROM dc WHERE depth < 2),
+    f"""WITH {DOCS}, dm AS MATERIALIZED (SELECT * FROM dc), nm AS MATERIALIZED (SELECT handle, head FROM nt), q AS (SELECT session_id, handle, kind, depth, full_tokens, title, CASE WHEN depth = 0 THEN '' ELSE full_text END AS t, CASE pos % 3 WHEN 0 THEN 1000 WHEN 1 THEN 60 ELSE 10 END AS budget, role FROM dm WHERE depth < 2),
     o AS (SELECT *, t <> '' AS has, full_tokens <= budget AS fits, (greatest(160, budget * 4))::INTEGER AS room FROM q),
-    c AS (SELECT *, CASE WHEN fits AND has THEN t WHEN has THEN substr(t, 1, room) ELSE coalesce((SELECT head FROM nt WHERE nt.handle = o.handle), title) END AS content FROM o)
+    ot AS (SELECT o.*, coalesce(nm.head, title) AS top FROM o LEFT JOIN nm USING (handle)),
+    kd AS (SELECT ot.handle, c.pos, c.handle AS child, top, ot.budget, '- ' || c.title || ': ' || coalesce(n.head, c.title) || ' (' || c.full_tokens || ' full tokens) [' || c.handle || ']' AS line FROM ot JOIN dm c ON c.parent_handle = ot.handle AND c.session_id = ot.session_id LEFT JOIN nm n ON n.handle = c.handle WHERE NOT has),
+    ks AS (SELECT *, row_number() OVER w = 1 OR {tokens_sql('top')} + sum({tokens_sql('line')}) OVER w <= budget AS shown FROM kd WINDOW w AS (PARTITION BY handle ORDER BY pos, child ROWS UNBOUNDED PRECEDING)),
+    kk AS (SELECT handle, string_agg(line, chr(10) ORDER BY pos, child) FILTER (shown) AS lines, count(*) FILTER (NOT shown) AS more FROM ks GROUP BY 1),
+    c AS (SELECT ot.*, CASE WHEN fits AND has THEN t WHEN has THEN substr(t, 1, room) ELSE top || coalesce(chr(10) || lines, '') || CASE WHEN more > 0 THEN chr(10) || '... ' || more || ' more children omitted.' ELSE '' END END AS content FROM ot LEFT JOIN kk USING (handle))
     SELECT session_id, handle, CASE WHEN fits AND has THEN 'verbatim' WHEN has THEN 'excerpt' ELSE 'heads' END AS mip_level, content, fits AND has AS is_verbatim,
       (CASE WHEN fits AND has THEN 0 WHEN has THEN greatest(0, full_tokens - {tokens_sql('content')}) ELSE full_tokens END)::BIGINT AS omitted_tokens FROM c""",
 )
@@ -135,11 +139,11 @@ def win_09(spark, sf):
 
 @query(
     "win_10_canonical_nav",
-    f"""WITH r AS (SELECT doc_id, lang || '/' || repeat('x', (doc_id % 4)::INTEGER) || source AS handle, n_chars // 1000 AS line, {compact_sql('substr(text, 1, 6)')} AS k FROM documents),
+    f"""WITH r AS (SELECT doc_id, lang || '/' || repeat('x', (doc_id % 4)::INTEGER) || source AS handle, n_chars // 1000 AS line, {compact_sql('text')} AS k FROM documents),
     w AS (SELECT *, row_number() OVER (PARTITION BY line, k ORDER BY length(handle), doc_id) AS n FROM r) SELECT doc_id, handle FROM w WHERE n = 1""",
 )
 def win_10(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.concat("lang", F.lit("/"), F.repeat(F.lit("x"), (F.col("doc_id") % 4).cast("int")), "source").alias("handle"), F.floor(F.col("n_chars") / 1000).alias("line"), F.substring("text", 1, 6).alias("text"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.concat("lang", F.lit("/"), F.repeat(F.lit("x"), (F.col("doc_id") % 4).cast("int")), "source").alias("handle"), F.floor(F.col("n_chars") / 1000).alias("line"), F.col("text"))
     return S.canonical_nav(d, []).select(F.col("pos").alias("doc_id"), "handle")
 
 

@@ -77,15 +77,16 @@ def agg_10(spark, sf):
 def pricing(spark, sf):
     p = table(spark, sf, "part")
     rate = lambda k: (F.col("p_size") % k).cast("double")
-    return p.where("p_partkey <= 60").select(F.concat(F.lit("prov"), F.col("p_partkey") % 3).alias("provider_id"), F.concat(F.lit("Model-"), F.col("p_partkey") % 25).alias("model_id"), F.concat(F.lit("id"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("family"), F.lit("active").alias("status"), F.struct(rate(7).alias("input"), rate(11).alias("output"), rate(3).alias("cache_read"), rate(2).alias("cache_write"), rate(5).alias("reasoning")).alias("cost"))
+    model = F.when(F.col("p_partkey") % 10 == 0, 0).otherwise(F.col("p_partkey"))  # some names stand for several models
+    return p.select(F.concat(F.lit("prov"), F.col("p_partkey") % 3).alias("provider_id"), F.concat(F.lit("Model-"), model).alias("model_id"), F.concat(F.lit("id"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("family"), F.lit("active").alias("status"), F.struct(rate(7).alias("input"), rate(11).alias("output"), rate(3).alias("cache_read"), rate(2).alias("cache_write"), rate(5).alias("reasoning")).alias("cost"))
 
 
-PRICING = "pr AS (SELECT 'prov' || (p_partkey % 3) AS provider_id, 'Model-' || (p_partkey % 25) AS model_id, 'id' || p_partkey AS id, p_name AS name, p_brand AS family, (p_size % 7)::DOUBLE AS c_in, (p_size % 11)::DOUBLE AS c_out, (p_size % 3)::DOUBLE AS c_cr, (p_size % 2)::DOUBLE AS c_cw, (p_size % 5)::DOUBLE AS c_re FROM part WHERE p_partkey <= 60)"
+PRICING = "pr AS (SELECT 'prov' || (p_partkey % 3) AS provider_id, 'Model-' || CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_partkey END AS model_id, 'id' || p_partkey AS id, p_name AS name, p_brand AS family, (p_size % 7)::DOUBLE AS c_in, (p_size % 11)::DOUBLE AS c_out, (p_size % 3)::DOUBLE AS c_cr, (p_size % 2)::DOUBLE AS c_cw, (p_size % 5)::DOUBLE AS c_re FROM part)"
 
 
 @query("flt_10_list_models", f"WITH {PRICING} SELECT provider_id, model_id, id FROM pr WHERE provider_id = 'prov1' AND (contains(lower(model_id), '-1') OR contains(lower(id), '-1') OR contains(lower(name), '-1') OR contains(lower(family), '-1'))")
 def flt_10(spark, sf):
-    return S.list_models(pricing(spark, sf), "-1", "PROV1", 100).select("provider_id", "model_id", "id")
+    return S.list_models(pricing(spark, sf), "-1", "PROV1", None).select("provider_id", "model_id", "id")
 
 
 ASKED = "ask AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'model-' || (event_id % 30) WHEN 1 THEN 'prov' || (event_id % 3) || '/MODEL-' || (event_id % 25) WHEN 2 THEN 'ID' || (event_id % 70) ELSE 'nothing' END AS model, CASE WHEN event_id % 8 = 0 THEN 'prov' || (event_id % 3) ELSE '' END AS provider FROM events)"

@@ -84,7 +84,7 @@ def open_values(spark, sf):
     k = F.col("turn") % 3
     parts = F.array(F.struct(F.lit("input_text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("image_url")), F.struct(F.lit("input_image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("http://x/y.png").alias("image_url")))
     raw = F.when(k == 0, F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)).when(k == 1, F.to_json(parts)).otherwise(F.to_json(F.struct(F.lit("note").alias("type"), F.col("role").alias("who"))))
-    return c.select("conv_id", "turn", "text", F.try_parse_json(raw).alias("v"))
+    return c.select("conv_id", "turn", "role", "text", F.try_parse_json(raw).alias("v"))
 
 
 @query("prj_02_normalize_content", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'text,input_image' ELSE 'note' END AS types, CASE WHEN turn % 3 < 2 THEN text END AS first_text FROM conversations")
@@ -98,9 +98,11 @@ def prj_12(spark, sf):
     return open_values(spark, sf).select("conv_id", "turn", C.content_text(F.col("v")).alias("text"))
 
 
-@query("prj_10_event_text", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || '{\"image_url\":\"http://x/y.png\",\"type\":\"input_image\"}' ELSE '{\"type\":\"note\",\"who\":\"' || role || '\"}' END AS text FROM conversations")
+@query("prj_10_event_text", "SELECT conv_id, turn, role || chr(10) || CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || '{\"image_url\":\"http://x/y.png\",\"type\":\"input_image\"}' ELSE '{\"type\":\"note\",\"who\":\"' || role || '\"}' END || chr(10) || 'call-' || conv_id || CASE WHEN turn % 2 = 0 THEN chr(10) || '{\"turn\":' || turn || '}' ELSE '' END AS text FROM conversations")
 def prj_10(spark, sf):
-    return open_values(spark, sf).select("conv_id", "turn", C.event_text(F.col("text"), C.normalize_content(F.col("v"))).alias("text"))
+    arguments = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("turn")))
+    whole = C.event_text(F.col("text"), C.normalize_content(F.col("v")), F.concat(F.lit("call-"), F.col("conv_id").cast("string")), arguments, before=(F.lit(""), F.col("role")))
+    return open_values(spark, sf).select("conv_id", "turn", whole.alias("text"))
 
 
 @query("prj_05_reasoning_flags", "SELECT event_id, event_id % 2 = 0 AS has_summary, event_id % 3 = 0 AS has_encrypted, false AS has_signature FROM events")
@@ -136,9 +138,9 @@ def prj_19(spark, sf):
     return c.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.array_join("r.texts", "|").alias("texts"), "r.content", "r.is_verbatim")
 
 
-@query("prj_21_valid_text", "SELECT doc_id, substr(text, 1, 50) || chr(65533) AS text FROM documents")
+@query("prj_21_valid_text", "SELECT doc_id, text || chr(65533) || text AS text FROM documents")
 def prj_21(spark, sf):
-    broken = F.concat(F.substring("text", 1, 50).cast("binary"), F.unhex(F.lit("FF")))
+    broken = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")), F.col("text").cast("binary"))
     return table(spark, sf, "documents").select("doc_id", C.valid_text(broken.cast("string")).alias("text"))
 
 

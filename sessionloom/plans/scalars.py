@@ -127,14 +127,14 @@ def scl_11(spark, sf):
 
 @query(
     "scl_14_normalize_topics",
-    f"""WITH t AS (SELECT doc_id, unnest(string_split(substr(text, 1, 400), ' ')) AS raw, generate_subscripts(string_split(substr(text, 1, 400), ' '), 1) AS pos FROM documents),
+    f"""WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),
     p AS (SELECT doc_id, pos, {preview_sql('raw', 220)} AS topic FROM t),
     f AS (SELECT doc_id, lower(topic) AS k, arg_min(topic, pos) AS topic, min(pos) AS pos FROM p WHERE topic <> '' GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f)
     SELECT d.doc_id, coalesce(string_agg(topic, '|' ORDER BY pos), '') AS topics FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 8 GROUP BY 1""",
 )
 def scl_14(spark, sf):
-    words = F.split(F.substring("text", 1, 400), " ")
+    words = F.split("text", " ")
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.normalize_topics(words), "|").alias("topics"))
 
 

@@ -46,7 +46,11 @@ def str_06(spark, sf):
     SELECT '/logs/' || user_id AS path, min(ts) AS first_at, max(ts) + INTERVAL 6 HOURS AS quiet_at, count(*) AS changes FROM s GROUP BY user_id, k""")
 def str_02(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("/logs/"), "user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
-    return e.groupBy("path", F.session_window("ts", "6 hours")).agg(F.count("*").alias("changes")).select("path", F.col("session_window.start").cast("timestamp_ntz").alias("first_at"), F.col("session_window.end").cast("timestamp_ntz").alias("quiet_at"), "changes")
+    end = e.agg(F.max("ts") + F.expr("INTERVAL 30 DAYS")).first()[0]  # a later change closes the windows before it
+    last = spark.createDataFrame([("", end)], e.schema)
+    stream = R.coalesce_changes(landed(e.unionByName(last)), "6 hours", "10 days")
+    out = R.run_to_table(stream).where("path <> ''")
+    return out.select("path", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("quiet_at").cast("timestamp_ntz").alias("quiet_at"), "changes")
 
 
 @query("str_03_stream_markers", "SELECT b.text AS marker, source AS path, doc_id AS line_no FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON contains(d.text, b.text)")

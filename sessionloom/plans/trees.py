@@ -144,12 +144,17 @@ def flt_03(spark, sf):
     return N.build_docs(rolled(spark, sf), predicate=F.col("full_tokens") > 20).where("retrieval_visible").select("session_id", "handle")
 
 
-@query("flt_04_level_one_sources", "SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'assistant') AND NOT regexp_matches(text, '^(The|Der|Les?) ')")
+_TAGGED = "CASE turn % 4 WHEN 1 THEN 'seen <Environment_Context cwd=''x''> ' WHEN 2 THEN '<skills_instructions>' WHEN 3 THEN '<user_instructions>' ELSE '' END || text"
+
+
+@query("flt_04_level_one_sources", rf"SELECT conv_id, turn FROM (SELECT *, {_TAGGED} AS t FROM conversations) WHERE role = 'assistant' OR role = 'user' AND NOT regexp_matches(t, '(?i)<(recommended_plugins|environment_context|permissions instructions|collaboration_mode|multi_agent_mode|skills_instructions|apps_instructions|plugins_instructions)(\s[^>]*)?>')")
 def flt_04(spark, sf):
     from ..operators import summaries as S
 
-    e = events(spark, sf)
-    return S.level_one_sources(e, injected="^(The|Der|Les?) ").select(F.col("session_id").cast("long").alias("conv_id"), F.col("line_no").alias("turn"))
+    turn = F.col("line_no") % 4
+    tag = F.when(turn == 1, "seen <Environment_Context cwd='x'> ").when(turn == 2, "<skills_instructions>").when(turn == 3, "<user_instructions>").otherwise("")
+    e = events(spark, sf).withColumn("text", F.concat(tag, "text"))
+    return S.level_one_sources(e).select(F.col("session_id").cast("long").alias("conv_id"), F.col("line_no").alias("turn"))
 
 
 @query(

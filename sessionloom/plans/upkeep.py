@@ -53,10 +53,13 @@ def hi_08(spark, sf):
 _STATUS = "CASE WHEN event_id % 7 = 3 THEN 'pending' WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'error' ELSE 'completed' END"
 
 
-@query("hi_09_root_candidates", f"SELECT user_id::VARCHAR AS session_id, count(*) AS spans FROM (SELECT *, {_STATUS} AS status FROM events WHERE event_id < 300) GROUP BY 1 HAVING bool_and(status = 'completed')")
+_SPAN_STATUS = "CASE WHEN user_id % 3 = 0 AND event_id % 7 = 3 THEN 'pending' WHEN user_id % 5 = 0 AND event_type = 'error' THEN 'error' ELSE 'completed' END"
+
+
+@query("hi_09_root_candidates", f"SELECT user_id::VARCHAR AS session_id, count(*) AS spans FROM (SELECT *, {_SPAN_STATUS} AS status FROM events) GROUP BY 1 HAVING bool_and(status = 'completed')")
 def hi_09(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 300")
-    return S.root_candidates(e.select(F.col("user_id").cast("string").alias("session_id"), F.expr(_STATUS).alias("status")))
+    e = table(spark, sf, "events")
+    return S.root_candidates(e.select(F.col("user_id").cast("string").alias("session_id"), F.expr(_SPAN_STATUS).alias("status")))
 
 
 @query("hi_10_summary_inputs", "SELECT conv_id::VARCHAR AS session_id, string_agg(role || '|' || text, chr(10) ORDER BY turn) AS input, count(*) AS n_children, sha256(string_agg(role || '|' || text, chr(10) ORDER BY turn)) AS source_hash FROM conversations GROUP BY 1")
@@ -117,13 +120,14 @@ def hi_17(spark, sf):
     return S.publish_decision(c, m).select("session_id", "decision")
 
 
-@query("hi_18_reusable_sessions", "WITH f AS (SELECT source AS path, max(CASE WHEN doc_id % 9 > 0 THEN n_chars END) AS fingerprint FROM documents GROUP BY 1), m AS (SELECT source AS path, max(CASE WHEN lang <> 'es' AND doc_id % 9 > 0 THEN n_chars END) AS fingerprint, count(*) % 3 AS pending, count(*) % 2 AS failed FROM documents GROUP BY 1) SELECT path FROM f SEMI JOIN m ON f.path = m.path AND f.fingerprint IS NOT DISTINCT FROM m.fingerprint AND (pending = 0 OR failed > 0)")
+@query("hi_18_reusable_sessions", "WITH f AS (SELECT source || '/' || lang AS path, sum(n_chars) FILTER (doc_id % 9 > 0)::BIGINT AS fingerprint FROM documents GROUP BY source, lang), m AS (SELECT source || '/' || lang AS path, sum(n_chars) FILTER (doc_id % 9 > 0 AND (lang <> 'es' OR doc_id % 2 = 0))::BIGINT AS fingerprint, count(*) % 3 AS pending, count(*) % 2 AS failed FROM documents GROUP BY source, lang) SELECT path FROM f SEMI JOIN m ON f.path = m.path AND f.fingerprint IS NOT DISTINCT FROM m.fingerprint AND (pending = 0 OR failed > 0)")
 def hi_18(spark, sf):
     d = table(spark, sf, "documents")
     own = F.when(F.col("doc_id") % 9 > 0, F.col("n_chars"))
     none = F.lit(None).cast("string").alias("options")
-    f = d.groupBy(F.col("source").alias("path")).agg(F.max(own).alias("fingerprint")).withColumn("options", none)
-    m = d.groupBy(F.col("source").alias("path")).agg(F.max(F.when(F.col("lang") != "es", own)).alias("fingerprint"), (F.count("*") % 3).alias("pending"), (F.count("*") % 2).alias("failed")).withColumn("options", none)
+    path = F.concat_ws("/", "source", "lang").alias("path")
+    f = d.groupBy(path).agg(F.sum(own).alias("fingerprint")).withColumn("options", none)
+    m = d.groupBy(path).agg(F.sum(F.when((F.col("lang") != "es") | (F.col("doc_id") % 2 == 0), own)).alias("fingerprint"), (F.count("*") % 3).alias("pending"), (F.count("*") % 2).alias("failed")).withColumn("options", none)
     return S.reusable_sessions(f, m).select("path")
 
 

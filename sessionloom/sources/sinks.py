@@ -15,13 +15,21 @@ BUCKETS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir), deleted when the driver's JVM ends; where none is set,
+    one of our own on a single machine, an error elsewhere."""
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(named)
         folder = context._jsc.sc().getCheckpointDir()
-    return f"{folder.get()}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.get()}/{uuid.uuid4().hex}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place.toString()
 
 
 def written(df: DataFrame) -> DataFrame:

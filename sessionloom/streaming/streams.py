@@ -13,6 +13,10 @@ from ..functions import usage as U
 from ..sources.sinks import exists, replace_sessions, shared_folder
 
 
+#: Markers that a stream is tested for at most, as each executor holds all.
+MOST_MARKERS = 10_000
+
+
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Runs a stream over what is there and gives its output as a table."""
     at = shared_folder(stream.sparkSession)
@@ -36,7 +40,9 @@ def stream_dedupe(stream: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 def stream_markers(stream: DataFrame, markers: DataFrame) -> DataFrame:
-    """Each new line (path, line_no, raw) with a marker of a short static list."""
+    """Each new line (path, line_no, raw) with a marker of a short static list: MOST_MARKERS at most, more are an error."""
+    if (many := markers.count()) > MOST_MARKERS:
+        raise ValueError(f"{many} markers, more than {MOST_MARKERS}")
     return stream.join(F.broadcast(markers), F.contains(F.col("raw"), F.col("marker"))).select("marker", "path", "line_no")
 
 
@@ -135,7 +141,11 @@ def await_markers(hits: DataFrame, timeout_ms: int | None = 30 * 60 * 1000) -> D
 
 def publish_batch(spark: SparkSession, root: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the batch's rows join the stored log, the documents of its sessions are built anew and
-    replace the old ones in a new generation. A batch that is in the ledger already is passed over."""
+    replace the old ones in a new generation. A batch that is in the ledger already is passed over.
+
+    A session whose generation has been raised (see bump_generations(); a table at root/generations) since a row was read is left to
+    its newer rows: rows may carry `generation`, and older ones than the session's are dropped, with a note of the sessions at
+    root/deferred."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -143,7 +153,15 @@ def publish_batch(spark: SparkSession, root: str, build: Callable[[DataFrame], D
             return
         if batch.isEmpty():
             return
+        if "generation" in batch.columns:
+            if exists(session, f"{root}/generations"):
+                now = session.read.parquet(f"{root}/generations").select("session_id", F.col("generation").alias("now"))
+                met = batch.join(now, "session_id", "left").withColumn("old", F.coalesce(F.col("generation") < F.col("now"), F.lit(False)))
+                met.where("old").select("session_id").distinct().write.mode("overwrite").parquet(f"{root}/deferred/batch={batch_id}")
+                batch = met.where("not old").drop("old", "now")
+            batch = batch.drop("generation")
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
+        batch = session.read.parquet(f"{root}/log/batch={batch_id}")
         log = session.read.parquet(f"{root}/log").where(F.col("batch") <= batch_id).drop("batch")
         touched = batch.select("session_id").distinct()
         docs = build(log.join(touched, "session_id", "left_semi"))

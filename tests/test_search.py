@@ -24,3 +24,42 @@ def test_a_cycle_below_a_root_fails(spark):
     rows = [(0, None), (1, 0), (1, 2), (2, 1)]
     with pytest.raises(ValueError, match="cycle"):
         tree.with_depth(spark.createDataFrame(rows, "node long, parent long"), "node", "parent")
+
+
+def documents(spark, rows):
+    """(handle, parent, depth, pos, kind, text) as documents of one session."""
+    df = spark.createDataFrame([("s", *r, *[r[5][:40] or r[0]] * 2, len(r[5]) // 4 + 1) for r in rows], "session_id string, handle string, parent_handle string, depth int, pos int, kind string, full_text string, title string, head string, full_tokens long")
+    return df.withColumns({"search_text": F.col("full_text"), "type": F.lit("message"), "role": F.lit("user"), "retrieval_visible": F.lit(True), "start_at": F.lit(0), "topics": F.array(F.lit("Topic One")), "message_id": F.concat(F.lit("m"), F.substring("handle", 1, 2)), "excerpt": F.col("full_text"), "line": F.lit(None).cast("long"), "raw": F.nullif("full_text", F.lit(""))})
+
+
+TREE = [("root", None, 0, 0, "session", ""), ("sum", "root", 1, 0, "summary", "what it is about"), ("a1", "sum", 2, 0, "message", "alpha beta"), ("a1/x", "sum", 2, 1, "chunk", "alpha beta gamma"), ("b2", "sum", 2, 2, "message", "delta")]
+
+
+def test_a_generated_only_child_stands_in_for_an_empty_root(spark):
+    docs = documents(spark, TREE)
+    asked = spark.createDataFrame([(1, "s", "root", "children", "")], "request_id int, session_id string, handle string, zoom string, topic string")
+    plain = docs.withColumn("kind", F.when(F.col("kind") == "message", "note").otherwise(F.col("kind")))
+    assert [r.handle for r in search.browse(plain, asked).orderBy("place").collect()] == ["a1", "a1/x", "b2"]
+    more = plain.unionByName(documents(spark, [("c", "root", 1, 1, "note", "second child")]))
+    assert [r.handle for r in search.browse(more, asked).orderBy("place").collect()] == ["sum", "c"]
+    assert [r.handle for r in search.browse(plain.withColumn("kind", F.lit("note")), asked).collect()] == ["sum"]
+
+
+def test_heads_of_children_fit_the_budget(spark):
+    docs = documents(spark, [("root", None, 0, 0, "session", ""), *[(f"k{i}", "root", 1, i, "note", f"text {i}") for i in range(4)]])
+    lines = [f"- text {i}: text {i} (2 full tokens) [k{i}]" for i in range(4)]
+    cost = lambda t: -(-len(t) // 4)
+    for budget, shown in ((1, 1), (cost("root") + 2 * cost(lines[0]), 2), (1000, 4)):
+        asked = spark.createDataFrame([(1, "s", "root", budget)], "request_id int, session_id string, handle string, budget int")
+        [got] = search.open_nodes(docs, asked).collect()
+        rest = [f"... {4 - shown} more children omitted."] if shown < 4 else []
+        assert got.mip_level == "heads" and got.content == "\n".join(["root", *lines[:shown], *rest]) and got.children == [f"k{i}" for i in range(shown)]
+
+
+def test_find_refs_filters_pages_hydrates_and_folds(spark):
+    docs = documents(spark, TREE)
+    asked = spark.createDataFrame([(1, "alpha")], "request_id int, query string")
+    nodes = docs.select("session_id", "handle", "kind", "line", F.concat(F.lit("source of "), "handle").alias("raw"))
+    got = search.find_refs(docs, nodes, asked, topic="topic", role="user").collect()
+    assert [(r.handle, r.content, r.total) for r in got] == [("a1", "source of a1", 2)]  # both hits stand for message ma1
+    assert search.find_refs(docs, nodes, asked, topic="other").isEmpty() and search.find_refs(docs, nodes, asked, role="assistant").isEmpty()
