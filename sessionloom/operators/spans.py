@@ -48,18 +48,19 @@ def budget_prefix(children: DataFrame, key: list[str], order: list[str], cost: C
 def pack_greedy(df: DataFrame, key: list[str], order: str, cost: Column, budget: int) -> DataFrame:
     """Adds group (from 0): runs of rows in order whose summed cost stays within the budget; a larger row is alone.
 
-    A fold over each key's costs: what it holds is a number per row of one span.
+    A fold over each key's costs, which keeps where groups begin; what it holds is a number per row of one span and one per group.
     """
     listed = df.withColumn("cost", cost.cast("long")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "cost"))).alias("rows"))
-    start = F.struct(F.lit(-1).cast("long").alias("g"), F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<struct<at:bigint,g:bigint>>)").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("starts"))
 
     def step(acc: Column, r: Column) -> Column:
-        fits = (acc.g >= 0) & (acc["sum"] + r.cost <= budget)
-        g = F.when(fits, acc.g).otherwise(acc.g + 1)
-        return F.struct(g.alias("g"), F.when(fits, acc["sum"] + r.cost).otherwise(r.cost).alias("sum"), F.concat(acc.out, F.array(F.struct(r["at"].cast("long").alias("at"), g.alias("g")))).alias("out"))
+        fits = (F.size(acc.starts) > 0) & (acc["sum"] + r.cost <= budget)
+        more = F.struct((acc["sum"] + r.cost).alias("sum"), acc.starts.alias("starts"))
+        return F.when(fits, more).otherwise(F.struct(r.cost.alias("sum"), F.concat(acc.starts, F.array(r["at"].cast("long"))).alias("starts")))
 
-    packed = listed.select(*key, F.explode(F.aggregate("rows", start, step, lambda acc: acc.out)).alias("p")).select(*key, F.col("p.at").alias(order), F.col("p.g").alias("group"))
-    return df.join(packed, [*key, order])
+    starts = listed.select(*key, F.explode(F.aggregate("rows", start, step, lambda acc: acc.starts)).alias(order), F.lit(1).cast("long").alias("begins"))
+    group = F.sum(F.coalesce("begins", F.lit(0))).over(Window.partitionBy(*key).orderBy(order)) - 1
+    return df.join(starts, [*key, order], "left").withColumn("group", group).drop("begins")
 
 
 def pack_pairs(df: DataFrame, key: list[str], budget: int, stretch: int = 2) -> DataFrame:
