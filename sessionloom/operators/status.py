@@ -171,14 +171,25 @@ def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return all_.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "is_new").withColumn("summary_target_ids", F.array_sort(F.array_distinct("summary_target_ids")))
 
 
+#: Lines of a source that are hashed together.
+STRETCH = 4096
+
+
 def source_fingerprint(lines: DataFrame, marker: str) -> DataFrame:
-    """Per path: size, hash of the ordered line hashes, count and last line of marked lines, hash of their list."""
+    """Per path: size, a hash of the line hashes, count and last line of marked lines, a hash of their list.
+
+    Hashes are taken of stretches of STRETCH line numbers and then of those in order, so no task holds the lines of a large source.
+    """
     marked = F.col("raw").contains(marker)
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("line_no", c.alias("x")))), lambda s: s.x)
-    return lines.groupBy("path").agg(
-        F.sum(F.octet_length("raw") + 1).alias("size"), F.sha2(F.array_join(ordered(F.sha2("raw", 256)), ""), 256).alias("content_hash"), F.count_if(marked).alias("compactions"), F.max(F.when(marked, F.col("line_no"))).alias("last_compaction_line"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(marked, F.col("line_no")))), lambda n: n.cast("string")), ","), 256).alias("compaction_hash"),
+    ordered = lambda by, x: F.transform(F.array_sort(F.collect_list(F.struct(by, x.alias("x")))), lambda s: s.x)
+    part = F.floor(F.col("line_no") / STRETCH).alias("stretch")
+    numbers = F.transform(F.array_sort(F.collect_list(F.when(marked, F.col("line_no")))), lambda n: n.cast("string"))
+    by_part = lines.groupBy("path", part).agg(
+        F.sum(F.octet_length("raw") + 1).alias("size"), F.sha2(F.array_join(ordered("line_no", F.sha2("raw", 256)), ""), 256).alias("content"), F.count_if(marked).alias("marked"), F.max(F.when(marked, F.col("line_no"))).alias("last"),
+        F.sha2(F.array_join(numbers, ","), 256).alias("places"),
     )
+    whole = lambda c: F.sha2(F.array_join(ordered("stretch", F.col(c)), ""), 256)
+    return by_part.groupBy("path").agg(F.sum("size").alias("size"), whole("content").alias("content_hash"), F.sum("marked").alias("compactions"), F.max("last").alias("last_compaction_line"), whole("places").alias("compaction_hash"))
 
 
 def index_ids(events: DataFrame, manifest: DataFrame | None = None) -> DataFrame:

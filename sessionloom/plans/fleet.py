@@ -116,7 +116,8 @@ def agg_11(spark, sf):
     return S.estimate_cost(priced).select("event_id", F.round("input_usd", 8).alias("input_usd"), F.round("output_usd", 8).alias("output_usd"), F.round("total_usd", 8).alias("total_usd"), F.size("assumptions").alias("notes"))
 
 
-@query("agg_12_source_fingerprint", "SELECT source AS path, sum(strlen(text) + 1)::BIGINT AS size, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS content_hash, count(*) FILTER (contains(text, 'the')) AS compactions, max(doc_id) FILTER (contains(text, 'the')) AS last_compaction_line, sha256(coalesce(string_agg(CASE WHEN contains(text, 'the') THEN doc_id::VARCHAR END, ',' ORDER BY doc_id), '')) AS compaction_hash FROM documents GROUP BY 1")
+@query("agg_12_source_fingerprint", """WITH s AS (SELECT source AS path, doc_id // 4096 AS part, sum(strlen(text) + 1)::BIGINT AS size, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS content, count(*) FILTER (contains(text, 'the')) AS marked, max(doc_id) FILTER (contains(text, 'the')) AS last, sha256(coalesce(string_agg(CASE WHEN contains(text, 'the') THEN doc_id::VARCHAR END, ',' ORDER BY doc_id), '')) AS places FROM documents GROUP BY 1, 2)
+    SELECT path, sum(size)::BIGINT AS size, sha256(string_agg(content, '' ORDER BY part)) AS content_hash, sum(marked)::BIGINT AS compactions, max(last) AS last_compaction_line, sha256(string_agg(places, '' ORDER BY part)) AS compaction_hash FROM s GROUP BY 1""")
 def agg_12(spark, sf):
     return S.source_fingerprint(table(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("line_no"), F.col("text").alias("raw")), "the")
 
@@ -234,7 +235,7 @@ def agg_16(spark, sf):
     return X.session_inventory(d.select(F.col("source").alias("session_id"), F.concat(F.lit("f"), "doc_id").alias("path"), F.col("doc_id").alias("mtime"), F.col("n_chars").alias("size")), names)
 
 
-@query("agg_17_corpus_fingerprint", "SELECT sha256(string_agg(url || '|' || sha256(html), chr(10) ORDER BY url || '|' || sha256(html))) AS fingerprint, count(*) AS docs FROM pages")
+@query("agg_17_corpus_fingerprint", "WITH l AS (SELECT url || '|' || sha256(html) AS line, substr(sha256(url), 1, 3) AS part FROM pages), p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM l GROUP BY 1) SELECT sha256(string_agg(part || h, chr(10) ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS docs FROM p")
 def agg_17(spark, sf):
     return X.corpus_fingerprint(table(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").alias("content")))
 

@@ -156,7 +156,7 @@ def load_events(spark: SparkSession, source: str, path_or_df, **map_) -> DataFra
     if source == "table":
         return E.normalize_events(E.from_table(path_or_df, **map_))
     loader = {"log_a": rows_to_events_a, "log_b": rows_to_events_b}[source]
-    lines = path_or_df if isinstance(path_or_df, DataFrame) else read_session_lines(spark, path_or_df)
+    lines = path_or_df if isinstance(path_or_df, DataFrame) else read_large_lines(spark, path_or_df)
     return E.normalize_events(loader(lines))
 
 
