@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Partitions of a documents table.
+#: Partitions of a documents table, unless a writer names another number: for some hundred MB each.
 BUCKETS = 64
 
 
@@ -44,8 +44,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
+def bucket(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
 
 
 def stored_docs(docs: DataFrame) -> DataFrame:
@@ -54,8 +54,9 @@ def stored_docs(docs: DataFrame) -> DataFrame:
     return docs.withColumn("excerpt", F.when(~verbatim, F.col("excerpt"))).drop("raw", "search_text")
 
 
-def write_docs(docs: DataFrame, root: str) -> None:
-    stored_docs(docs).withColumn("session_bucket", bucket()).repartition("session_bucket").sortWithinPartitions("session_id", "handle").write.mode("overwrite").partitionBy("session_bucket").parquet(root)
+def write_docs(docs: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Writes the stored form of documents, partitioned by a hash of the session."""
+    stored_docs(docs).withColumn("session_bucket", bucket(buckets)).repartition(buckets, "session_bucket").sortWithinPartitions("session_id", "handle").write.mode("overwrite").partitionBy("session_bucket").parquet(root)
 
 
 def read_docs(spark: SparkSession, root: str, counts: DataFrame | None = None) -> DataFrame:
