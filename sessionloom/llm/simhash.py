@@ -336,14 +336,14 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, alike: float) -> Da
 
 
 def bucket_links(texts: DataFrame, held: DataFrame, known: DataFrame, words: int, alike: float) -> DataFrame:
-    """Further links (u, v) so that, with the links in `known`, the components are those of all pairs of nodes that share a
-    bucket (held: key, node) and are at least `alike`; every link is verified on the texts.
+    """Further links (u, v) so that, with the components in `known` (node, root), the components are those of all pairs of nodes that
+    share a bucket (held: key, node) and are at least `alike`; every link is verified on the texts.
 
-    Only buckets that the known links leave in several components are searched: each node outside the bucket's largest
+    Only buckets that hold several of the known components are searched: each node outside the bucket's largest
     component is held against the nodes of other components, in blocks of about BLOCK_TEXTS on both sides, so no task holds a
     large bucket, and a block gives no more links than it has texts.
     """
-    reached = components(known).select(F.col("node").alias("of"), F.col("root").alias("label"))
+    reached = known.select(F.col("node").alias("of"), F.col("root").alias("label"))
     labelled = held.join(reached, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
@@ -404,8 +404,11 @@ def keep_representatives(docs: DataFrame, shingle_words: int = 5, alike: float =
     rows = docs.select(*keys, F.col("text").cast("binary").alias("text"))
     texts = written(rows.join(involved, (F.col("file_key") == F.col("f")) & (F.col("row_index") == F.col("r"))).select("node", "text"))
     stars = written(verified(texts, pairs, shingle_words, alike))
-    more = bucket_links(texts, held, stars, shingle_words, alike)
-    reached = components(stars.unionByName(more)).select(F.col("node").alias("of"), "root")
+    known = components(stars)
+    more = written(bucket_links(texts, held, known, shingle_words, alike))
+    if not more.isEmpty():
+        known = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    reached = known.select(F.col("node").alias("of"), "root")
     groups = firsts.join(reached, F.col("node") == F.col("of"), "left").select(F.col("whole").alias("of_whole"), F.coalesce("root", "node").alias("group"))
     stay = prints.join(groups, F.col("whole") == F.col("of_whole")).groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "file_key", "row_index")).alias("best"))
     chosen = written(stay.select(F.col("best.file_key").alias("stay_file"), F.col("best.row_index").alias("stay_row")))
