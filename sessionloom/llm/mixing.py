@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import number_within, written
+from .scale import number_within, row_keys, written
 
 #: Tempered weights are whole multiples of 1 / SLOTS; the longest period that is laid out.
 SLOTS, MOST_SLOTS = 1 << 16, 1 << 20
@@ -163,5 +163,7 @@ def in_mix_order(docs: DataFrame, weights: dict[str, float | Fraction], block_do
     All columns stay, whatever their names; null and empty texts, null sources and repeated rows keep a place each; an empty
     table gives an empty result.
     """
-    rows = docs.select("doc_id", "source", F.struct("*").alias("own_row"))
-    return mix(rows, weights, block_docs).orderBy("slot", "nth").select("own_row.*")
+    docs, keys = row_keys(docs)
+    placed = written(mix(docs.select("doc_id", "source", *keys), weights, block_docs).select(F.col("file_key").alias("of_file"), F.col("row_index").alias("of_row"), "slot", "nth"))
+    rows = docs.select(F.struct("*").alias("whole_row"), *keys)  # texts move once to their places and once into order
+    return rows.join(placed, (F.col("file_key") == F.col("of_file")) & (F.col("row_index") == F.col("of_row"))).orderBy("slot", "nth").select("whole_row.*")

@@ -57,6 +57,14 @@ def row_order(df: DataFrame) -> Column:
     return F.shiftleft(F.coalesce(part, F.lit(0)).cast("long"), 40).bitwiseOR(F.col("_metadata.row_index"))
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The documents as a table of files, and two longs that name a row of it in every scan."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(place["file_path"]).alias("file_key"), place["row_index"].alias("row_index")]
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import components, text_batches, written
+from .scale import components, row_keys, text_batches, written
 
 #: Seed of the shingles' XXH64.
 SEED = 42
@@ -248,14 +248,6 @@ def similarity(a: bytes | None, b: bytes | None, words: int = 5) -> float:
 BLOCK_TEXTS, CENTRE_PAIRS = 256, 1_000
 
 
-def row_keys(docs: DataFrame) -> tuple[DataFrame, list]:
-    """The documents as a table of files, and two longs that name a row of it in every scan."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = written(docs)
-    place = docs.metadataColumn("_metadata")
-    return docs, [F.xxhash64(place["file_path"]).alias("file_key"), place["row_index"].alias("row_index")]
-
-
 def sketches(docs: DataFrame, keys: list, words: int, bands: int, band_rows: int) -> DataFrame:
     """Per document: file_key, row_index, id, whole (a 128-bit hash of its words), fingerprint (SimHash of its shingles), bands
     (a long for each band of minima over its shingles' hashes; none for a wordless text)."""
