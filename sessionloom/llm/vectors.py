@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from .scale import written
 
 
-def valid(embeddings: DataFrame, nonzero: bool, component=lambda x: x) -> DataFrame:
+def valid(embeddings: DataFrame, nonzero: bool, component=lambda x: x, also: dict[str, Column] | None = None) -> DataFrame:
     """(row_no, vec_id, v), written: v as doubles, each passed through `component`; rows whose id is not null and whose
-    vector has components, all of them finite (and one that is not zero). row_no tells rows of one id apart."""
+    vector has components, all of them finite (and one that is not zero). row_no tells rows of one id apart. also: further
+    columns, none of them null."""
     v = F.col("embedding").cast("array<double>")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~odd)
+    also = also or {}
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), *[c.alias(k) for k, c in also.items()]).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~odd).dropna(subset=list(also))
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    return written(rows.select(F.monotonically_increasing_id().alias("row_no"), "vec_id", F.transform("v", component).alias("v")))
+    return written(rows.select(F.monotonically_increasing_id().alias("row_no"), "vec_id", F.transform("v", component).alias("v"), *also))
 
 
 def width(rows: DataFrame) -> int:
