@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adsampling, impacts, langid, licenses, mixing, packing, pii, ppm, simhash, toxicity
+from . import adsampling, bond, impacts, langid, licenses, mixing, packing, pii, ppm, secrets, simhash, toxicity, whitening
 from .scale import table
 
 
@@ -60,9 +60,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    kinds = secrets.KINDS
+
+    def count(name: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kinds.index(name))).cast("long").alias(f"n_{name}")
+
+    base = F.filter("spans", lambda s: s.kind < kinds.index("random"))
+    return found.select("doc_id", *[count(k) for k in kinds[:3]], F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), count("random"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_scoring, op4_nearest_vectors, op5_simhash_near_dedup, op6_top_products, op7_pii, op8_language_id, op9_mixing, op10_packing)}
+    numbered = (op1_license_scan, op2_toxicity, op3_lm_scoring, op4_nearest_vectors, op5_simhash_near_dedup, op6_top_products, op7_pii, op8_language_id, op9_mixing, op10_packing, op11_hard_negatives, op12_secret_scan, op13_whitening)
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.licenses_sql(), "op6_top_products": impacts.top_products_sql()}
+    return {"op1_license_scan": licenses.licenses_sql(), "op6_top_products": impacts.top_products_sql(), "op11_hard_negatives": bond.hard_negatives_sql()}
