@@ -116,7 +116,10 @@ def hard_negatives(embeddings: DataFrame, is_anchor, label: Column | None = None
     if not asked:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     dim, c_blocks, a_blocks = width(rows), -(-total // BLOCK), -(-asked // ANCHORS)
-    label_type = dict(rows.dtypes)["label"]
+
+    def anew(df: DataFrame) -> DataFrame:
+        """The same columns under new identities, as both sides of a cogroup come from one table."""
+        return df.select(*[F.col(c).alias(c) for c in df.columns])
 
     def table(parts: list[list[np.ndarray]], names: tuple[str, ...]) -> pa.Table:
         return pa.table({name: pa.array(np.concatenate(part) if part else np.empty(0), pa.int64()) for name, part in zip(names, parts, strict=True)})
@@ -154,7 +157,7 @@ def hard_negatives(embeddings: DataFrame, is_anchor, label: Column | None = None
     dealt = rows.join(sizes, F.col("label") == F.col("of_label")).drop("of_label").withColumn("cb", block(F.col("blocks"))).withColumn("qb", F.explode(copies(a_blocks)))
     sent = asking.join(sizes, F.col("label") == F.col("of_label")).drop("of_label").select("*", F.explode(copies(F.col("blocks"))).alias("cb")).withColumn("qb", block(a_blocks))
     keys = ("label", "cb", "qb")
-    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(pick_positives, "query_row long, query_id long, vec_id long, score long")
+    found = dealt.groupBy(*keys).cogroup(anew(sent).groupBy(*keys)).applyInArrow(pick_positives, "query_row long, query_id long, vec_id long, score long")
     pairs = written(ranked(found, positives))
 
     # second scan: blocks of any labels, the label in the first bitmap
@@ -162,7 +165,7 @@ def hard_negatives(embeddings: DataFrame, is_anchor, label: Column | None = None
     ready = asking.join(scores, F.col("row_no") == F.col("query_row")).select("row_no", "label", "v", "scores", block(a_blocks).alias("qb"))
     sent = ready.withColumn("cb", F.explode(copies(c_blocks)))
     dealt = rows.withColumn("cb", block(c_blocks)).withColumn("qb", F.explode(copies(a_blocks)))
-    found = dealt.groupBy("cb", "qb").cogroup(sent.groupBy("cb", "qb")).applyInArrow(pick_negatives, "query_row long, window long, vec_id long, score long")
+    found = dealt.groupBy("cb", "qb").cogroup(anew(sent).groupBy("cb", "qb")).applyInArrow(pick_negatives, "query_row long, window long, vec_id long, score long")
     best = Window.partitionBy("query_row", "window").orderBy(F.col("score").desc(), "vec_id")
     near = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= negatives).select(F.col("query_row").alias("of_row"), "window", F.col("nth").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     met = pairs.drop("rank").join(near, (F.col("query_row") == F.col("of_row")) & (F.col("score") == F.col("window")))

@@ -2,9 +2,9 @@
 
 Base spans are assignments to telling names, access keys and long hexadecimal runs. Candidates beyond them are long runs of key
 characters. For each value the narrowest encoding that holds its characters is inferred (hexadecimal, base32, base36, base62,
-base64), and three tests ask whether it could be drawn evenly from that alphabet: chi-squared uniformity, runs above and below the
-alphabet's middle, and serial correlation of neighbouring characters. The sum of the squared normal scores is the value's
-deviance: near 3 for a random string, large for words.
+base64), and tests ask whether it could be drawn evenly from that alphabet: chi-squared uniformity of characters and of digits, small
+and capital letters, runs above and below the alphabet's middle, and serial correlation of neighbouring characters. The sum of
+the squared scores is the value's deviance: 4 to 6 on average for a random string, large for words.
 
 What ordinary text reaches is measured, not assumed: each value gets a decoy, the text just before it, reduced to the same
 alphabet and cut to the same length. Decoys tell for each encoding how the deviance of text grows with length, so a value gets a
@@ -48,10 +48,12 @@ ENCODINGS = {
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64_url": UPPER + LOWER + DIGITS + "-_",
 }
+KEY = UPPER + LOWER + DIGITS + "+/-_"
 #: Text before a value that its decoy is made of, classes of length (of the log), and classes of probability.
 BEFORE, LENGTHS, CHANCES = 512, 48, 400
-#: Part of false discoveries, and the deviance that a random string exceeds one time in a thousand (chi-squared, 3 degrees).
-RATE, MOST_DEVIANCE = 0.01, 16.27
+#: Part of false discoveries, and the deviance that a random string exceeds one time in a thousand at most (chi-squared, 6
+#: degrees).
+RATE, MOST_DEVIANCE = 0.01, 22.46
 #: Decoys that the belief before any data counts for: log deviance by log length, and its spread.
 PRIOR, SLOPE, START, SPREAD = 8.0, 1.5, 2.5, 0.8
 
@@ -104,7 +106,7 @@ def inside(alphabet: str) -> str:
 
 
 def deviance(value: Column, code: Column) -> Column:
-    """Sum of the squared normal scores of the three tests, for a value in the encoding at that place; null where that is null."""
+    """Sum of the squared scores of the tests, for a value in the encoding at that place; null where that is null."""
     names = list(ENCODINGS.values())
     alphabet = F.element_at(F.array(*[F.lit(a) for a in names]), code + 1)
     halves = F.element_at(F.array(*[F.lit("0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2)) for a in names]), code + 1)
@@ -114,6 +116,12 @@ def deviance(value: Column, code: Column) -> Column:
     squares = F.aggregate(characters(alphabet), F.lit(0.0), lambda a, c: a + F.pow(some(value, c), F.lit(2.0)))
     chi = (squares * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
 
+    # uniformity of the kinds of characters
+    kinds = "".join("d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in KEY)
+    here, there = (let(F.call_function("translate", x, F.lit(KEY), F.lit(kinds)), lambda sides: F.array(*[some(sides, F.lit(k)) for k in "dluo"])) for x in (value, alphabet))
+    share = F.zip_with(here, there, lambda h, t: F.when(t > 0, F.pow(h - n * t / size, F.lit(2.0)) / (n * t / size)).otherwise(F.lit(0.0)))
+    kind = F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
+
     # runs above and below the middle
     def runs(sides: Column) -> Column:
         zeros = some(sides, F.lit("0"))
@@ -133,7 +141,7 @@ def deviance(value: Column, code: Column) -> Column:
     run = let(F.call_function("translate", value, alphabet, halves), runs)
     lag = let(F.transform(characters(value), lambda c: F.instr(alphabet, c).cast("double")), serial)
     two = F.lit(2.0)
-    return F.pow(chi, two) + F.pow(run, two) + F.pow(lag, two)
+    return F.pow(chi, two) + kind + F.pow(run, two) + F.pow(lag, two)
 
 
 def decoy(before: Column, code: Column, long: Column) -> Column:
