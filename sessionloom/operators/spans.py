@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.sinks import written
+from .ordered import in_ranges, next_value, reached, running_sums, same, tie_break
+
+#: Rows of a key that are folded in one array; of larger keys no task holds all.
+FOLD = 10_000
+#: Digits that costs count to, and their type.
+SCALE = 12
+MONEY = f"decimal(38,{SCALE})"
+
 
 def by_session() -> WindowSpec:
     return Window.partitionBy("session_id")
@@ -46,21 +57,60 @@ def budget_prefix(children: DataFrame, key: list[str], order: list[str], cost: C
 
 
 def pack_greedy(df: DataFrame, key: list[str], order: str, cost: Column, budget: int) -> DataFrame:
-    """Adds group (from 0): runs of rows in order whose summed cost stays within the budget; a larger row is alone.
+    """Adds group (from 0): runs of rows in order whose summed cost stays within the budget; a larger row is alone. Adds
+    cost (null and negative ones are 0).
 
-    A fold over each key's costs, which keeps where groups begin; what it holds is a number per row of one span and one per group.
+    Rows of equal order stay apart, in an order that a hash gives; null keys are a key, null orders come first. Keys of up to FOLD rows
+    are folded, a number per row; of larger ones each row's next group start is found in the order of the running sums, and
+    the starts are marked by pointer doubling, so no task holds such a key.
     """
-    listed = df.withColumn("cost", cost.cast("long")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "cost"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("starts"))
+    columns = [c for c in df.columns if c not in ("cost", "group")]
+    df = df.drop("group")
+    rows = df.withColumn("cost", F.greatest(F.coalesce(cost.cast("long"), F.lit(0)), F.lit(0)).cast("long")).withColumn("tie", tie_break(df))
+    large = rows.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.count("*").alias("many")).where(F.col("many") > FOLD).drop("many")
+    met = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key] or [F.lit(True)]
+    if large.isEmpty():
+        return _folded_groups(rows, key, order, budget).select(*columns, "cost", "group")
+    large = written(large)
+    few = _folded_groups(rows.join(large, met, "left_anti"), key, order, budget)
+    many = _doubled_groups(rows.join(large, met, "left_semi"), key, order, budget)
+    return few.select(*columns, "cost", "group").unionByName(many.select(*columns, "cost", "group"))
+
+
+def _folded_groups(rows: DataFrame, key: list[str], order: str, budget: int) -> DataFrame:
+    """Groups by a fold over each key's costs, which keeps where groups begin."""
+    by = Window.partitionBy(*key).orderBy(order, "tie")
+    placed = rows.withColumn("nth", F.row_number().over(by) - 1)
+    listed = placed.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.array_sort(F.collect_list(F.struct("nth", "cost"))).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<int>)").alias("starts"))
 
     def step(acc: Column, r: Column) -> Column:
         fits = (F.size(acc.starts) > 0) & (acc["sum"] + r.cost <= budget)
         more = F.struct((acc["sum"] + r.cost).alias("sum"), acc.starts.alias("starts"))
-        return F.when(fits, more).otherwise(F.struct(r.cost.alias("sum"), F.concat(acc.starts, F.array(r["at"].cast("long"))).alias("starts")))
-
-    starts = listed.select(*key, F.explode(F.aggregate("rows", start, step, lambda acc: acc.starts)).alias(order), F.lit(1).cast("long").alias("begins"))
-    group = F.sum(F.coalesce("begins", F.lit(0))).over(Window.partitionBy(*key).orderBy(order)) - 1
-    return df.join(starts, [*key, order], "left").withColumn("group", group).drop("begins")
+        return F.when(fits, more).otherwise(F.struct(r.cost.alias("sum"), F.concat(acc.starts, F.array(r.nth)).alias("starts")))
+
+    starts = listed.select(*[f"of_{k}" for k in key], F.explode(F.aggregate("rows", start, step, lambda acc: acc.starts)).alias("of_nth"))
+    met = placed.join(starts, same([*key, "nth"], [*[f"of_{k}" for k in key], "of_nth"]), "left")
+    return met.withColumn("group", F.count("of_nth").over(Window.partitionBy(*key).orderBy("nth")) - 1).drop("nth", "of_nth", *[f"of_{k}" for k in key])
+
+
+def _doubled_groups(rows: DataFrame, key: list[str], order: str, budget: int) -> DataFrame:
+    """Groups without a task that holds a key: a group that starts at a row ends before the first row whose running sum
+    exceeds the sum before it by more than the budget. Both kinds of values are sorted together by ranges."""
+    one = F.lit(1).cast("long")
+    placed = written(running_sums(in_ranges(rows, key, [order, "tie"]), key, [order, "tie"], {"nth": one, "reach": F.col("cost")}))
+    ends = placed.select(*key, F.col("nth").alias("at"), "reach", "cost")
+    # a row's own reach sorts after the questions for what lies above that reach
+    points = ends.select(*key, F.col("reach").alias("value"), F.lit(1).alias("kind"), "at")
+    asked = ends.select(*key, (F.col("reach") - F.col("cost") + budget).alias("value"), F.lit(2).alias("kind"), "at")
+    both = in_ranges(points.unionByName(asked), key, ["value", "kind", "at"])
+    nexts = next_value(both, key, ["value", "kind", "at"], F.when(F.col("kind") == 1, F.col("at")), "to").where("kind = 2")
+    pointers = nexts.select(*key, "at", F.when(F.col("to").isNotNull(), F.greatest("to", F.col("at") + 1)).alias("to"))
+    starts = reached(pointers, placed.where("nth = 1").select(*key, F.col("nth").alias("at")), key)
+    marks = starts.select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("at").alias("of_at"))
+    met = placed.join(marks, same([*key, "nth"], [*[f"of_{k}" for k in key], "of_at"]), "left").drop("range_no")
+    grouped = running_sums(in_ranges(met.withColumn("begins", F.col("of_at").isNotNull().cast("long")).drop("of_at", *[f"of_{k}" for k in key]), key, ["nth"]), key, ["nth"], {"group": F.col("begins")})
+    return grouped.withColumn("group", F.col("group") - 1)
 
 
 def pack_pairs(df: DataFrame, key: list[str], budget: int, stretch: int = 2) -> DataFrame:
@@ -99,23 +149,51 @@ def pack_pairs(df: DataFrame, key: list[str], budget: int, stretch: int = 2) ->
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def select_within_budget(jobs: DataFrame, key: list[str], budget: float | None, limit: int | None = None) -> DataFrame:
-    """Jobs in order that fit what is left of the budget; one that doesn't is passed over and later ones still may. The
-    limit of jobs comes first. Adds selected, spent (after the row) and status (ok, budget_limited or over_budget)."""
-    by = Window.partitionBy(*key)
-    rows = jobs.withColumn("nth", F.row_number().over(by.orderBy("seq")))
-    if limit is not None:
-        rows = rows.where(F.col("nth") <= limit)
-    if budget is None:
-        return rows.select(*jobs.columns, F.lit(True).alias("selected"), F.sum("usd").over(by.orderBy("seq")).alias("spent"), F.lit("ok").alias("status"))
-    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "usd"))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.expr("cast(array() as array<struct<seq:bigint,selected:boolean,spent:double>>)").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        fits = acc.spent + r.usd <= budget + 1e-9
-        spent = F.when(fits, acc.spent + r.usd).otherwise(acc.spent)
-        return F.struct(spent.alias("spent"), F.concat(acc.out, F.array(F.struct(r.seq.cast("long").alias("seq"), fits.alias("selected"), spent.alias("spent")))).alias("out"))
+def select_within_budget(jobs: DataFrame, key: list[str], budget: float | None, limit: int | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Jobs in order that fit what is left of the budget of their key (no key: one budget for all); one that doesn't is passed over and
+    later ones still may. The limit of jobs comes first. Adds selected, spent (after the row) and status (ok, budget_limited or
+    over_budget). Costs (usd) count to SCALE digits, null and negative ones as 0; jobs of equal order come in that of a hash.
 
-    folded = listed.select(*key, F.explode(F.aggregate("rows", start, step, lambda acc: acc.out)).alias("p")).select(*key, "p.*")
-    status = F.when(F.min("selected").over(by), "ok").when(F.max("selected").over(by), "budget_limited").otherwise("over_budget")
-    return rows.drop("nth").join(folded, [*key, "seq"]).withColumn("status", status)
+    Rounds of running sums over ranges of the order, for all keys at once. A round takes jobs of up to half of what is left up to the first
+    that no longer fits, or up to the first larger job that does; either way less than half is left, and jobs that cost more than
+    that are out. So rounds grow with the number of bits between the budget and the least cost, and each reads only what is open.
+    """
+    usd = F.greatest(F.coalesce("usd", F.lit(0)), F.lit(0)).cast(MONEY)
+    by, of = [*order, "tie"], [f"of_{k}" for k in key]
+    rows = in_ranges(jobs.withColumn("tie", tie_break(jobs)).withColumn("money", usd), key, by)
+    rows = running_sums(rows, key, by, {"nth": F.lit(1).cast("long")})
+    rows = written(rows if limit is None else rows.where(F.col("nth") <= limit))
+    if budget is None:
+        taken = rows.select(*key, "nth")
+    else:
+        taken = _admitted(rows.select(*key, "nth", "range_no", "money"), key, budget)
+    taken = taken.select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("nth").alias("of_nth"))
+    met = rows.join(taken, same([*key, "nth"], [*of, "of_nth"]), "left").withColumn("selected", F.col("of_nth").isNotNull()).drop("of_nth", *of)
+    spent = running_sums(met, key, ["nth"], {"spent": F.when(F.col("selected"), F.col("money")).otherwise(F.lit(0).cast(MONEY))})
+    status = F.when(F.min("selected"), "ok").when(F.max("selected"), "budget_limited").otherwise("over_budget")
+    each = met.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(status.alias("status"))
+    return spent.join(each, same(key, of)).select(*jobs.columns, "selected", F.col("spent").cast("double").alias("spent"), "status")
+
+
+def _admitted(open_: DataFrame, key: list[str], budget: float) -> DataFrame:
+    """(key, nth) of the jobs (key, nth, range_no, money) that select_within_budget() takes."""
+    of = [f"of_{k}" for k in key]
+    left = F.lit(str(round(Decimal(repr(budget)) + Decimal("1e-9"), SCALE))).cast(MONEY)
+    state = open_.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.first(left).alias("left"))
+    taken = None
+    while True:
+        fits = open_.join(state, same(key, of)).drop(*of).where(F.col("money") <= F.col("left"))
+        small = F.col("money") * 2 <= F.col("left")
+        summed = written(running_sums(written(fits), key, ["nth"], {"sum": F.when(small, F.col("money")).otherwise(F.lit(0).cast(MONEY))}))
+        over, large = small & (F.col("sum") > F.col("left")), ~small & (F.col("sum") + F.col("money") <= F.col("left"))
+        stops = summed.where(over | large).groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.min("nth").alias("stop"))
+        met = summed.join(stops, same(key, of), "left").drop(*of)
+        now = (small & (F.col("stop").isNull() | (F.col("nth") < F.col("stop")))) | (large & (F.col("nth") == F.col("stop")))
+        got = written(met.where(now).select(*key, "nth", "money"))
+        taken = got if taken is None else taken.unionByName(got)
+        rest = met.where(F.col("nth") > F.col("stop")).select(*key, "nth", "range_no", "money")
+        spent = got.groupBy(*[F.col(k).alias(f"by_{k}") for k in key]).agg(F.sum("money").alias("spent"))
+        state = written(state.join(spent, same(of, [f"by_{k}" for k in key]), "left").select(*of, (F.col("left") - F.coalesce("spent", F.lit(0))).cast(MONEY).alias("left")))
+        open_ = written(rest.join(state, same(key, of)).where(F.col("money") <= F.col("left")).select(*key, "nth", "range_no", "money"))
+        if open_.isEmpty():
+            return taken.drop("money")

@@ -1,6 +1,7 @@
 """Sequential folds, rounds and streams beside plain Python."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,11 +28,36 @@ def sessions(seed, most=30):
     return {f"s{k}": [rng.randint(1, 12) for _ in range(rng.randint(1, most))] for k in range(12)}
 
 
-def test_pack_greedy(spark):
-    all_ = sessions(1)
-    df = spark.createDataFrame([(s, i, c) for s, costs in all_.items() for i, c in enumerate(costs)], "session_id string, ordinal long, cost long")
-    got = {(r.session_id, r.ordinal): r.group for r in spans.pack_greedy(df, ["session_id"], "ordinal", F.col("cost"), 10).collect()}
-    assert got == {(s, i): g for s, costs in all_.items() for i, g in enumerate(greedy(costs, 10))}
+@pytest.mark.parametrize("fold", [10_000, 6])
+def test_pack_greedy(spark, monkeypatch, fold):
+    monkeypatch.setattr(spans, "FOLD", fold)  # beyond it, starts are marked by pointer doubling
+    all_ = sessions(1) | {None: [3, 0, 0, 25, 0, 1, 9, 11, 2, 2], "zero": [0] * 9, "large": [40] * 9, "one": [5]}
+    rows = [(s, i, c, "kept") for s, costs in all_.items() for i, c in enumerate(costs)] + [("odd", i, c, "kept") for i, c in enumerate([None, -4, 7, 5])]
+    df = spark.createDataFrame(rows, "session_id string, ordinal long, price long, text string")
+    got = {(r.session_id, r.ordinal): r.group for r in spans.pack_greedy(df, ["session_id"], "ordinal", F.col("price"), 10).collect()}
+    assert got == {(s, i): g for s, costs in (all_ | {"odd": [0, 0, 7, 5]}).items() for i, g in enumerate(greedy(costs, 10))}
+
+
+@pytest.mark.parametrize("fold", [10_000, 2])
+def test_packing_keeps_rows_of_equal_order(spark, monkeypatch, fold):
+    monkeypatch.setattr(spans, "FOLD", fold)
+    rows = [(k, o, c, t) for k in ("a", None) for o, c, t in [(0, 3, "x"), (0, 3, "x"), (0, 4, "y"), (1, 5, "z"), (None, 2, "n"), (1, 5, "z")]]
+    df = spark.createDataFrame(rows, "k string, o long, c long, t string")
+    got = spans.pack_greedy(df, ["k"], "o", F.col("c"), 8).collect()
+    assert sorted(map(str, [(r.k, r.o, r.c, r.t) for r in got])) == sorted(map(str, rows))
+    for k in ("a", None):
+        own = [r for r in got if r.k == k]
+        groups = {g: sum(r.c for r in own if r.group == g) for g in {r.group for r in own}}
+        assert min(groups) == 0 and max(groups) == len(groups) - 1 and all(v <= 8 for v in groups.values())
+        assert sorted((r.group, r.o if r.o is not None else -1) for r in own) == sorted(((r.group, r.o if r.o is not None else -1) for r in own), key=lambda x: (x[1], x[0]))
+    assert spans.pack_greedy(df.limit(0), ["k"], "o", F.col("c"), 8).count() == 0
+
+
+def test_a_long_session_packs_in_many_tasks(spark):
+    n = 60_000
+    df = spark.range(n).select(F.lit("s").alias("session_id"), F.col("id").alias("ordinal"), (F.col("id") * 7919 % 97).alias("cost"))
+    got = {r.ordinal: r.group for r in spans.pack_greedy(df, ["session_id"], "ordinal", F.col("cost"), 1000).collect()}
+    assert [got[i] for i in range(n)] == greedy([i * 7919 % 97 for i in range(n)], 1000)
 
 
 def test_pack_pairs_keeps_calls_with_their_results(spark):
@@ -60,6 +86,26 @@ def test_select_within_budget(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("key", [["k"], []])
+def test_admission_by_plain_python(spark, key):
+    """Sizes over many powers of two, ties, nulls and zeros; one budget for each key, or one for all."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 40), rng.choice([0.0, None, -1.0, round(2.0 ** -rng.randint(0, 20), 6), round(rng.random() * 4, 3)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, seq long, usd double, id long")
+    got = spans.select_within_budget(df, key, 5.0, order=("seq", "id")).collect()
+    assert len(got) == len(rows)
+    left, spent = {}, {}
+    for r in sorted(got, key=lambda r: (r.seq, r.id)):
+        k = r.k if key else 0
+        usd = Decimal(repr(max(r.usd or 0, 0)))
+        fits = usd <= left.setdefault(k, Decimal("5.000000001"))
+        assert r.selected == fits, r
+        left[k] -= usd if fits else 0
+        spent[k] = spent.get(k, 0) + (usd if fits else 0)
+        assert r.spent == pytest.approx(float(spent[k]))
+        assert r.status == "budget_limited"
+
+
 def test_rollup_levels(spark):
     all_ = sessions(5)
     df = spark.createDataFrame([(s, f"h{i}", i, c) for s, costs in all_.items() for i, c in enumerate(costs)], "session_id string, handle string, seq long, tokens long")
