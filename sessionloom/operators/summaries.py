@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -57,26 +60,34 @@ def level_one_spans(sources: DataFrame, closed: DataFrame, tail: DataFrame, budg
     return slots.withColumn("handle", F.concat(F.lit("summary/level-1/span-"), F.lpad(F.col("slot").cast("string"), 4, "0"))).drop("span", "group")
 
 
-def rollup_levels(spans: DataFrame, budget: int, most: int = 32) -> DataFrame:
-    """Parents of spans (session_id, handle, seq, tokens) until each session has one top span or packing no longer shrinks
-    it: (session_id, level, handle, seq, tokens, parent_handle). A session drops out as it converges; one round per level."""
+def parents_of(level: DataFrame, budget: int) -> DataFrame:
+    """Adds parent_no to the spans of one level (session_id, seq, tokens): the group of spans in order whose tokens stay within the
+    budget; null for all spans of a session with a single span, or where packing no longer makes them fewer."""
     from .spans import pack_greedy
 
+    packed = pack_greedy(level, ["session_id"], "seq", F.col("tokens"), budget).drop("cost")
+    by = Window.partitionBy("session_id")
+    counted = packed.withColumn("n", F.count("*").over(by)).withColumn("groups", F.max("group").over(by) + 1)
+    return counted.withColumn("parent_no", F.when((F.col("n") > 1) & (F.col("groups") < F.col("n")), F.col("group"))).drop("n", "groups", "group")
+
+
+def span_handle(level: int, no: Column) -> Column:
+    return F.concat(F.lit(f"summary/level-{level}/span-"), F.lpad(no.cast("string"), 4, "0"))
+
+
+def rollup_levels(spans: DataFrame, budget: int) -> DataFrame:
+    """Parents of spans (session_id, handle, seq, tokens) until each session has one top span or packing no longer shrinks
+    it: (session_id, level, handle, seq, tokens, parent_handle). A session drops out as it converges; one round per level, without
+    a bound, as each round leaves fewer spans."""
     current = spans.select("session_id", F.lit(1).alias("level"), "handle", F.col("seq").cast("long").alias("seq"), F.col("tokens").cast("long").alias("tokens"))
     done = None
-    for level in range(1, most + 1):
-        packed = pack_greedy(current.drop("group"), ["session_id"], "seq", F.col("tokens"), budget).drop("cost")
-        by = Window.partitionBy("session_id")
-        counted = packed.withColumn("n", F.count("*").over(by)).withColumn("groups", F.max("group").over(by) + 1)
-        grows = (F.col("n") > 1) & (F.col("groups") < F.col("n"))
-        parent = F.when(grows, F.concat(F.lit(f"summary/level-{level + 1}/span-"), F.lpad(F.col("group").cast("string"), 4, "0")))
-        rows = written(counted.select("session_id", "level", "handle", "seq", "tokens", parent.alias("parent_handle")))
+    for level in count(1):
+        rows = written(parents_of(written(current), budget).select("session_id", "level", "handle", "seq", "tokens", span_handle(level + 1, F.col("parent_no")).alias("parent_handle")))
         done = rows if done is None else done.unionByName(rows)
         above = rows.where("parent_handle is not null").groupBy("session_id", F.col("parent_handle").alias("handle")).agg(F.min("seq").alias("seq"), F.ceil(F.sum("tokens") / 4).cast("long").alias("tokens"))
         current = above.select("session_id", F.lit(level + 1).alias("level"), "handle", "seq", "tokens")
         if current.isEmpty():
-            break
-    return done
+            return done
 
 
 def root_candidates(targets: DataFrame) -> DataFrame:
@@ -197,74 +208,174 @@ def apply_summaries(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return nodes.join(done, ["lineage", "source_hash"], "left")
 
 
-def summarize_extractive(inputs: DataFrame, words: int = 12, topics: int = 5) -> DataFrame:
-    """The default summariser: the first words of each line, and the most frequent long words as topics. Any function of
-    pandas frames with the same columns can take its place; a row that fails gets an error and the others go on."""
-    from collections.abc import Iterator
+#: What a summariser adds to its inputs.
+ADDED = {"summary": "string", "breadcrumb": "string", "topics": "array<string>", "usage": "struct<input:bigint,output:bigint>", "error": "string"}
+SUMMARY = ", ".join(f"{name} {kind}" for name, kind in ADDED.items())
+#: Times that a row without a usable summary is tried, and characters of a breadcrumb.
+TRIES, BREADCRUMB = 3, 80
+
+
+def by_row(summarise: Callable[[str], dict]) -> Callable[[DataFrame], DataFrame]:
+    """A summariser from a function of one input's text that gives summary, breadcrumb, topics and usage (all but the first
+    may be absent). A row whose call raises gets an error and the others go on."""
+
+    def summariser(inputs: DataFrame) -> DataFrame:
+        import pandas as pd
 
-    import pandas as pd
+        def one(text: str) -> dict:
+            try:
+                got = dict(summarise(text))
+            except Exception as e:  # a row's own failure stays with it
+                return {"error": f"{type(e).__name__}: {e}"}
+            usage = got.get("usage") or {}
+            return got | {"usage": {"input": int(usage.get("input", 0)), "output": int(usage.get("output", 0))}}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["input"]:
-                try:
-                    lines = str(text).split("\n")
-                    counts: dict[str, int] = {}
-                    for w in str(text).lower().split():
-                        if len(w) > 6 and w.isalpha():
-                            counts[w] = counts.get(w, 0) + 1
-                    best = sorted(counts, key=lambda w: (-counts[w], w))[:topics]
-                    out.append((" / ".join(" ".join(x.split()[:words]) for x in lines), best, None))
-                except Exception as e:  # a row's own failure stays with it
-                    out.append((None, [], str(e)))
-            yield pdf.assign(summary=[o[0] for o in out], topics=[o[1] for o in out], error=[o[2] for o in out])
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                got = [one("" if t is None else str(t)) for t in pdf["input"]]
+                yield pdf.assign(summary=[g.get("summary") for g in got], breadcrumb=[g.get("breadcrumb") for g in got], topics=[list(g.get("topics") or []) for g in got], usage=[g.get("usage") for g in got], error=[g.get("error") for g in got])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in inputs.dtypes)
-    return inputs.mapInPandas(run, f"{fields}, summary string, topics array<string>, error string")
+        fields = ", ".join(f"`{n}` {t}" for n, t in inputs.dtypes)
+        return inputs.mapInPandas(run, f"{fields}, {SUMMARY}")
 
+    return summariser
 
-def summarize_cycle(inputs: DataFrame, targets: DataFrame, strategy: str, summariser=summarize_extractive, budget: float | None = None, at: int = 0) -> tuple[DataFrame, DataFrame]:
+
+def extract(text: str, words: int = 12, topics: int = 5) -> dict:
+    """The first words of each line, and the most frequent long words as topics."""
+    lines = text.split("\n")
+    counts: dict[str, int] = {}
+    for w in text.lower().split():
+        if len(w) > 6 and w.isalpha():
+            counts[w] = counts.get(w, 0) + 1
+    brief = " / ".join(" ".join(x.split()[:words]) for x in lines)
+    usage = {"input": max(1, -(-len(text) // 4)), "output": max(1, -(-len(brief) // 4))}
+    return {"summary": brief, "breadcrumb": brief[:BREADCRUMB], "topics": sorted(counts, key=lambda w: (-counts[w], w))[:topics], "usage": usage}
+
+
+def summarize_extractive(inputs: DataFrame) -> DataFrame:
+    """The default summariser. Any function of DataFrames that adds the columns of SUMMARY can take its place, by_row() among
+    them."""
+    return by_row(extract)(inputs)
+
+
+def retried(inputs: DataFrame, summariser: Callable[[DataFrame], DataFrame], key: str = "target_id", tries: int = TRIES, in_flight: int | None = None) -> DataFrame:
+    """The summariser's rows for all inputs, with tries (how often a row was tried): rows with an error or without a summary
+    are tried again, up to so many times; usage adds up over tries. Each round is written, so what has been answered is never asked again.
+
+    in_flight: partitions that are worked on at once at most, to bound concurrent calls of an outside service.
+    """
+    pending, done = inputs, None
+    for nth in range(1, tries + 1):
+        dealt = pending if in_flight is None else pending.repartition(in_flight, key)
+        made = summariser(dealt.drop("spent_input", "spent_output")).withColumn("tries", F.lit(nth))
+        answered = F.coalesce(F.trim("summary"), F.lit("")) != ""
+        error = F.when(F.col("error").isNotNull(), F.col("error")).when(~answered, "empty")
+        made = made.withColumn("error", error).withColumn("summary", F.when(error.isNull(), F.col("summary")))
+        if nth > 1:
+            spent = pending.select(F.col(key).alias("of_key"), "spent_input", "spent_output")
+            total = F.struct(*[(F.coalesce(f"usage.{f}", F.lit(0)) + F.col(f"spent_{f}")).cast("long").alias(f) for f in ("input", "output")])
+            made = made.join(spent, F.col(key).eqNullSafe(F.col("of_key"))).withColumn("usage", total).drop("of_key", "spent_input", "spent_output")
+        made = written(made)
+        failed = made.where("error is not null")
+        kept = made if nth == tries else made.where("error is null")
+        done = kept if done is None else done.unionByName(kept)
+        if nth == tries or failed.isEmpty():
+            return done
+        pending = failed.select(*inputs.columns, *[F.coalesce(f"usage.{f}", F.lit(0)).alias(f"spent_{f}") for f in ("input", "output")])
+
+
+def summarize_cycle(inputs: DataFrame, targets: DataFrame, strategy: str, summariser: Callable[[DataFrame], DataFrame] = summarize_extractive, budget: float | None = None, at: int = 0, tries: int = TRIES, in_flight: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One round: ids for the inputs (session_id, handle, input, source_hash), reuse of what is done, summaries of the rest,
-    commit at time `at`. Returns the new targets and the inputs with their summaries.
+    commit at time `at`. Returns the new targets and the inputs with work (reused or pending, as the round began), state (reused,
+    done, error or pending, as it ended) and their summaries.
 
-    With a budget (USD over all sessions), inputs have usd and seq, and only jobs that fit what is left of it are done, in order; the
-    others stay pending for a later round. The summariser runs once.
+    With a budget (USD over all sessions), inputs have usd and seq, and only jobs that fit what is left of it are done, by seq, then session
+    and handle; the others stay pending for a later round. Inputs of equal ids are summarised once. A row that still fails after so
+    many tries is committed as an error, which a later run tries anew. A summariser need not give the columns beyond summary and error.
     """
-    from ..sources.sinks import written
+    results, got = _results(inputs, targets, strategy, summariser, budget, at, tries, in_flight)
+    return commit_targets(targets, results), got
+
+
+def _results(inputs: DataFrame, targets: DataFrame, strategy: str, summariser: Callable[[DataFrame], DataFrame], budget: float | None, at: int, tries: int, in_flight: int | None) -> tuple[DataFrame, DataFrame]:
+    """What summarize_cycle() makes anew, as rows of targets (written), and the inputs with work, state and summary."""
     from .spans import select_within_budget
 
-    jobs = split_reusable(target_ids(inputs, strategy), targets)
-    pending = jobs.where("work = 'pending'")
+    named = target_ids(inputs, strategy)
+    known = targets.join(named.select("target_id").distinct(), "target_id", "left_semi").where("status = 'completed'")
+    jobs = written(split_reusable(named, known))
+    first = Window.partitionBy("target_id").orderBy(*(["seq"] if "seq" in jobs.columns else []), "session_id", "handle")
+    pending = jobs.where("work = 'pending'").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     if budget is not None:
-        pending = select_within_budget(pending.withColumn("run", F.lit(0)), ["run"], budget).where("selected").select(*jobs.columns)
-    made = summariser(pending)
+        pending = select_within_budget(pending, [], budget, order=("seq", "session_id", "handle")).where("selected").select(*jobs.columns)
+    made = retried(pending.select("target_id", "session_id", "handle", "input"), lambda df: _with_all(summariser(df)), "target_id", tries, in_flight)
     status = F.when(F.col("error").isNull(), "completed").otherwise("error")
-    results = written(made.select("target_id", status.alias("status"), "summary", F.lit(at).cast("long").alias("updated_at")))
-    after = commit_targets(targets, results)
-    return after, jobs.join(after.where("status = 'completed'").select("target_id", "summary"), "target_id", "left")
-
-
-def summarize_to_roots(spans: DataFrame, records: DataFrame, strategy: str, budget: int, summariser=summarize_extractive, most: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Rounds from first-level spans (session_id, handle, seq, tokens) with their records (session_id, handle, pos, record) up
-    to the top span of each session: every level reads the summaries of the one below. Returns all targets and, for each span of any level, session_id, level, handle, summary.
+    results = made.select("target_id", status.alias("status"), "summary", "breadcrumb", "topics", "usage", "error", F.lit(at).cast("long").alias("updated_at"))
+    old = known.groupBy("target_id").agg(F.max_by("summary", "updated_at").alias("old"))
+    new = results.select("target_id", F.col("summary").alias("new"), (F.col("status") == "error").alias("failed"))
+    met = jobs.join(old, "target_id", "left").join(new, "target_id", "left")
+    state = F.when(F.col("work") == "reused", "reused").when(F.col("new").isNotNull(), "done").when(F.col("failed"), "error").otherwise("pending")
+    return results, met.withColumn("state", state).withColumn("summary", F.coalesce("new", "old")).drop("new", "old", "failed")
+
+
+def _with_all(made: DataFrame) -> DataFrame:
+    """The columns that a summariser left out, as nulls."""
+    return made.withColumns({name: F.lit(None).cast(kind) for name, kind in ADDED.items() if name not in made.columns})
+
+
+def summarize_to_roots(
+    spans: DataFrame, records: DataFrame, strategy: str, budget: int, summariser: Callable[[DataFrame], DataFrame] = summarize_extractive, targets: DataFrame | None = None, most_usd: float | None = None, usd: Column | None = None, at: int = 0, tries: int = TRIES, in_flight: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds from first-level spans (session_id, handle, seq) with their records (session_id, handle, pos, record) up to
+    the root of each session (handle `summary/root`, which reads the summaries of its top spans).
+
+    A session climbs a level only when all its spans there have summaries: what failed or did not fit the budget stops it until a later
+    run, which takes the returned targets and goes on from there. Parents are packed by the size of their children's finished
+    summaries. Over all rounds together jobs cost most_usd at most (usd: the cost of an input, an expression over its column; a
+    millionth of its estimated tokens unless given). Returns the targets, and for each span met session_id, level, handle, state and summary;
+    level 0 is the root. Sessions that are done or stopped leave the frontier, so later rounds read only what still climbs.
     """
-    from ..sources.sinks import written
-
-    tree = written(rollup_levels(spans, budget, most))
-    targets = spans.sparkSession.createDataFrame([], "target_id string, status string, summary string, updated_at long")
-    made = None
-    children = records
-    for level in range(1, most + 1):
-        own = tree.where(F.col("level") == level)
-        if own.isEmpty():
+    cost = F.col("tokens") * 1e-6 if usd is None else usd
+    if targets is None:
+        targets = spans.sparkSession.createDataFrame([], f"target_id string, status string, {SUMMARY}, updated_at long")
+    frontier = spans.select("session_id", "handle", F.col("seq").cast("long").alias("seq"))
+    children = records.select("session_id", "handle", "pos", "record")
+    made, results, left = None, None, most_usd
+
+    def round_(frontier: DataFrame, children: DataFrame, level: int) -> DataFrame:
+        """Summaries of the frontier's spans: session_id, handle, seq, state, summary."""
+        nonlocal results, left, made
+        inputs = summary_inputs(children, ["session_id", "handle"]).join(frontier, ["session_id", "handle"]).withColumn("tokens", T.estimate_tokens(F.col("input")))
+        inputs = written(inputs.withColumn("usd", cost))
+        known = targets if results is None else targets.unionByName(results, allowMissingColumns=True)
+        new, got = _results(inputs, known, strategy, summariser, left, at, tries, in_flight)
+        results = new if results is None else results.unionByName(new)
+        got = written(got.select("session_id", "handle", "seq", "state", "summary", "usd", "target_id"))
+        if left is not None:  # each id is paid for once
+            paid = got.where("state in ('done', 'error')").select("target_id", "usd").distinct()
+            left -= float(paid.agg(F.coalesce(F.sum("usd"), F.lit(0.0))).first()[0])
+        own = got.select("session_id", F.lit(level).alias("level"), "handle", "state", "summary")
+        made = own if made is None else made.unionByName(own)
+        return got
+
+    for level in count(1):
+        got = round_(frontier, children, level)
+        whole = got.groupBy("session_id").agg(F.every(F.col("summary").isNotNull()).alias("whole")).where("whole").select("session_id")
+        finished = written(got.join(whole, "session_id", "left_semi").select("session_id", "handle", "seq", "summary", T.estimate_tokens(F.col("summary")).alias("tokens")))
+        if finished.isEmpty():
+            break
+        packed = written(parents_of(finished, budget))
+        tops = packed.where("parent_no is null")
+        if not tops.isEmpty():
+            root = F.lit("summary/root").alias("handle")
+            round_(tops.groupBy("session_id").agg(F.min("seq").alias("seq")).withColumn("handle", root), tops.select("session_id", root, F.col("seq").alias("pos"), F.col("summary").alias("record")), 0)
+        up = packed.where("parent_no is not null").withColumn("handle", span_handle(level + 1, F.col("parent_no")))
+        if up.isEmpty():
             break
-        targets, got = summarize_cycle(summary_inputs(children, ["session_id", "handle"]), targets, strategy, summariser, at=level)
-        targets, got = written(targets), written(got.select("session_id", F.lit(level).alias("level"), "handle", "summary"))
-        made = got if made is None else made.unionByName(got)
-        up = own.where("parent_handle is not null").join(got.select("session_id", "handle", "summary"), ["session_id", "handle"])
-        children = up.select("session_id", F.col("parent_handle").alias("handle"), F.col("seq").alias("pos"), F.coalesce("summary", F.lit("")).alias("record"))
-    return targets, made
+        children = up.select("session_id", "handle", F.col("seq").alias("pos"), F.col("summary").alias("record"))
+        frontier = up.groupBy("session_id", "handle").agg(F.min("seq").alias("seq"))
+    return commit_targets(targets, results), made
 
 
 def publish_decision(candidates: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import spans as P
 from ..operators import summaries as S
+from ..sources.sinks import written
 from .catalog import query, table
 from .scalars import tokens_sql
 from .windows import _SPANS, EVENTS, boundary, events, spans
@@ -98,14 +99,20 @@ def hi_13(spark, sf):
 
 @query("hi_14_summarize_cycle")
 def hi_14(spark, sf):
-    inputs = S.summary_inputs(events(spark, sf).select("session_id", F.col("ordinal").alias("pos"), F.col("text").alias("record")), ["session_id"]).withColumn("handle", F.concat(F.lit("session/"), "session_id"))
-    none = spark.createDataFrame([], "target_id string, status string, summary string, updated_at long")
-    return S.summarize_cycle(inputs, none, "v1")[1].select("session_id", "target_id", "work", "summary")
+    """A run within a budget, and one that goes on from its targets, up to the roots."""
+    one = level_one(spark, sf).join(events(spark, sf).select("session_id", "ordinal", F.concat_ws(": ", "role", "text").alias("record")), ["session_id", "ordinal"])
+    one = written(one.withColumn("pos", F.col("ordinal")))
+    leaves = one.groupBy("session_id", "handle").agg(F.min("slot").alias("seq"))
+    half = float(one.agg(F.sum("cost")).first()[0]) * 0.5e-6
+    targets, _ = S.summarize_to_roots(leaves, one, "v1", 60, most_usd=half)
+    return S.summarize_to_roots(leaves, one, "v1", 60, targets=written(targets), at=1)[1]
 
 
 @query("udf_01_summariser")
 def udf_01(spark, sf):
-    return S.summarize_extractive(table(spark, sf, "documents").select("doc_id", F.col("text").alias("input"))).drop("input")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("input"))
+    made = S.retried(d, S.summarize_extractive)
+    return made.select(F.col("target_id").alias("doc_id"), "summary", "breadcrumb", "topics", F.col("usage.input").alias("usage_input"), F.col("usage.output").alias("usage_output"), "error", "tries")
 
 
 @query("hi_17_publish_decision", """WITH m AS (SELECT user_id, max(ts) AS mtime, count(*) AS size, count(*) FILTER (event_type = 'view') AS n FROM events WHERE user_id % 3 > 0 GROUP BY 1),

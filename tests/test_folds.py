@@ -151,13 +151,112 @@ def test_cycle_reuses_and_keeps_to_its_budget(spark):
     assert rows["h0"] == ("reused", "line one of 0 / and two") and rows["h5"] == ("pending", "line one of 5 / and two") and calls.value == 6
 
 
-def test_rounds_reach_the_roots(spark):
-    leaves = spark.createDataFrame([("s", f"h{i}", i, 6) for i in range(5)], "session_id string, handle string, seq long, tokens long")
-    records = spark.createDataFrame([("s", f"h{i}", 0, f"word{i} more") for i in range(5)], "session_id string, handle string, pos long, record string")
-    targets, got = summaries.summarize_to_roots(leaves, records, "v1", 20)
-    by = {(r.level, r.handle): r.summary for r in got.collect()}
-    top = max(level for level, _ in by)
-    assert top > 1 and by[1, "h3"] == "word3 more" and all("word" in s for s in by.values()) and targets.count() == len(by)
+def fold_to_roots(sessions_, known, budget, most_usd=None, fails=()):
+    """Plain Python of summarize_to_roots() with the extractive summariser: texts are ids. Returns (level, session, handle) ->
+    (state, summary) and what is known afterwards."""
+    known, left, out = dict(known), Decimal(repr(most_usd)) + Decimal("1e-9") if most_usd is not None else None, {}
+    tokens = lambda t: max(1, -(-len(t) // 4))
+    levels = {s: [(f"h{i}", i, "\n".join(lines)) for i, lines in enumerate(spans_)] for s, spans_ in sessions_.items()}
+    level = 1
+
+    def round_(jobs, level):
+        nonlocal left
+        got, reused = {}, set(known)
+        for seq, s, h, text in sorted((seq, s, h, text) for s, own in jobs.items() for h, seq, text in own):
+            key = (h, text)
+            if key in reused:
+                got[s, h] = ("reused", known[key])
+            elif key in known:
+                got[s, h] = ("done", known[key])
+            else:
+                cost = Decimal(repr(round(tokens(text) * 1e-6, 12)))
+                if left is not None and cost > left:
+                    got[s, h] = ("pending", None)
+                    continue
+                left = None if left is None else left - cost
+                if any(f in text for f in fails):
+                    got[s, h] = ("error", None)
+                    continue
+                known[key] = plain_summary(text)
+                got[s, h] = ("done", known[key])
+        out.update({(level, *k): v for k, v in got.items()})
+        return got
+
+    while levels:
+        got = round_(levels, level)
+        above, roots = {}, {}
+        for s, own in levels.items():
+            texts = [got[s, h][1] for h, _, _ in own]
+            if any(t is None for t in texts):
+                continue
+            groups = greedy([tokens(t) for t in texts], budget)
+            if len(own) > 1 and groups[-1] + 1 < len(own):
+                above[s] = [(f"summary/level-{level + 1}/span-{g:04}", min(q for (_, q, _), x in zip(own, groups) if x == g), "\n".join(t for t, x in zip(texts, groups) if x == g)) for g in dict.fromkeys(groups)]
+            else:
+                roots[s] = [("summary/root", min(q for _, q, _ in own), "\n".join(texts))]
+        round_(roots, 0)
+        levels, level = above, level + 1
+    return out, known
+
+
+def trees(seed):
+    """Sessions of spans of lines; lines differ, so no two jobs are equal."""
+    rng = random.Random(seed)
+    return {f"s{k}": [[f"{k}-{i}-{j} " + " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 9))) for j in range(rng.randint(1, 3))] for i in range(rng.randint(1, 7))] for k in range(5)}
+
+
+def to_roots(spark, sessions_, **options):
+    leaves = spark.createDataFrame([(s, f"h{i}", i) for s, own in sessions_.items() for i in range(len(own))], "session_id string, handle string, seq long")
+    records = spark.createDataFrame([(s, f"h{i}", j, t) for s, own in sessions_.items() for i, lines in enumerate(own) for j, t in enumerate(lines)], "session_id string, handle string, pos long, record string")
+    targets, got = summaries.summarize_to_roots(leaves, records, "v1", 30, **options)
+    return sinks.written(targets), {(r.level, r.session_id, r.handle): (r.state, r.summary) for r in got.collect()}
+
+
+def test_runs_climb_to_the_roots_within_their_budgets(spark):
+    """Three runs: a small budget with a failing row, a larger one, one without a bound; each goes on from the targets before."""
+    sessions_, known, targets = trees(4), {}, None
+
+    def failing(df):
+        return summaries.by_row(lambda t: 1 / 0 if "2-0-0" in t else summaries.extract(t))(df)
+
+    for at, (most, summariser, fails) in enumerate([(0.0001, failing, ("2-0-0",)), (0.0003, failing, ("2-0-0",)), (None, summaries.summarize_extractive, ())]):
+        targets, got = to_roots(spark, sessions_, targets=targets, most_usd=most, summariser=summariser, at=at, tries=2)
+        want, known = fold_to_roots(sessions_, known, 30, most, fails)
+        assert got == want, at
+    assert {s for level, s, _ in got if level == 0} == set(sessions_) and all(w in ("done", "reused") for w, _ in got.values())
+    assert max(level for level, _, _ in got) > 1
+    stored = targets.collect()
+    assert len(stored) == len({r.target_id for r in stored}) == len(known) and all(r.status == "completed" and r.breadcrumb and r.usage.input > 0 for r in stored)
+
+
+def test_a_failed_child_stops_its_session_alone(spark):
+    sessions_ = {"a": [["fine one"], ["bad two"]], "b": [["fine three"], ["fine four"]]}
+    targets, got = to_roots(spark, sessions_, summariser=summaries.by_row(lambda t: {"summary": "" if "bad" in t else t}), tries=2)
+    assert {k: v[0] for k, v in got.items()} == {(1, "a", "h0"): "done", (1, "a", "h1"): "error", (1, "b", "h0"): "done", (1, "b", "h1"): "done", (2, "b", "summary/level-2/span-0000"): "done", (0, "b", "summary/root"): "done"}
+    [failed] = targets.where("status = 'error'").collect()
+    assert failed.error == "empty" and failed.summary is None
+
+
+def test_rows_are_tried_a_bounded_number_of_times(spark):
+    """A function that answers on a row's third call, one that raises, one that never answers."""
+    at = sinks.shared_folder(spark).removeprefix("file:")
+
+    def moody(text):
+        import os
+        import uuid
+
+        os.makedirs(f"{at}/{text}", exist_ok=True)
+        calls = len(os.listdir(f"{at}/{text}"))
+        open(f"{at}/{text}/{uuid.uuid4().hex}", "w").close()
+        if text == "raises":
+            raise ValueError("no")
+        return {"summary": "yes" if text == "late" and calls == 2 or text == "good" else " ", "usage": {"input": 5, "output": 1}}
+
+    df = spark.createDataFrame([("1", "good"), ("2", "late"), ("3", "raises"), ("4", "mute"), (None, "good")], "target_id string, input string")
+    got = {(r.target_id, r.input): r for r in summaries.retried(df, summaries.by_row(moody), in_flight=2).collect()}
+    assert len(got) == 5 and {k[1]: r.tries for k, r in got.items()} == {"good": 1, "late": 3, "raises": 3, "mute": 3}
+    assert got["2", "late"].summary == "yes" and got["2", "late"].usage.input == 15 and got["3", "raises"].error == "ValueError: no" and got["4", "mute"].error == "empty" and got["4", "mute"].summary is None
+    assert got["3", "raises"].usage.input == 0 and got["1", "good"].usage.output == 1 and got["1", "good"].topics == []
 
 
 def test_update_prompts_read_the_suffix(spark):
