@@ -101,8 +101,8 @@ def snk_02(spark, sf):
     rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("handle"), F.lit("old").alias("state"), "conv_id", "turn")
     K.publish(spark, rows, root, rows, 1)
     even = rows.where("conv_id % 2 = 0")
-    at = K.publish(spark, even.where("turn <= 2").withColumn("state", F.lit("new")), root, even, 2)
-    return spark.read.parquet(at).select("session_id", "handle", "state")
+    K.publish(spark, even.where("turn <= 2").withColumn("state", F.lit("new")), root, even, 2)
+    return K.read_collection(spark, root).select("session_id", "handle", "state")
 
 
 @query("snk_04_headers", f"WITH {MANIFEST} SELECT 'idx-' || substr(sha256(session_id), 1, 32) AS index_id, session_id, source_path, updated_at FROM mf")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -84,20 +87,123 @@ def replace_sessions(old: DataFrame | None, new: DataFrame, sessions: DataFrame)
     return checked.unionByName(kept, allowMissingColumns=True)
 
 
-def publish(spark: SparkSession, new: DataFrame, root: str, sessions: DataFrame, generation: int) -> str:
-    """Writes the next generation of a collection and points to it last; readers of the old one are not disturbed.
-    An older generation than the current one is refused."""
-    current = current_generation(spark, root)
-    if generation <= current:
-        raise ValueError(f"generation {generation} is not newer than {current}")
-    old = spark.read.parquet(f"{root}/generation={current}") if current >= 0 else None
-    replace_sessions(old, new, sessions).write.parquet(f"{root}/generation={generation}")
-    spark.range(1).select(F.lit(generation).alias("generation")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return f"{root}/generation={generation}"
+@dataclass(frozen=True)
+class Commit:
+    """What a collection consists of: for each bucket of sessions the folder of its rows, and the folders of its log."""
+
+    version: int = -1
+    mark: int = -1  # generation or batch of the last writer
+    buckets: int = BUCKETS
+    schema: str | None = None  # of the rows, as JSON
+    rows: dict[int, str] = field(default_factory=dict)
+    log: dict[int, list[str]] = field(default_factory=dict)
+
+    def file(self, root: str) -> str:
+        return f"{root}/commits/{self.version:020d}.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it isn't there."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def last_commit(spark: SparkSession, root: str) -> Commit:
+    """The newest commit of a collection; an empty one, of version -1, if there is none."""
+    names = [n for n in _listed(spark, f"{root}/commits") if n.endswith(".json")]
+    if not names:
+        return Commit()
+    fs, p = _fs(spark, f"{root}/commits/{names[-1]}")
+    stream = fs.open(p)
+    try:
+        got = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return Commit(**got | {k: {int(b): v for b, v in got[k].items()} for k in ("rows", "log")})
+
+
+def commit(spark: SparkSession, root: str, new: Commit) -> None:
+    """Makes a commit the newest in one step: its file is written aside and renamed. An error where another writer has taken its
+    version."""
+    fs, p = _fs(spark, new.file(root))
+    if fs.exists(p):
+        raise RuntimeError(f"another writer has committed version {new.version}")
+    _, aside = _fs(spark, f"{root}/commits/.{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    try:
+        stream.write(bytearray(json.dumps(asdict(new)).encode()))
+    finally:
+        stream.close()
+    if not fs.rename(aside, p):
+        raise RuntimeError(f"another writer has committed version {new.version}")
+
+
+def write_buckets(rows: DataFrame, folder: str, buckets: int) -> dict[int, str]:
+    """Writes rows to a new folder by bucket of session, and gives the folder of each bucket that has rows. Large buckets are
+    split among tasks, small ones put together."""
+    spark = rows.sparkSession
+    rows.withColumn("session_bucket", bucket(buckets)).hint("rebalance", "session_bucket").write.partitionBy("session_bucket").parquet(folder)
+    return {int(name.split("=")[1]): f"{folder}/{name}" for name in _listed(spark, folder) if name.startswith("session_bucket=")}
+
+
+def read_buckets(spark: SparkSession, schema: str | None, folders: list[str]) -> DataFrame | None:
+    """The rows of some folders, under one schema: columns that older files lack are null."""
+    if schema is None:
+        return None
+    kind = StructType.fromJson(json.loads(schema))
+    return spark.read.schema(kind).parquet(*folders) if folders else spark.createDataFrame([], kind)
+
+
+def read_collection(spark: SparkSession, root: str) -> DataFrame | None:
+    """The rows of the newest commit; None before the first."""
+    now = last_commit(spark, root)
+    return read_buckets(spark, now.schema, list(now.rows.values()))
+
+
+def replaced(spark: SparkSession, root: str, now: Commit, new: DataFrame, sessions: DataFrame) -> Commit:
+    """The next commit (not yet made): the rows of the given sessions replaced. Only the buckets of these sessions are read and
+    written anew; the others' folders are taken over as they are."""
+    touched = {r[0] for r in sessions.select(bucket(now.buckets)).distinct().collect()}  # of a fixed number of buckets
+    old = read_buckets(spark, now.schema, [f for b, f in now.rows.items() if b in touched])
+    rows = replace_sessions(old, new, sessions)
+    made = write_buckets(rows, f"{root}/data/{uuid.uuid4().hex}", now.buckets)
+    return replace(now, version=now.version + 1, schema=rows.schema.json(), rows={b: f for b, f in now.rows.items() if b not in touched} | made)
+
+
+def publish(spark: SparkSession, new: DataFrame, root: str, sessions: DataFrame, generation: int, buckets: int = BUCKETS) -> None:
+    """Replaces the given sessions' rows in a collection under a new generation, in one step; what another reader has open
+    stays. A generation that isn't newer than the current one is refused. The number of buckets is that of the first writer."""
+    now = last_commit(spark, root)
+    if generation <= now.mark:
+        raise ValueError(f"generation {generation} is not newer than {now.mark}")
+    commit(spark, root, replace(replaced(spark, root, now if now.version >= 0 else replace(now, buckets=buckets), new, sessions), mark=generation))
 
 
 def current_generation(spark: SparkSession, root: str) -> int:
-    return spark.read.parquet(f"{root}/pointer").agg(F.max("generation")).first()[0] if exists(spark, f"{root}/pointer") else -1
+    return last_commit(spark, root).mark
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Deletes what neither of the newest commits names: commits before them, folders of replaced buckets and of writers that died.
+    Not to run beside a writer. Gives what was deleted."""
+    names = [n for n in _listed(spark, f"{root}/commits") if n.endswith(".json")]
+    used: set[str] = set()
+    for name in names[-keep:]:
+        fs, p = _fs(spark, f"{root}/commits/{name}")
+        stream = fs.open(p)
+        got = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        used |= {f.rsplit("/", 1)[0] for f in [*got["rows"].values(), *[f for fs_ in got["log"].values() for f in fs_]]}
+    gone = [f"{root}/commits/{n}" for n in names[:-keep]] + [f"{root}/{top}/{n}" for top in ("data", "log") for n in _listed(spark, f"{root}/{top}") if f"{root}/{top}/{n}" not in used]
+    for path in gone:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    return gone
 
 
 def reset_sessions(table: DataFrame, sessions: DataFrame) -> DataFrame:

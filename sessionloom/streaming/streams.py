@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import usage as U
-from ..sources.sinks import exists, replace_sessions, shared_folder
+from ..sources.sinks import BUCKETS, commit, exists, last_commit, read_buckets, read_collection, replaced, shared_folder, write_buckets
 
 
 #: Markers that a stream is tested for at most, as each executor holds all.
 MOST_MARKERS = 10_000
+#: Folders of a bucket's log, beyond which a batch that touches the bucket puts them together.
+MOST_LOGS = 16
 
 
 def run_to_table(stream: DataFrame) -> DataFrame:
@@ -139,47 +143,48 @@ def await_markers(hits: DataFrame, timeout_ms: int | None = 30 * 60 * 1000) -> D
     return hits.groupBy("marker").applyInPandasWithState(step, "marker string, status string, path string", "path string, status string", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def publish_batch(spark: SparkSession, root: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def publish_batch(spark: SparkSession, root: str, build: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the batch's rows join the stored log, the documents of its sessions are built anew and
-    replace the old ones in a new generation. A batch that is in the ledger already is passed over.
+    replace the old ones. Log and documents lie in buckets of sessions; a batch reads and writes only those of its sessions, and takes
+    effect by one commit at its end. A batch that died before that leaves folders that nothing names (see vacuum()) and is published when
+    it comes again; one that the last commit or an earlier one holds is passed over.
 
     A session whose generation has been raised (see bump_generations(); a table at root/generations) since a row was read is left to
     its newer rows: rows may carry `generation`, and older ones than the session's are dropped, with a note of the sessions at
-    root/deferred."""
+    root/deferred. The number of buckets is that of the first batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if exists(session, f"{root}/docs/batch={batch_id}"):
-            return
-        if batch.isEmpty():
+        now = last_commit(session, root)
+        if batch_id <= now.mark or batch.isEmpty():
             return
+        if now.version < 0:
+            now = replace(now, buckets=buckets)
         if "generation" in batch.columns:
             if exists(session, f"{root}/generations"):
-                now = session.read.parquet(f"{root}/generations").select("session_id", F.col("generation").alias("now"))
-                met = batch.join(now, "session_id", "left").withColumn("old", F.coalesce(F.col("generation") < F.col("now"), F.lit(False)))
+                newest = session.read.parquet(f"{root}/generations").select("session_id", F.col("generation").alias("now"))
+                met = batch.join(newest, "session_id", "left").withColumn("old", F.coalesce(F.col("generation") < F.col("now"), F.lit(False)))
                 met.where("old").select("session_id").distinct().write.mode("overwrite").parquet(f"{root}/deferred/batch={batch_id}")
                 batch = met.where("not old").drop("old", "now")
             batch = batch.drop("generation")
-        batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
-        batch = session.read.parquet(f"{root}/log/batch={batch_id}")
-        log = session.read.parquet(f"{root}/log").where(F.col("batch") <= batch_id).drop("batch")
-        touched = batch.select("session_id").distinct()
-        docs = build(log.join(touched, "session_id", "left_semi"))
-        last = latest_docs(session, root)
-        replace_sessions(last, docs, touched).write.parquet(f"{root}/docs/batch={batch_id}")
+        schema = batch.schema.json()
+        fresh = write_buckets(batch, f"{root}/log/{uuid.uuid4().hex}", now.buckets)
+        log = now.log | {b: [*now.log.get(b, []), f] for b, f in fresh.items()}
+        many = [b for b in fresh if len(log[b]) > MOST_LOGS]
+        if many:  # one folder in place of many
+            merged = read_buckets(session, schema, [f for b in many for f in log[b]])
+            log |= {b: [f] for b, f in write_buckets(merged, f"{root}/log/{uuid.uuid4().hex}", now.buckets).items()}
+        touched = read_buckets(session, schema, list(fresh.values())).select("session_id").distinct()
+        stored = read_buckets(session, schema, [f for b in fresh for f in log[b]])
+        docs = build(stored.join(touched, "session_id", "left_semi"))
+        commit(session, root, replace(replaced(session, root, now, docs, touched), mark=batch_id, log=log))
 
     return run
 
 
 def latest_docs(spark: SparkSession, root: str) -> DataFrame | None:
-    """The documents of the newest whole batch."""
-    if not exists(spark, f"{root}/docs"):
-        return None
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/docs")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [p.getPath().getName() for p in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))]
-    newest = max((int(d.split("=")[1]) for d in done), default=-1)
-    return spark.read.parquet(f"{root}/docs/batch={newest}") if newest >= 0 else None
+    """The documents of the newest batch that was published whole."""
+    return read_collection(spark, root)
 
 
 def stream_index(stream: DataFrame, root: str, build: Callable[[DataFrame], DataFrame]) -> None:
