@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import usage as U
 from ..sources.sinks import written
+from .ordered import in_ranges, next_value, running_sums
 
 #: Characters of a chunk of raw text, of the search text of a message, of an excerpt; topics of a node.
 CHUNK, SEARCH_TEXT, EXCERPT, TOPICS = 6000, 4000, 700, 8
@@ -99,41 +100,73 @@ def visible(nodes: DataFrame) -> DataFrame:
     return nodes.where(~hidden())
 
 
-def rollup_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """Adds to each node, bottom up over visible children: full_tokens, next_tokens (what the children's heads take), rendered_tokens, usage,
-    start_at, end_at, all_links. The session's own usage stands for its children's. One join per level; each level is written,
-    as the next one and the result both read it."""
+def forest_paths(edges: DataFrame) -> DataFrame:
+    """For each node (node_no, parent_no, step) of a forest of any depth: path, the steps from its root down to it, and up, the
+    node_nos on that way. By pointer doubling: each round joins a path to that of the node above its first step, so rounds
+    grow with the logarithm of the depth. A parent that isn't there counts as none; a cycle is an error."""
+    known = edges.select(F.col("node_no").alias("of_no"))
+    now = edges.join(known, F.col("parent_no") == F.col("of_no"), "left").select("node_no", F.col("of_no").alias("above"), F.array("step").alias("path"), F.array("node_no").alias("up"))
+    now, rows = written(now), None
+    for rounds in count(1):
+        if now.where("above is not null").isEmpty():
+            return now.drop("above")
+        rows = now.count() if rows is None else rows
+        if 1 << rounds > 4 * rows:
+            raise ValueError("nodes form a cycle")
+        top = now.select(F.col("node_no").alias("of_no"), F.col("above").alias("next"), F.col("path").alias("head_path"), F.col("up").alias("head_up"))
+        met = now.join(top, F.col("above") == F.col("of_no"), "left")
+        longer = lambda a, b: F.when(F.col("of_no").isNull(), F.col(b)).otherwise(F.concat(a, b))
+        now = written(met.select("node_no", F.col("next").alias("above"), longer("head_path", "path").alias("path"), longer("head_up", "up").alias("up")))
+
+
+def rollup_tree(nodes: DataFrame) -> DataFrame:
+    """Adds to each node, over the visible nodes below it: n_children, full_tokens (of leaves), next_tokens (what the children's heads
+    take), rendered_tokens, usage, start_at, end_at, all_links. The session's own usage stands for its children's; a node's own
+    time stands for that of what is below; a node whose children are all hidden takes nothing. Nodes whose parent is missing are
+    roots; repeated handles of a session are an error of the caller's.
+
+    Trees may have any depth. Nodes are numbered before what is below them, so a subtree is a stretch of numbers: sums are
+    differences of running sums, the first time is the first one from the node on, if it lies in the stretch. The last time
+    is found likewise in the mirrored order, which also gives the stretch's length.
+    """
+    of_session, keys = "session_id", ["session_id"]
     rendered = T.estimate_tokens(F.coalesce(F.nullif("head", F.lit("")), F.nullif("raw", F.lit("")), F.col("title")))
-    done = None
-    base = written(nodes.withColumn("rendered_tokens", rendered))
-    for level in range(depth, -1, -1):
-        own = base.where(F.col("depth") == level)
-        no = F.lit(0).cast("long")
-        leaf = {"n_children": no, "full_tokens": T.estimate_tokens(F.col("raw")), "next_tokens": T.estimate_tokens(F.col("raw")), "start_at": F.col("at"), "end_at": F.col("at"), "all_links": F.col("links")}
-        own_usage = F.coalesce("own_usage", U.usage())
-        if done is None:
-            done = below = written(own.withColumns(leaf | {"usage": own_usage}))
-            continue
-        sums = below.where(~hidden()).groupBy(F.col("session_id").alias("of_session"), F.col("parent_handle").alias("of_parent")).agg(
-            F.count("*").alias("c_n"), F.sum("full_tokens").alias("c_full"), F.sum("rendered_tokens").alias("c_next"), F.min_by("start_at", F.when(F.col("start_at").isNotNull(), F.col("pos"))).alias("c_start"), F.max_by("end_at", F.when(F.col("end_at").isNotNull(), F.col("pos"))).alias("c_end"),
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "all_links"))), lambda x: x.all_links)).alias("c_links"), F.struct(*[F.sum(f"usage.{f}").alias(f) for f in U.FIELDS]).alias("c_usage"),
-        )
-        met = own.join(sums, (F.col("session_id") == F.col("of_session")) & (F.col("handle") == F.col("of_parent")), "left")
-        has = F.col("c_n").isNotNull()
-        total = F.struct(*[(own_usage[f] + F.coalesce(F.col(f"c_usage.{f}"), no)).alias(f) for f in U.FIELDS])
-        kept_own = (F.lit(level) == 0) & F.greatest(*[own_usage[f] > 0 for f in U.FIELDS])
-        rows = met.withColumns({
-            "n_children": F.coalesce("c_n", no),
-            "full_tokens": F.when(has, F.col("c_full")).otherwise(leaf["full_tokens"]),
-            "next_tokens": F.when(has, F.col("c_next")).otherwise(leaf["next_tokens"]),
-            "start_at": F.coalesce("at", "c_start"),
-            "end_at": F.coalesce("at", "c_end"),
-            "all_links": F.array_distinct(F.concat("links", F.coalesce("c_links", F.array().cast("array<string>")))),
-            "usage": F.when(kept_own, own_usage).otherwise(total),
-        })
-        below = written(rows.select(*done.columns))
-        done = below.unionByName(done)
-    return done
+    base = written(nodes.withColumn("rendered_tokens", rendered).withColumn("node_no", F.monotonically_increasing_id()))
+    # what hidden nodes hold is not part of what is above them
+    parent = base.select(F.col("session_id").alias("of_session"), F.col("handle").alias("of_handle"), F.col("node_no").alias("parent_no"))
+    edges = written(base.join(parent, (F.col("session_id") == F.col("of_session")) & (F.col("parent_handle") == F.col("of_handle")), "left").select("node_no", F.when(~hidden(), F.col("parent_no")).alias("parent_no"), F.col("parent_no").alias("any_parent"), F.struct(F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), F.xxhash64("handle").alias("tie"), F.col("node_no").alias("no")).alias("step")))
+    paths = forest_paths(edges.select("node_no", "parent_no", "step"))
+    below = edges.where("parent_no is not null").join(base.select(F.col("node_no").alias("child_no"), "rendered_tokens"), F.col("node_no") == F.col("child_no")).groupBy(F.col("parent_no").alias("up_no")).agg(F.count("*").alias("c_n"), F.sum("rendered_tokens").alias("c_next"))
+    inner = edges.where("any_parent is not null").select(F.col("any_parent").alias("inner_no")).distinct()
+
+    own_usage, no = F.coalesce("own_usage", U.usage()), F.lit(0).cast("long")
+    small = base.join(paths.withColumnRenamed("node_no", "path_no"), F.col("node_no") == F.col("path_no")).join(inner, F.col("node_no") == F.col("inner_no"), "left").join(below, F.col("node_no") == F.col("up_no"), "left")
+    leaf = F.when(F.col("inner_no").isNull(), T.estimate_tokens(F.col("raw"))).otherwise(no)
+    small = small.select(of_session, "node_no", "path", "up", "at", "links", F.coalesce("c_n", no).alias("n_children"), leaf.alias("leaf"), F.coalesce("c_next", leaf).alias("next_tokens"), *[own_usage[f].alias(f"u_{f}") for f in U.FIELDS])
+
+    one, sums = F.lit(1).cast("long"), ["leaf", *[f"u_{f}" for f in U.FIELDS]]
+    forward = running_sums(in_ranges(small, keys, ["path"]), keys, ["path"], {"pre": one} | {f"sum_{c}": F.col(c) for c in sums})
+    forward = next_value(written(forward), keys, ["path"], F.when(F.col("at").isNotNull(), F.struct("pre", "at")), "later").drop("range_no")
+    last = F.struct(F.lit((1 << 63) - 1).alias("pos"), F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("no"))
+    turned = in_ranges(forward.withColumn("turned", F.concat("path", F.array(last))), keys, [F.col("turned").desc()])
+    turned = written(running_sums(turned, keys, [F.col("turned").desc()], {"back": one}))
+    turned = next_value(turned, keys, [F.col("turned").desc()], F.when(F.col("at").isNotNull(), F.struct("back", "at")), "earlier")
+    many = turned.groupBy(F.col("session_id").alias("of_session")).agg(F.max("pre").alias("many"))
+    size = F.col("many") - (F.col("pre") - 1) - (F.col("back") - 1) + F.size("path") - 1  # pre and back count from 1
+    rows = written(turned.join(many, F.col("session_id") == F.col("of_session")).withColumn("size", size).drop("of_session", "range_no"))
+
+    ends = rows.select(F.col("session_id").alias("of_session"), F.col("pre").alias("end_pre"), *[F.col(f"sum_{c}").alias(f"end_{c}") for c in sums])
+    met = rows.join(ends, (F.col("session_id") == F.col("of_session")) & (F.col("end_pre") == F.col("pre") + F.col("size") - 1))
+    total = lambda c: F.col(f"end_{c}") - F.col(f"sum_{c}") + F.col(c)
+    inside = lambda found, at: F.when(F.col(f"{found}.{at}") < F.col(at) + F.col("size"), F.col(f"{found}.at"))
+    links = rows.where(F.size("links") > 0).select("pre", F.posexplode("links").alias("nth", "link"), "up").select("link", F.struct("pre", "nth").alias("first"), F.explode("up").alias("link_no"))
+    links = links.groupBy("link_no", "link").agg(F.min("first").alias("first")).groupBy("link_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "link"))), lambda x: x.link).alias("all_links"))
+    rolled = met.join(links, F.col("node_no") == F.col("link_no"), "left").select(
+        F.col("node_no").alias("rolled_no"), "n_children", total("leaf").alias("full_tokens"), "next_tokens", F.coalesce("at", inside("later", "pre")).alias("start_at"), F.coalesce("at", inside("earlier", "back")).alias("end_at"),
+        F.coalesce("all_links", F.array().cast("array<string>")).alias("all_links"), F.struct(*[total(f"u_{f}").alias(f) for f in U.FIELDS]).alias("below_usage"),
+    )
+    kept_own = (F.col("depth") == 0) & F.greatest(*[own_usage[f] > 0 for f in U.FIELDS])
+    return written(base.join(rolled, F.col("node_no") == F.col("rolled_no")).withColumn("usage", F.when(kept_own, own_usage).otherwise(F.col("below_usage"))).drop("node_no", "rolled_no", "below_usage"))
 
 
 def rollup_topics(nodes: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Requests and trees that are larger than those of the registered queries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom.functions import usage as U
 from sessionloom.operators import search, tree
 
 
@@ -20,6 +23,65 @@ def test_depth_has_no_bound(spark):
     assert len(got) == 67 and all(r.depth == r.node and r.max_depth == 66 for r in got)
 
 
+def forest(seed, depth):
+    """Random trees of two sessions with chains down to a depth: (session, handle, parent, depth, pos, kind, raw, at, own, links)."""
+    rng, out = random.Random(seed), []
+    for s in ("a", "b"):
+        rows = [(s, "root", None, 0, 0, "session", None, None, rng.choice([0, 5]), [])]
+        for i in range(60):
+            up = rows[-1] if i < depth else rng.choice(rows)
+            rows.append((s, f"n{i}", up[1], up[3] + 1, rng.randint(0, 6) * 100 + i, rng.choice(["message", "message", "message", "reasoning"]) if i >= depth else "message", "x" * rng.randint(0, 40), rng.choice([None, rng.randint(0, 99)]), rng.randint(0, 3), rng.choices(["l1", "l2", "l3"], k=rng.randint(0, 2))))
+        out += rows
+    return out + [("b", "lost", "nowhere", 4, 0, "message", "abcde", 3, 1, ["l9"])]
+
+
+def rolled_by_hand(rows):
+    kids = {}
+    for r in rows:
+        kids.setdefault((r[0], r[2]), []).append(r)
+    tokens = lambda t: max(1, -(-len(t or "") // 4))
+    out = {}
+
+    def roll(r):
+        s, h, _, depth, _, _, raw, at, own, links = r
+        every = sorted(kids.get((s, h), []), key=lambda c: c[4]) if h != "nowhere" else []
+        got = [(roll(c), c) for c in every]
+        seen = [(g, c) for g, c in got if not c[5].startswith("reasoning")]
+        full = sum(g[1] for g, _ in seen) if every else tokens(raw)
+        ahead = sum(tokens(c[6] or c[1]) for _, c in seen) if every else tokens(raw)
+        used = own if depth == 0 and own else own + sum(g[3] for g, _ in seen)
+        start = at if at is not None else next((g[4] for g, _ in seen if g[4] is not None), None)
+        end = at if at is not None else next((g[5] for g, _ in reversed(seen) if g[5] is not None), None)
+        out[s, h] = (len(seen), full, ahead, used, start, end, list(dict.fromkeys([*links, *[x for g, _ in seen for x in g[6]]])))
+        return out[s, h]
+
+    for r in rows:
+        if r[2] is None or r[2] == "nowhere":
+            roll(r)
+    return out
+
+
+NODES = "session_id string, handle string, parent_handle string, depth int, pos long, kind string, raw string, at long, own long, links array<string>"
+
+
+@pytest.mark.parametrize("depth", [0, 2, 10, 40])
+def test_trees_of_any_depth_roll_up(spark, depth):
+    rows = forest(depth, depth)
+    df = spark.createDataFrame(rows, NODES).withColumns({"own_usage": U.usage(input=F.col("own")), "head": F.col("raw"), "title": F.col("handle")})
+    got = {(r.session_id, r.handle): (r.n_children, r.full_tokens, r.next_tokens, r.usage.input, r.start_at, r.end_at, r.all_links) for r in tree.rollup_tree(df).collect()}
+    want = rolled_by_hand(rows)
+    assert len(got) == len(rows) and {k: v for k, v in got.items() if v != want[k]} == {}
+
+
+def test_a_chain_loses_no_node_and_a_cycle_fails(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(300)], "node_no long, parent_no long, step long")
+    assert all(r.path == r.up == list(range(r.node_no + 1)) for r in tree.forest_paths(chain).collect())
+    ring = spark.createDataFrame([(0, None, 0), (1, 2, 1), (2, 1, 2)], "node_no long, parent_no long, step long")
+    with pytest.raises(ValueError, match="cycle"):
+        tree.forest_paths(ring)
+    assert tree.forest_paths(chain.limit(0)).count() == 0
+
+
 def test_a_cycle_below_a_root_fails(spark):
     rows = [(0, None), (1, 0), (1, 2), (2, 1)]
     with pytest.raises(ValueError, match="cycle"):
