@@ -67,7 +67,7 @@ def pack_greedy(df: DataFrame, key: list[str], order: str, cost: Column, budget:
     columns = [c for c in df.columns if c not in ("cost", "group")]
     df = df.drop("group")
     rows = df.withColumn("cost", F.greatest(F.coalesce(cost.cast("long"), F.lit(0)), F.lit(0)).cast("long")).withColumn("tie", tie_break(df))
-    large = rows.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.count("*").alias("many")).where(F.col("many") > FOLD).drop("many")
+    large = rows.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.count("*").alias("many")).where(F.col("many") > FOLD)
     met = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key] or [F.lit(True)]
     if large.isEmpty():
         return _folded_groups(rows, key, order, budget).select(*columns, "cost", "group")
@@ -156,7 +156,8 @@ def select_within_budget(jobs: DataFrame, key: list[str], budget: float | None,
 
     Rounds of running sums over ranges of the order, for all keys at once. A round takes jobs of up to half of what is left up to the first
     that no longer fits, or up to the first larger job that does; either way less than half is left, and jobs that cost more than
-    that are out. So rounds grow with the number of bits between the budget and the least cost, and each reads only what is open.
+    that are out. So rounds grow with the number of bits between the budget and the least cost, and each reads only what is open. Keys of up
+    to FOLD open jobs are folded.
     """
     usd = F.greatest(F.coalesce("usd", F.lit(0)), F.lit(0)).cast(MONEY)
     by, of = [*order, "tie"], [f"of_{k}" for k in key]
@@ -176,24 +177,41 @@ def select_within_budget(jobs: DataFrame, key: list[str], budget: float | None,
 
 
 def _admitted(open_: DataFrame, key: list[str], budget: float) -> DataFrame:
-    """(key, nth) of the jobs (key, nth, range_no, money) that select_within_budget() takes."""
+    """(key, nth) of the jobs (key, nth, range_no, money; written) that select_within_budget() takes: keys of up to FOLD open jobs by
+    a fold, larger ones round by round until they are no larger."""
     of = [f"of_{k}" for k in key]
     left = F.lit(str(round(Decimal(repr(budget)) + Decimal("1e-9"), SCALE))).cast(MONEY)
     state = open_.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.first(left).alias("left"))
     taken = None
     while True:
-        fits = open_.join(state, same(key, of)).drop(*of).where(F.col("money") <= F.col("left"))
+        sizes = open_.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.count("*").alias("many"))
+        few = open_.join(sizes.where(F.col("many") <= FOLD).drop("many"), same(key, of), "left_semi").join(state, same(key, of)).drop(*of)
+        folded = _folded_admission(few, key)
+        taken = folded if taken is None else taken.unionByName(folded)
+        large = written(sizes.where(F.col("many") > FOLD))
+        if large.isEmpty():
+            return taken
+        fits = open_.join(large, same(key, of), "left_semi").join(state, same(key, of)).drop(*of).where(F.col("money") <= F.col("left"))
         small = F.col("money") * 2 <= F.col("left")
         summed = written(running_sums(written(fits), key, ["nth"], {"sum": F.when(small, F.col("money")).otherwise(F.lit(0).cast(MONEY))}))
-        over, large = small & (F.col("sum") > F.col("left")), ~small & (F.col("sum") + F.col("money") <= F.col("left"))
-        stops = summed.where(over | large).groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.min("nth").alias("stop"))
+        over, larger = small & (F.col("sum") > F.col("left")), ~small & (F.col("sum") + F.col("money") <= F.col("left"))
+        stops = summed.where(over | larger).groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.min("nth").alias("stop"))
         met = summed.join(stops, same(key, of), "left").drop(*of)
-        now = (small & (F.col("stop").isNull() | (F.col("nth") < F.col("stop")))) | (large & (F.col("nth") == F.col("stop")))
+        now = (small & (F.col("stop").isNull() | (F.col("nth") < F.col("stop")))) | (larger & (F.col("nth") == F.col("stop")))
         got = written(met.where(now).select(*key, "nth", "money"))
-        taken = got if taken is None else taken.unionByName(got)
+        taken = taken.unionByName(got.drop("money"))
         rest = met.where(F.col("nth") > F.col("stop")).select(*key, "nth", "range_no", "money")
         spent = got.groupBy(*[F.col(k).alias(f"by_{k}") for k in key]).agg(F.sum("money").alias("spent"))
         state = written(state.join(spent, same(of, [f"by_{k}" for k in key]), "left").select(*of, (F.col("left") - F.coalesce("spent", F.lit(0))).cast(MONEY).alias("left")))
         open_ = written(rest.join(state, same(key, of)).where(F.col("money") <= F.col("left")).select(*key, "nth", "range_no", "money"))
-        if open_.isEmpty():
-            return taken.drop("money")
+
+
+def _folded_admission(few: DataFrame, key: list[str]) -> DataFrame:
+    """(key, nth) of the jobs (key, nth, money, left) that are taken, by a fold over each key's jobs."""
+    listed = few.groupBy(*key).agg(F.first("left").alias("left"), F.array_sort(F.collect_list(F.struct("nth", "money"))).alias("rows"))
+    start = F.struct(F.col("left"), F.expr("cast(array() as array<bigint>)").alias("taken"))
+
+    def step(acc: Column, r: Column) -> Column:
+        return F.when(r.money <= acc.left, F.struct((acc.left - r.money).cast(MONEY).alias("left"), F.concat(acc.taken, F.array(r.nth)).alias("taken"))).otherwise(acc)
+
+    return listed.select(*key, F.explode(F.aggregate("rows", start, step, lambda acc: acc.taken)).alias("nth"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -86,6 +87,31 @@ def agg_06(spark, sf):
     return rolled(spark, sf).select("session_id", "handle", "full_tokens", "next_tokens", "rendered_tokens", F.col("usage.total").alias("usage_total"), "start_at", "end_at")
 
 
+@query(
+    "agg_06b_rollup_deep",
+    f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS many FROM documents),
+    t AS (SELECT source, n, (n - 1) // 2 AS up, n > 0 AND n % 17 = 0 AS hid, CASE WHEN 2 * n + 1 >= many THEN {tokens_sql('text')} ELSE 0 END AS leaf, 2 * n + 1 >= many AS is_leaf, {tokens_sql('lang')} AS rendered, n_chars % 100 AS own, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS tm FROM d),
+    c AS (SELECT source, n AS anc, n, '' AS path FROM t UNION ALL SELECT c.source, c.anc, t.n, c.path || CASE WHEN t.n % 2 = 1 THEN '0' ELSE '1' END FROM c JOIN t ON t.source = c.source AND t.up = c.n AND t.n > 0 AND NOT t.hid)
+    SELECT source AS session_id, source || '/' || anc AS handle, count(*) FILTER (length(path) = 1) AS n_children, sum(leaf)::BIGINT AS full_tokens,
+      (CASE WHEN bool_or(path = '' AND is_leaf) THEN sum(leaf) ELSE coalesce(sum(rendered) FILTER (length(path) = 1), 0) END)::BIGINT AS next_tokens, (CASE WHEN anc = 0 AND sum(own) FILTER (path = '') > 0 THEN sum(own) FILTER (path = '') ELSE sum(own) END)::BIGINT AS usage_total,
+      arg_min(tm, path) FILTER (tm IS NOT NULL) AS start_at, arg_min(tm, translate(path, '01', '10')) FILTER (tm IS NOT NULL) AS end_at
+    FROM c JOIN t USING (source, n) GROUP BY source, anc""",
+)
+def agg_06b(spark, sf):
+    """The documents of each source as a binary heap, some of them hidden: trees of depth 9 and more."""
+    d = table(spark, sf, "documents")
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    d = d.withColumn("n", n.cast("long")).withColumn("many", F.count("*").over(Window.partitionBy("source")))
+    named = lambda c: F.concat_ws("/", "source", c.cast("string"))
+    none = F.lit(None).cast("string")
+    rows = d.select(
+        F.col("source").alias("session_id"), named(F.col("n")).alias("handle"), F.when(F.col("n") > 0, named(F.expr("(n - 1) div 2"))).alias("parent_handle"), F.floor(F.log2(F.col("n") + 1)).cast("int").alias("depth"), F.col("n").alias("pos"),
+        F.when((F.col("n") > 0) & (F.col("n") % 17 == 0), "reasoning").otherwise("message").alias("kind"), F.col("lang").alias("head"), named(F.col("n")).alias("title"), F.when(2 * F.col("n") + 1 >= F.col("many"), F.col("text")).otherwise(none).alias("raw"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("at"), U.usage(input=F.col("n_chars") % 100).alias("own_usage"), F.array("lang").alias("links"),
+    )
+    return N.rollup_tree(rows).select("session_id", "handle", "n_children", "full_tokens", "next_tokens", F.col("usage.total").alias("usage_total"), "start_at", "end_at")
+
+
 @query(
     "agg_05_rollup_topics",
     f"""WITH {EVENTS}, t AS (SELECT session_id, ordinal, greatest(1, ceil(greatest(1, ceil(length(text) / 4.0)) / 1000.0)) AS weight, unnest([upper(role), substr(text, 1, 1)]) AS topic FROM ev),

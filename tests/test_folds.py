@@ -86,9 +86,10 @@ def test_select_within_budget(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("key", [["k"], []])
-def test_admission_by_plain_python(spark, key):
-    """Sizes over many powers of two, ties, nulls and zeros; one budget for each key, or one for all."""
+@pytest.mark.parametrize(("key", "fold"), [(["k"], 10_000), (["k"], 30), ([], 10_000), ([], 40)])
+def test_admission_by_plain_python(spark, key, fold, monkeypatch):
+    """Sizes over many powers of two, ties, nulls and zeros; one budget for each key, or one for all; with and without rounds."""
+    monkeypatch.setattr(spans, "FOLD", fold)
     rng = random.Random(8)
     rows = [(rng.choice(["a", "b", None]), rng.randint(0, 40), rng.choice([0.0, None, -1.0, round(2.0 ** -rng.randint(0, 20), 6), round(rng.random() * 4, 3)]), i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, seq long, usd double, id long")
