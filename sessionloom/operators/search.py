@@ -6,16 +6,20 @@ earlier start, then handle. All query tokens are optional; no stemming, no typo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.sinks import written
 
 #: Parts that the rows of a request are ranked in before its page is taken from their first rows.
 SALTS = 64
+#: Documents of a block of the search index: 2 to this power.
+BLOCK_BITS = 12
 #: Fields that a filter may name.
 FILTER_FIELDS = ("index_id", "session_id", "agent", "parent_handle", "message_id", "in_reply_to", "tool_call_id", "role")
 
@@ -169,14 +173,127 @@ def open_nodes(docs: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def find_refs(docs: DataFrame, nodes: DataFrame, requests: DataFrame, start: int = 0, limit: int = 10, mip: int | None = None, topic: str = "", index: DataFrame | None = None, **fields) -> DataFrame:
-    """Search as one call: the filter and the topic narrow the documents, each request's page of them is hydrated from the
+@dataclass
+class BlockIndex:
+    """Postings by token and block of documents, the greatest tf of each token in each block, and what ranking and filters
+    need of a document; all written."""
+
+    postings: DataFrame  # token, block, doc_no, tf
+    maxima: DataFrame  # token, block, most
+    narrow: DataFrame  # doc_no, session_id, handle, start_at, depth, topics and fields that a filter may name
+
+
+def build_block_index(docs: DataFrame, block_bits: int = BLOCK_BITS) -> BlockIndex:
+    """The index of visible documents with text, in blocks of up to 2 ** block_bits documents."""
+    rows = docs.where(F.col("retrieval_visible") & (F.col("search_text") != ""))
+    fields = [c for c in dict.fromkeys(("session_id", "handle", "start_at", "depth", "topics", *FILTER_FIELDS)) if c in docs.columns]
+    numbered = written(rows.select(F.monotonically_increasing_id().alias("doc_no"), *fields, "search_text"))
+    block = F.shiftright("doc_no", block_bits).alias("block")
+    postings = written(numbered.select("doc_no", block, F.explode(tokens(F.col("search_text"))).alias("token")).groupBy("token", "block", "doc_no").agg(F.count("*").alias("tf")))
+    maxima = written(postings.groupBy("token", "block").agg(F.max("tf").alias("most")))
+    return BlockIndex(postings, maxima, numbered.drop("search_text"))
+
+
+def request_table(requests: DataFrame, start: int = 0, limit: int = 10) -> DataFrame:
+    """Requests (request_id, query) with all columns a request may have: topic, which joins the query's words; start and limit; mip (0 for
+    verbatim documents, another for the depth); and the FILTER_FIELDS, strings or arrays of them: a document must have one of
+    a field's values. Null and empty values, and mip 0 alone, ask for nothing. Adds words; filtered tells whether there is any filter."""
+    have = dict(requests.dtypes)
+
+    def values(c: str) -> Column:
+        if c not in have:
+            return F.array().cast("array<string>")
+        given = F.col(c) if have[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.coalesce(F.filter(given, lambda v: v.isNotNull() & (v != "")), F.array().cast("array<string>"))
+
+    own = lambda c, other: F.coalesce(F.col(c).cast("int"), F.lit(other)) if c in have else F.lit(other)
+    text = F.concat_ws(" ", *[c for c in ("query", "topic") if c in have])
+    asked = requests.select("request_id", F.array_distinct(tokens(text)).alias("words"), own("start", start).alias("start"), own("limit", limit).alias("limit"), own("mip", None).cast("int").alias("mip"), *[values(c).alias(f"by_{c}") for c in FILTER_FIELDS])
+    return asked.withColumn("filtered", F.coalesce(F.col("mip") != 0, F.lit(False)) | reduce(or_, [F.size(f"by_{c}") > 0 for c in FILTER_FIELDS]))
+
+
+def passes(columns: list[str]) -> Column:
+    """Whether a document (with those columns) passes the filter of a request beside it. A filter on a field that documents
+    lack passes nothing."""
+    every = [(F.size(f"by_{c}") == 0) | (F.array_contains(f"by_{c}", F.col(c)) if c in columns else F.lit(False)) for c in FILTER_FIELDS]
+    return F.coalesce(reduce(and_, every), F.lit(False)) & (F.col("mip").isNull() | (F.col("mip") == 0) | (F.col("depth") == F.col("mip")))
+
+
+def _scored(index: BlockIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents that pass their request's filter, from the wanted (request_id, block, token): request_id, doc_no, session_id,
+    handle, start_at, matched, tf."""
+    hits = index.postings.join(wanted, ["token", "block"]).groupBy("request_id", "doc_no").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
+    met = hits.join(index.narrow, "doc_no").join(asked, "request_id").where(passes(index.narrow.columns))
+    return met.select("request_id", "doc_no", "session_id", "handle", "start_at", "matched", "tf", "start", "limit")
+
+
+def _unworded(index: BlockIndex, asked: DataFrame) -> DataFrame:
+    """The same for requests with a filter and no words: each meets documents by an equality on the first field it names; a
+    request that names only a depth meets those of that depth."""
+    columns, found = index.narrow.columns, None
+    rest = asked.where((F.size("words") == 0) & F.col("filtered"))
+    one = F.lit(1).cast("long")
+    for field in [*[c for c in FILTER_FIELDS if c in columns], "mip"]:
+        if field == "mip":
+            met = index.narrow.join(rest.where("mip <> 0").withColumn("is_key", F.col("mip")), F.col("depth") == F.col("is_key"))
+        else:
+            own = rest.where(F.size(f"by_{field}") > 0).withColumn("is_key", F.explode(F.array_distinct(f"by_{field}")))
+            rest = rest.where(F.size(f"by_{field}") == 0)
+            met = index.narrow.join(own, F.col(field) == F.col("is_key"))
+        rows = met.where(passes(columns)).select("request_id", "doc_no", "session_id", "handle", "start_at", one.alias("matched"), one.alias("tf"), "start", "limit")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def top_hits(index: BlockIndex, asked: DataFrame, totals: bool = True, first_blocks: int = 4) -> DataFrame:
+    """The page of each request of request_table(): request_id, place, matched, tf, session_id, handle, total and next_start. Requests
+    without words and filter get nothing.
+
+    Without totals (total is null), blocks are passed over: a block can hold no hit better than the number of the request's
+    tokens in it and the sum of their greatest tf. The most promising blocks come first; of the others only those that can reach
+    the last place of the page (and the one after it) are read.
+    """
+    words = asked.select("request_id", F.explode("words").alias("token"))
+    near = index.maxima.join(words, "token")
+    if totals:
+        found = _scored(index, asked, near.select("request_id", "block", "token"))
+    else:
+        bounds = written(near.groupBy("request_id", "block").agg(F.struct(F.count("*").alias("matched"), F.sum("most").alias("tf")).alias("bound"), F.collect_list("token").alias("tokens")))
+        salt = F.pmod(F.col("block"), F.lit(SALTS))
+        best = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("request_id", salt).orderBy(F.col("bound").desc(), "block"))).where(F.col("nth") <= first_blocks)
+        best = best.withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("bound").desc(), "block"))).where(F.col("nth") <= first_blocks).drop("nth")
+        best = written(best)
+        early = written(_scored(index, asked, best.select("request_id", "block", F.explode("tokens").alias("token"))))
+        last = early.withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("matched").desc(), F.col("tf").desc()))).where(F.col("nth") == F.col("start") + F.col("limit") + 1)
+        last = last.select(F.col("request_id").alias("of_request"), F.struct("matched", "tf").alias("least"))
+        rest = bounds.join(best.select("request_id", "block"), ["request_id", "block"], "left_anti").join(last, F.col("request_id").eqNullSafe(F.col("of_request")), "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        found = early.unionByName(_scored(index, asked, rest.select("request_id", "block", F.explode("tokens").alias("token"))))
+    found = written(found.unionByName(_unworded(index, asked)))
+    by = [F.col("matched").desc(), F.col("tf").desc(), F.col("start_at"), F.col("session_id"), F.col("handle")]
+    last = F.col("start") + F.col("limit")
+    first = Window.partitionBy("request_id", F.pmod("doc_no", F.lit(SALTS))).orderBy(*by)  # no task ranks all hits of a request
+    few = found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= last + 1).drop("nth")
+    placed = few.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(*by)) - 1)
+    if totals:
+        sizes = found.groupBy(F.col("request_id").alias("of_request")).agg(F.count("*").alias("total"))
+        placed = placed.join(sizes, F.col("request_id").eqNullSafe(F.col("of_request"))).drop("of_request")
+        more = F.col("total") > last
+    else:
+        more = F.max("place").over(Window.partitionBy("request_id")) >= last
+        placed = placed.withColumn("total", F.lit(None).cast("long"))
+    return placed.withColumn("next_start", F.when(more, last.cast("long"))).where(F.col("place").between(F.col("start"), last - 1)).select("request_id", "place", "matched", "tf", "session_id", "handle", "total", "next_start")
+
+
+def find_refs(docs: DataFrame, nodes: DataFrame, requests: DataFrame, start: int = 0, limit: int = 10, mip: int | None = None, topic: str = "", index: BlockIndex | None = None, totals: bool = True, **fields) -> DataFrame:
+    """Search as one call. Each request (see request_table()) has its own words, topic, filters and page; a call's mip, topic
+    (a label that documents must have) and fields narrow all of them. A request that asks for nothing gets nothing. Pages are hydrated from the
     source, and of hits that stand for the same line or message one is left. Place, total and next_start are those of the
-    page, before repeats go."""
+    page, before repeats go; without totals, blocks that can't reach the page aren't read (see top_hits())."""
     kept = apply_search_filter(docs, mip, **fields)
     if topic:
         kept = kept.where(T.topic_match(F.col("topics"), topic))
-    pages = search(kept, requests, start, limit, index)
+    index = index if index is not None else build_block_index(kept)
+    pages = top_hits(index, written(request_table(requests, start, limit)), totals).join(kept, ["session_id", "handle"])
     refs = hydrate(pages.withColumn("line", F.col("line") if "line" in pages.columns else F.lit(None).cast("long")), docs, nodes)
     return canonical_refs(refs.withColumn("openable", F.col("content").isNotNull()), ["request_id", "session_id"])
 

@@ -36,6 +36,36 @@ def sr_02(spark, sf):
     return S.search(docs(spark, sf), requests(spark)).select("request_id", "place", "session_id", "handle", "matched", "tf", "total", "next_start")
 
 
+#: Requests with their own topic, roles, depth and page; the fifth has a filter alone, the last asks for nothing.
+ASKED = [(1, "The and with", "de", ["user", "assistant"], None, 0, 12), (2, "", "der DIE", ["assistant"], 1, 3, 9), (3, "la", None, None, None, 0, 7), (4, "the", "", ["nobody"], None, 0, 5), (5, None, None, ["user"], None, 4, 6), (6, "", "", [], None, 0, 5)]
+
+
+def asked_sql() -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    listed = lambda v: "[]::VARCHAR[]" if not v else "[" + ", ".join(map(text, v)) + "]"
+    rows = ", ".join(f"({i}, {text(q)}, {text(t)}, {listed(r)}, {'NULL' if m is None else m}::INTEGER, {a}, {b})" for i, q, t, r, m, a, b in ASKED)
+    return f"rq(request_id, query, topic, roles, mip, start_, limit_) AS (VALUES {rows})"
+
+
+@query(
+    "sr_02b_find_refs",
+    f"""WITH {INDEX}, {asked_sql()}, w AS (SELECT DISTINCT request_id, unnest({TOKENS.format(c="concat_ws(' ', query, topic)")}) AS token FROM rq),
+    s AS (SELECT request_id, session_id, handle, count(*) AS matched, sum(tf)::BIGINT AS tf FROM ix JOIN w USING (token) GROUP BY ALL
+      UNION ALL SELECT request_id, session_id, handle, 1, 1 FROM rq JOIN dc ON list_contains(roles, role) WHERE retrieval_visible AND search_text <> '' AND request_id NOT IN (SELECT request_id FROM w)),
+    f AS (SELECT s.*, dc.start_at, dc.role, dc.pos // 4 AS line, start_, limit_ FROM s JOIN dc USING (session_id, handle) JOIN rq USING (request_id) WHERE (len(roles) = 0 OR list_contains(roles, role)) AND (mip IS NULL OR depth = mip)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY matched DESC, tf DESC, start_at, session_id, handle) - 1 AS place, count(*) OVER (PARTITION BY request_id) AS total FROM f),
+    c AS (SELECT p.session_id, p.pos // 4 AS line, arg_min(n.raw, n.handle) AS content FROM nt n JOIN nt p ON n.parent_handle = p.handle AND n.session_id = p.session_id WHERE n.depth = 2 GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY request_id, session_id, line, role ORDER BY handle) AS nth FROM r WHERE place >= start_ AND place < start_ + limit_)
+    SELECT request_id, place::INTEGER AS place, session_id, handle, matched, tf, total, CASE WHEN total > start_ + limit_ THEN (start_ + limit_)::BIGINT END AS next_start, content FROM k JOIN c USING (session_id, line) WHERE nth = 1""",
+)
+def sr_02b(spark, sf):
+    asked = spark.createDataFrame(ASKED, "request_id int, query string, topic string, role array<string>, mip int, start int, limit int")
+    line = F.floor(F.regexp_extract("handle", "/event/([0-9]+)-", 1).cast("int") / 4).cast("long")
+    d = docs(spark, sf).withColumn("line", F.floor(F.col("pos") / 4)).withColumn("message_id", F.lit(None).cast("string"))
+    n = nodes(spark, sf).withColumn("line", line)
+    return S.find_refs(d, n, asked).select("request_id", "place", "session_id", "handle", "matched", "tf", "total", "next_start", "content")
+
+
 @query("sr_03_filter_only", f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (ORDER BY start_at, session_id, handle) - 1 AS place FROM dc WHERE retrieval_visible AND search_text <> '' AND role = 'user') SELECT place::INTEGER AS place, session_id, handle FROM r WHERE place BETWEEN 5 AND 24")
 def sr_03(spark, sf):
     everything = spark.createDataFrame([(1, "*")], "request_id int, query string")

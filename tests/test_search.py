@@ -125,3 +125,43 @@ def test_find_refs_filters_pages_hydrates_and_folds(spark):
     got = search.find_refs(docs, nodes, asked, topic="topic", role="user").collect()
     assert [(r.handle, r.content, r.total) for r in got] == [("a1", "source of a1", 2)]  # both hits stand for message ma1
     assert search.find_refs(docs, nodes, asked, topic="other").isEmpty() and search.find_refs(docs, nodes, asked, role="assistant").isEmpty()
+
+
+@pytest.mark.parametrize("bits", [2, 12])
+def test_top_hits_by_plain_python(spark, bits):
+    """Random requests with their own filters and pages, with totals and with blocks passed over."""
+    rng = random.Random(bits)
+    words = ["alpha", "beta", "gamma", "delta", "rare"]
+    texts = [" ".join(rng.choices(words, weights=[9, 5, 3, 2, 0.2], k=rng.randint(1, 12))) for _ in range(150)]
+    rows = [("s%d" % (i % 3), f"h{i:03}", i % 2 + 1, rng.choice(["user", "assistant", None]), t, i % 17) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "session_id string, handle string, depth int, role string, search_text string, start_at int").withColumn("retrieval_visible", F.col("handle") != "h007").repartition(3)
+    asked = [(1, "alpha rare", None, None, None, 0, 5), (2, "beta", "gamma", ["user"], None, 3, 4), (3, "rare", "", ["user", "assistant"], 2, 0, 50), (4, "", None, ["user"], 1, 2, 6), (5, "none", "", None, None, 0, 5), (6, None, None, [], 0, 0, 5), (7, "Alpha BETA", None, ["nobody"], None, 0, 5), (8, "", "", None, 2, 70, 20), (9, "alpha", None, [""], None, 140, 20)]
+    requests = search.request_table(spark.createDataFrame(asked, "request_id int, query string, topic string, role array<string>, mip int, start int, limit int"))
+    index = search.build_block_index(docs, bits)
+    want, totals = {}, {}
+    for i, q, t, roles, mip, start, limit in asked:
+        tokens = set(f"{q or ''} {t or ''}".lower().split())
+        roles = [r for r in roles or [] if r]
+        hits = []
+        for s, h, depth, role, text, at in rows:
+            if h == "h007" or roles and role not in roles or mip and depth != mip:
+                continue
+            found = [text.split().count(w) for w in tokens if w in text.split()]
+            if found or not tokens and (roles or mip):
+                hits.append((-len(found) or -1, -sum(found) or -1, at, s, h))
+        hits.sort()
+        totals[i] = len(hits)
+        for place, (matched, tf, _, s, h) in enumerate(hits[start : start + limit], start):
+            want[i, place] = (s, h, -matched, -tf, start + limit if len(hits) > start + limit else None)
+    for all_ in (True, False):
+        got = search.top_hits(index, requests, all_, first_blocks=2).collect()
+        assert {(r.request_id, r.place): (r.session_id, r.handle, r.matched, r.tf, r.next_start) for r in got} == want
+        assert all(r.total == (totals[r.request_id] if all_ else None) for r in got) and len(got) == len(want)
+
+
+def test_documents_that_lack_the_topic_label_are_found_by_its_words(spark):
+    docs = documents(spark, TREE)
+    nodes = docs.select("session_id", "handle", "kind", "line", F.concat(F.lit("source of "), "handle").alias("raw"))
+    asked = spark.createDataFrame([(1, "", "delta", None), (2, "alpha", "nothing like that", "user"), (3, "alpha", "", "assistant"), (4, "", "", "")], "request_id int, query string, topic string, role string")
+    got = {(r.request_id, r.handle) for r in search.find_refs(docs, nodes, asked, totals=False).collect()}
+    assert got == {(1, "b2"), (2, "a1")}
