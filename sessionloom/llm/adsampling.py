@@ -33,9 +33,11 @@ SAMPLE, MOST_LISTS = 20_000, 1_024
 #: that a query scans first.
 RECALL, MEASURED, FIRST = 0.95, 500, 0.1
 #: Columns of a block, and the tests' width.
-COLUMNS, EPSILON = 16, 1.4
+COLUMNS, EPSILON = 8, 1.4
 #: Rows of a cell of candidates or of a block of queries, and candidates scanned at once.
 BLOCK, SCANNED = 8_192, 512
+#: The part of a product's pairs that go on, below which they are taken one by one.
+SPARSE = 0.6
 
 
 @dataclass
@@ -123,6 +125,8 @@ class Best:
     carried: np.ndarray  # the k-th best of earlier scans
     met: int = 0
     abandoned: int = 0  # pairs left before their last columns
+    work: int = 0  # multiply-adds of partial distances, and what all of them would have been
+    full: int = 0
 
     def bound(self, rows: np.ndarray) -> np.ndarray:
         return np.minimum(self.distance[rows, -1], self.carried[rows])
@@ -131,12 +135,13 @@ class Best:
 def scan(q: np.ndarray, q_rows: np.ndarray, rows: np.ndarray, c: np.ndarray, c_rows: np.ndarray, offset: int, best: Best) -> None:
     """Scans a list's candidates (rotated, one to a row, at places from offset on) for some of the queries.
 
-    q_rows and c_rows are their row_nos: no query meets its own row.
+    q_rows and c_rows are their row_nos: no query meets its own row. After each block of columns queries and candidates without a
+    pair that goes on are left out of the next product; once less than SPARSE of the rest goes on, its pairs go on one by one.
     """
     k, d = best.distance.shape[1], q.shape[1]
-    own_q = q[rows]
     for a in range(0, len(c), SCANNED):
-        part = c[a : a + SCANNED]
+        part, here = c[a : a + SCANNED], np.arange(len(c[a : a + SCANNED]))
+        to, own_q = rows, q[rows]
         bound = best.bound(rows) * (1 + 1e-9) + 1e-9
         sums = np.zeros((len(rows), len(part)))
         alive = q_rows[rows][:, None] != c_rows[None, a : a + SCANNED]
@@ -144,33 +149,40 @@ def scan(q: np.ndarray, q_rows: np.ndarray, rows: np.ndarray, c: np.ndarray, c_r
         left = at = None  # of the pairs that go on, once they are few
         for t in range(0, d, COLUMNS):
             qb, cb = own_q[:, t : t + COLUMNS], part[:, t : t + COLUMNS]
-            if left is None:
-                sums += (qb**2).sum(1)[:, None] + (cb**2).sum(1)[None] - 2 * qb @ cb.T
-            else:
-                sums[left, at] += ((qb[left] - cb[at]) ** 2).sum(1)
             seen = min(t + COLUMNS, d)
             limit = bound * (seen / d * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else 1)
+            best.work += (alive.size if left is None else len(left)) * (seen - t)
             if left is None:
+                sums += (qb**2).sum(1)[:, None] + (cb**2).sum(1)[None] - 2 * qb @ cb.T
                 alive &= sums <= limit[:, None]
-                if seen < d:
-                    going = int(alive.sum())
-                if seen < d and going < 0.1 * alive.size:
-                    left, at = np.nonzero(alive)
             else:
+                sums[left, at] += ((qb[left] - cb[at]) ** 2).sum(1)
                 on = sums[left, at] <= limit[left]
                 left, at = left[on], at[on]
-                going = len(left) if seen < d else going
+            if seen == d:
+                break
+            going = int(alive.sum()) if left is None else len(left)
+            if left is None:
+                on_q, on_c = alive.any(1), alive.any(0)
+                if on_q.sum() * on_c.sum() < 0.8 * alive.size:
+                    to, own_q, bound, part, here = to[on_q], own_q[on_q], bound[on_q], part[on_c], here[on_c]
+                    sums, alive = sums[np.ix_(on_q, on_c)], alive[np.ix_(on_q, on_c)]
+                if going < SPARSE * alive.size:
+                    left, at = np.nonzero(alive)
+            if not going:
+                break
         best.met += met
         best.abandoned += met - going
+        best.full += len(rows) * len(c[a : a + SCANNED]) * d
         if left is not None:
             alive = np.zeros_like(alive)
             alive[left, at] = True
-        touched = np.flatnonzero(alive.any(1))
+        touched = np.flatnonzero(alive.any(1)) if going else []
         if not len(touched):
             continue
-        to = rows[touched]
+        to = to[touched]
         both = np.concatenate([best.distance[to], np.where(alive[touched], sums[touched], np.inf)], 1)
-        where = np.concatenate([best.place[to], np.broadcast_to(offset + np.arange(a, a + len(part)), (len(touched), len(part)))], 1)
+        where = np.concatenate([best.place[to], np.broadcast_to(offset + a + here, (len(touched), len(here)))], 1)
         order = np.argpartition(both, k - 1, axis=1)[:, :k]
         order = np.take_along_axis(order, np.argsort(np.take_along_axis(both, order, 1), axis=1), 1)
         best.distance[to], best.place[to] = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)

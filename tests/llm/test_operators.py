@@ -268,6 +268,18 @@ def test_tests_abandon_candidates_early():
         assert np.mean([len(set(a) & set(b)) for a, b in zip(best.place, want)]) >= 0.9 * 20
 
 
+def test_abandoned_pairs_are_not_computed():
+    """Multiply-adds beside those of all pairs, with the bound that a query brings from its nearest lists."""
+    x = np.random.default_rng(2).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, want, score = one_list(x, 20)
+    kth = np.sort(score[:, :6_000], axis=1)[:, -20]
+    left = pa.table({"row_no": np.arange(20_000), "v": list(x), "list": np.zeros(20_000, np.int32)})
+    best, _, _ = adsampling.search_cell(index, left, pa.table({"row_no": np.arange(50), "v": list(x[:50]), "kth": kth, "lists": [[0]] * 50}), 20)
+    assert best.full == 50 * 20_000 * 65 and best.work < 0.75 * best.full
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(best.place, want)]) >= 0.95 * 20
+
+
 def test_no_early_leave_without_tests(monkeypatch):
     monkeypatch.setattr(adsampling, "EPSILON", 1e9)
     x = np.random.default_rng(0).normal(size=(700, 20))
