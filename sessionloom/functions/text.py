@@ -99,11 +99,11 @@ def is_rate_limited(c: Column) -> Column:
 
 
 def retry_after_ms(c: Column) -> Column:
-    """The wait that an error message asks for: a number after one of two fixed phrases, in minutes if the word behind it begins
-    with an m (but ms), else in seconds; null if it asks for none."""
+    """The wait that an error message asks for: a number after one of two fixed phrases, in milliseconds if the word behind it
+    begins with ms or milli, in minutes if with another m, else in seconds; null if it asks for none."""
     asked = F.regexp_extract(text_of(c), r"(?i)(?:retry after|try again in)\s+([0-9.]+)\s*(\pL*)", 1).try_cast("double")
     unit = F.lower(F.regexp_extract(text_of(c), r"(?i)(?:retry after|try again in)\s+[0-9.]+\s*(\pL*)", 1))
-    return F.ceil(asked * F.when(unit.startswith("m") & (unit != "ms"), 60_000).otherwise(1_000)).cast("long")
+    return F.ceil(asked * F.when(unit.rlike("^(?:ms|milli)"), 1).when(unit.startswith("m"), 60_000).otherwise(1_000)).cast("long")
 
 
 def model_family(c: Column) -> Column:

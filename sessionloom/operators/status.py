@@ -109,17 +109,34 @@ def estimate_cost(df: DataFrame, usage: str = "usage", cost: str = "cost") -> Da
     return out.withColumn("total_usd", total).withColumn("assumptions", notes)
 
 
-def jobs_for_sessions(jobs: DataFrame, manifest: DataFrame) -> DataFrame:
+def jobs_for_sessions(jobs: DataFrame, manifest: DataFrame, whole_scope: bool = True) -> DataFrame:
     """(session_id, job_id) pairs: a job of scope all, or with the session's path, or its id in a path or among its results; jobs
-    older than the published index only if they run."""
+    older than the published index only if they run. Without whole_scope jobs of scope all stay out, which give a row for each
+    session (see latest_job_of_sessions())."""
     paths = jobs.select("job_id", F.explode("paths").alias("path"))
     named = paths.withColumn("session_id", T.session_id_from_path(F.col("path"), strict=True)).where("session_id is not null").select("job_id", "session_id")
     by_path = paths.join(manifest.select("session_id", F.col("source_path").alias("path")), "path").select("job_id", "session_id")
     results = jobs.select("job_id", F.explode("result_ids").alias("session_id"))
     whole = jobs.where("scope = 'all'").select("job_id").join(manifest.select("session_id"), F.lit(True))
-    pairs = named.unionByName(by_path).unionByName(results).unionByName(whole.select("job_id", "session_id")).distinct()
-    fresh = pairs.join(jobs.select("job_id", "updated_at", "running"), "job_id").join(manifest.select("session_id", "indexed_at"), "session_id")
-    return fresh.where(F.col("running") | F.col("indexed_at").isNull() | (F.col("updated_at") >= F.col("indexed_at"))).select("session_id", "job_id")
+    pairs = named.unionByName(by_path).unionByName(results)
+    if whole_scope:
+        pairs = pairs.unionByName(whole.select("job_id", "session_id"))
+    fresh = pairs.distinct().join(jobs.select("job_id", "updated_at", "running"), "job_id").join(manifest.select("session_id", "indexed_at"), "session_id")
+    return fresh.where(_fresh()).select("session_id", "job_id")
+
+
+def _fresh() -> Column:
+    return F.col("running") | F.col("indexed_at").isNull() | (F.col("updated_at") >= F.col("indexed_at"))
+
+
+def latest_job_of_sessions(jobs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(session_id, job_id) of the job that latest_job() picks among those of jobs_for_sessions(). Of the jobs of scope all one row
+    is enough for all sessions: one that runs, else the newest; if that one is too old for a session, so are the others."""
+    own = jobs_for_sessions(jobs, manifest, whole_scope=False)
+    one = jobs.where("scope = 'all'").select("job_id", "running", "updated_at").orderBy(F.col("running").desc(), F.col("updated_at").desc(), "job_id").limit(1)
+    shared = manifest.select("session_id", "indexed_at").join(F.broadcast(one), F.lit(True)).where(_fresh()).select("session_id", "job_id")
+    met = own.unionByName(shared).distinct().join(jobs.select("job_id", "running", "updated_at"), "job_id")
+    return latest_job(met, ["session_id"]).select("session_id", "job_id")
 
 
 def latest_job(jobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,9 +210,15 @@ def source_fingerprint(lines: DataFrame, marker: str) -> DataFrame:
 
 
 def index_ids(events: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """idx- and a hash of the ordered events without their source; an id that a session has already stays."""
+    """idx- and a hash of the ordered events without their source; an id that a session has already stays.
+
+    Of sessions with more than STRETCH ordinals the hashes of stretches are hashed, so no task holds the events of a large one.
+    """
     material = F.sha2(F.concat_ws("|", "type", "role", "text"), 256)
-    made = events.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", material.alias("h")))), lambda x: x.h), "").alias("m")).select("session_id", F.concat(F.lit("idx-"), F.substring(F.sha2("m", 256), 1, 32)).alias("index_id"))
+    joined = lambda by, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, x.alias("h")))), lambda s: s.h), "")
+    parts = events.groupBy("session_id", F.floor(F.col("ordinal") / STRETCH).alias("stretch")).agg(F.sha2(joined("ordinal", material), 256).alias("part"))
+    whole = parts.groupBy("session_id").agg(F.when(F.count("*") == 1, F.first("part")).otherwise(F.sha2(joined("stretch", F.col("part")), 256)).alias("m"))
+    made = whole.select("session_id", F.concat(F.lit("idx-"), F.substring("m", 1, 32)).alias("index_id"))
     if manifest is None:
         return made
     kept = manifest.select("session_id", F.col("index_id").alias("kept"))

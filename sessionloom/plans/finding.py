@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as S
@@ -114,6 +115,27 @@ def hi_15(spark, sf):
     return S.browse(d, asked, 0, 2).select(F.split_part("request_id", F.lit("|"), F.lit(1)).alias("zoom"), "session_id", "handle", "place")
 
 
+@query(
+    "hi_15b_stand_in",
+    """WITH p AS (SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos FROM documents),
+    r AS (SELECT source || '/' || lang AS session_id, doc_id, pos, row_number() OVER (PARTITION BY source, lang ORDER BY pos) - 1 AS place FROM p)
+    SELECT session_id, CASE WHEN session_id LIKE '%/en' THEN 'd' || doc_id ELSE 'sum' END AS handle, place::INTEGER AS place FROM r WHERE CASE WHEN session_id LIKE '%/en' THEN place < 5 ELSE place = 0 END""",
+)
+def hi_15b(spark, sf):
+    """Roots without text over a single child: of English sessions that is a generated summary, whose children are listed in its stead."""
+    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("session_id"), "lang", "doc_id", F.col("text").alias("search_text"))
+    none = F.lit(None).cast("string")
+    pos = F.row_number().over(Window.partitionBy("session_id").orderBy("doc_id")) - 1
+    leaves = d.select("session_id", F.concat(F.lit("d"), "doc_id").alias("handle"), F.lit("sum").alias("parent_handle"), F.lit(2).alias("depth"), pos.cast("long").alias("pos"), F.lit("note").alias("kind"), "search_text")
+    ids = d.select("session_id", "lang").distinct()
+    kind = F.when(F.col("lang") == "en", "summary_span").otherwise("note")
+    mids = ids.select("session_id", F.lit("sum").alias("handle"), F.lit("root").alias("parent_handle"), F.lit(1).alias("depth"), F.lit(0).cast("long").alias("pos"), kind.alias("kind"), F.lit("brief").alias("search_text"))
+    roots = ids.select("session_id", F.lit("root").alias("handle"), none.alias("parent_handle"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pos"), F.lit("session").alias("kind"), F.lit("").alias("search_text"))
+    every = leaves.unionByName(mids).unionByName(roots).withColumns({"type": none, "role": none, "retrieval_visible": F.lit(True)})
+    asked = ids.select(F.col("session_id").alias("request_id"), "session_id", F.lit("root").alias("handle"), F.lit("children").alias("zoom"), F.lit("").alias("topic"))
+    return S.browse(every, asked, 0, 5).select("session_id", "handle", "place")
+
+
 @query(
     "hi_16_open",
     f"""WITH {DOCS}, dm AS MATERIALIZED (SELECT * FROM dc), nm AS MATERIALIZED (SELECT handle, head FROM nt), q AS (SELECT session_id, handle, kind, depth, full_tokens, title, CASE WHEN depth = 0 THEN '' ELSE full_text END AS t, CASE pos % 3 WHEN 0 THEN 1000 WHEN 1 THEN 60 ELSE 10 END AS budget, role FROM dm WHERE depth < 2),

@@ -171,6 +171,16 @@ def jn_14(spark, sf):
     return S.jobs_for_sessions(j, manifest(spark, sf).withColumn("indexed_at", F.col("updated_at")))
 
 
+@query("win_12b_latest_job_of_sessions", f"""WITH {MANIFEST}, jx AS (SELECT event_id, 'j' || event_id AS job_id, event_id % 40 = 0 AS whole, '/logs/' || (event_id % 37) || '.jsonl' AS path, (event_id % 53)::VARCHAR AS rid, event_id % 900 = 9 AS running, ts FROM events),
+    p AS (SELECT job_id, session_id FROM jx JOIN mf ON source_path = path UNION SELECT job_id, rid FROM jx UNION SELECT job_id, session_id FROM jx, mf WHERE whole),
+    r AS (SELECT session_id, job_id, row_number() OVER (PARTITION BY session_id ORDER BY running DESC, ts DESC, job_id) AS n FROM p JOIN jx USING (job_id) JOIN mf USING (session_id) WHERE running OR ts >= updated_at - INTERVAL 1 DAY)
+    SELECT session_id, job_id FROM r WHERE n = 1""")
+def win_12b(spark, sf):
+    e = table(spark, sf, "events")
+    j = e.select(F.concat(F.lit("j"), "event_id").alias("job_id"), F.when(F.col("event_id") % 40 == 0, "all").otherwise("some").alias("scope"), F.array(F.concat(F.lit("/logs/"), F.col("event_id") % 37, F.lit(".jsonl"))).alias("paths"), F.array((F.col("event_id") % 53).cast("string")).alias("result_ids"), (F.col("event_id") % 900 == 9).alias("running"), F.col("ts").alias("updated_at"))
+    return S.latest_job_of_sessions(j, manifest(spark, sf).withColumn("indexed_at", F.col("updated_at") - F.expr("INTERVAL 1 DAY")))
+
+
 @query("set_03_unindexed_active", f"WITH {JOBS} SELECT DISTINCT session_id FROM jb WHERE running AND session_id::INT % 3 > 0")
 def set_03(spark, sf):
     return S.unindexed_active(jobs(spark, sf), manifest(spark, sf).where("cast(session_id as int) % 3 = 0"))

@@ -69,6 +69,35 @@ def hi_10(spark, sf):
     return S.summary_inputs(e, ["session_id"])
 
 
+@query(
+    "hi_10b_update_inputs",
+    f"""WITH {EVENTS}, r AS (SELECT session_id, ordinal, role || '|' || text AS record, session_id::INT AS s FROM ev),
+    g AS (SELECT session_id, s, count(*) AS n, string_agg(record, chr(10) ORDER BY ordinal) AS every, string_agg(CASE WHEN ordinal >= 2 THEN record END, chr(10) ORDER BY ordinal) AS tail FROM r GROUP BY ALL)
+    SELECT session_id, CASE WHEN s % 3 = 0 AND n >= 2 THEN 'before ' || session_id || chr(10) || '{{"kind":"' || CASE WHEN s % 2 = 0 THEN 'append' ELSE 'replace_suffix' END || '","unchanged":2,"before":' || CASE WHEN s % 2 = 0 THEN 2 ELSE 3 END || ',"now":' || n || '}}' || chr(10) || coalesce(tail, '') ELSE every END AS input,
+      n AS n_children, sha256(every) AS source_hash, CASE WHEN s % 3 = 0 AND n >= 2 THEN CASE WHEN s % 2 = 0 THEN 'append' ELSE 'replace_suffix' END ELSE 'create' END AS plan FROM g""",
+)
+def hi_10b(spark, sf):
+    """Prompts that revise: a third of the sessions have a summary of their first two or three messages, others one of none."""
+    e = events(spark, sf).select("session_id", F.col("ordinal").alias("pos"), F.concat_ws("|", "role", "text").alias("record"))
+    s = F.col("session_id").cast("int")
+    sizes = e.groupBy("session_id").agg(F.count("*").alias("n")).where("n >= 2")
+    kind = F.when(s % 3 != 0, "create").when(s % 2 == 0, "append").otherwise("replace_suffix")
+    plans = sizes.select("session_id", kind.alias("plan"), F.when(s % 3 == 0, 2).alias("from_index"), F.concat(F.lit("before "), "session_id").alias("previous"), F.when(s % 2 == 0, 2).otherwise(3).alias("n_before"))
+    return S.summary_inputs(e, ["session_id"], plans)
+
+
+@query("hi_07b_paired_spans")
+def hi_07b(spark, sf):
+    """Closed spans and tails with calls, less what a harness put into users' messages."""
+    from .windows import called
+
+    e = called(spark, sf).withColumn("cost", T.estimate_tokens(F.col("text")))
+    tagged = F.when((F.col("role") == "user") & (F.col("type") == "message") & (F.col("line_no") % 8 == 4), F.concat(F.lit("<environment_context> "), "text")).otherwise(F.col("text"))
+    e = written(e.withColumn("text", tagged))
+    closed, tail = P.compaction_spans(e, boundary()), P.live_tail(e, boundary(), F.lit(True))
+    return S.level_one_spans(S.level_one_sources(e), closed, tail, 120).select("session_id", "ordinal", "cost", "slot", "handle")
+
+
 @query("hi_11_target_ids", "SELECT doc_id, sha256('{\"strategy\":\"v1\",\"handle\":\"h' || doc_id || '\",\"source_hash\":\"' || sha256(text) || '\",\"plan\":\"create\",\"options\":\"\"}') AS target_id FROM documents")
 def hi_11(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("h"), "doc_id").alias("handle"), F.sha2("text", 256).alias("source_hash"))
