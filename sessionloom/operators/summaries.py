@@ -334,48 +334,37 @@ def summarize_to_roots(
     run, which takes the returned targets and goes on from there. Parents are packed by the size of their children's finished
     summaries. Over all rounds together jobs cost most_usd at most (usd: the cost of an input, an expression over its column; a
     millionth of its estimated tokens unless given). Returns the targets, and for each span met session_id, level, handle, state and summary;
-    level 0 is the root. Sessions that are done or stopped leave the frontier, so later rounds read only what still climbs.
+    level 0 is the root. Sessions that are done or stopped leave the frontier, so later rounds read only what still climbs; a root is
+    summarised in the round after its top spans, beside the next level of other sessions.
     """
     cost = F.col("tokens") * 1e-6 if usd is None else usd
     if targets is None:
         targets = spans.sparkSession.createDataFrame([], f"target_id string, status string, {SUMMARY}, updated_at long")
-    frontier = spans.select("session_id", "handle", F.col("seq").cast("long").alias("seq"))
+    frontier = spans.select("session_id", "handle", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("level"))
     children = records.select("session_id", "handle", "pos", "record")
     made, results, left = None, None, most_usd
-
-    def round_(frontier: DataFrame, children: DataFrame, level: int) -> DataFrame:
-        """Summaries of the frontier's spans: session_id, handle, seq, state, summary."""
-        nonlocal results, left, made
+    for level in count(1):
         inputs = summary_inputs(children, ["session_id", "handle"]).join(frontier, ["session_id", "handle"]).withColumn("tokens", T.estimate_tokens(F.col("input")))
         inputs = written(inputs.withColumn("usd", cost))
         known = targets if results is None else targets.unionByName(results, allowMissingColumns=True)
         new, got = _results(inputs, known, strategy, summariser, left, at, tries, in_flight)
         results = new if results is None else results.unionByName(new)
-        got = written(got.select("session_id", "handle", "seq", "state", "summary", "usd", "target_id"))
+        got = written(got.select("session_id", "level", "handle", "seq", "state", "summary", "usd", "target_id"))
         if left is not None:  # each id is paid for once
             paid = got.where("state in ('done', 'error')").select("target_id", "usd").distinct()
             left -= float(paid.agg(F.coalesce(F.sum("usd"), F.lit(0.0))).first()[0])
-        own = got.select("session_id", F.lit(level).alias("level"), "handle", "state", "summary")
+        own = got.select("session_id", "level", "handle", "state", "summary")
         made = own if made is None else made.unionByName(own)
-        return got
-
-    for level in count(1):
-        got = round_(frontier, children, level)
-        whole = got.groupBy("session_id").agg(F.every(F.col("summary").isNotNull()).alias("whole")).where("whole").select("session_id")
-        finished = written(got.join(whole, "session_id", "left_semi").select("session_id", "handle", "seq", "summary", T.estimate_tokens(F.col("summary")).alias("tokens")))
+        climbing = got.where("level > 0")
+        whole = climbing.groupBy("session_id").agg(F.every(F.col("summary").isNotNull()).alias("whole")).where("whole").select("session_id")
+        finished = written(climbing.join(whole, "session_id", "left_semi").select("session_id", "handle", "seq", "summary", T.estimate_tokens(F.col("summary")).alias("tokens")))
         if finished.isEmpty():
-            break
-        packed = written(parents_of(finished, budget))
-        tops = packed.where("parent_no is null")
-        if not tops.isEmpty():
-            root = F.lit("summary/root").alias("handle")
-            round_(tops.groupBy("session_id").agg(F.min("seq").alias("seq")).withColumn("handle", root), tops.select("session_id", root, F.col("seq").alias("pos"), F.col("summary").alias("record")), 0)
-        up = packed.where("parent_no is not null").withColumn("handle", span_handle(level + 1, F.col("parent_no")))
-        if up.isEmpty():
-            break
-        children = up.select("session_id", "handle", F.col("seq").alias("pos"), F.col("summary").alias("record"))
-        frontier = up.groupBy("session_id", "handle").agg(F.min("seq").alias("seq"))
-    return commit_targets(targets, results), made
+            return commit_targets(targets, results), made
+        is_top = F.col("parent_no").isNull()
+        packed = parents_of(finished, budget).withColumn("handle", F.when(is_top, "summary/root").otherwise(span_handle(level + 1, F.col("parent_no")))).withColumn("level", F.when(is_top, 0).otherwise(level + 1))
+        packed = written(packed)
+        children = packed.select("session_id", "handle", F.col("seq").alias("pos"), F.col("summary").alias("record"))
+        frontier = packed.groupBy("session_id", "handle", "level").agg(F.min("seq").alias("seq"))
 
 
 def publish_decision(candidates: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -22,6 +22,15 @@ def landed(df):
     return R.as_stream(df.sparkSession, at, 1000)
 
 
+def in_turn(df, cuts=(2, 5)):
+    """The rows as a stream of several micro-batches, in the order of their ordinals: written one after the other, a session's in
+    one file of each."""
+    at = K.shared_folder(df.sparkSession)
+    for a, b in zip((0, *cuts), (*cuts, 1 << 62)):
+        df.where(F.col("ordinal").between(a, b - 1)).repartition("session_id").write.mode("append").parquet(at)
+    return R.as_stream(df.sparkSession, at, 1)
+
+
 def usage_rows(e):
     return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "error", U.usage(**{f: F.expr(x) for f, x in _FIELDS.items()})).alias("total_usage"), U.usage(input=F.col("event_id") % 5).alias("last_usage"))
 
@@ -39,7 +48,7 @@ def str_05(spark, sf):
 
 @query("str_06_reply_anchors", f"WITH {_LINKED} SELECT session_id, ordinal, in_reply_to FROM k")
 def str_06(spark, sf):
-    return R.run_to_table(R.stream_links(landed(linked(spark, sf).select("session_id", "ordinal", "type", "role", "message_id", "turn_id"))))
+    return R.run_to_table(R.stream_links(in_turn(linked(spark, sf).select("session_id", "ordinal", "type", "role", "message_id", "turn_id"))))
 
 
 @query("str_02_coalesce_changes", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
@@ -76,7 +85,7 @@ def str_07(spark, sf):
       FROM f JOIN c ON c.session_id = f.session_id AND c.ordinal = f.ordinal + 1), l AS (SELECT session_id, arg_max(slot, ordinal) AS last FROM f GROUP BY 1)
     SELECT session_id, slot, ordinal FROM f JOIN l USING (session_id) WHERE NOT boundary AND slot < last""")
 def str_08(spark, sf):
-    return R.run_to_table(R.stream_level_one(landed(events(spark, sf).select("session_id", "ordinal", T.estimate_tokens(F.col("text")).alias("cost"), (F.col("line_no") % 3 == 2).alias("is_boundary"))), 80))
+    return R.run_to_table(R.stream_level_one(in_turn(events(spark, sf).select("session_id", "ordinal", T.estimate_tokens(F.col("text")).alias("cost"), (F.col("line_no") % 3 == 2).alias("is_boundary"))), 80))
 
 
 @query("str_01_stream_index", f"SELECT conv_id::VARCHAR AS session_id, turn::VARCHAR AS handle, {preview_sql('text', 60)} AS head FROM conversations")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import usage as U
 from ..sources.sinks import BUCKETS, commit, exists, last_commit, read_buckets, read_collection, replaced, shared_folder, write_buckets
@@ -75,15 +76,26 @@ def stream_usage_delta(stream: DataFrame) -> DataFrame:
     return flat.groupBy("key").applyInPandasWithState(step, f"key long, seq long, {longs}", longs, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_links(stream: DataFrame) -> DataFrame:
-    """in_reply_to per row (session_id, ordinal, type, role, message_id, turn_id), equal to annotate_links() on the whole
-    table; the state is whether a turn awaits its first user message, and the anchor."""
-    replies = ("message", "reasoning", "tool_call", "tool_result", "usage", "agent_event")
+def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, output: str, timers: bool = False) -> DataFrame:
+    """The stream's rows by key through a processor with state and, if asked for, timers of processing time. State lies in
+    the store that such processors need, unless the session names one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in stream.sparkSession.conf.get(name, ""):
+        stream.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.groupBy(key).transformWithStateInPandas(processor, output, "Append", "ProcessingTime" if timers else "None")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        in_turns, awaiting, anchor = state.get if state.exists else (False, False, "")
-        pdf = pd.concat(list(batches)).sort_values("ordinal")
-        out = []
+
+class ReplyAnchors(StatefulProcessor):
+    """Of a session: whether turns have begun, whether one awaits its first user message, and the anchor."""
+
+    REPLIES = ("message", "reasoning", "tool_call", "tool_result", "usage", "agent_event")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("turn", "in_turns boolean, awaiting boolean, anchor string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        in_turns, awaiting, anchor = self.state.get() if self.state.exists() else (False, False, "")
+        pdf, out = pd.concat(list(rows)).sort_values("ordinal"), []
         for row in pdf.itertuples(index=False):
             if row.type == "context" and row.turn_id:
                 in_turns = awaiting = True
@@ -92,55 +104,98 @@ def stream_links(stream: DataFrame) -> DataFrame:
                     anchor, awaiting = row.message_id, False
                 out.append(None)
             else:
-                out.append(anchor if anchor and row.type in replies and row.role != "user" else None)
-        state.update((in_turns, awaiting, anchor))
+                out.append(anchor if anchor and row.type in self.REPLIES and row.role != "user" else None)
+        self.state.update((in_turns, awaiting, anchor))
         yield pd.DataFrame({"session_id": key[0], "ordinal": pdf["ordinal"].to_numpy(), "in_reply_to": out})
 
+    def close(self) -> None:
+        pass
+
+
+def stream_links(stream: DataFrame) -> DataFrame:
+    """in_reply_to per row (session_id, ordinal, type, role, message_id, turn_id), equal to annotate_links() on the whole
+    table, over any number of batches."""
     rows = stream.select("session_id", "ordinal", "type", "role", "message_id", F.coalesce("turn_id", F.lit("")).alias("turn_id"))
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, ordinal long, in_reply_to string", "in_turns boolean, awaiting boolean, anchor string", "append", GroupStateTimeout.NoTimeout)
+    return keyed(rows, "session_id", ReplyAnchors(), "session_id string, ordinal long, in_reply_to string")
 
 
-def stream_level_one(stream: DataFrame, budget: int) -> DataFrame:
-    """Groups of rows (session_id, ordinal, cost, is_boundary), each given out once when it is closed: by the row that no longer
-    fits, or by a boundary. What is open stays in the state."""
+class OpenGroup(StatefulProcessor):
+    """Of a session: the number and cost of the group that is open, and the list of its rows."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slot, held, total = state.get if state.exists else (0, [], 0)
-        held, out = list(held), []
-        for row in pd.concat(list(batches)).sort_values("ordinal").itertuples(index=False):
-            if held and (row.is_boundary or total + row.cost > budget):
-                out += [(key[0], slot, o) for o in held]
-                slot, held, total = slot + 1, [], 0
+    def __init__(self, budget: int):
+        self.budget = budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.group = handle.getValueState("group", "slot long, total long")
+        self.held = handle.getListState("held", "ordinal long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        slot, total = self.group.get() if self.group.exists() else (0, 0)
+        stored, new, out = self.held.exists(), [], []  # rows of earlier batches are read only when their group closes
+        for row in pd.concat(list(rows)).sort_values("ordinal").itertuples(index=False):
+            if (stored or new) and (row.is_boundary or total + row.cost > self.budget):
+                before = [o for (o,) in self.held.get()] if stored else []
+                out += [(key[0], slot, o) for o in (*before, *new)]
+                self.held.clear()
+                slot, total, stored, new = slot + 1, 0, False, []
             if not row.is_boundary:
-                held.append(int(row.ordinal))
+                new.append(int(row.ordinal))
                 total += int(row.cost)
-        state.update((slot, held, total))
+        if new:
+            self.held.appendList([(o,) for o in new])
+        self.group.update((int(slot), int(total)))
         yield pd.DataFrame(out, columns=["session_id", "slot", "ordinal"])
 
+    def close(self) -> None:
+        pass
+
+
+def stream_level_one(stream: DataFrame, budget: int) -> DataFrame:
+    """Groups of rows (session_id, ordinal, cost, is_boundary), each given out once when it is closed: by the row that no longer
+    fits, or by a boundary. What is open stays in the state."""
     rows = stream.select("session_id", "ordinal", "cost", "is_boundary")
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, slot long, ordinal long", "slot long, held array<long>, total long", "append", GroupStateTimeout.NoTimeout)
+    return keyed(rows, "session_id", OpenGroup(budget), "session_id string, slot long, ordinal long")
 
 
-def await_markers(hits: DataFrame, timeout_ms: int | None = 30 * 60 * 1000) -> DataFrame:
-    """State changes of each marker from its hits (marker, path): found, or ambiguous once a second path has it; timeout if the
-    time passes after the first row without a path. A row without a path starts the wait. None waits without end, for streams that themselves
-    end."""
+class MarkerWait(StatefulProcessor):
+    """Of a marker: the first path that has it and its status; while it waits, a timer."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"marker": [key[0]], "status": ["timeout"], "path": [None]})
-            return
-        path, status = state.get if state.exists else ("", "waiting")
-        for p in sorted({p for b in batches for p in b["path"] if p}):
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("found", "path string, status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.state.exists()
+        path, status = self.state.get() if known else ("", "waiting")
+        before = status if known else None
+        for p in sorted({p for b in rows for p in b["path"] if p}):
             status = "found" if path in ("", p) else "ambiguous"
             path = path or p
-        state.update((path, status))
-        if status == "waiting" and timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"marker": [key[0]], "status": [status], "path": [path or None]})
+        self.state.update((path, status))
+        if self.timeout_ms is not None:
+            if status == "waiting" and not known:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            elif status != "waiting" and before == "waiting":
+                for at in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(at)
+        if status != before:
+            yield pd.DataFrame({"marker": [key[0]], "status": [status], "path": [path or None]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"marker": [key[0]], "status": ["timeout"], "path": [None]})
 
-    return hits.groupBy("marker").applyInPandasWithState(step, "marker string, status string, path string", "path string, status string", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def await_markers(hits: DataFrame, timeout_ms: int | None = 30 * 60 * 1000) -> DataFrame:
+    """State changes of each marker from its hits (marker, path): found, or ambiguous once a second path has it; timeout if the
+    time passes after the first row without a path. A row without a path starts the wait (waiting). None waits without end, for streams
+    that themselves end."""
+    return keyed(hits.select("marker", "path"), "marker", MarkerWait(timeout_ms), "marker string, status string, path string", timers=timeout_ms is not None)
 
 
 def publish_batch(spark: SparkSession, root: str, build: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:

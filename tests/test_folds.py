@@ -163,7 +163,7 @@ def fold_to_roots(sessions_, known, budget, most_usd=None, fails=()):
     def round_(jobs, level):
         nonlocal left
         got, reused = {}, set(known)
-        for seq, s, h, text in sorted((seq, s, h, text) for s, own in jobs.items() for h, seq, text in own):
+        for seq, s, h, text in sorted((seq, s, h, text) for s, h, seq, text in jobs):
             key = (h, text)
             if key in reused:
                 got[s, h] = ("reused", known[key])
@@ -180,11 +180,12 @@ def fold_to_roots(sessions_, known, budget, most_usd=None, fails=()):
                     continue
                 known[key] = plain_summary(text)
                 got[s, h] = ("done", known[key])
-        out.update({(level, *k): v for k, v in got.items()})
+        out.update({(0 if k[1] == "summary/root" else level, *k): v for k, v in got.items()})
         return got
 
-    while levels:
-        got = round_(levels, level)
+    roots = {}
+    while levels or roots:
+        got = round_([(s, *job) for s, own in [*levels.items(), *roots.items()] for job in own], level)
         above, roots = {}, {}
         for s, own in levels.items():
             texts = [got[s, h][1] for h, _, _ in own]
@@ -195,7 +196,6 @@ def fold_to_roots(sessions_, known, budget, most_usd=None, fails=()):
                 above[s] = [(f"summary/level-{level + 1}/span-{g:04}", min(q for (_, q, _), x in zip(own, groups) if x == g), "\n".join(t for t, x in zip(texts, groups) if x == g)) for g in dict.fromkeys(groups)]
             else:
                 roots[s] = [("summary/root", min(q for _, q, _ in own), "\n".join(texts))]
-        round_(roots, 0)
         levels, level = above, level + 1
     return out, known
 
