@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import usage as U
 from ..sources import sinks as K
+from ..sources import tails as A
 from ..streaming import streams as R
 from .catalog import query, table
 from .finding import MANIFEST, manifest
@@ -68,6 +69,33 @@ def str_03(spark, sf):
     return R.run_to_table(R.stream_markers(lines, table(spark, sf, "benchmark").select(F.col("text").alias("marker")).distinct()))
 
 
+_LINE = "replace(replace(text, chr(10), ' '), chr(13), ' ')"
+
+
+def line_files(spark, sf):
+    """The documents as lines of log files, each with its id in front."""
+    at = K.shared_folder(spark)
+    lines = table(spark, sf, "documents").select((F.col("doc_id") % 3).alias("folder"), F.concat_ws(" ", F.col("doc_id").cast("string"), F.translate("text", "\n\r", "  ")).alias("value"))
+    lines.write.partitionBy("folder").text(at)
+    return at
+
+
+@query("str_03b_appended_markers", f"SELECT b.text AS marker, doc_id FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON contains(doc_id || ' ' || {_LINE.replace('text', 'd.text')}, b.text)")
+def str_03b(spark, sf):
+    lines = A.stream_lines(spark, line_files(spark, sf), ".txt").withColumn("line_no", F.split_part("raw", F.lit(" "), F.lit(1)).cast("long"))
+    found = R.run_to_table(R.stream_markers(lines, table(spark, sf, "benchmark").select(F.col("text").alias("marker")).distinct()))
+    return found.select("marker", F.col("line_no").alias("doc_id"))
+
+
+@query("src_07b_read_tails", f"WITH f AS (SELECT doc_id % 3 AS folder, doc_id, strlen(doc_id || ' ' || {_LINE}) + 1 AS n FROM documents) SELECT folder, count(*) AS lines, sum(n)::BIGINT AS bytes FROM f GROUP BY 1")
+def src_07b(spark, sf):
+    """The tails of log files, as long as the files: all lines."""
+    at = line_files(spark, sf)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(at).select("path", F.col("length").alias("size"))
+    got = A.read_tails(files, 1 << 40).withColumn("folder", F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long"))
+    return got.groupBy("folder").agg(F.count("*").alias("lines"), F.sum(F.octet_length("raw") + 1).alias("bytes"))
+
+
 @query("str_04_await_markers", "SELECT event_type || (user_id % 50) AS marker, CASE WHEN count(DISTINCT user_id) = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM events GROUP BY 1")
 def str_04(spark, sf):
     return R.run_to_table(R.await_markers(landed(table(spark, sf, "events").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("marker"), F.concat(F.lit("/logs/"), "user_id").alias("path"))), None)).select("marker", "status")

@@ -8,7 +8,7 @@ from .oracles import compare, connect
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose semantics are a sequential fold in Python or a stream.
-PYTHON = ("lim_05b", "udf_01", "hi_14", "hi_07b", "str_")
+PYTHON = ("lim_05b", "udf_01", "hi_14", "hi_07b", "src_07b", "str_")
 
 
 @pytest.fixture(scope="module")
