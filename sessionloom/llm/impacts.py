@@ -1,14 +1,15 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
-Vectors of integers are documents, their components terms. For each component and sign of a query's weight a vector has
-an impact: how far its component lies above the block's least, or below its greatest. Impacts are quantised to a few
-levels, and a segment holds a level's postings of all terms. Every vector has a posting for every term, so a segment is
-kept as a matrix that is zero outside its level. A block of queries takes the segments in descending level and adds up
-weight times impact. A query stops only on proof: once all but a few vectors, each with the most that its postings in
-the segments left can still add, stay under the k-th best score known so far. Those few are scored anew, exactly.
-
-Each query first meets one block of candidates; with the k-th best score of that block it goes to the others, so there
-most queries stop before the last segments, or at once where a block's greatest impacts can't reach the bound.
+Vectors of integers are documents, their components terms. In a block of vectors a posting's impact is how far its
+component lies from the term's centre, a whole number near the mean; impacts are quantised to levels of about equal
+numbers of postings. A segment holds the postings of one term and level. A block of queries takes the segments in
+descending level and adds weight times impact to the sums of the segment's vectors alone. What the levels left can still
+add to a vector is at most the length of its impacts left times the query's length. A query stops only on proof: vectors
+that can't reach the k-th best score known so far are out, and once scoring the others exactly costs less than the next
+level's postings, they are scored anew, exactly.
+
+Each query first meets one block of candidates, where the k vectors with the best sums are scored exactly for a bound;
+with the k-th best score of that block it goes to the others, at once past a block that can't reach the bound.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .scale import written
 from .vectors import block, copies, kth_scores, matrix, ranked, valid, width
 
-#: Levels of quantised impact; rows of a block of candidates or queries; queries that share a pass.
-LEVELS, BLOCK, TOGETHER = 4, 8_192, 256
+#: Levels of quantised impact; rows of a block of candidates, and of queries; queries that share a pass.
+LEVELS, BLOCK, QUERIES, TOGETHER = 8, 8_192, 65_536, 256
 #: Doubles hold integers up to this exactly, longs up to the other.
 EXACT, LONG = 2.0**53, 2.0**63
 
@@ -47,52 +48,74 @@ class Block:
     """The impact-ordered index of a block of vectors (rows) of whole numbers, held as doubles."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.n = x, len(x)
-        self.least, self.most = x.min(0), x.max(0)
-        self.impact = np.concatenate([x - self.least, self.most - x], 1)  # for weights above and below zero
-        step = np.tile(np.floor((self.most - self.least) / LEVELS) + 1, 2)
-        self.level = np.minimum(self.impact // step, LEVELS - 1).astype(np.int8)
-        self.above = np.arange(LEVELS)[:, None] * step[None]  # impacts below a level are under its first
-        self.finished = np.zeros(LEVELS + 1, np.int64)  # queries that stopped after so many segments
-
-    def segment(self, level: int) -> np.ndarray:
-        return np.where(self.level == level, self.impact, 0.0)
+        self.x, (self.n, self.dim), self.largest = x, x.shape, np.abs(x).max(0)
+        self.centre = np.round((x / self.n).sum(0))
+        away = x - self.centre
+        impact = np.abs(away)
+        cuts = np.unique(np.quantile(impact, np.arange(1, LEVELS) / LEVELS))
+        level = np.searchsorted(cuts, impact, side="right")
+        self.levels = len(cuts) + 1
+        # left[i]: the length of each vector's impacts below level i, with what rounding may take from it
+        scale = np.maximum(impact.max(1), 1.0)
+        shares = [np.where(level == i, (impact / scale[:, None]) ** 2, 0.0).sum(1) for i in range(self.levels)]
+        self.left = np.sqrt(np.concatenate([np.zeros((1, self.n)), np.cumsum(shares, 0)])) * scale * (1 + 1e-9)
+        flat = level.T.ravel()
+        order = np.argsort(-flat, kind="stable")  # by level, then term, then vector
+        order = order[impact.T.ravel()[order] > 0]
+        self.rows, self.signed = order % self.n, away.T.ravel()[order]
+        self.starts = np.searchsorted((self.levels - 1 - flat[order]) * self.dim + order // self.n, np.arange(self.levels * self.dim + 1))
+        self.finished = np.zeros(self.levels + 1, np.int64)  # queries that stopped after so many levels
+        self.work = 0  # multiply-adds
+
+    def segments(self, level: int) -> np.ndarray:
+        """Where the segments of a level's terms start, and where the last one ends."""
+        at = (self.levels - 1 - level) * self.dim
+        return self.starts[at : at + self.dim + 1]
+
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        self.work += len(rows) * self.dim
+        if np.abs(q) @ self.largest < EXACT:
+            return (self.x[rows] @ q).astype(np.int64)
+        return products(self.x[rows], q)
 
     def search(self, q: np.ndarray, own: list[np.ndarray], k: int, bound: np.ndarray) -> list[np.ndarray]:
         """For each query the rows that may be among its k best, its own left out: all that aren't proven worse.
 
         bound: a score that k other vectors of the query are known to reach.
         """
-        positive, negative = np.maximum(q, 0), np.maximum(-q, 0)
-        weight = np.concatenate([positive, negative], 1).T
-        base = positive @ self.least - negative @ self.most  # a score is this and the sum of weight times impact
+        base, length = q @ self.centre, np.sqrt((q**2).sum(1)) * (1 + 1e-9)
         # what rounding may add to a sum: none while all of its terms and sums are exact
-        whole = np.abs(q) @ np.maximum(np.abs(self.least), np.abs(self.most))
-        doubt = np.where(6 * whole < EXACT, 0.0, 6 * whole * 4 * (q.shape[1] + LEVELS) * 2.0**-53)
+        whole = np.abs(q) @ self.largest
+        doubt = np.where(6 * whole < EXACT, 0.0, 6 * whole * 4 * (self.dim + LEVELS) * 2.0**-53)
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        sums, live = np.tile(base[:, None], (1, self.n)), np.arange(len(q))
-        for i, rows in enumerate(own):
-            sums[i, rows] = -np.inf
-        reach = base + np.concatenate([self.most - self.least] * 2) @ weight + doubt
-        live = live[reach >= bound]  # the others stop before the first segment
+        floor, unknown = bound.copy(), np.isneginf(bound)
+        live = np.flatnonzero(~(base + self.left[-1].max() * length + doubt < bound))  # the others stop before the first level
         self.finished[0] += len(q) - len(live)
-        sums, weight, bound, doubt = sums[live], weight[:, live], bound[live], doubt[live]
-        for level in range(LEVELS - 1, -1, -1):
+        sums, weight = np.tile(base[live], (self.n, 1)), np.ascontiguousarray(q[live].T)
+        for i, query in enumerate(live):
+            sums[own[query], i] = -np.inf
+        for level in range(self.levels - 1, -1, -1):
             if not len(live):
                 break
-            sums += (self.segment(level) @ weight).T
-            best = min(k, self.n) - 1
-            kth = -np.partition(-sums, best, axis=1)[:, best] - doubt if self.n > best else np.full(len(live), -np.inf)
-            kth = np.maximum(np.where(self.n < k, -np.inf, kth), bound)
-            most = sums
-            if level:  # postings of lower levels have impacts under this level's first
-                most = sums + ((self.level < level) @ (weight * np.maximum(self.above[level] - 1, 0)[:, None])).T
-            possible = (most + doubt[:, None] >= kth[:, None]) & (most > -np.inf)
-            done = (possible.sum(1) <= max(4 * k, self.n // 64)) | (level == 0)
+            starts = self.segments(level)
+            for term, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+                sums[self.rows[i:j]] += self.signed[i:j, None] * weight[term]
+            self.work += int(starts[-1] - starts[0]) * len(live)
+            for i in np.flatnonzero(unknown[live]):
+                query = live[i]
+                if self.n - len(own[query]) >= k:
+                    best = np.argpartition(-sums[:, i], k - 1)[:k]
+                    kth = float(self.scores(best, q[query]).min())
+                    floor[query] = max(floor[query], kth if abs(kth) < EXACT else kth - abs(kth) * 2.0**-52)
+            possible = ~(sums < floor[live] - doubt[live] - self.left[level][:, None] * length[live])
+            for i, query in enumerate(live):
+                possible[own[query], i] = False
+            many, following = possible.sum(0), self.segments(level - 1) if level else starts
+            done = (many * self.dim <= following[-1] - following[0]) | (level == 0)
             for i in np.flatnonzero(done):
-                out[live[i]] = np.flatnonzero(possible[i])
-            self.finished[LEVELS - level] += int(done.sum())
-            sums, live, weight, bound, doubt = sums[~done], live[~done], weight[:, ~done], bound[~done], doubt[~done]
+                out[live[i]] = np.flatnonzero(possible[:, i])
+            self.finished[self.levels - level] += int(done.sum())
+            sums, live, weight = sums[:, ~done], live[~done], weight[:, ~done]
         return out
 
 
@@ -111,7 +134,7 @@ def top_products(embeddings: DataFrame, is_query, k: int = 5, factor: int = 256)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, asking = width(rows), rows.where(is_query(F.col("vec_id")))
-    c_blocks, q_blocks = -(-total // BLOCK), max(1, -(-asking.count() // BLOCK))
+    c_blocks, q_blocks = -(-total // BLOCK), max(1, -(-asking.count() // QUERIES))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], [], []]
@@ -126,7 +149,7 @@ def top_products(embeddings: DataFrame, is_query, k: int = 5, factor: int = 256)
                 first, last = (np.searchsorted(rows, q_rows[some], side, sorter=order) for side in ("left", "right"))
                 own = [order[i:j] for i, j in zip(first, last, strict=True)]
                 for q_row, q_id, v, near in zip(q_rows[some], q_ids[some], q[some], held.search(q[some], own, k, bound[some]), strict=True):
-                    score = products(x[near], v)
+                    score = held.scores(near, v)
                     best = np.lexsort((ids[near], -score))[:k]
                     for part, got in zip(out, (np.full(len(best), q_row), np.full(len(best), q_id), ids[near[best]], score[best]), strict=True):
                         part.append(got)

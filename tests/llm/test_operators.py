@@ -330,6 +330,38 @@ def test_impact_blocks_are_exact(size, carried):
             assert (np.sort(impacts.products(x[rows], q[i]))[::-1][:many] == np.sort(scores[i])[::-1][:many]).all()
 
 
+@pytest.mark.parametrize(("n", "most"), [(2_000, 0.9), (8_192, 0.75)])
+def test_impact_order_spares_work(n, most):
+    """Multiply-adds beside all products', with the bound of another block and without one."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2 * n, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    q, own = x[:100], [np.array([i]) for i in range(100)]
+    first = impacts.Block(x[:n])
+    near = first.search(q, own, 5, np.full(100, -np.inf))
+    bound = np.array([np.sort(first.scores(rows, v))[-5] for rows, v in zip(near, q, strict=True)], float)
+    assert first.work < most * 100 * n * 64
+    other = impacts.Block(x[n:])
+    for rows, v in zip(other.search(q, [np.empty(0, int)] * 100, 5, bound), q, strict=True):
+        other.scores(rows, v)
+    assert other.work < 0.75 * 100 * n * 64
+
+
+@pytest.mark.parametrize("x", [[[0.0, 0.0]] * 7, [[5.0], [5.0], [5.0], [-2.0]], [[2.0**27, 1.0], [2.0**27, 2.0], [-1.0, 3.0]] * 4])
+@pytest.mark.parametrize("k", [1, 2, 20])
+def test_impact_blocks_keep_what_no_proof_excludes(x, k):
+    x = np.array(x)
+    for i, rows in enumerate(impacts.Block(x).search(x[:3], [np.array([i]) for i in range(3)], k, np.full(3, -np.inf))):
+        best = sorted((sum(int(a) * int(b) for a, b in zip(x[i], v, strict=True)) for j, v in enumerate(x) if j != i), reverse=True)[:k]
+        assert i not in rows and sorted(impacts.products(x[rows], x[i]), reverse=True)[:k] == best
+
+
+def test_impact_blocks_of_endless_products():
+    x = np.array([[1e300, -1e300], [3.0, 1e300], [0.0, 1.0]] * 3)
+    with pytest.raises(OverflowError):
+        impacts.Block(x).search(x[:3], [np.array([i]) for i in range(3)], 2, np.full(3, -np.inf))
+
+
 def test_repeated_ids_and_large_components(spark):
     rows = [(1, [0.5, 0.5]), (1, [5.0, 5.0]), (20, [1.0, 1.0]), (50, [70000.0, 1.0]), (7, [100000.0, 1.0]), (100, [-1e-9, 3e9]), (9, [2.0, 1e9])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
