@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import markers as M
 
 
 def marker_hits(lines: DataFrame, markers: DataFrame) -> DataFrame:
-    """The lines (with all their columns and marker) that contain a marker.
+    """The lines (with all their columns and marker) that contain a marker; null lines and markers have no part.
 
-    A line that has a marker has the marker's inner words whole, so lines and markers meet on the longest of these, and only lines
-    that have it are read for the marker. Markers without an inner word are tested on each line.
+    Markers of up to markers.AUTOMATON characters are searched for in one pass over each line. Beyond that, a line that has a marker has
+    the marker's inner words whole, so lines and markers meet on the longest of these, and only lines that have it are read for the
+    marker; markers without an inner word meet the lines in groups, in one pass for each group.
     """
+    asked = markers.select("marker").where("marker is not null").distinct()
+    if M.size_of(asked) <= M.AUTOMATON:
+        return M.scan(lines, asked)
     words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
     inner = F.filter(F.slice(words("marker"), 2, F.greatest(F.size(words("marker")) - 2, F.lit(0))), lambda w: w != "")
     longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-    asked = markers.select("marker").distinct().withColumn("marker_word", longest)
+    asked = asked.withColumn("marker_word", longest)
     spoken = lines.select("path", "line_no", F.explode(F.array_distinct(words("raw"))).alias("marker_word"))
-    near = spoken.join(asked.where("marker_word is not null"), "marker_word").select("path", "line_no", "marker")
-    has = F.contains(F.col("raw"), F.col("marker"))
-    return lines.join(near, ["path", "line_no"]).where(has).unionByName(lines.join(asked.where("marker_word is null").select("marker"), has))
+    near = spoken.join(asked.where("marker_word is not null"), "marker_word").select("path", "line_no", "marker").distinct()
+    met = lines.join(near, ["path", "line_no"]).where(F.contains(F.col("raw"), F.col("marker")))
+    return met.unionByName(M.scan_in_groups(lines, asked.where("marker_word is null").select("marker")))
 
 
 def find_markers(lines: DataFrame, markers: DataFrame) -> DataFrame:
@@ -87,18 +92,79 @@ def gate_status(stamps: DataFrame, current: DataFrame, allowed: tuple[str, ...]
     return met.select("name", status.alias("status"))
 
 
+#: Characters of a part's beginning or end by which paths and scopes meet.
+EDGE = 32
+
+
+def scope_anchor(scope: Column) -> Column:
+    """What each path that a scope with wildcards matches must have, as (size, kind, key), the longest there is: the scope's first or
+    last parts without wildcards (head, tail; size in parts), one such part (part), or what a part begins or ends with (begins, ends; size
+    in characters). Without any of these, the number of parts (count), unless ** leaves it open (open)."""
+    parts = F.split(scope, "/")
+    n, plain = F.size(parts), lambda p: ~p.contains("*")
+    starred = F.transform(parts, lambda p: p.contains("*"))
+    before = lambda flags: F.greatest(F.array_position(flags, True).cast("int") - 1, F.lit(0))
+    first, last = before(starred), before(F.reverse(starred))  # parts before the first with a wildcard, and after the last
+    found = lambda size, kind, key: F.struct(F.length(key).alias("long"), size.cast("int").alias("size"), F.lit(kind).alias("kind"), key.alias("key"))
+    head, tail = F.array_join(F.slice(parts, 1, first), "/"), F.array_join(F.slice(parts, n - last + 1, last), "/")
+    edges = F.filter(parts, lambda p: p.contains("*"))
+    begin, end = lambda p: F.left(F.regexp_extract(p, r"(?s)^([^*]*)", 1), F.lit(EDGE)), lambda p: F.right(F.regexp_extract(p, r"(?s)([^*]*)$", 1), F.lit(EDGE))
+    among = F.concat(
+        F.array(found(first, "head", head), found(last, "tail", tail)),
+        F.transform(F.filter(parts, plain), lambda p: found(F.lit(0), "part", p)),
+        F.transform(edges, lambda p: found(F.length(begin(p)), "begins", begin(p))),
+        F.transform(edges, lambda p: found(F.length(end(p)), "ends", end(p))),
+    )
+    best = F.array_max(F.filter(among, lambda a: a["long"] > 0))
+    none = F.when(scope.contains("**"), found(F.lit(0), "open", F.lit(""))).otherwise(found(F.lit(0), "count", n.cast("string")))
+    return F.coalesce(best, none)
+
+
+def path_anchors(path: Column, sizes: dict[str, list[int]]) -> Column:
+    """All anchors (kind, key) of a path, of the kinds and sizes that scopes ask for."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    long = lambda kind: F.array(*[F.lit(k) for k in sizes[kind]])
+    edge = lambda take, kind: F.flatten(F.transform(parts, lambda p: F.transform(F.filter(long(kind), lambda k: k <= F.length(p)), lambda k: take(p, k))))
+    keys = {
+        "head": lambda: F.transform(F.filter(long("head"), lambda k: k <= n), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")),
+        "tail": lambda: F.transform(F.filter(long("tail"), lambda k: k <= n), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "/")),
+        "part": lambda: parts,
+        "begins": lambda: edge(F.left, "begins"),
+        "ends": lambda: edge(F.right, "ends"),
+        "count": lambda: F.array(n.cast("string")),
+    }
+    named = lambda kind, found: F.transform(F.array_distinct(found), lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+    asked = [named(kind, of()) for kind, of in keys.items() if kind in sizes]
+    return F.concat(*asked) if asked else F.array().cast("array<struct<kind:string,key:string>>")
+
+
+def wild_matches(paths: DataFrame, scopes: DataFrame) -> DataFrame:
+    """paths (path) with the scopes (scope, re, other columns) with wildcards that match them. They meet on what a scope has beside
+    wildcards (scope_anchor), so a scope is tried only on paths that have it; a scope with ** and nothing else that is whole at an edge of
+    a part, as **/*, is tried on all."""
+    asked = scopes.withColumn("anchor", scope_anchor(F.col("scope"))).select("*", "anchor.kind", "anchor.key", "anchor.size").drop("anchor")
+    sizes: dict[str, list[int]] = {}
+    for kind, size in asked.select("kind", "size").distinct().orderBy("kind", "size").collect():  # parts of a path at most, twice, and EDGE, twice
+        sizes.setdefault(kind, []).append(size)
+    closed = paths.select("path", F.explode(path_anchors(F.col("path"), sizes)).alias("anchor")).select("path", "anchor.kind", "anchor.key")
+    matches = closed.join(asked.where("kind <> 'open'"), ["kind", "key"]).where(F.rlike("path", F.col("re"))).drop("kind", "key", "size")
+    return matches.unionByName(paths.join(asked.where("kind = 'open'").drop("kind", "key", "size"), F.rlike("path", F.col("re")))) if "open" in sizes else matches
+
+
 def affected_docs(changes: DataFrame, sections: DataFrame) -> DataFrame:
     """Documents that a change touches (changes: path; sections: doc_path, section_id, scopes): by a matching scope, or
     by an edit of the document itself; kind is source or doc, matched scopes are collected.
 
-    A plain scope is a path or a folder and meets the changed paths on their own prefixes; only scopes with wildcards are tried on every path."""
+    A plain scope is a path or a folder and meets the changed paths on their own prefixes; scopes with wildcards meet them on what they have
+    beside wildcards (wild_matches)."""
     scopes = sections.select("doc_path", "section_id", F.explode("scopes").alias("scope")).withColumn("re", T.scope_regex(F.col("scope")))
-    globs = F.col("scope").rlike(r"[*?\[\]{}]")
+    globs = F.col("scope").contains("*")
     paths = changes.select("path").distinct()
     parts = F.split("path", "/")
     prefixes = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("prefix"))
     plain = prefixes.join(scopes.where(~globs), F.col("prefix") == F.rtrim(F.col("scope"), F.lit("/"))).where(F.rlike(F.col("path"), F.col("re")))
-    wild = paths.join(scopes.where(globs), F.rlike(F.col("path"), F.col("re")))
+    wild = wild_matches(paths, scopes.where(globs))
     matched = ("path", "doc_path", "section_id", F.lit("source").alias("kind"), "scope")
     by_scope = plain.select(*matched).unionByName(wild.select(*matched))
     direct = changes.select("path").distinct().join(sections, F.col("path") == F.col("doc_path")).select("path", "doc_path", "section_id", F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("scope"))

@@ -13,11 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import usage as U
+from ..operators.markers import AUTOMATON, scan, size_of
 from ..sources.sinks import BUCKETS, commit, exists, last_commit, read_buckets, read_collection, replaced, shared_folder, write_buckets
 
 
-#: Markers that a stream is tested for at most, as each executor holds all.
-MOST_MARKERS = 10_000
+#: Characters of the markers that a stream is tested for, as each worker holds all.
+MOST_MARKED = AUTOMATON
 #: Folders of a bucket's log, beyond which a batch that touches the bucket puts them together.
 MOST_LOGS = 16
 
@@ -45,10 +46,12 @@ def stream_dedupe(stream: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 def stream_markers(stream: DataFrame, markers: DataFrame) -> DataFrame:
-    """Each new line (path, line_no, raw) with a marker of a short static list: MOST_MARKERS at most, more are an error."""
-    if (many := markers.count()) > MOST_MARKERS:
-        raise ValueError(f"{many} markers, more than {MOST_MARKERS}")
-    return stream.join(F.broadcast(markers), F.contains(F.col("raw"), F.col("marker"))).select("marker", "path", "line_no")
+    """Each new line (path, line_no, raw) with a marker of a static list, in one pass over the line. The markers have MOST_MARKED characters
+    at most; more are an error."""
+    asked = markers.select("marker").where("marker is not null").distinct()
+    if (size := size_of(asked)) > MOST_MARKED:
+        raise ValueError(f"markers of {size} characters, more than {MOST_MARKED}")
+    return scan(stream.select("path", "line_no", "raw"), asked).select("marker", "path", "line_no")
 
 
 def stream_usage_delta(stream: DataFrame) -> DataFrame:

@@ -283,14 +283,14 @@ def test_batches_of_an_older_generation_are_deferred(spark):
     assert ("a", "fresh") in {(r.session_id, r.head) for r in streams.latest_docs(spark, root).collect()}
 
 
-@pytest.mark.parametrize("most", [10, 1])
+@pytest.mark.parametrize("most", [12, 11])
 def test_stream_markers_are_bounded(spark, most, monkeypatch):
-    monkeypatch.setattr(streams, "MOST_MARKERS", most)
+    monkeypatch.setattr(streams, "MOST_MARKED", most)  # "this" and "line 2", and one for each
     at = sinks.shared_folder(spark)
     for k in range(3):  # three files, three micro-batches
         spark.createDataFrame([("p", k, f"line {k} has this"), ("q", k, "nothing")], "path string, line_no long, raw string").coalesce(1).write.mode("append").parquet(at)
     markers = spark.createDataFrame([("this",), ("line 2",)], "marker string")
-    if most == 1:
+    if most == 11:
         with pytest.raises(ValueError):
             streams.stream_markers(streams.as_stream(spark, at), markers)
     else:
