@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import content as C
 from ..functions import text as T
 from ..functions import usage as U
 
@@ -54,6 +55,18 @@ def accepted(normalized: DataFrame) -> DataFrame:
     return normalized.where("not rejected").drop("rejected")
 
 
+def event_documents(events: DataFrame) -> DataFrame:
+    """What search finds of loaded events (accepted, with the columns that loaders and normalize_events give): a document for each event with
+    its handle and, as search_text, its title, role, text, a call's name and arguments, a result's output and usage as JSON, each on a line of
+    its own. Reasoning and events with no more than a role aren't visible to retrieval. Other columns are kept."""
+    call, none = F.col("type") == "tool_call", F.array().cast("array<struct<text:string,json:string>>")
+    spent = F.to_json(F.when(F.col("usage").isNotNull(), F.struct(*[F.col(f"usage.{f}").alias(f) for f in sorted(U.FIELDS)])))
+    whole = C.event_text(F.when(~call, F.col("text")), none, F.when(call, F.col("tool_name")), F.when(call, F.col("text")), spent, before=(F.col("title"), F.col("role")))
+    shown = (F.col("type") != "reasoning") & (F.coalesce(whole, F.lit("")) != T.text_of(F.col("role")))
+    named = events.withColumns({"search_text": whole, "retrieval_visible": F.coalesce(shown, F.lit(False)), "handle": T.handle(F.col("session_id"), F.col("ordinal"), F.col("type"), F.col("event_id")), "depth": F.lit(1), "start_at": F.col("at"), "tool_call_id": F.col("call_id")})
+    return named.withColumn("search_text", F.when(F.col("retrieval_visible"), F.col("search_text")).otherwise(""))
+
+
 def usage_delta(df: DataFrame, key: list[str], order: list[str], total: str = "total_usage", last: str = "last_usage") -> DataFrame:
     """Adds usage: the step of a running total within a key, the last usage where a row has no total."""
     before = F.last(total, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions import usage as U
+from ..operators import events as E
 from ..sources import logs as L
 from .catalog import query, table
 from .scalars import preview_sql
@@ -105,6 +106,18 @@ def prj_10(spark, sf):
     return open_values(spark, sf).select("conv_id", "turn", whole.alias("text"))
 
 
+@query(
+    "prj_10b_event_documents",
+    """SELECT conv_id::VARCHAR AS session_id, turn + 1 AS line_no, 0 AS block_no, role || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END AS search_text, true AS visible FROM conversations WHERE text <> ''
+    UNION ALL SELECT conv_id::VARCHAR, turn + 1, 0, '', false FROM conversations WHERE text = '' AND role <> 'user'
+    UNION ALL SELECT conv_id::VARCHAR, turn + 1, 1, 'assistant' || chr(10) || 'look' || chr(10) || '{"q":' || turn || '}', true FROM conversations WHERE role = 'assistant'
+    UNION ALL SELECT conv_id::VARCHAR, turn + 1, 1048576, 'assistant' || chr(10) || '{"cache_read":0,"cache_write":0,"input":' || turn || ',"output":5,"reasoning":0,"total":' || (turn + 5) || '}', true FROM conversations WHERE role = 'assistant'""",
+)
+def prj_10b(spark, sf):
+    events = E.accepted(E.normalize_events(L.rows_to_events_b(lines_b(spark, sf))))
+    return E.event_documents(events).select("session_id", "line_no", "block_no", "search_text", F.col("retrieval_visible").alias("visible"))
+
+
 @query("prj_05_reasoning_flags", "SELECT event_id, event_id % 2 = 0 AS has_summary, event_id % 3 = 0 AS has_encrypted, false AS has_signature FROM events")
 def prj_05(spark, sf):
     e = table(spark, sf, "events")

@@ -7,8 +7,8 @@ from sessionloom.plans import catalog
 from .oracles import compare, connect
 
 SF = "/root/testdata/sf0.001"
-#: Queries whose semantics are a sequential fold in Python or a stream.
-PYTHON = ("lim_05b", "udf_01", "hi_14", "hi_07b", "src_07b", "str_")
+#: Queries whose semantics are a sequential fold or an automaton in Python, or a stream.
+PYTHON = ("lim_05b", "udf_01", "hi_14", "hi_07b", "src_07b", "jn_07", "str_")
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def test_runs(spark, name):
 @pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if not n.startswith((*PYTHON, "snk_"))))
 def test_plan_stays_in_the_jvm(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
 
 
 def test_entry(spark):

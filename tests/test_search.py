@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import usage as U
-from sessionloom.operators import search, tree
+from sessionloom.operators import events, search, tree
 
 
 def test_every_request_for_everything_gets_its_page(spark):
@@ -165,3 +165,24 @@ def test_documents_that_lack_the_topic_label_are_found_by_its_words(spark):
     asked = spark.createDataFrame([(1, "", "delta", None), (2, "alpha", "nothing like that", "user"), (3, "alpha", "", "assistant"), (4, "", "", "")], "request_id int, query string, topic string, role string")
     got = {(r.request_id, r.handle) for r in search.find_refs(docs, nodes, asked, totals=False).collect()}
     assert got == {(1, "b2"), (2, "a1")}
+
+
+def test_loaded_events_are_found_by_call_output_and_title(spark):
+    kind = "session_id string, source_kind string, line_no long, block_no long, type string, role string, at timestamp, text string, call_id string, tool_name string, title string, usage struct<input:bigint,output:bigint,cache_read:bigint,cache_write:bigint,reasoning:bigint,total:bigint>"
+    rows = [
+        ("s", "log", 1, 0, "message", "user", None, "please look", None, None, "a greeting", None),
+        ("s", "log", 2, 0, "tool_call", "assistant", None, '{"path":"x"}', "c1", "read_file", None, None),
+        ("s", "log", 3, 0, "tool_result", "tool", None, "output of it", "c1", None, None, None),
+        ("s", "log", 4, 0, "reasoning", "assistant", None, "secret thought", None, None, None, None),
+        ("s", "log", 5, 0, "message", "user", None, None, None, None, None, None),
+        ("s", "log", 6, 0, "usage", "assistant", None, None, None, None, None, (1, 2, 0, 0, 0, 3)),
+    ]
+    docs = events.event_documents(events.accepted(events.normalize_events(spark.createDataFrame(rows, kind))))
+    assert [r.search_text for r in docs.orderBy("line_no").collect()] == [
+        "a greeting\nuser\nplease look", 'assistant\nread_file\n{"path":"x"}', "tool\noutput of it", "", "", 'assistant\n{"cache_read":0,"cache_write":0,"input":1,"output":2,"reasoning":0,"total":3}',
+    ]
+    asked = spark.createDataFrame([(1, "read file"), (2, "greeting"), (3, "secret"), (4, "output of")], "request_id int, query string")
+    got = search.search(docs, asked).where("place = 0").select("request_id", "line_no").collect()
+    assert sorted((r.request_id, r.line_no) for r in got) == [(1, 2), (2, 1), (4, 3)]
+    index = search.build_block_index(docs)
+    assert index.narrow.count() == 4 and "tool_call_id" in index.narrow.columns
