@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import usage as U
+from ..sources.sinks import written
 
 
 def build_sessions(events: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -75,17 +76,26 @@ def resolve_pricing(asked: DataFrame, pricing: DataFrame) -> DataFrame:
     """Adds to rows with `model` (and maybe `provider`): status (ok, unknown, ambiguous), provider_id, model_id, cost.
 
     `provider/model` and `provider:model` are parted where the first part is a known provider. Names match the model id, the id, or
-    either qualified form, in any case.
+    either qualified form, in any case. Rows that are equal in all columns, a given ask_id among them, are one, and count each model as often.
+
+    Models are counted by name and provider before they meet the rows, each of which meets one count: a name that many models
+    share costs no more than others.
     """
     low = lambda c: F.lower(F.trim(T.text_of(c)))
+    numbered = "ask_id" in asked.columns
+    rows = asked if numbered else asked.withColumn("ask_id", F.monotonically_increasing_id())
+    columns = rows.columns
+    rows = rows.groupBy(*columns).agg(F.count("*").alias("copies")) if numbered else rows.withColumn("copies", F.lit(1).cast("long"))
+    rows = rows.withColumns({"wanted": low(F.col("model")), "wanted_by": low(F.col("provider"))})
+    wanted = written(asked.select(low(F.col("model")).alias("model_key")).distinct())  # its size is known, so that few names are broadcast
     names = F.array_distinct(F.array(low(F.col("model_id")), low(F.col("id")), low(F.concat_ws("/", "provider_id", "model_id")), low(F.concat_ws(":", "provider_id", "model_id"))))
-    keys = pricing.select("provider_id", "model_id", "cost", F.explode(names).alias("model_key"))
-    rows = asked.withColumn("ask_id", F.monotonically_increasing_id()) if "ask_id" not in asked.columns else asked
-    met = rows.withColumn("wanted", low(F.col("model"))).join(keys, (F.col("wanted") == F.col("model_key")) & ((low(F.col("provider")) == "") | (low(F.col("provider")) == low(F.col("provider_id")))), "left")
-    found = met.groupBy(*rows.columns).agg(F.count("model_id").alias("n"), F.min(F.struct("provider_id", "model_id", "cost")).alias("hit"))
+    keys = pricing.select("provider_id", "model_id", "cost", F.explode(names).alias("model_key")).join(wanted, "model_key", "left_semi")
+    by = F.array_distinct(F.array(F.lit(""), low(F.col("provider_id"))))
+    found = written(keys.withColumn("by", F.explode(by)).groupBy("model_key", "by").agg(F.count("model_id").alias("models"), F.min(F.struct("provider_id", "model_id", "cost")).alias("hit")))
+    met = rows.join(found, (F.col("wanted") == F.col("model_key")) & (F.col("wanted_by") == F.col("by")), "left").withColumn("n", F.coalesce(F.col("models") * F.col("copies"), F.lit(0)))
     status = F.when(F.col("n") == 0, "unknown").when(F.col("n") > 1, "ambiguous").otherwise("ok")
     one = lambda c: F.when(F.col("n") == 1, F.col(f"hit.{c}")).alias(c)
-    return found.select(*rows.columns, status.alias("price_status"), one("provider_id"), one("model_id"), one("cost"))
+    return met.select(*columns, status.alias("price_status"), one("provider_id"), one("model_id"), one("cost"))
 
 
 def estimate_cost(df: DataFrame, usage: str = "usage", cost: str = "cost") -> DataFrame:
