@@ -122,17 +122,26 @@ def estimate_cost(df: DataFrame, usage: str = "usage", cost: str = "cost") -> Da
 def jobs_for_sessions(jobs: DataFrame, manifest: DataFrame, whole_scope: bool = True) -> DataFrame:
     """(session_id, job_id) pairs: a job of scope all, or with the session's path, or its id in a path or among its results; jobs
     older than the published index only if they run. Without whole_scope jobs of scope all stay out, which give a row for each
-    session (see latest_job_of_sessions())."""
-    paths = jobs.select("job_id", F.explode("paths").alias("path"))
+    session (see latest_job_of_sessions()).
+
+    Jobs of scope all need not be told from what they name: they meet all sessions, straight in the output, and only what the others
+    name is shuffled.
+    """
+    ids = written(jobs.where("scope = 'all'").select("job_id").distinct()) if whole_scope else None  # its size is known
+    some = jobs.join(ids, "job_id", "left_anti") if whole_scope else jobs
+    paths = some.select("job_id", F.explode("paths").alias("path"))
     named = paths.withColumn("session_id", T.session_id_from_path(F.col("path"), strict=True)).where("session_id is not null").select("job_id", "session_id")
     by_path = paths.join(manifest.select("session_id", F.col("source_path").alias("path")), "path").select("job_id", "session_id")
-    results = jobs.select("job_id", F.explode("result_ids").alias("session_id"))
-    whole = jobs.where("scope = 'all'").select("job_id").join(manifest.select("session_id"), F.lit(True))
+    results = some.select("job_id", F.explode("result_ids").alias("session_id"))
     pairs = named.unionByName(by_path).unionByName(results)
-    if whole_scope:
-        pairs = pairs.unionByName(whole.select("job_id", "session_id"))
-    fresh = pairs.distinct().join(jobs.select("job_id", "updated_at", "running"), "job_id").join(manifest.select("session_id", "indexed_at"), "session_id")
-    return fresh.where(_fresh()).select("session_id", "job_id")
+    own = pairs.distinct().join(some.select("job_id", "updated_at", "running"), "job_id").join(manifest.select("session_id", "indexed_at"), "session_id")
+    own = own.where(_fresh()).select("session_id", "job_id")
+    if not whole_scope:
+        return own
+    whole = written(jobs.join(ids, "job_id", "left_semi").select("job_id", "updated_at", "running"))
+    tasks = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sessions = manifest.where("session_id is not null").select("session_id", "indexed_at").repartition(tasks)
+    return own.unionByName(sessions.join(whole, _fresh()).select("session_id", "job_id"))
 
 
 def _fresh() -> Column:

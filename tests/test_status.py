@@ -23,3 +23,19 @@ def test_equal_asks_count_a_model_as_often(spark):
     asked = [(1, "M", ""), (1, "M", ""), (2, "P:m", None), (3, "m", "q"), (4, None, "")]
     got = status.resolve_pricing(spark.createDataFrame(asked, "ask_id int, model string, provider string"), pricing)
     assert sorted((r.ask_id, r.price_status) for r in got.collect()) == [(1, "ambiguous"), (2, "ok"), (3, "unknown"), (4, "unknown")]
+
+
+def test_jobs_of_all_sessions_meet_them_in_the_output_alone(spark):
+    n = 400
+    jobs = [(f"j{k}", "all" if k % 2 == 0 else "some", [f"/logs/{k % 5}.jsonl"], [str(k % 7), "gone"], k % 16 == 0, k) for k in range(n)]
+    jobs += [("j0", "some", ["/logs/1.jsonl"], [], False, n), (None, "all", [], [], True, n)]  # a second row of a job
+    sessions = [(str(k), f"/logs/{k}.jsonl", None if k % 50 == 49 else n - 2) for k in range(n)] + [(None, "/logs/1.jsonl", 0)]
+    df = status.jobs_for_sessions(spark.createDataFrame(jobs, "job_id string, scope string, paths array<string>, result_ids array<string>, running boolean, updated_at int"), spark.createDataFrame(sessions, "session_id string, source_path string, indexed_at int"))
+    whole = {j[0] for j in jobs if j[1] == "all"}
+    pairs = {(j[0], s[0]) for j in jobs for s in sessions if j[0] and s[0] and (j[0] in whole or s[1] in j[2] or s[0] in j[3])}
+    times, indexed = {}, {s: at for s, _, at in sessions}
+    for job, _, _, _, running, at in jobs:
+        times.setdefault(job, []).append((running, at))
+    wanted = sorted((s, j) for j, s in pairs for running, at in times[j] if running or indexed[s] is None or at >= indexed[s])
+    assert sorted((r.session_id, r.job_id) for r in df.collect()) == wanted
+    assert most_rows(df) <= len(wanted)  # of 80,000 pairs of which most are too old
