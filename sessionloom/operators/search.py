@@ -59,7 +59,8 @@ def page(ranked: DataFrame, by: list[Column], start: int, limit: int, within: li
         rows = ranked.orderBy(*by).offset(start).limit(limit)
         numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(*by)) - 1 + start)  # a page's rows only
         return numbered.withColumn("total", F.lit(total).cast("long")).withColumn("next_start", F.lit(start + limit if start + limit < total else None).cast("long"))
-    salt = F.pmod(F.xxhash64(*[c for c, kind in ranked.dtypes if kind in ("string", "bigint", "int")]), F.lit(SALTS))
+    spread = [c for c in ("session_id", "handle") if c in ranked.columns] or [c for c, kind in ranked.dtypes if kind in ("string", "bigint", "int")]
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS))  # of documents not of their texts, which need not be read then
     first = Window.partitionBy(*within, "salt").orderBy(*by)  # no task ranks all rows of a large key
     few = ranked.withColumn("salt", salt).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= start + limit).drop("nth", "salt")
     rows = few.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*by)) - 1).where(F.col("place").between(start, start + limit - 1))
@@ -134,12 +135,17 @@ def browse(docs: DataFrame, requests: DataFrame, start: int = 0, limit: int = 20
     inward = inward.join(only, ["session_id", "handle"], "left").withColumn("handle", F.coalesce("stand_in", "handle"))
     siblings = requests.where("zoom = 'siblings'").join(docs.select("session_id", "handle", "parent_handle"), ["session_id", "handle"]).select("request_id", "session_id", F.col("parent_handle").alias("handle"))
     listed = children_of(docs, inward.select("request_id", "session_id", "handle").unionByName(siblings)).unionByName(parent_of(docs, requests.where("zoom = 'out'")), allowMissingColumns=True)
-    index = index if index is not None else build_search_index(docs)
-    words = requests.select("request_id", F.explode(F.array_distinct(tokens(F.col("topic")))).alias("token"))
-    scores = index.join(words, "token").groupBy("request_id", "session_id", "handle").agg(F.count("*").alias("matched"))
-    topical = words.select("request_id").distinct().withColumn("topical", F.lit(True))
-    rows = listed.join(scores, ["request_id", "session_id", "handle"], "left").join(topical, "request_id", "left").where("topical is null or matched is not null")
-    return page(rows.fillna({"matched": 0}).drop("topical"), [F.col("matched").desc(), F.col("pos"), F.col("handle")], start, limit, ["request_id"])
+    words = written(requests.select("request_id", F.explode(F.array_distinct(tokens(F.col("topic")))).alias("token")))
+    if words.isEmpty():  # without a topic no text is read
+        rows = listed.withColumn("matched", F.lit(0).cast("long"))
+    else:
+        topical = words.select("request_id").distinct().withColumn("topical", F.lit(True))
+        asked = listed.select("request_id", "session_id", "handle").distinct().join(words, "request_id")  # a page's own children meet its words, not all documents
+        if index is None:
+            index = build_search_index(docs.join(asked.select("session_id", "handle"), ["session_id", "handle"], "left_semi"))
+        scores = index.join(asked, ["token", "session_id", "handle"]).groupBy("request_id", "session_id", "handle").agg(F.count("*").alias("matched"))
+        rows = listed.join(scores, ["request_id", "session_id", "handle"], "left").join(topical, "request_id", "left").where("topical is null or matched is not null").drop("topical")
+    return page(rows.fillna({"matched": 0}), [F.col("matched").desc(), F.col("pos"), F.col("handle")], start, limit, ["request_id"])
 
 
 def open_nodes(docs: DataFrame, requests: DataFrame) -> DataFrame:
