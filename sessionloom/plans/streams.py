@@ -25,11 +25,11 @@ def landed(df):
 
 def in_turn(df, cuts=(2, 5)):
     """The rows as a stream of several micro-batches, in the order of their ordinals: written one after the other, a session's in
-    one file of each."""
-    at = K.shared_folder(df.sparkSession)
+    one file of each. A micro-batch takes as many files as a cut has, so that their number does not grow with the rows."""
+    at, files = K.shared_folder(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for a, b in zip((0, *cuts), (*cuts, 1 << 62)):
-        df.where(F.col("ordinal").between(a, b - 1)).repartition("session_id").write.mode("append").parquet(at)
-    return R.as_stream(df.sparkSession, at, 1)
+        df.where(F.col("ordinal").between(a, b - 1)).repartition(files, "session_id").write.mode("append").parquet(at)
+    return R.as_stream(df.sparkSession, at, files)
 
 
 def usage_rows(e):

@@ -88,6 +88,14 @@ def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, output: str
     return stream.groupBy(key).transformWithStateInPandas(processor, output, "Append", "ProcessingTime" if timers else "None")
 
 
+def in_order(batches: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """The rows of a key as tuples of Python values in the order of the first column. Keys are many and have few rows, for which frames
+    cost more than the rows themselves."""
+    rows = [r for b in batches for r in zip(*(b[c].tolist() for c in columns), strict=True)]
+    rows.sort(key=lambda r: r[0])
+    return rows
+
+
 class ReplyAnchors(StatefulProcessor):
     """Of a session: whether turns have begun, whether one awaits its first user message, and the anchor."""
 
@@ -97,19 +105,21 @@ class ReplyAnchors(StatefulProcessor):
         self.state = handle.getValueState("turn", "in_turns boolean, awaiting boolean, anchor string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        in_turns, awaiting, anchor = self.state.get() if self.state.exists() else (False, False, "")
-        pdf, out = pd.concat(list(rows)).sort_values("ordinal"), []
-        for row in pdf.itertuples(index=False):
-            if row.type == "context" and row.turn_id:
+        before = self.state.get() or (False, False, "")
+        (in_turns, awaiting, anchor), ordinals, out = before, [], []
+        for ordinal, kind, role, message_id, turn_id in in_order(rows, "ordinal", "type", "role", "message_id", "turn_id"):
+            if kind == "context" and turn_id:
                 in_turns = awaiting = True
-            if row.type == "message" and row.role == "user":
+            ordinals.append(ordinal)
+            if kind == "message" and role == "user":
                 if awaiting or not in_turns:
-                    anchor, awaiting = row.message_id, False
+                    anchor, awaiting = message_id, False
                 out.append(None)
             else:
-                out.append(anchor if anchor and row.type in self.REPLIES and row.role != "user" else None)
-        self.state.update((in_turns, awaiting, anchor))
-        yield pd.DataFrame({"session_id": key[0], "ordinal": pdf["ordinal"].to_numpy(), "in_reply_to": out})
+                out.append(anchor if anchor and kind in self.REPLIES and role != "user" else None)
+        if (in_turns, awaiting, anchor) != tuple(before):
+            self.state.update((in_turns, awaiting, anchor))
+        yield pd.DataFrame({"session_id": key[0], "ordinal": ordinals, "in_reply_to": out})
 
     def close(self) -> None:
         pass
@@ -129,25 +139,27 @@ class OpenGroup(StatefulProcessor):
         self.budget = budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.group = handle.getValueState("group", "slot long, total long")
+        self.group = handle.getValueState("group", "slot long, total long, stored boolean")
         self.held = handle.getListState("held", "ordinal long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slot, total = self.group.get() if self.group.exists() else (0, 0)
-        stored, new, out = self.held.exists(), [], []  # rows of earlier batches are read only when their group closes
-        for row in pd.concat(list(rows)).sort_values("ordinal").itertuples(index=False):
-            if (stored or new) and (row.is_boundary or total + row.cost > self.budget):
-                before = [o for (o,) in self.held.get()] if stored else []
-                out += [(key[0], slot, o) for o in (*before, *new)]
-                self.held.clear()
+        slot, total, stored = self.group.get() or (0, 0, False)
+        new, out = [], []  # rows of earlier batches are read only when their group closes
+        for ordinal, cost, is_boundary in in_order(rows, "ordinal", "cost", "is_boundary"):
+            if (stored or new) and (is_boundary or total + cost > self.budget):
+                if stored:
+                    out += [(slot, o) for (o,) in self.held.get()]
+                    self.held.clear()
+                out += [(slot, o) for o in new]
                 slot, total, stored, new = slot + 1, 0, False, []
-            if not row.is_boundary:
-                new.append(int(row.ordinal))
-                total += int(row.cost)
+            if not is_boundary:
+                new.append(ordinal)
+                total += cost
         if new:
             self.held.appendList([(o,) for o in new])
-        self.group.update((int(slot), int(total)))
-        yield pd.DataFrame(out, columns=["session_id", "slot", "ordinal"])
+        self.group.update((slot, total, stored or bool(new)))
+        if out:
+            yield pd.DataFrame({"session_id": key[0], "slot": [g for g, _ in out], "ordinal": [o for _, o in out]})
 
     def close(self) -> None:
         pass
