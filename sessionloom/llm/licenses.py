@@ -100,8 +100,11 @@ def voted(docs: DataFrame, templates: tuple[Template, ...], k: int) -> DataFrame
     worded = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), word_array(F.col("text")).alias("w"))
     # nothing that is read from the words may stand beside the explode: each of its rows would carry all words of the text
     listed = worded.select("doc_id", "text_key", F.size("w").alias("n_words"), F.concat(F.array(F.lit(DOCUMENT)), gram).alias("grams"))
-    grams = listed.select("doc_id", "text_key", "n_words", F.posexplode("grams").alias("pos", "gram"))
-    hits = grams.join(places, F.xxhash64(F.lower("gram")) == F.col("h")).where(F.translate("gram", UPPER, LOWER) == F.translate("gram_of", UPPER, LOWER))
+    # outer, though no list is empty: else Spark tests the list's size below, and parts the words of each text again for that
+    grams = listed.select("doc_id", "text_key", "n_words", F.posexplode_outer("grams").alias("pos", "gram"))
+    # between, not equality: that would become a key of the join, taken of every k-gram and not only of those whose hash meets one
+    same = F.translate("gram", UPPER, LOWER).between(F.col("gram_of"), F.col("gram_of"))
+    hits = grams.join(places, (F.xxhash64(F.lower("gram")) == F.col("h")) & same)
     by = hits.groupBy("doc_id", "text_key", "n_words", "template", "label", "exact", "grams", (F.col("pos") - 1 - F.col("place")).alias("diagonal"))
     return written(by.agg(F.collect_set("place").alias("votes"), F.count("*").alias("copies")))  # votes: no more than the template has places
 
