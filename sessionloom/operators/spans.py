@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
+from itertools import accumulate, pairwise
+from math import nan
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -120,33 +123,63 @@ def pack_pairs(df: DataFrame, key: list[str], budget: int, stretch: int = 2) ->
     comes later, the group takes rows up to that result while it stays within stretch * budget; else it ends before the call, unless the
     call is its first row.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal").reset_index(drop=True)
-        costs, kinds, ids = pdf["cost"].tolist(), pdf["type"].tolist(), pdf["tool_call_id"].tolist()
-        call = {i: k for k, (t, i) in enumerate(zip(kinds, ids, strict=True)) if t == "tool_call" and isinstance(i, str)}
-        spans = sorted((call[i], k) for k, (t, i) in enumerate(zip(kinds, ids, strict=True)) if t == "tool_result" and isinstance(i, str) and i in call and call[i] < k)
-        groups, a, g = [0] * len(costs), 0, 0
-        while a < len(costs):
-            b, total = a + 1, costs[a]
-            while b < len(costs) and total + costs[b] <= budget:
-                total += costs[b]
-                b += 1
-            while crossed := [(c, r) for c, r in spans if a <= c < b <= r]:
-                reach = max(r for _, r in crossed) + 1
-                if sum(costs[a:reach]) <= stretch * budget:
-                    b = reach
-                    continue
-                first = min(c for c, _ in crossed)
-                b = first if first > a else b
-                break
-            groups[a:b] = [g] * (b - a)
-            a, g = b, g + 1
-        return pdf.assign(group=groups)
-
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def grouped(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        costs, kinds, ids = (table[c].to_pylist() for c in ("cost", "type", "tool_call_id"))
+        starts = [*pc.indices_nonzero(pc.equal(table["nth"], 1)).to_pylist(), len(costs)]
+        groups = [g for i, j in pairwise(starts) for g in _paired_groups(costs[i:j], kinds[i:j], ids[i:j], budget, stretch)]
+        yield from table.drop_columns(["nth"]).append_column("group", pa.array(groups, pa.int64())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows of a key that may go on in the next batch
+        for batch in batches:
+            starts = pc.indices_nonzero(pc.equal(batch["nth"], 1))
+            if len(starts):
+                cut = starts[-1].as_py()
+                if cut or held:
+                    yield from grouped([*held, batch.slice(0, cut)])
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield from grouped(held)
+
+    # a window leaves the rows of each key together and in order; a call of Python for each key would cost more than its fold
+    by = Window.partitionBy(*key).orderBy(F.col("ordinal").asc_nulls_last())
     schema = StructType([*df.schema.fields, StructField("group", LongType())])
-    return df.groupBy(*key).applyInPandas(run, schema)
+    return df.withColumn("nth", F.row_number().over(by)).mapInArrow(run, schema)
+
+
+def _paired_groups(costs: list, kinds: list, ids: list, budget: int, stretch: int) -> list[int]:
+    """The groups of one key's rows in order, for pack_pairs(). A null cost fits no group and nothing fits beside it."""
+    costs = [nan if c is None else c for c in costs]
+    call = {i: k for k, (t, i) in enumerate(zip(kinds, ids, strict=True)) if t == "tool_call" and isinstance(i, str)}
+    last = [-1] * len(costs)  # of each call the place of its last result
+    for k, (t, i) in enumerate(zip(kinds, ids, strict=True)):
+        if t == "tool_result" and isinstance(i, str) and call.get(i, k) < k:
+            last[call[i]] = k
+    sums = list(accumulate(costs, initial=0)) if all(isinstance(c, int) for c in costs) else None
+    between = lambda i, j: sum(costs[i:j]) if sums is None else sums[j] - sums[i]
+    groups, a, g = [0] * len(costs), 0, 0
+    while a < len(costs):
+        b, total = a + 1, costs[a]
+        while b < len(costs) and total + costs[b] <= budget:
+            total += costs[b]
+            b += 1
+        reach, read = -1, a  # the last result of the calls up to b
+        while (reach := max(reach, max(last[read:b]))) >= b:
+            read = b
+            if between(a, reach + 1) <= stretch * budget:
+                b = reach + 1
+                continue
+            first = next(c for c in range(a, b) if last[c] >= b)
+            b = first if first > a else b
+            break
+        groups[a:b] = [g] * (b - a)
+        a, g = b, g + 1
+    return groups
 
 
 def select_within_budget(jobs: DataFrame, key: list[str], budget: float | None, limit: int | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
