@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import usage as U
 from ..sources.sinks import written
-from .ordered import in_ranges, next_value, running_sums
 
 #: Characters of a chunk of raw text, of the search text of a message, of an excerpt; topics of a node.
 CHUNK, SEARCH_TEXT, EXCERPT, TOPICS = 6000, 4000, 700, 8
@@ -119,17 +118,21 @@ def forest_paths(edges: DataFrame) -> DataFrame:
         now = written(met.select("node_no", F.col("next").alias("above"), longer("head_path", "path").alias("path"), longer("head_up", "up").alias("up")))
 
 
+def _numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Adds a long that rises with an order of all rows, with gaps; written."""
+    return written(rows.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
 def rollup_tree(nodes: DataFrame) -> DataFrame:
     """Adds to each node, over the visible nodes below it: n_children, full_tokens (of leaves), next_tokens (what the children's heads
     take), rendered_tokens, usage, start_at, end_at, all_links. The session's own usage stands for its children's; a node's own
     time stands for that of what is below; a node whose children are all hidden takes nothing. Nodes whose parent is missing are
     roots; repeated handles of a session are an error of the caller's.
 
-    Trees may have any depth. Nodes are numbered before what is below them, so a subtree is a stretch of numbers: sums are
-    differences of running sums, the first time is the first one from the node on, if it lies in the stretch. The last time
-    is found likewise in the mirrored order, which also gives the stretch's length.
+    Trees may have any depth. Nodes are numbered before what is below them, and once more in the mirrored order. Each node then counts to
+    all nodes on its way from the root: sums are added up, and the first and last times are those of the least numbers in the two orders.
     """
-    of_session, keys = "session_id", ["session_id"]
+    keys = ["session_id"]
     rendered = T.estimate_tokens(F.coalesce(F.nullif("head", F.lit("")), F.nullif("raw", F.lit("")), F.col("title")))
     base = written(nodes.withColumn("rendered_tokens", rendered).withColumn("node_no", F.monotonically_increasing_id()))
     # what hidden nodes hold is not part of what is above them
@@ -142,28 +145,21 @@ def rollup_tree(nodes: DataFrame) -> DataFrame:
     own_usage, no = F.coalesce("own_usage", U.usage()), F.lit(0).cast("long")
     small = base.join(paths.withColumnRenamed("node_no", "path_no"), F.col("node_no") == F.col("path_no")).join(inner, F.col("node_no") == F.col("inner_no"), "left").join(below, F.col("node_no") == F.col("up_no"), "left")
     leaf = F.when(F.col("inner_no").isNull(), T.estimate_tokens(F.col("raw"))).otherwise(no)
-    small = small.select(of_session, "node_no", "path", "up", "at", "links", F.coalesce("c_n", no).alias("n_children"), leaf.alias("leaf"), F.coalesce("c_next", leaf).alias("next_tokens"), *[own_usage[f].alias(f"u_{f}") for f in U.FIELDS])
+    small = small.where("session_id is not null").select(*keys, "node_no", "path", "up", "at", "links", F.coalesce("c_n", no).alias("n_children"), leaf.alias("leaf"), F.coalesce("c_next", leaf).alias("next_tokens"), *[own_usage[f].alias(f"u_{f}") for f in U.FIELDS])
 
-    one, sums = F.lit(1).cast("long"), ["leaf", *[f"u_{f}" for f in U.FIELDS]]
-    forward = running_sums(in_ranges(small, keys, ["path"]), keys, ["path"], {"pre": one} | {f"sum_{c}": F.col(c) for c in sums})
-    forward = next_value(written(forward), keys, ["path"], F.when(F.col("at").isNotNull(), F.struct("pre", "at")), "later").drop("range_no")
+    rows = _numbered(small, [*keys, "path"], "pre")
     last = F.struct(F.lit((1 << 63) - 1).alias("pos"), F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("no"))
-    turned = in_ranges(forward.withColumn("turned", F.concat("path", F.array(last))), keys, [F.col("turned").desc()])
-    turned = written(running_sums(turned, keys, [F.col("turned").desc()], {"back": one}))
-    turned = next_value(turned, keys, [F.col("turned").desc()], F.when(F.col("at").isNotNull(), F.struct("back", "at")), "earlier")
-    many = turned.groupBy(F.col("session_id").alias("of_session")).agg(F.max("pre").alias("many"))
-    size = F.col("many") - (F.col("pre") - 1) - (F.col("back") - 1) + F.size("path") - 1  # pre and back count from 1
-    rows = written(turned.join(many, F.col("session_id") == F.col("of_session")).withColumn("size", size).drop("of_session", "range_no"))
-
-    ends = rows.select(F.col("session_id").alias("of_session"), F.col("pre").alias("end_pre"), *[F.col(f"sum_{c}").alias(f"end_{c}") for c in sums])
-    met = rows.join(ends, (F.col("session_id") == F.col("of_session")) & (F.col("end_pre") == F.col("pre") + F.col("size") - 1))
-    total = lambda c: F.col(f"end_{c}") - F.col(f"sum_{c}") + F.col(c)
-    inside = lambda found, at: F.when(F.col(f"{found}.{at}") < F.col(at) + F.col("size"), F.col(f"{found}.at"))
+    rows = _numbered(rows, [*keys, F.concat("path", F.array(last)).desc()], "back")  # it orders a node before what is below it, children from the last
+
+    timed = lambda by: F.min_by("at", F.when(F.col("at").isNotNull(), F.col(by)))
+    sums = ["leaf", *[f"u_{f}" for f in U.FIELDS]]
+    below = rows.select(F.explode("up").alias("rolled_no"), "at", "pre", "back", *sums).groupBy("rolled_no").agg(timed("pre").alias("first_at"), timed("back").alias("last_at"), *[F.sum(c).alias(c) for c in sums])
     links = rows.where(F.size("links") > 0).select("pre", F.posexplode("links").alias("nth", "link"), "up").select("link", F.struct("pre", "nth").alias("first"), F.explode("up").alias("link_no"))
     links = links.groupBy("link_no", "link").agg(F.min("first").alias("first")).groupBy("link_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "link"))), lambda x: x.link).alias("all_links"))
-    rolled = met.join(links, F.col("node_no") == F.col("link_no"), "left").select(
-        F.col("node_no").alias("rolled_no"), "n_children", total("leaf").alias("full_tokens"), "next_tokens", F.coalesce("at", inside("later", "pre")).alias("start_at"), F.coalesce("at", inside("earlier", "back")).alias("end_at"),
-        F.coalesce("all_links", F.array().cast("array<string>")).alias("all_links"), F.struct(*[total(f"u_{f}").alias(f) for f in U.FIELDS]).alias("below_usage"),
+    own = rows.select("node_no", "n_children", "next_tokens")
+    rolled = own.join(below, F.col("node_no") == F.col("rolled_no")).drop("node_no").join(links, F.col("rolled_no") == F.col("link_no"), "left").select(
+        "rolled_no", "n_children", F.col("leaf").alias("full_tokens"), "next_tokens", F.col("first_at").alias("start_at"), F.col("last_at").alias("end_at"),
+        F.coalesce("all_links", F.array().cast("array<string>")).alias("all_links"), F.struct(*[F.col(f"u_{f}").alias(f) for f in U.FIELDS]).alias("below_usage"),
     )
     kept_own = (F.col("depth") == 0) & F.greatest(*[own_usage[f] > 0 for f in U.FIELDS])
     return written(base.join(rolled, F.col("node_no") == F.col("rolled_no")).withColumn("usage", F.when(kept_own, own_usage).otherwise(F.col("below_usage"))).drop("node_no", "rolled_no", "below_usage"))
