@@ -59,17 +59,19 @@ def budget_prefix(children: DataFrame, key: list[str], order: list[str], cost: C
     return rows.withColumn("kept", kept).withColumn("omitted", F.sum((~F.col("kept")).cast("long")).over(by)).where("kept").drop("kept", "nth")
 
 
-def pack_greedy(df: DataFrame, key: list[str], order: str, cost: Column, budget: int) -> DataFrame:
+def pack_greedy(df: DataFrame, key: list[str], order: str, cost: Column, budget: int, most: int | None = None) -> DataFrame:
     """Adds group (from 0): runs of rows in order whose summed cost stays within the budget; a larger row is alone. Adds
     cost (null and negative ones are 0).
 
     Rows of equal order stay apart, in an order that a hash gives; null keys are a key, null orders come first. Keys of up to FOLD rows
     are folded, a number per row; of larger ones each row's next group start is found in the order of the running sums, and
-    the starts are marked by pointer doubling, so no task holds such a key.
+    the starts are marked by pointer doubling, so no task holds such a key. most: rows of the largest key, where that is known; else they are counted first.
     """
     columns = [c for c in df.columns if c not in ("cost", "group")]
     df = df.drop("group")
     rows = df.withColumn("cost", F.greatest(F.coalesce(cost.cast("long"), F.lit(0)), F.lit(0)).cast("long")).withColumn("tie", tie_break(df))
+    if most is not None and most <= FOLD:
+        return _folded_groups(rows, key, order, budget).select(*columns, "cost", "group")
     large = rows.groupBy(*[F.col(k).alias(f"of_{k}") for k in key]).agg(F.count("*").alias("many")).where(F.col("many") > FOLD)
     met = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key] or [F.lit(True)]
     if large.isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.sinks import written
+from ..sources.sinks import tables, written, written_again
 
 # Tags that mark a user's message as put there by a harness.
 TAGS = ("recommended_plugins", "environment_context", "permissions instructions", "collaboration_mode", "multi_agent_mode", "skills_instructions", "apps_instructions", "plugins_instructions")
@@ -60,12 +60,12 @@ def level_one_spans(sources: DataFrame, closed: DataFrame, tail: DataFrame, budg
     return slots.withColumn("handle", F.concat(F.lit("summary/level-1/span-"), F.lpad(F.col("slot").cast("string"), 4, "0"))).drop("span", "group")
 
 
-def parents_of(level: DataFrame, budget: int) -> DataFrame:
+def parents_of(level: DataFrame, budget: int, most: int | None = None) -> DataFrame:
     """Adds parent_no to the spans of one level (session_id, seq, tokens): the group of spans in order whose tokens stay within the
-    budget; null for all spans of a session with a single span, or where packing no longer makes them fewer."""
+    budget; null for all spans of a session with a single span, or where packing no longer makes them fewer. most: as for pack_greedy()."""
     from .spans import pack_greedy
 
-    packed = pack_greedy(level, ["session_id"], "seq", F.col("tokens"), budget).drop("cost")
+    packed = pack_greedy(level, ["session_id"], "seq", F.col("tokens"), budget, most).drop("cost")
     by = Window.partitionBy("session_id")
     counted = packed.withColumn("n", F.count("*").over(by)).withColumn("groups", F.max("group").over(by) + 1)
     return counted.withColumn("parent_no", F.when((F.col("n") > 1) & (F.col("groups") < F.col("n")), F.col("group"))).drop("n", "groups", "group")
@@ -95,19 +95,21 @@ def root_candidates(targets: DataFrame) -> DataFrame:
     return targets.groupBy("session_id").agg(F.every(F.col("status") == "completed").alias("ready"), F.count("*").alias("spans")).where("ready").drop("ready")
 
 
-def summary_inputs(children: DataFrame, key: list[str], revisions: DataFrame | None = None) -> DataFrame:
-    """The records of each parent's children as ordered lines of JSON, with their number and hash.
+def summary_inputs(children: DataFrame, key: list[str], revisions: DataFrame | None = None, first: str | None = None) -> DataFrame:
+    """The records of each parent's children as ordered lines of JSON, with their number and hash (and, in a column named by first, their
+    least pos; not beside revisions).
 
     With revisions (the key, plan and from_index of revision_plan(), previous, the summary to revise, and n_before), a parent whose plan is
     to append or to replace a suffix reads the previous summary, what has changed, and only the records from the first change on; the
     hash is over all records either way.
     """
     rows = F.array_sort(F.collect_list(F.struct("pos", "record")))
-    whole = children.groupBy(*key).agg(rows.alias("rows"), F.count("*").alias("n_children"))
+    firsts = [F.min("pos").alias(first)] if first else []
+    whole = children.groupBy(*key).agg(rows.alias("rows"), F.count("*").alias("n_children"), *firsts)
     lines = lambda r: F.array_join(F.transform(r, lambda x: x.record), "\n")
     hashed = whole.withColumn("source_hash", F.sha2(lines(F.col("rows")), 256))
     if revisions is None:
-        return hashed.select(*key, lines(F.col("rows")).alias("input"), "n_children", "source_hash")
+        return hashed.select(*key, lines(F.col("rows")).alias("input"), "n_children", "source_hash", *([first] if first else []))
     met = hashed.join(revisions.select(*key, "plan", "from_index", "previous", "n_before"), key, "left")
     update = F.col("plan").isin("append", "replace_suffix") & F.col("previous").isNotNull()
     change = F.to_json(F.struct(F.col("plan").alias("kind"), F.col("from_index").alias("unchanged"), F.col("n_before").alias("before"), F.col("n_children").alias("now")))
@@ -302,19 +304,20 @@ def _results(inputs: DataFrame, targets: DataFrame, strategy: str, summariser: C
     """What summarize_cycle() makes anew, as rows of targets (written), and the inputs with work, state and summary."""
     from .spans import select_within_budget
 
-    named = target_ids(inputs, strategy)
+    named = written(target_ids(inputs, strategy))
     known = targets.join(named.select("target_id").distinct(), "target_id", "left_semi").where("status = 'completed'")
-    jobs = written(split_reusable(named, known))
+    old = known.groupBy("target_id").agg(F.max_by("summary", "updated_at").alias("old"), F.lit(True).alias("is_done"))
+    jobs = named.join(old, "target_id", "left").withColumn("work", F.when(F.col("is_done"), "reused").otherwise("pending")).drop("is_done")
     first = Window.partitionBy("target_id").orderBy(*(["seq"] if "seq" in jobs.columns else []), "session_id", "handle")
     pending = jobs.where("work = 'pending'").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    if budget is not None:
-        pending = select_within_budget(pending, [], budget, order=("seq", "session_id", "handle")).where("selected").select(*jobs.columns)
+    if budget is not None:  # what is chosen among has no texts
+        chosen = select_within_budget(pending.select("target_id", "session_id", "handle", "seq", "usd"), [], budget, order=("seq", "session_id", "handle")).where("selected")
+        pending = pending.join(chosen.select("target_id"), "target_id", "left_semi")
     made = retried(pending.select("target_id", "session_id", "handle", "input"), lambda df: _with_all(summariser(df)), "target_id", tries, in_flight)
     status = F.when(F.col("error").isNull(), "completed").otherwise("error")
     results = made.select("target_id", status.alias("status"), "summary", "breadcrumb", "topics", "usage", "error", F.lit(at).cast("long").alias("updated_at"))
-    old = known.groupBy("target_id").agg(F.max_by("summary", "updated_at").alias("old"))
     new = results.select("target_id", F.col("summary").alias("new"), (F.col("status") == "error").alias("failed"))
-    met = jobs.join(old, "target_id", "left").join(new, "target_id", "left")
+    met = jobs.join(new, "target_id", "left")
     state = F.when(F.col("work") == "reused", "reused").when(F.col("new").isNotNull(), "done").when(F.col("failed"), "error").otherwise("pending")
     return results, met.withColumn("state", state).withColumn("summary", F.coalesce("new", "old")).drop("new", "old", "failed")
 
@@ -341,30 +344,31 @@ def summarize_to_roots(
     if targets is None:
         targets = spans.sparkSession.createDataFrame([], f"target_id string, status string, {SUMMARY}, updated_at long")
     frontier = spans.select("session_id", "handle", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("level"))
-    children = records.select("session_id", "handle", "pos", "record")
-    made, results, left = None, None, most_usd
+    inputs = summary_inputs(records.select("session_id", "handle", "pos", "record"), ["session_id", "handle"]).join(frontier, ["session_id", "handle"])
+    every, places, results, left = None, [], None, most_usd
     for level in count(1):
-        inputs = summary_inputs(children, ["session_id", "handle"]).join(frontier, ["session_id", "handle"]).withColumn("tokens", T.estimate_tokens(F.col("input")))
-        inputs = written(inputs.withColumn("usd", cost))
-        known = targets if results is None else targets.unionByName(results, allowMissingColumns=True)
-        new, got = _results(inputs, known, strategy, summariser, left, at, tries, in_flight)
+        inputs = inputs.withColumn("tokens", T.estimate_tokens(F.col("input")))
+        known = targets
+        if every is not None:  # what this run has made, by its table of spans
+            own = every.where("state = 'done'").select("target_id", F.lit("completed").alias("status"), "summary", F.lit(at).cast("long").alias("updated_at"))
+            known = targets.select(*own.columns).unionByName(own)
+        new, got = _results(inputs.withColumn("usd", cost), known, strategy, summariser, left, at, tries, in_flight)
         results = new if results is None else results.unionByName(new)
-        got = written(got.select("session_id", "level", "handle", "seq", "state", "summary", "usd", "target_id"))
+        got = written_again(got.select("session_id", "level", "handle", "seq", "state", "summary", "usd", "target_id"), places)
+        every = tables(got, places)
         if left is not None:  # each id is paid for once
             paid = got.where("state in ('done', 'error')").select("target_id", "usd").distinct()
             left -= float(paid.agg(F.coalesce(F.sum("usd"), F.lit(0.0))).first()[0])
-        own = got.select("session_id", "level", "handle", "state", "summary")
-        made = own if made is None else made.unionByName(own)
         climbing = got.where("level > 0")
-        whole = climbing.groupBy("session_id").agg(F.every(F.col("summary").isNotNull()).alias("whole")).where("whole").select("session_id")
-        finished = written(climbing.join(whole, "session_id", "left_semi").select("session_id", "handle", "seq", "summary", T.estimate_tokens(F.col("summary")).alias("tokens")))
-        if finished.isEmpty():
-            return commit_targets(targets, results), made
+        whole = climbing.groupBy("session_id").agg(F.every(F.col("summary").isNotNull()).alias("whole"), F.count("*").alias("n")).where("whole")
+        most = whole.agg(F.max("n")).first()[0]
+        if most is None:
+            return commit_targets(targets, results), every.select("session_id", "level", "handle", "state", "summary")
+        finished = climbing.join(whole.select("session_id"), "session_id", "left_semi").select("session_id", "handle", "seq", "summary", T.estimate_tokens(F.col("summary")).alias("tokens"))
         is_top = F.col("parent_no").isNull()
-        packed = parents_of(finished, budget).withColumn("handle", F.when(is_top, "summary/root").otherwise(span_handle(level + 1, F.col("parent_no")))).withColumn("level", F.when(is_top, 0).otherwise(level + 1))
-        packed = written(packed)
-        children = packed.select("session_id", "handle", F.col("seq").alias("pos"), F.col("summary").alias("record"))
-        frontier = packed.groupBy("session_id", "handle", "level").agg(F.min("seq").alias("seq"))
+        packed = parents_of(finished, budget, most).withColumn("handle", F.when(is_top, "summary/root").otherwise(span_handle(level + 1, F.col("parent_no")))).withColumn("level", F.when(is_top, 0).otherwise(level + 1))
+        children = packed.select("session_id", "handle", "level", F.col("seq").alias("pos"), F.col("summary").alias("record"))
+        inputs = summary_inputs(children, ["session_id", "handle", "level"], first="seq")
 
 
 def publish_decision(candidates: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import summaries as S
 from ..sources.sinks import written
 from .catalog import query, table
 from .scalars import tokens_sql
-from .windows import _SPANS, EVENTS, boundary, events, spans
+from .windows import _SPANS, EVENTS, boundary, events
 
 
 @query("prj_20_child_records", "SELECT conv_id, turn, text IS NOT NULL AS has_text, role FROM conversations")
@@ -25,9 +25,10 @@ def costs(df):
 
 
 def level_one(spark, sf, budget=60):
-    closed = costs(spans(spark, sf))
-    tail = costs(P.live_tail(events(spark, sf), boundary(), F.col("role").isin("user", "assistant")))
-    return S.level_one_spans(events(spark, sf), closed, tail, budget)
+    e = written(costs(events(spark, sf)).select("session_id", "line_no", "ordinal", "role", "cost"))  # read several times, without the texts
+    closed = P.compaction_spans(e, boundary(), F.col("role") != "system")
+    tail = P.live_tail(e, boundary(), F.col("role").isin("user", "assistant"))
+    return S.level_one_spans(e, closed, tail, budget)
 
 
 LEVEL_ONE = f"""{_SPANS}, lt AS (SELECT *, coalesce(max(CASE WHEN boundary THEN ordinal END) OVER (PARTITION BY session_id), -1) AS lastb FROM ev),

@@ -37,9 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: what several later steps read is computed once, and lineage ends there."""
+    return written_again(df, [])
+
+
+def written_again(df: DataFrame, places: list[str]) -> DataFrame:
+    """As written(); adds the table's folder to places, which hold tables of the same columns: they can be read as one (see tables())."""
     at = shared_folder(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    places.append(at)
+    return tables(df, [at])
+
+
+def tables(df: DataFrame, places: list[str]) -> DataFrame:
+    """The rows of all tables with the columns of df in the given folders, by one scan: a plan that doesn't grow with their number."""
+    return df.sparkSession.read.schema(df.schema).parquet(*places)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
