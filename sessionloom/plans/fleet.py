@@ -111,9 +111,9 @@ def jn_06(spark, sf):
       CASE WHEN c_re > 0 THEN greatest(0, output - reasoning) ELSE output END * c_out / 1e6::DOUBLE AS o, CASE WHEN c_re > 0 THEN reasoning * c_re / 1e6::DOUBLE ELSE 0 END AS re, (c_cr = 0 AND cache_read > 0)::INT + (c_cw = 0 AND cache_write > 0)::INT + (c_re = 0 AND reasoning > 0)::INT AS notes FROM j)
     SELECT event_id, round(i, 8) AS input_usd, round(o, 8) AS output_usd, round(i + cr + cw + o + re, 8) AS total_usd, notes FROM k""")
 def agg_11(spark, sf):
-    use = table(spark, sf, "events").select("event_id", U.usage(**{f: F.expr(x) for f, x in _FIELDS.items()}).alias("usage"))
-    priced = S.resolve_pricing(asked(spark, sf), pricing(spark, sf)).where("price_status = 'ok'").join(use, "event_id")
-    return S.estimate_cost(priced).select("event_id", F.round("input_usd", 8).alias("input_usd"), F.round("output_usd", 8).alias("output_usd"), F.round("total_usd", 8).alias("total_usd"), F.size("assumptions").alias("notes"))
+    asks = asked(spark, sf).repartition("event_id")  # the prices stay where the usage is joined
+    priced = S.resolve_pricing(asks, pricing(spark, sf)).where("price_status = 'ok'").join(table(spark, sf, "events").select("event_id", "value"), "event_id")
+    return S.estimate_cost(priced.withColumn("usage", U.usage(**{f: F.expr(x) for f, x in _FIELDS.items()}))).select("event_id", F.round("input_usd", 8).alias("input_usd"), F.round("output_usd", 8).alias("output_usd"), F.round("total_usd", 8).alias("total_usd"), F.size("assumptions").alias("notes"))
 
 
 @query("agg_12_source_fingerprint", """WITH s AS (SELECT source AS path, doc_id // 4096 AS part, sum(strlen(text) + 1)::BIGINT AS size, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS content, count(*) FILTER (contains(text, 'the')) AS marked, max(doc_id) FILTER (contains(text, 'the')) AS last, sha256(coalesce(string_agg(CASE WHEN contains(text, 'the') THEN doc_id::VARCHAR END, ',' ORDER BY doc_id), '')) AS places FROM documents GROUP BY 1, 2)
