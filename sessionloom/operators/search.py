@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.sinks import written
+from .tree import joined_chunks
 
 #: Parts that the rows of a request are ranked in before its page is taken from their first rows.
 SALTS = 64
@@ -306,11 +307,13 @@ def find_refs(docs: DataFrame, nodes: DataFrame, requests: DataFrame, start: int
 
 def hydrate(refs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds to search refs (session_id, handle, kind, line) what stored documents hold (they win), then content from the
-    source: by handle, else from the same line, of the same kind first, then the smallest handle."""
+    source: by handle, else from the same line, of the same kind first, then the smallest handle. A part that is cut has the
+    text of all its chunks."""
     keys = ["session_id", "handle"]
+    held = nodes.select(*keys, "kind", "line", "raw").where("raw is not null").unionByName(joined_chunks(nodes))
     stored = docs.select(*keys, F.col("title").alias("stored_title"), F.col("excerpt").alias("stored_excerpt"))
-    exact = nodes.select(*keys, F.col("raw").alias("exact_content"))
-    by_line = nodes.select(F.col("session_id").alias("line_session"), F.col("line").alias("at_line"), F.col("kind").alias("at_kind"), F.col("handle").alias("at_handle"), F.col("raw").alias("line_content")).where("line_content is not null")
+    exact = held.select(*keys, F.col("raw").alias("exact_content"))
+    by_line = held.select(F.col("session_id").alias("line_session"), F.col("line").alias("at_line"), F.col("kind").alias("at_kind"), F.col("handle").alias("at_handle"), F.col("raw").alias("line_content"))
     met = refs.join(stored, keys, "left").join(exact, keys, "left")
     near = met.where("exact_content is null").join(by_line, (F.col("session_id") == F.col("line_session")) & (F.col("line") == F.col("at_line")))
     best = Window.partitionBy(*keys).orderBy((F.col("kind") == F.col("at_kind")).desc(), "at_handle")

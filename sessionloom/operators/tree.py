@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import usage as U
 from ..sources.sinks import written
 
-#: Characters of a chunk of raw text, of the search text of a message, of an excerpt; topics of a node.
+#: Characters of a chunk of raw text, of the search text of a message where a caller wants it cut, of an excerpt; topics of a node.
 CHUNK, SEARCH_TEXT, EXCERPT, TOPICS = 6000, 4000, 700, 8
 NODE_COLUMNS = ("session_id", "handle", "parent_handle", "depth", "pos", "kind", "type", "role", "title", "head", "raw", "at", "own_usage", "topics", "links")
 
@@ -59,6 +59,14 @@ def chunk_text(df: DataFrame, text_col: str, size: int = CHUNK) -> DataFrame:
     return df.withColumn("piece", F.explode(pieces)).withColumns({"chunk_no": F.col("piece.n"), "chunk_start": F.col("piece.start"), "chunk_end": F.col("piece.end"), "chunk": F.col("piece.text")}).drop("piece", text_col)
 
 
+def joined_chunks(nodes: DataFrame) -> DataFrame:
+    """A row (session_id, handle, kind, line, raw) for each part of nodes with a line that is cut, with the text of all its chunks."""
+    part, n = F.regexp_replace("handle", "/chunk/[0-9]+$", ""), F.regexp_extract("handle", "/chunk/([0-9]+)$", 1).cast("int")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), "raw"))), lambda x: x.raw), "")
+    rows = nodes.where(F.col("handle").rlike("/chunk/[0-9]+$"))
+    return rows.groupBy("session_id", part.alias("handle")).agg(F.regexp_replace(F.min("kind"), "_chunk$", "").alias("kind"), F.min("line").alias("line"), whole.alias("raw"))
+
+
 def build_nodes(events: DataFrame) -> DataFrame:
     """All nodes of all sessions from event rows (session_id, ordinal, type, role, text, event_id, at, usage, topics,
     call_name, tool_name, tool_call_id, paired_handle, handle).
@@ -208,22 +216,24 @@ def message_content() -> Column:
 
 
 def descendant_text(nodes: DataFrame) -> DataFrame:
-    """Per event handle: the visible leaves' texts below it, in order, joined by newlines."""
+    """Per event handle: the visible leaves' texts below it, in order, joined by newlines; the chunks of a text by nothing."""
     leaves = visible(nodes).where("raw is not null")
     event = F.regexp_extract("handle", "^(session/[^/]+/event/[^/]+)", 1)
-    return leaves.groupBy("session_id", event.alias("handle")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "pos", "raw"))), lambda x: x.raw), "\n").alias("descendant_text"))
+    leaf = F.struct("depth", "pos", "raw", (F.col("kind").endswith("_chunk") & (F.col("pos") > 0)).alias("goes_on"))
+    parted = lambda x, i: F.concat(F.when((i == 0) | F.coalesce(x.goes_on, F.lit(False)), "").otherwise("\n"), x.raw)
+    return leaves.groupBy("session_id", event.alias("handle")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(leaf)), parted), "").alias("descendant_text"))
 
 
-def build_docs(rolled: DataFrame, predicate: Column | None = None) -> DataFrame:
+def build_docs(rolled: DataFrame, predicate: Column | None = None, most: int | None = None) -> DataFrame:
     """One row per visible node: navigation, time, tokens, usage, search_text, excerpt, retrieval_visible.
 
     A source message is searched by the text below it; its own content nodes are not, and neither are nodes without text.
-    The root is always visible to retrieval. A predicate may narrow it.
+    The root is always visible to retrieval. A predicate may narrow it. The search text is whole, or of at most so many characters.
     """
     texts = descendant_text(rolled).withColumnRenamed("handle", "of_handle").withColumnRenamed("session_id", "of_session")
     met = with_navigation(rolled).join(texts, (F.col("session_id") == F.col("of_session")) & (F.col("handle") == F.col("of_handle")), "left").drop("of_handle", "of_session")
     text = F.when(source_message(), T.text_of(F.col("descendant_text"))).otherwise("")
-    search = F.when(F.length(text) > SEARCH_TEXT, F.substring(text, 1, SEARCH_TEXT)).otherwise(text)
+    search = text if most is None else F.when(F.length(text) > most, F.substring(text, 1, most)).otherwise(text)
     shown = (F.col("depth") == 0) | ((search != "") & ~message_content())
     if predicate is not None:
         shown = shown & predicate

@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators.tree import SEARCH_TEXT
 from .catalog import query, table
 from .scalars import compact_sql, preview_sql, tokens_sql
-from .trees import DOCS, NODES, docs, nodes
+from .trees import DOCS, NODES, WHOLE_DOCS, docs, nodes
 
 QUERIES = [(1, "The and with"), (2, "de la"), (3, "Erthat!! IDIOT"), (4, "der die")]
 REQUESTS = "requests(request_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES) + ")"
 TOKENS = "list_filter(string_split(lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda t: t <> '')"
-INDEX = f"""{DOCS}, tk AS (SELECT session_id, handle, unnest({TOKENS.format(c="search_text")}) AS token FROM dc WHERE retrieval_visible AND search_text <> ''),
+_IX = f"""tk AS (SELECT session_id, handle, unnest({TOKENS.format(c="search_text")}) AS token FROM dc WHERE retrieval_visible AND search_text <> ''),
   ix AS (SELECT token, session_id, handle, count(*) AS tf FROM tk GROUP BY ALL)"""
+INDEX, WHOLE_INDEX = f"{DOCS}, {_IX}", f"{WHOLE_DOCS}, {_IX}"
 
 
 def requests(spark):
@@ -23,7 +25,7 @@ def requests(spark):
 
 @query("sr_01_search_index", f"WITH {INDEX} SELECT token, session_id, handle, tf FROM ix")
 def sr_01(spark, sf):
-    return S.build_search_index(docs(spark, sf))
+    return S.build_search_index(docs(spark, sf, SEARCH_TEXT))
 
 
 @query(
@@ -34,7 +36,7 @@ def sr_01(spark, sf):
     SELECT request_id, place::INTEGER AS place, session_id, handle, matched, tf, total, CASE WHEN total > 10 THEN 10::BIGINT END AS next_start FROM r WHERE place < 10""",
 )
 def sr_02(spark, sf):
-    return S.search(docs(spark, sf), requests(spark)).select("request_id", "place", "session_id", "handle", "matched", "tf", "total", "next_start")
+    return S.search(docs(spark, sf, SEARCH_TEXT), requests(spark)).select("request_id", "place", "session_id", "handle", "matched", "tf", "total", "next_start")
 
 
 #: Requests with their own topic, roles, depth and page; the fifth has a filter alone, the last asks for nothing.
@@ -50,7 +52,7 @@ def asked_sql() -> str:
 
 @query(
     "sr_02b_find_refs",
-    f"""WITH {INDEX}, {asked_sql()}, w AS (SELECT DISTINCT request_id, unnest({TOKENS.format(c="concat_ws(' ', query, topic)")}) AS token FROM rq),
+    f"""WITH {WHOLE_INDEX}, {asked_sql()}, w AS (SELECT DISTINCT request_id, unnest({TOKENS.format(c="concat_ws(' ', query, topic)")}) AS token FROM rq),
     s AS (SELECT request_id, session_id, handle, count(*) AS matched, sum(tf)::BIGINT AS tf FROM ix JOIN w USING (token) GROUP BY ALL
       UNION ALL SELECT request_id, session_id, handle, 1, 1 FROM rq JOIN dc ON list_contains(roles, role) WHERE retrieval_visible AND search_text <> '' AND request_id NOT IN (SELECT request_id FROM w)),
     f AS (SELECT s.*, dc.start_at, dc.role, dc.pos // 4 AS line, start_, limit_ FROM s JOIN dc USING (session_id, handle) JOIN rq USING (request_id) WHERE (len(roles) = 0 OR list_contains(roles, role)) AND (mip IS NULL OR depth = mip)),
@@ -80,7 +82,7 @@ def sr_03(spark, sf):
     SELECT session_id, handle, matched, place::INTEGER AS place FROM r WHERE place < 3""",
 )
 def sr_04(spark, sf):
-    d = docs(spark, sf)
+    d = docs(spark, sf, SEARCH_TEXT)
     roots = d.where("depth = 0").select(F.col("session_id").alias("request_id"), "session_id", "handle", F.lit("children").alias("zoom"), F.lit("the and de").alias("topic"))
     return S.browse(d, roots, 0, 3).select("session_id", "handle", "matched", "place")
 

@@ -134,18 +134,21 @@ def win_05(spark, sf):
     return N.with_navigation(nodes(spark, sf)).select("session_id", "handle", "siblings", "zoom")
 
 
-#: Documents in DuckDB.
-DOCS = f"""{NODES}, dx AS (SELECT r.*, CASE WHEN r.depth = 1 AND r.role IN ('user', 'assistant') THEN h.text ELSE '' END AS full_text FROM ro r LEFT JOIN h ON r.handle = h.handle),
+_DX = f"""{NODES}, dx AS (SELECT r.*, CASE WHEN r.depth = 1 AND r.role IN ('user', 'assistant') THEN h.text ELSE '' END AS full_text FROM ro r LEFT JOIN h ON r.handle = h.handle),"""
+#: Documents in DuckDB, with the beginning of texts to search or with whole ones.
+DOCS = f"""{_DX}
 dc AS (SELECT *, substr(full_text, 1, 4000) AS search_text, depth = 0 OR full_text <> '' AS retrieval_visible FROM dx)"""
+WHOLE_DOCS = f"""{_DX}
+dc AS (SELECT *, full_text AS search_text, depth = 0 OR full_text <> '' AS retrieval_visible FROM dx)"""
 
 
-def docs(spark, sf):
-    return N.build_docs(rolled(spark, sf))
+def docs(spark, sf, most=None):
+    return N.build_docs(rolled(spark, sf), most=most)
 
 
 @query("hi_04_docs", f"WITH {DOCS} SELECT session_id, handle, kind, full_tokens::BIGINT AS full_tokens, search_text, {preview_sql('full_text', 700)} AS excerpt, retrieval_visible FROM dc")
 def hi_04(spark, sf):
-    return docs(spark, sf).select("session_id", "handle", "kind", "full_tokens", "search_text", "excerpt", "retrieval_visible")
+    return docs(spark, sf, N.SEARCH_TEXT).select("session_id", "handle", "kind", "full_tokens", "search_text", "excerpt", "retrieval_visible")
 
 
 @query("hi_05_descendant_text", f"WITH {NODES} SELECT session_id, handle, text AS descendant_text FROM h")
@@ -195,7 +198,7 @@ def set_01(spark, sf):
 
 @query("prj_22_search_record", f"WITH {DOCS} SELECT session_id, handle, parent_handle, role, search_text, full_tokens::BIGINT AS full_tokens, search_text <> '' AS has_search_text FROM dc")
 def prj_22(spark, sf):
-    record = N.search_record(docs(spark, sf))
+    record = N.search_record(docs(spark, sf, N.SEARCH_TEXT))
     return N.from_search_record(record).select("session_id", "handle", "parent_handle", "role", "search_text", "full_tokens", (F.col("search_text") != "").alias("has_search_text"))
 
 
