@@ -77,12 +77,12 @@ def sr_03(spark, sf):
 
 @query(
     "sr_04_topic_children",
-    f"""WITH {INDEX}, s AS (SELECT session_id, handle, count(*) AS matched FROM ix WHERE token IN ('the', 'and', 'de') GROUP BY ALL),
+    f"""WITH {WHOLE_INDEX}, s AS (SELECT session_id, handle, count(*) AS matched FROM ix WHERE token IN ('the', 'and', 'de') GROUP BY ALL),
     r AS (SELECT c.session_id, c.handle, matched, row_number() OVER (PARTITION BY c.session_id ORDER BY matched DESC, pos, c.handle) - 1 AS place FROM dc c JOIN s USING (session_id, handle) WHERE depth = 1)
     SELECT session_id, handle, matched, place::INTEGER AS place FROM r WHERE place < 3""",
 )
 def sr_04(spark, sf):
-    d = docs(spark, sf, SEARCH_TEXT)
+    d = docs(spark, sf)
     roots = d.where("depth = 0").select(F.col("session_id").alias("request_id"), "session_id", "handle", F.lit("children").alias("zoom"), F.lit("the and de").alias("topic"))
     return S.browse(d, roots, 0, 3).select("session_id", "handle", "matched", "place")
 

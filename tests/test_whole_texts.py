@@ -34,6 +34,12 @@ def test_refs_are_found_by_the_ends_of_texts(spark, behind):
     assert rows(taken, [tuple(r[c] for c in taken) for r in got]) == by_sql("sr_02b_find_refs", SF, ["content"])
 
 
+def test_children_are_ranked_by_the_ends_of_texts(spark, behind):
+    df = catalog.queries()["sr_04_topic_children"](spark, behind)
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert got == by_sql("sr_04_topic_children", behind) == by_sql("sr_04_topic_children", SF) and got[1]
+
+
 def test_content_by_line_and_by_handle_has_all_chunks(spark):
     kind = "session_id string, handle string, kind string, line long, raw string"
     cut = [("s", f"e1/content/chunk/{n}", "event_content_chunk", 1, f"{n},") for n in range(12)]
