@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from ..operators.tree import SEARCH_TEXT
+from ..sources.sinks import written
 from .catalog import query, table
 from .scalars import compact_sql, preview_sql, tokens_sql
 from .trees import DOCS, NODES, WHOLE_DOCS, docs, nodes
@@ -82,7 +83,7 @@ def sr_03(spark, sf):
     SELECT session_id, handle, matched, place::INTEGER AS place FROM r WHERE place < 3""",
 )
 def sr_04(spark, sf):
-    d = docs(spark, sf)
+    d = written(docs(spark, sf).select("session_id", "handle", "parent_handle", "depth", "pos", "kind", "type", "role", "search_text", "retrieval_visible"))  # browse reads them again and again
     roots = d.where("depth = 0").select(F.col("session_id").alias("request_id"), "session_id", "handle", F.lit("children").alias("zoom"), F.lit("the and de").alias("topic"))
     return S.browse(d, roots, 0, 3).select("session_id", "handle", "matched", "place")
 
